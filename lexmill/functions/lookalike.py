@@ -99,44 +99,43 @@ def settle(word: str, of: str) -> str:
     return word
 
 
-_word = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
-_stroked = re.compile(f"([dD])((?:[̀-̴̷-ͯ])*)[{STROKES}]")
+#: White space that separates chunks, the unit that is brought to the consistent form.
+CHUNK = r"[ \t\r\n]+"
+_chunk = re.compile(r"([ \t\r\n]+)")
+
+
+def near_scripts(chunk: str) -> str:
+    """Scripts other than Latin of which a chunk has a letter without a twin."""
+    return "".join(of for of in "CGA" if any(sure(ch, of) for ch in chunk))
+
+
+def consistent_chunk(chunk: str, near: str = "") -> str:
+    """Consistent form of text without plain white space; ``near``: scripts of the chunks beside it."""
+    chunk = "".join(ch for ch in chunk if not is_invisible(ch))
+    han = any(script(ch) == "H" for ch in chunk)
+    plain = unicodedata.normalize("NFD", "".join(ch if han and is_wide_mark(ch) else expand(ch) for ch in chunk))
+    near += near_scripts(plain)
+    out, word = [], ""
+    for ch in plain + " ":
+        if script(ch) in ("L", "C", "G", "A") or unicodedata.combining(ch):
+            word += ch
+            continue
+        of = word_script(word) or ("-" if any(script(x) in near for x in word if x in FOREIGN) else "L")
+        out += [settle(word, of), ch]
+        word = ""
+    text = "".join(out)[:-1]
+    for mark in STROKES:
+        text = text.replace("d" + mark, "đ").replace("D" + mark, "Đ")
+    return unicodedata.normalize("NFC", text)
 
 
 def consistent(text: str | None) -> str | None:
     """The consistent form of one value: NFC, half width, plain spaces, nothing invisible, each letter from its word's script."""
     if text is None or not _suspect.search(text):
         return text
-    visible = [ch for ch in text if not is_invisible(ch)]
-    parts = []
-    for i, ch in enumerate(visible):
-        parts.append(ch if is_wide_mark(ch) and _beside_han(visible, i) else expand(ch))
-    plain = unicodedata.normalize("NFD", "".join(parts))
-    if any(s in plain for s in STROKES):
-        plain = _stroked.sub(lambda m: ("đ" if m[1] == "d" else "Đ") + m[2], plain)
-    words = list(_word.finditer(plain))
-    scripts = [word_script(m[0]) for m in words]
-    out, at = [], 0
-    for k, m in enumerate(words):
-        of = scripts[k]
-        if not of and any(ch in FOREIGN for ch in m[0]):
-            near = [scripts[j] for j in (k - 1, k + 1) if 0 <= j < len(words) and _only_space(plain, words, min(j, k))]
-            of = "-" if any(x in ("C", "G", "A") and x == script(m[0][0]) for x in near) else "L"
-        out += [plain[at : m.start()], settle(m[0], of)]
-        at = m.end()
-    return unicodedata.normalize("NFC", "".join(out) + plain[at:])
-
-
-def _only_space(text: str, words: list[re.Match], j: int) -> bool:
-    return text[words[j].end() : words[j + 1].start()].isspace()
-
-
-def _beside_han(chars: list[str], i: int) -> bool:
-    """Whether the nearest letter on either side, over anything but line ends, is Han or kana."""
-    for step in (-1, 1):
-        j = i + step
-        while 0 <= j < len(chars) and chars[j] not in "\r\n" and not (chars[j].isalpha() or "　" < chars[j] < "぀"):
-            j += step
-        if 0 <= j < len(chars) and script(chars[j]) == "H":
-            return True
-    return False
+    parts = _chunk.split(text)
+    for k in range(0, len(parts), 2):
+        if _suspect.search(parts[k]):
+            near = "".join(near_scripts(parts[j]) for j in (k - 2, k + 2) if 0 <= j < len(parts))
+            parts[k] = consistent_chunk(parts[k], near)
+    return "".join(parts)
