@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm.mixing import mixture
+from lexmill.llm.splitting import oversized_pieces
+from lexmill.llm.tokenizer import encoded, with_token_count
 from lexmill.llm.visual import consistent_texts, inconsistent_fields
 from lexmill.sources.tables import blank, table
 
@@ -25,5 +28,51 @@ def p5_consistent(spark: SparkSession, folder: str) -> DataFrame:
     return consistent_texts(_articles(spark, folder), ["snapshot_no", "mapc"], TEXT_FIELDS).select("snapshot_no", "mapc", "field", "consistent")
 
 
-QUERIES = {"p5_found": p5_found, "p5_consistent": p5_consistent}
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of the articles of snapshot 5 that exceed a config's chunk_size."""
+    configs = [tuple(r) for r in table(spark, folder, "chunk_config").select("config_id", "chunk_size", "chunk_overlap").collect()]
+    return oversized_pieces(_articles(spark, folder).where("snapshot_no = 5"), ["mapc"], "raw_content", configs)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles that had to be cut, by config: those of which the splitter made pieces."""
+    return p6_pieces(spark, folder).where("piece_no = 2").select("config_id", "mapc").distinct()
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of each document."""
+    return encoded(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each document's ids decode to its text."""
+    return encoded(table(spark, folder, "documents").select("doc_id", "text"), check="same").select("doc_id", F.size("ids").alias("n_ids"), "same")
+
+
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, folder, "mix_target")
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixture(with_token_count(docs), targets, key="doc_id", size="n_tokens")
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of each document in the mixture."""
+    return _mixture(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixture(spark, folder)[1]
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
+    "p7_ids": p7_ids,
+    "p7_round_trip": p7_round_trip,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+    "p5_found": p5_found,
+    "p5_consistent": p5_consistent,
+}
 SQL: dict[str, str] = {}
