@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.mixing import mixture
 from lexmill.llm.splitting import oversized_pieces
 from lexmill.llm.tokenizer import encoded, with_token_count
+from lexmill.llm.truncation import field_texts, hidden_limits, truncated, truncation_rates
 from lexmill.llm.visual import consistent_texts, inconsistent_fields
 from lexmill.sources.tables import blank, table
 
@@ -28,6 +29,21 @@ def p5_consistent(spark: SparkSession, folder: str) -> DataFrame:
     return consistent_texts(_articles(spark, folder), ["snapshot_no", "mapc"], TEXT_FIELDS).select("snapshot_no", "mapc", "field", "consistent")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of index_document that lost their end."""
+    return truncated(table(spark, folder, "index_document"), _articles(spark, folder))
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each loader truncates."""
+    return truncation_rates(table(spark, folder, "index_document"), p3_found(spark, folder))
+
+
+def p3_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Hidden limits of each loader, with the measure they are counted in."""
+    return hidden_limits(field_texts(table(spark, folder, "index_document")))
+
+
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of the articles of snapshot 5 that exceed a config's chunk_size."""
     configs = [tuple(r) for r in table(spark, folder, "chunk_config").select("config_id", "chunk_size", "chunk_overlap").collect()]
@@ -66,6 +82,9 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
+    "p3_limits": p3_limits,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
