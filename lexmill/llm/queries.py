@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.mixing import mixture
+from lexmill.llm.pairs import defective_pairs
 from lexmill.llm.splitting import oversized_pieces
 from lexmill.llm.tokenizer import encoded, with_token_count
 from lexmill.llm.truncation import field_texts, hidden_limits, truncated, truncation_rates
@@ -44,6 +45,17 @@ def p3_limits(spark: SparkSession, folder: str) -> DataFrame:
     return hidden_limits(field_texts(table(spark, folder, "index_document")))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs of question and answer, with the type of the defect."""
+    return defective_pairs(table(spark, folder, "chat_log"))
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs by type and route."""
+    chats = table(spark, folder, "chat_log").select("chat_id", "route").where("chat_id is not null").groupBy("chat_id").agg(F.max("route").alias("route"))
+    return p4_found(spark, folder).join(chats, "chat_id").groupBy("route", "defect_type").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of the articles of snapshot 5 that exceed a config's chunk_size."""
     configs = [tuple(r) for r in table(spark, folder, "chunk_config").select("config_id", "chunk_size", "chunk_overlap").collect()]
@@ -85,6 +97,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p3_limits": p3_limits,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
