@@ -10,15 +10,16 @@ cost of the explosion.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from lexmill.functions.lookalike import FOREIGN, STROKES, SUSPECT, TO_CYRILLIC, expand, is_invisible, is_wide_mark, script, sure
+from lexmill.functions.lookalike import FOREIGN, STROKES, SUSPECT, TO_CYRILLIC, expand, is_invisible, is_wide_mark, near_scripts, script, sure
 
 ID = ["h1", "h2", "near"]
 _PART = "ch string, ccc int, letter boolean, sure string, script string, latin string, cyrillic string"
@@ -51,31 +52,45 @@ def _recompose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-def _class_of(letters: str) -> str:
-    return "[" + "".join(letters) + "]"
+_PIECES = ArrayType(StructType([StructField("token", StringType()), StructField("near", StringType())]))
+_chunks = re.compile(r"[^ \t\r\n]+|[ \t\r\n]+")
+_suspect = re.compile(SUSPECT)
+_twin = re.compile(f"[{''.join(FOREIGN)}]")
 
 
-_SURE = {of: _class_of("".join(chr(n) for n in range(*span) if sure(chr(n), of))) for of, span in (("C", (0x400, 0x530)), ("G", (0x370, 0x400)), ("A", (0x530, 0x590)))}
-_TWINS = _class_of("".join(FOREIGN))
+def _pieces(text: str, every: bool) -> list[tuple[str, str]]:
+    """Chunks of a text, with the other scripts of the chunks beside them where twins could need them.
 
+    ``every``: all of them and the white space between, in order; else the distinct suspect ones.
+    """
+    if not every:
+        found = {m[0] for m in _suspect_chunk.finditer(text)}
+        if not any(map(_twin.search, found)):
+            return [(x, "") for x in found]
+    parts = _chunks.findall(text)
+    out = []
+    for i, x in enumerate(parts):
+        if _suspect.search(x):
+            near = "".join(near_scripts(parts[j]) for j in (i - 2, i + 2) if 0 <= j < len(parts)) if _twin.search(x) else ""
+            out.append((x, near))
+        elif every:
+            out.append((x, ""))
+    return out if every else list(dict.fromkeys(out))
 
-def pieces_of(value: Column) -> Column:
-    """Array of structs (token, near): a text's chunks and the white space between them, in order.
 
-    ``near`` names the other scripts in the chunks beside it, only where twins could need it.
-    """
-    parts = F.regexp_extract_all(value, F.lit(r"[^ \t\r\n]+|[ \t\r\n]+"), F.lit(0))
+_suspect_chunk = re.compile(f"(?<![^ \t\r\n])[^ \t\r\n]*?{SUSPECT}[^ \t\r\n]*")
 
-    def near(i: Column) -> Column:
-        beside = F.concat_ws(" ", F.when(i >= 2, F.try_element_at(parts, i - 1)), F.try_element_at(parts, i + 3))
-        return F.concat(*[F.when(beside.rlike(x), of).otherwise("") for of, x in _SURE.items()])
 
-    return F.transform(parts, lambda x, i: F.struct(x.alias("token"), F.when(x.rlike(_TWINS), near(i)).otherwise("").alias("near")))
+@F.pandas_udf(_PIECES)
+def suspect_pieces(texts: pd.Series) -> pd.Series:
+    """The distinct chunks of each text that hold a character outside the safe class."""
+    return texts.map(lambda x: _pieces(x, False), na_action="ignore")
 
 
-def suspect_pieces(value: Column) -> Column:
-    """Those of ``pieces_of`` that hold a character outside the safe class, each once."""
-    return F.array_distinct(F.filter(pieces_of(value), lambda x: x["token"].rlike(SUSPECT)))
+@F.pandas_udf(_PIECES)
+def pieces_of(texts: pd.Series) -> pd.Series:
+    """A text's chunks and the white space between them, in order."""
+    return texts.map(lambda x: _pieces(x, True), na_action="ignore")
 
 
 def identified(rows: DataFrame) -> DataFrame:
@@ -87,11 +102,12 @@ def chunk_forms(pieces: DataFrame) -> DataFrame:
     """``h1, h2, near, n, token, form`` of each distinct chunk of ``pieces (token, near, h1, h2)``."""
     table = F.broadcast(character_table(pieces.sparkSession))
     distinct = pieces.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.first("token").alias("token"))
-    han = F.col("token").rlike(r"[、-〿ぁ-ゟァ-ヿ㐀-䶿一-鿿豈-﫿]")
-    points = distinct.select(*ID, han.alias("han"), F.posexplode(F.regexp_extract_all("token", F.lit("(?s)."), F.lit(0))).alias("pos", "at"))
+    han = F.col("token").rlike(r"[、-〿ぁ-ゟァ-ヿ㐀-䶿一-鿿豈-﫿]")
+    points = distinct.select(*ID, "n", han.alias("han"), F.posexplode(F.regexp_extract_all("token", F.lit("(?s)."), F.lit(0))).alias("pos", "at"))
     same = F.array(F.struct(F.col("at").alias("ch"), F.lit(0).alias("ccc"), F.lit(False).alias("letter"), F.lit(None).cast("string").alias("sure"), F.lit(None).cast("string").alias("script"), F.col("at").alias("latin"), F.col("at").alias("cyrillic")))
     parts = F.when(F.col("wide") & F.col("han"), same).otherwise(F.coalesce("parts", same))
-    split = points.join(table, "at", "left").select(*ID, "pos", F.posexplode(parts).alias("sub", "p")).select(*ID, "pos", "sub", "p.*")
+    # An invisible character has no parts but keeps its row, so that the chunk as delivered can be told.
+    split = points.join(table, "at", "left").select(*ID, "n", "pos", "at", F.posexplode_outer(parts).alias("sub", "p")).select(*ID, "n", "pos", "at", F.coalesce("sub", F.lit(0)).alias("sub"), "p.*").withColumns({"ch": F.coalesce("ch", F.lit("")), "ccc": F.coalesce("ccc", F.lit(-1)), "letter": F.coalesce("letter", F.lit(False))})
 
     order = Window.partitionBy(*ID).orderBy("pos", "sub")
     whole = Window.partitionBy(*ID)
@@ -112,12 +128,13 @@ def chunk_forms(pieces: DataFrame) -> DataFrame:
         .when(F.col("in_L") | ((kinds == 0) & (latin | ~leave)), F.col("latin"))
         .when(F.col("in_C"), F.col("cyrillic"))
         .otherwise(F.col("ch")),
-    )
-    rebuilt = settled.groupBy(*ID).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("starter", "ccc", "pos", "sub", "out"))), lambda x: x["out"]), "").alias("form"))
+    ).withColumn("out", F.coalesce("out", F.lit("")))
+    form = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("starter", "ccc", "pos", "sub", "out"))), lambda x: x["out"]), "")
+    delivered = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("sub") == 0, F.struct("pos", "at")))), lambda x: x["at"]), "")
+    rebuilt = settled.groupBy(*ID).agg(F.first("n").alias("n"), delivered.alias("token"), form.alias("form"))
     for mark in STROKES:
         rebuilt = rebuilt.withColumn("form", F.replace(F.replace("form", F.lit("d" + mark), F.lit("đ")), F.lit("D" + mark), F.lit("Đ")))
-    # A chunk of invisible characters only has no code point left: its form is the empty text.
-    return distinct.join(rebuilt.withColumn("form", _recompose("form")), ID, "left").withColumn("form", F.coalesce("form", F.lit("")))
+    return rebuilt.withColumn("form", _recompose("form"))
 
 
 def long_form(rows: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
@@ -135,7 +152,8 @@ def inconsistent_fields(rows: DataFrame, key: list[str], fields: list[str], hot_
     - Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     values = long_form(rows, key, fields).where(F.col("value").rlike(SUSPECT))
-    pieces = identified(values.select(*key, "field", F.explode(suspect_pieces(F.col("value"))).alias("c")).select(*key, "field", "c.token", "c.near"))
+    # Read twice, for the distinct chunks and for the fields they occur in, but taken from the texts once.
+    pieces = identified(values.select(*key, "field", F.explode(suspect_pieces("value")).alias("c")).select(*key, "field", "c.token", "c.near")).persist(StorageLevel.MEMORY_AND_DISK)
     forms = chunk_forms(pieces).select(*ID, "n", (F.col("form") != F.col("token")).alias("changed")).persist(StorageLevel.MEMORY_AND_DISK)
     total = forms.agg(F.sum("n")).first()[0] or 0
     least = max(total // hot_share, 1_000)
@@ -160,7 +178,7 @@ def consistent_texts(rows: DataFrame, key: list[str], fields: list[str]) -> Data
     clean = values.where("not odd").select(*key, "field", "value", F.col("value").alias("consistent"))
     odd = values.where("odd").withColumns({"v1": F.xxhash64("value"), "v2": F.xxhash64(F.lit(3), "value")})
     once = odd.groupBy("v1", "v2").agg(F.first("value").alias("value"))
-    placed = identified(once.select("v1", "v2", F.posexplode(pieces_of(F.col("value"))).alias("pos", "c")).select("v1", "v2", "pos", "c.token", "c.near"))
+    placed = identified(once.select("v1", "v2", F.posexplode(pieces_of("value")).alias("pos", "c")).select("v1", "v2", "pos", "c.token", "c.near"))
     forms = chunk_forms(placed.where(F.col("token").rlike(SUSPECT))).select(*ID, "form")
     plain = placed.where(~F.col("token").rlike(SUSPECT)).select("v1", "v2", "pos", F.col("token").alias("out"))
     mended = placed.where(F.col("token").rlike(SUSPECT)).join(forms, ID).select("v1", "v2", "pos", F.col("form").alias("out"))
