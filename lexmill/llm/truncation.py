@@ -18,6 +18,8 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 #: trailing space or a broken character) that make it a limit.
 AT_LIMIT = 3
 SLACK = 3
+#: Measures, the simplest first: it is named where several fit equally well.
+MEASURES = ["characters", "utf8_bytes", "utf16_units", "crlf_characters", "crlf_bytes", "json_characters", "json_ascii", "entity_characters"]
 #: Characters of the tails that are compared with the article's end.
 TAIL = 40
 
@@ -42,15 +44,18 @@ def _opened(payloads: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in payloads], columns=["ok", "content"])
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+def _count(text: Column, *found: str) -> Column:
+    """Occurrences of single characters; plain replacement is far cheaper than a pattern."""
+    return sum(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in found)
 
 
 def lengths(text: Column) -> Column:
     """Array of (measure, n): the text's length as different stores would count it."""
-    chars, breaks = F.length(text), _count(text, r"(?<!\r)\n")
-    escaped = _count(text, r'[\n\r\t"\\]')
-    wide = _count(text, r"[\x{10000}-\x{10FFFF}]")
+    chars = F.length(text)
+    breaks = _count(text, "\n") - (chars - F.length(F.replace(text, F.lit("\r\n"), F.lit("\r"))))
+    escaped = _count(text, "\n", "\r", "\t", '"', "\\")
+    wide = F.octet_length(F.encode(text, "UTF-16BE")) / 2 - chars
+    other = F.length(F.regexp_replace(text, r"[\x00-\x7f]+", ""))
     ways = {
         "characters": chars,
         "utf16_units": chars + wide,
@@ -58,20 +63,22 @@ def lengths(text: Column) -> Column:
         "crlf_characters": chars + breaks,
         "crlf_bytes": F.octet_length(text) + breaks,
         "json_characters": chars + escaped,
-        "json_ascii": chars + escaped + 5 * _count(text, r"[^\x00-\x7f]") + 6 * wide,
-        "entity_characters": chars + 4 * _count(text, "&") + 3 * _count(text, "[<>]") + 5 * _count(text, "[\"']"),
+        "json_ascii": chars + escaped + 5 * other + 6 * wide,
+        "entity_characters": chars + 4 * _count(text, "&") + 3 * _count(text, "<", ">") + 5 * _count(text, '"', "'"),
     }
     return F.array(*[F.struct(F.lit(name).alias("measure"), n.cast("int").alias("n")) for name, n in ways.items()])
 
 
 def field_texts(points: DataFrame) -> DataFrame:
-    """One row per distinct point: its texts, whether its payload is whole JSON, and the text inside it."""
-    once = points.select("point_id", "snapshot_no", "source", F.trim("mapc").alias("mapc"), "content", "payload").where("point_id is not null")
-    once = once.groupBy("point_id", F.xxhash64("content", "payload").alias("_h")).agg(*[F.first(c).alias(c) for c in ("snapshot_no", "source", "mapc", "content", "payload")]).drop("_h")
-    opened = once.withColumn("p", _opened("payload"))
+    """The points' texts, whether a payload is whole JSON, and the text inside it; repeated rows stay, no text is shuffled."""
+    opened = points.select("point_id", "snapshot_no", "source", F.trim("mapc").alias("mapc"), "content", "payload").where("point_id is not null").withColumn("p", _opened("payload"))
     return opened.select("point_id", "snapshot_no", "source", "mapc", "content", "payload", F.col("p.ok").alias("ok"), F.col("p.content").alias("inner"))
 
 
+def _stripped(text: Column) -> Column:
+    return F.rtrim(text, F.lit(" \t\r\n\x0b\x0c\u00a0\u200b\ufeff"))
+
+
 def hidden_limits(texts: DataFrame) -> DataFrame:
     """``source, snapshot_no, field, measure, limit, n_at_limit``: lengths at which many of a source's values end.
 
@@ -79,14 +86,17 @@ def hidden_limits(texts: DataFrame) -> DataFrame:
     maximum; it is a limit if at least ``AT_LIMIT`` values lie within ``SLACK`` of it and more than
     in any band of that width below it.
     """
-    long = texts.select("source", "snapshot_no", F.explode(F.array(F.struct(F.lit("content").alias("field"), F.col("content").alias("t")), F.struct(F.lit("payload").alias("field"), F.col("inner").alias("t")))).alias("x")).select("source", "snapshot_no", "x.field", "x.t").where("t is not null")
-    counted = long.select("source", "snapshot_no", "field", F.explode(lengths(F.rtrim("t"))).alias("l")).groupBy("source", "snapshot_no", "field", F.col("l.measure").alias("measure"), F.col("l.n").alias("n")).agg(F.count(F.lit(1)).alias("k"))
+    fields = F.explode(F.array(F.struct(F.lit("content").alias("field"), F.col("content").alias("t")), F.struct(F.lit("payload").alias("field"), F.col("inner").alias("t"))))
+    long = texts.select("point_id", "source", "snapshot_no", fields.alias("x")).select("point_id", "source", "snapshot_no", "x.field", "x.t").where("t is not null")
+    # A point counts once, however often its row was delivered.
+    sized = long.select("point_id", "source", "snapshot_no", "field", lengths(_stripped(F.col("t"))).alias("all")).distinct()
+    counted = sized.select("source", "snapshot_no", "field", F.explode("all").alias("l")).groupBy("source", "snapshot_no", "field", F.col("l.measure").alias("measure"), F.col("l.n").alias("n")).agg(F.count(F.lit(1)).alias("k"))
     group = ["source", "snapshot_no", "field", "measure"]
     tops = counted.groupBy(*group).agg(F.max("n").alias("limit"))
     banded = counted.join(tops, group).withColumn("band", F.floor((F.col("limit") - F.col("n")) / (SLACK + 1)))
     bands = banded.groupBy(*group, "limit", "band").agg(F.sum("k").alias("k"))
     sized = bands.groupBy(*group, "limit").agg(F.sum(F.when(F.col("band") == 0, F.col("k"))).alias("n_at_limit"), F.coalesce(F.max(F.when(F.col("band") > 0, F.col("k"))), F.lit(0)).alias("below"))
-    best = sized.where((F.col("n_at_limit") >= AT_LIMIT) & (F.col("n_at_limit") > F.col("below"))).groupBy("source", "snapshot_no", "field").agg(F.max(F.struct("n_at_limit", "limit", "measure")).alias("b"))
+    best = sized.where((F.col("n_at_limit") >= AT_LIMIT) & (F.col("n_at_limit") > F.col("below"))).groupBy("source", "snapshot_no", "field").agg(F.max(F.struct("n_at_limit", "limit", (-F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure"))).alias("simplest"), "measure")).alias("b"))
     return best.select("source", "snapshot_no", "field", "b.measure", "b.limit", "b.n_at_limit")
 
 
@@ -109,28 +119,29 @@ def truncated(points: DataFrame, articles: DataFrame) -> DataFrame:
     broken_json = texts.where(~F.col("ok") & ~F.coalesce(F.rtrim("payload").rlike(r"\}\s*\z"), F.lit(False))).select("point_id", F.lit("payload").alias("field"))
 
     pairs = F.explode(F.array(F.struct(F.lit("content").alias("field"), F.col("content").alias("t"), F.col("inner").alias("twin")), F.struct(F.lit("payload").alias("field"), F.col("inner").alias("t"), F.col("content").alias("twin"))))
-    end = F.regexp_replace("t", r"(?U)\s+\z", "")
-    base = F.regexp_replace(F.regexp_replace(F.col("t"), MARK, ""), "�+\\z", "")
-    rows = texts.select("point_id", "snapshot_no", "source", "mapc", pairs.alias("x")).select("point_id", "snapshot_no", "source", "mapc", "x.*").withColumn("t", end).where("t <> ''")
-    rows = rows.withColumns({"base": base, "marked": F.col("t").rlike(MARK), "broken": F.col("t").endswith("�"), "final": F.col("t").rlike(SENTENCE_END) & ~F.col("t").rlike(NUMBER_CUT)})
+    rows = texts.select("point_id", "snapshot_no", "source", "mapc", pairs.alias("x")).select("point_id", "snapshot_no", "source", "mapc", "x.*").withColumn("t", _stripped(F.col("t"))).where("t <> ''")
+    # All patterns look at the last characters only.
+    rows = rows.withColumn("end", F.right("t", F.lit(160)))
+    lost = F.length(F.regexp_extract("end", MARK, 0)) + F.length(F.regexp_extract("end", "�+\\z", 0))
+    rows = rows.withColumns({"base": F.left("t", F.length("t") - lost), "marked": F.col("end").rlike(MARK), "broken": F.col("end").endswith("�"), "final": F.col("end").rlike(SENTENCE_END) & ~F.col("end").rlike(NUMBER_CUT)})
     goes_on = F.coalesce((F.length("twin") > F.length("t")) & F.col("twin").startswith(F.col("base")), F.lit(False))
     then = F.substring(F.col("twin"), F.length("base") + 1, F.lit(1))
-    rows = rows.withColumn("goes_on", goes_on).withColumn("inside", goes_on & (F.col("marked") | F.col("broken") | ~F.col("t").rlike(SENTENCE_END) | then.rlike(r"(?U)\w")))
+    rows = rows.withColumn("goes_on", goes_on).withColumn("inside", goes_on & (F.col("marked") | F.col("broken") | ~F.col("end").rlike(SENTENCE_END) | then.rlike(r"(?U)\w")))
     whole = F.length("twin") == F.length("t")
     sure = F.col("inside") | (F.col("broken") & ~F.coalesce(whole & ~F.col("twin").endswith("�"), F.lit(False)))
     # Ends that speak for themselves need no look at limits or the article.
     rows = rows.withColumn("sure", sure)
     proven = rows.where("sure").select("point_id", "field")
-    open_ends = rows.where(~F.col("sure") & ~F.col("goes_on") & (F.col("marked") | ~F.col("final"))).select("point_id", "snapshot_no", "source", "mapc", "field", "t", "base", "marked", F.col("t").rlike(LINE_ENDS).alias("line"), F.col("t").rlike(r"\S{60}\z").alias("breakless"))
+    open_ends = rows.where(~F.col("sure") & ~F.col("goes_on") & (F.col("marked") | ~F.col("final"))).select("point_id", "snapshot_no", "source", "mapc", "field", "t", "base", "marked", F.col("end").rlike(LINE_ENDS).alias("line"), F.col("end").rlike(r"\S{60}\z").alias("breakless"))
 
     near = open_ends.join(limits, (F.col("source") == F.col("_source")) & (F.col("snapshot_no") == F.col("_snapshot")) & (F.col("field") == F.col("_field")), "left")
     own = F.filter(lengths(F.col("t")), lambda x: x["measure"] == F.col("measure"))
     near = near.withColumn("at_limit", F.coalesce(F.try_element_at(own, F.lit(1))["n"] >= F.col("limit") - SLACK, F.lit(False)))
-    tail = lambda c: F.right(F.regexp_replace(c, r"(?U)\s+", ""), F.lit(TAIL))
+    tail = lambda c: F.right(F.regexp_replace(F.right(c, F.lit(4 * TAIL)), r"(?U)\s+", ""), F.lit(TAIL))
     # The article's ends in any snapshot: a point may name one that its own snapshot lacks.
     ends = articles.select(F.trim("mapc").alias("mapc"), tail(F.col("raw_content")).alias("tail")).where("mapc <> '' and tail <> ''").groupBy("mapc").agg(F.collect_set("tail").alias("tails"))
     met = near.join(ends, "mapc", "left")
-    at_end = F.coalesce(F.exists("tails", lambda x: F.endswith(F.regexp_replace("t", r"(?U)\s+", ""), x)), F.lit(False))
+    at_end = F.coalesce(F.exists("tails", lambda x: F.endswith(F.regexp_replace(F.right("t", F.lit(4 * TAIL)), r"(?U)\s+", ""), x)), F.lit(False))
     # A line's ending, or text without breaks, is no proof of a cut by itself.
     unproven = F.col("line") | (F.col("breakless") & F.col("tails").isNull())
     cut = F.when(F.col("marked"), F.col("at_limit") & ~at_end).otherwise(~at_end & (~unproven | F.col("at_limit")))
