@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.mixing import mixture
 from lexmill.llm.pairs import defective_pairs
+from lexmill.llm.sentences import sentence_units
 from lexmill.llm.splitting import oversized_pieces
 from lexmill.llm.tokenizer import encoded, with_token_count
 from lexmill.llm.truncation import field_texts, hidden_limits, truncated, truncation_rates
@@ -93,6 +94,12 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Ends of the sentence units of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return sentence_units(docs, "doc_id").select("doc_id", "sent_end").distinct()
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_rates": p3_rates,
@@ -105,6 +112,7 @@ QUERIES = {
     "p7_round_trip": p7_round_trip,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
     "p5_found": p5_found,
     "p5_consistent": p5_consistent,
 }
