@@ -212,10 +212,11 @@ def defective_pairs(chats: DataFrame) -> DataFrame:
     sure = judged.where("sure and type is not null").select("chat_id", "type")
     unsure = judged.where("not sure")
     # Terminal contexts of all responses: how often two words are followed by the end of a sentence.
-    # The zero-width ends of words are not used: each context is matched with what follows it.
-    words = F.regexp_extract_all(F.lower("final_answer"), F.lit(r"(?U)\w+[^\w]*"), F.lit(0))
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.struct(F.regexp_replace(F.try_element_at(words, i + 1), r"(?U)[^\w]+", "").alias("a"), F.regexp_replace(x, r"(?U)[^\w]+", "").alias("b"), x.rlike(r"(?U)\w[.!?。]").alias("end")))
-    seen = once.select(F.explode(pairs).alias("p")).select(F.concat_ws(" ", "p.a", "p.b").alias("context"), "p.end")
+    # The words with the signs after them are a column of their own, so that they are found once per response.
+    spoken = once.select(F.regexp_extract_all(F.lower("final_answer"), F.lit(r"(?U)\w+[^\w]*"), F.lit(0)).alias("words")).where(F.size("words") > 1)
+    bare = lambda x: F.regexp_replace(x, r"(?U)[^\w]+", "")
+    pairs = F.transform(F.slice("words", F.lit(2), F.size("words") - 1), lambda x, i: F.struct(bare(F.col("words")[i]).alias("a"), bare(x).alias("b"), x.rlike(r"(?U)\w[.!?。]").alias("end")))
+    seen = spoken.select(F.explode(pairs).alias("p")).select(F.concat_ws(" ", "p.a", "p.b").alias("context"), "p.end")
     model = seen.groupBy("context").agg(F.avg(F.col("end").cast("double")).alias("share"))
     met = unsure.join(model, "context", "left")
     whole = F.coalesce(F.col("share"), F.lit(0.0)) >= TERMINAL_SHARE
