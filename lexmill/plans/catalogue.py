@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexmill.plans import general_problems
+from lexmill.plans import corpus_queries, general_problems
 
-QUERIES = {**general_problems.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**general_problems.QUERIES, **corpus_queries.QUERIES}
+SQL: dict[str, str] = {**corpus_queries.SQL}
 FLAGSHIP = "p1_found"
