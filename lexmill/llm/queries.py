@@ -116,4 +116,6 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_consistent": p5_consistent,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_found": """select distinct config_id, trim(mapc) as mapc from parsed_article, chunk_config where snapshot_no = 5 and trim(coalesce(mapc,'')) <> '' and length(raw_content) > chunk_size""",
+}
