@@ -69,3 +69,19 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_report": p2_report}
+
+# The labels' look-alikes that occur in codes, and invisible characters and odd spaces, are few enough for SQL.
+_CODE = r"regexp_extract(upper(regexp_replace(regexp_replace(translate({0}, 'ÐðƉɖ', 'ĐđĐđ'), '[\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}]', '', 'g'), '\s*\.\s*', '.', 'g')), '([0-9]+\.[0-9]+\.[A-ZĐ]+\.[0-9]+\.[0-9]+)', 1)"
+_P2 = f"""
+with a as (select snapshot_no, trim(mapc) as mapc, article_code, related_articles from parsed_article),
+l as (select snapshot_no, mapc, unnest(related_articles) as label from a where coalesce(mapc,'')<>''),
+r as (select distinct 'parsed_article' as ref_table, snapshot_no, mapc as row_key, {_CODE.replace('{0}', 'label')} as ref_key from l where trim(coalesce(label,''))<>''
+ union select distinct 'index_document', snapshot_no, point_id, trim(mapc) from index_document where snapshot_no is not null),
+t as (select distinct 'parsed_article' as ref_table, snapshot_no, {_CODE.replace('{0}', 'article_code')} as ref_key from a union select distinct 'index_document', snapshot_no, mapc from a where coalesce(mapc,'')<>''),
+k as (select ref_table, ref_key, list(distinct snapshot_no) as held from t where coalesce(ref_key,'')<>'' group by 1, 2),
+f as (select r.*, case when list_contains(coalesce(held,[]), r.snapshot_no) then null when len(list_filter(coalesce(held,[]), lambda x: x < r.snapshot_no)) > 0 then 'deleted' when len(list_filter(coalesce(held,[]), lambda x: x > r.snapshot_no)) > 0 then 'late' else 'missing' end as reason
+ from r left join k using (ref_table, ref_key) where coalesce(r.ref_key,'')<>'')"""
+SQL = {
+    "p2_found": f"{_P2} select ref_table, snapshot_no, row_key, ref_key, reason from f where reason is not null",
+    "p2_report": f"{_P2} select ref_table, snapshot_no, reason, count(*)::bigint as n_references, count(distinct ref_key)::bigint as n_keys from f where reason is not null group by all",
+}
