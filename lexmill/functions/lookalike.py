@@ -102,6 +102,7 @@ def settle(word: str, of: str) -> str:
 #: White space that separates chunks, the unit that is brought to the consistent form.
 CHUNK = r"[ \t\r\n]+"
 _chunk = re.compile(r"([ \t\r\n]+)")
+_twin = re.compile(f"[{''.join(FOREIGN)}]")
 
 
 def near_scripts(chunk: str) -> str:
@@ -111,6 +112,15 @@ def near_scripts(chunk: str) -> str:
 
 def consistent_chunk(chunk: str, near: str = "") -> str:
     """Consistent form of text without plain white space; ``near``: scripts of the chunks beside it."""
+    return _short_chunk(chunk, near) if len(chunk) <= 48 else _any_chunk(chunk, near)
+
+
+@lru_cache(maxsize=100_000)
+def _short_chunk(chunk: str, near: str) -> str:
+    return _any_chunk(chunk, near)
+
+
+def _any_chunk(chunk: str, near: str) -> str:
     chunk = "".join(ch for ch in chunk if not is_invisible(ch))
     han = any(script(ch) == "H" for ch in chunk)
     plain = unicodedata.normalize("NFD", "".join(ch if han and is_wide_mark(ch) else expand(ch) for ch in chunk))
@@ -136,6 +146,6 @@ def consistent(text: str | None) -> str | None:
     parts = _chunk.split(text)
     for k in range(0, len(parts), 2):
         if _suspect.search(parts[k]):
-            near = "".join(near_scripts(parts[j]) for j in (k - 2, k + 2) if 0 <= j < len(parts))
+            near = "".join(near_scripts(parts[j]) for j in (k - 2, k + 2) if 0 <= j < len(parts)) if _twin.search(parts[k]) else ""
             parts[k] = consistent_chunk(parts[k], near)
     return "".join(parts)
