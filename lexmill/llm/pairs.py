@@ -20,6 +20,8 @@ from lexmill.functions.lookalike import consistent
 
 #: Bytes that a copy's frame may need beyond that of the prompt itself: a label or quotes around it.
 COPY_BYTES = 18
+#: Least share of words that a copy and its question have in common.
+COPY_WORDS = 0.8
 #: Least share of the contexts that end a sentence for an unmarked short answer, or an ellipsis, to be complete.
 TERMINAL_SHARE = 0.2
 SHORT = 60
@@ -90,14 +92,18 @@ def copies(question: str, answer: str) -> bool:
     if len(q) < 8 or len(a) < 0.6 * len(q):
         return False
     prompt = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return _frame(a, prompt) - _frame(q, prompt) <= COPY_BYTES
+    if _frame(a, prompt) - _frame(q, prompt) > COPY_BYTES:
+        return False
+    # The exact check after the compressor's: the words of either are those of the other.
+    asked, said = set(q.split()), set(a.split())
+    return len(asked & said) >= COPY_WORDS * max(len(asked), len(said))
 
 
 def language(text: str) -> str:
     """Language that most of a text's letters are in, by script and dictionaries; "" if undecided."""
     found: dict[str, float] = {}
     for word in re.findall(r"[^\W\d_]+", unicodedata.normalize("NFC", text.lower())):
-        name = unicodedata.name(word[0], "").split(" ")[0]
+        name = "HIRAGANA" if any("぀" <= ch <= "ヿ" for ch in word) else unicodedata.name(word[0], "").split(" ")[0]
         if name in _scripts:
             of, weight = _scripts[name], len(word)
         elif any(ch in "ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ" for ch in word):

@@ -197,18 +197,23 @@ def _places_of(text: str, start: int, end: int) -> Iterator[tuple]:
 
 
 def contexts(texts: Iterator[str]) -> Counter:
-    """Counts of (kind, key): marks by the word before them, in all and at sure ends; words in all and at sure starts."""
-    seen: Counter = Counter()
+    """Texts with each (kind, key): words before a mark, in all and at sure ends; words in all and at sure starts.
+
+    A text counts once for each, so that no long or monotonous text outweighs the others.
+    """
+    total: Counter = Counter()
     for text in texts:
+        seen = set()
         for end, kind, before, after, inside in places(text):
             if inside:
                 continue
             if before and kind in ("break", "weak", "joined"):
-                seen["mark", before] += 1
-                seen["end", before] += kind == "break"
+                seen.add(("mark", before))
+                if kind == "break":
+                    seen.add(("end", before))
             # Sure starts too: after a strong mark, and after a full stop that ends a whole lower-case word.
             if kind == "strong" or kind in ("weak", "joined") and _whole_word.search(text, max(0, end - 20), end - 1):
-                seen["start", after] += 1
+                seen.add(("start", after))
         for start, stop in _paragraphs(text):
             head = HEADING.match(text, start, stop)
             body = head.end() if head else start
@@ -217,18 +222,18 @@ def contexts(texts: Iterator[str]) -> Counter:
             label = _label.match(text, body, stop)
             for at in {body, label.end() if label else body}:
                 if at < stop:
-                    seen["start", _first(text, at)] += 1
+                    seen.add(("start", _first(text, at)))
             for m in _word.finditer(text, body, stop):
                 word = m[0]
                 if word[0].isdigit():
-                    seen["word", _first(text, m.start())] += 1
+                    seen.add(("word", _first(text, m.start())))
                 elif n := _spaceless(word[0]):
                     # A run without marks: each place in it could be a beginning.
-                    for i in range(len(word)):
-                        seen["word", word[i : i + n]] += 1
+                    seen.update(("word", word[i : i + n]) for i in range(len(word)))
                 else:
-                    seen["word", word] += 1
-    return seen
+                    seen.add(("word", word))
+        total.update(seen)
+    return total
 
 
 def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -308,7 +313,7 @@ def _clip(x: float) -> float:
 
 
 def train(docs: DataFrame, text: str = "text") -> dict[tuple[str, str], int]:
-    """Context counts over all texts: each task folds its own, one shuffle sums them, the most frequent ``MODEL_SIZE`` come to the driver."""
+    """Texts with each context, over all texts: each task folds its own, one shuffle sums them, the most frequent ``MODEL_SIZE`` come to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

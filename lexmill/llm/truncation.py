@@ -96,7 +96,7 @@ def hidden_limits(texts: DataFrame) -> DataFrame:
     banded = counted.join(tops, group).withColumn("band", F.floor((F.col("limit") - F.col("n")) / (SLACK + 1)))
     bands = banded.groupBy(*group, "limit", "band").agg(F.sum("k").alias("k"))
     sized = bands.groupBy(*group, "limit").agg(F.sum(F.when(F.col("band") == 0, F.col("k"))).alias("n_at_limit"), F.coalesce(F.max(F.when(F.col("band") > 0, F.col("k"))), F.lit(0)).alias("below"))
-    best = sized.where((F.col("n_at_limit") >= AT_LIMIT) & (F.col("n_at_limit") > F.col("below"))).groupBy("source", "snapshot_no", "field").agg(F.max(F.struct("n_at_limit", "limit", (-F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure"))).alias("simplest"), "measure")).alias("b"))
+    best = sized.where((F.col("n_at_limit") >= AT_LIMIT) & (F.col("n_at_limit") > F.col("below"))).groupBy("source", "snapshot_no", "field").agg(F.max(F.struct("n_at_limit", (-F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure"))).alias("simplest"), "limit", "measure")).alias("b"))
     return best.select("source", "snapshot_no", "field", "b.measure", "b.limit", "b.n_at_limit")
 
 
@@ -141,7 +141,11 @@ def truncated(points: DataFrame, articles: DataFrame) -> DataFrame:
     # The article's ends in any snapshot: a point may name one that its own snapshot lacks.
     ends = articles.select(F.trim("mapc").alias("mapc"), tail(F.col("raw_content")).alias("tail")).where("mapc <> '' and tail <> ''").groupBy("mapc").agg(F.collect_set("tail").alias("tails"))
     met = near.join(ends, "mapc", "left")
-    at_end = F.coalesce(F.exists("tails", lambda x: F.endswith(F.regexp_replace(F.right("t", F.lit(4 * TAIL)), r"(?U)\s+", ""), x)), F.lit(False))
+    squeezed = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    # The text ends as the article does, or its last line, where it is shorter than the tail, is the article's.
+    ending, last = squeezed(F.right("t", F.lit(4 * TAIL))), squeezed(F.regexp_extract("t", r"([^\n]*)\z", 1))
+    short = (F.length(last) >= 4) & (F.length(last) < TAIL)
+    at_end = F.coalesce(F.exists("tails", lambda x: F.endswith(ending, x) | (short & F.endswith(x, last))), F.lit(False))
     # A line's ending, or text without breaks, is no proof of a cut by itself.
     unproven = F.col("line") | (F.col("breakless") & F.col("tails").isNull())
     cut = F.when(F.col("marked"), F.col("at_limit") & ~at_end).otherwise(~at_end & (~unproven | F.col("at_limit")))
