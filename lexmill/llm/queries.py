@@ -58,14 +58,14 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Pieces of the articles of snapshot 5 that exceed a config's chunk_size."""
+    """Pieces of the articles of all snapshots that exceed a config's chunk_size."""
     configs = [tuple(r) for r in table(spark, folder, "chunk_config").select("config_id", "chunk_size", "chunk_overlap").collect()]
-    return oversized_pieces(_articles(spark, folder).where("snapshot_no = 5"), ["mapc"], "raw_content", configs)
+    return oversized_pieces(_articles(spark, folder), ["snapshot_no", "mapc"], "raw_content", configs)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles that had to be cut, by config: those of which the splitter made pieces."""
-    return p6_pieces(spark, folder).where("piece_no = 2").select("config_id", "mapc").distinct()
+    """Articles of snapshot 5 that had to be cut, by config: those of which the splitter made pieces."""
+    return p6_pieces(spark, folder).where("snapshot_no = 5 and piece_no = 2").select("config_id", "mapc").distinct()
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

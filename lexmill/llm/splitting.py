@@ -87,7 +87,8 @@ def oversized_pieces(rows: DataFrame, key: list[str], text: str, configs: list[t
     - Texts that fit a config, null and empty ones have no pieces under it.
     - Equal rows (key and text) are split once. Other columns are ignored.
     - A size below 1 is an error; an overlap over half the size counts as half of it.
-    - Nothing is shuffled for the split itself: each text is cut where it lies.
+    - Texts and pieces are shuffled once each, by the text's 128-bit hash; a text that a third of the rows
+      share is one row of the texts' side, and its rows are split by the adaptive skew join.
     """
     if any(size < 1 for _, size, _ in configs):
         raise ValueError("chunk_size must be positive")
@@ -98,7 +99,10 @@ def oversized_pieces(rows: DataFrame, key: list[str], text: str, configs: list[t
         return texts.map(lambda t: [(c, n, a, b) for c, size, overlap in configs if len(t) > size for n, (a, b) in enumerate(piece_spans(t, size, overlap), 1)], na_action="ignore")
 
     large = rows.select(*key, F.col(text).alias("_text")).where(F.length("_text") > least if configs else F.lit(False))
-    once = large.groupBy(*key, F.xxhash64("_text").alias("_h1"), F.xxhash64(F.lit(1), "_text").alias("_h2")).agg(F.first("_text").alias("_text"))
-    cut = once.withColumn("_s", spans("_text")).select(*key, "_text", F.explode("_s").alias("_p"))
+    large = large.withColumns({"_h1": F.xxhash64("_text"), "_h2": F.xxhash64(F.lit(1), "_text")})
+    # Most texts come again in every snapshot: each is split once, and its pieces go to all rows that have it.
+    once = large.groupBy("_h1", "_h2").agg(F.first("_text").alias("_text"))
+    cut = once.withColumn("_s", spans("_text")).select("_h1", "_h2", "_text", F.explode("_s").alias("_p"))
     start, end = F.col("_p.start_pos"), F.col("_p.end_pos")
-    return cut.select("_p.config_id", *key, "_p.piece_no", start, end, F.substring(F.col("_text"), start + 1, end - start).alias("piece"))
+    pieces = cut.select("_h1", "_h2", "_p.config_id", "_p.piece_no", start, end, F.substring(F.col("_text"), start + 1, end - start).alias("piece"))
+    return large.select(*key, "_h1", "_h2").distinct().join(pieces, ["_h1", "_h2"]).select("config_id", *key, "piece_no", "start_pos", "end_pos", "piece")
