@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -20,6 +21,8 @@ AT_LIMIT = 3
 SLACK = 3
 #: Measures, the simplest first: it is named where several fit equally well.
 MEASURES = ["characters", "utf8_bytes", "utf16_units", "crlf_characters", "crlf_bytes", "json_characters", "json_ascii", "entity_characters"]
+#: Limits beyond this number are joined by a shuffle.
+MOST_LIMITS = 100_000
 #: Characters of the tails that are compared with the article's end.
 TAIL = 40
 
@@ -115,7 +118,10 @@ def truncated(points: DataFrame, articles: DataFrame) -> DataFrame:
     - Empty tables give no rows; columns other than those named are ignored.
     """
     texts = field_texts(points)
-    limits = hidden_limits(texts).select(F.col("source").alias("_source"), F.col("snapshot_no").alias("_snapshot"), F.col("field").alias("_field"), "measure", "limit")
+    limits = hidden_limits(texts).select(F.col("source").alias("_source"), F.col("snapshot_no").alias("_snapshot"), F.col("field").alias("_field"), "measure", "limit").persist(StorageLevel.MEMORY_AND_DISK)
+    # A few rows per loader and snapshot: broadcast once that is seen, so that no loader's rows meet in one task.
+    if limits.limit(MOST_LIMITS + 1).count() <= MOST_LIMITS:
+        limits = F.broadcast(limits)
     broken_json = texts.where(~F.col("ok") & ~F.coalesce(F.rtrim("payload").rlike(r"\}\s*\z"), F.lit(False))).select("point_id", F.lit("payload").alias("field"))
 
     pairs = F.explode(F.array(F.struct(F.lit("content").alias("field"), F.col("content").alias("t"), F.col("inner").alias("twin")), F.struct(F.lit("payload").alias("field"), F.col("inner").alias("t"), F.col("content").alias("twin"))))
