@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.extract import query_filters
 from lexmill.functions.session import shared_folder
 from lexmill.functions.text import TOKEN, collapse, folded, text
 from lexmill.operators.corpus import latest_rows
 from lexmill.operators.evaluation import accuracy, claim_support, claims, displayed_sources, first_relevant_rank, folded_events, grounding, label_scores, latencies, messages, retrieval_quality, step_times
 from lexmill.operators.search import bm25_topk, context_block, date_passes, dedup_key, evidence_status, exact_bonus, exact_match, hybrid_merge, vector_topk, with_fallback
 from lexmill.functions.text import iso_date
+from lexmill.models import embedded
+from lexmill.operators.rerank import overlap_model, reranked, variants
 from lexmill.plans.corpus_queries import _COLLAPSE, _TOKENS, _of, articles
 from lexmill.sources.tables import blank, table
 from lexmill.streaming.threads import latest_states, thread_states, thread_states_batch
@@ -287,6 +290,20 @@ def thread_stream(spark, folder):
     return latest_states(spark.read.parquet(f"{out}/states"))
 
 
+@query()
+def section_search(spark, folder):
+    """Hybrid search of the indexed sections for the questions and their variants: BM25 and hashed-word vectors, reranked by word overlap."""
+    docs, asked = _sections(spark, folder), _questions(spark, folder)
+    searched = asked.select("chat_id", F.posexplode(variants(F.col("question"), query_filters("question"), ["mức phạt", "thủ tục", "thời hạn", "hồ sơ"])).alias("query_no", "question"))
+    one = searched.withColumn("query_id", F.col("chat_id") * 8 + F.col("query_no"))
+    lexical = bm25_topk(docs, one, 12, doc="point_id", query="query_id").select("query_id", F.lit("bm25").alias("channel"), "point_id", "score")
+    near = vector_topk(docs.withColumn("embedding", embedded("content")), one.withColumn("embedding", embedded("question")), 12, row="point_id", query="query_id").select("query_id", F.lit("vector").alias("channel"), "point_id", "score")
+    hits = lexical.unionByName(near).select(F.floor(F.col("query_id") / 8).alias("request_id"), (F.col("query_id") % 8).alias("query_no"), "channel", F.col("point_id").alias("key"), "score", F.lit(0.0).alias("bonus"))
+    merged = hybrid_merge(hits).where("rank <= 5")
+    told = merged.join(docs.select(F.col("point_id").alias("key"), "content"), "key").join(asked.select(F.col("chat_id").alias("request_id"), "question"), "request_id")
+    return reranked(told, "request_id", "question", "content", 4, overlap_model).select("request_id", "key", "combined", "rerank_score", "rerank")
+
+
 def _is_folder(spark, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()

@@ -234,3 +234,18 @@ def test_messages_and_threads(spark):
     events = spark.createDataFrame([(1, at, 1, "a", 1.0), (1, at + datetime.timedelta(seconds=3), 2, "b", 2.0), (1, at + datetime.timedelta(seconds=5), 3, "a", 3.0)], "u int, ts timestamp, id int, kind string, value double")
     assert {(r.kind, r.last_value) for r in folded_events(events, "u", ["ts", "id"], "kind", "value").collect()} == {("a", 3.0), ("b", 2.0)}
     assert {(r.kind, r.total_s) for r in step_times(events, "u", "ts", "id", "kind").collect()} == {("a", 3.0), ("b", 2.0)}
+
+
+def test_models_and_reranking(spark):
+    from lexmill.models import embedded
+    from lexmill.operators.rerank import overlap_model, reranked, variants
+
+    df = spark.createDataFrame([("đò ngang",), ("đò ngang",), ("",), (None,)], "x string").select(embedded("x").alias("v"))
+    vectors = [r.v for r in df.collect()]
+    assert vectors[0] == vectors[1] and abs(sum(x * x for x in vectors[0]) - 1) < 1e-5 and not any(vectors[2]) and not any(vectors[3])
+    hits = spark.createDataFrame([(1, "a", 0.9, 1, "q x", "z"), (1, "b", 0.8, 2, "q x", "q x"), (1, "c", 0.7, 3, "q x", None), (1, "d", 0.6, 4, "q x", "q")], "r int, key string, combined double, rank int, q string, c string")
+    assert [x.key for x in reranked(hits, "r", "q", "c", 2, overlap_model).orderBy("rerank").collect()] == ["b", "a"]
+    assert [x.key for x in reranked(hits, "r", "q", "c", 2).orderBy("rerank").collect()] == ["a", "b"]
+    found = query_filters("x")
+    asked = variants(F.col("x"), found, ["mức phạt", "thủ tục"])
+    assert values(spark, ["Mức  phạt theo Điều 1.2.TT.3.4?", "gì", None], asked) == [["Mức phạt theo Điều 1.2.TT.3.4?", "Điều 1.2.TT.3.4", "mức phạt Điều 1.2.TT.3.4"], ["gì"], []]
