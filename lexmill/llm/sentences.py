@@ -45,6 +45,12 @@ HEADING = re.compile(
 _mark = re.compile(rf"[{re.escape(STRONG + WEAK)}]+")
 _breaks = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _word = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
+_any_spaceless = re.compile("[฀-໿ក-៿぀-ヿ㐀-䶿一-鿿]")
+_gap = re.compile(r"\s*")
+_digit = re.compile(r"\d")
+_beside_number = re.compile(r"[^\d.,:/%]")
+_letters = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_number = re.compile(r"\d+(?:[.,]\d+)*")
 _token = re.compile(r"\S+\Z")
 _bracket = re.compile("[" + re.escape("".join({*PAIRS, *PAIRS.values(), '"'})) + "]")
 _label = re.compile(r"[^\W\d_]+(?: [^\W\d_]+){0,3}[:：]\s+")
@@ -84,8 +90,8 @@ def _last(text: str, start: int, at: int) -> str:
     word = m[0].lstrip("“«(\"'[„").lower() if m else ""
     if not word:
         return ""
-    if any(ch.isdigit() for ch in word):
-        return "#" if all(ch.isdigit() or ch in ".,:/%" for ch in word) else "#a"
+    if _digit.search(word):
+        return "#a" if _beside_number.search(word) else "#"
     return word[-12:]
 
 
@@ -154,7 +160,7 @@ def _places_of(text: str, start: int, end: int) -> Iterator[tuple]:
     found = []
     for m in _mark.finditer(text, start, stop):
         at, mark = m.end(), m[0]
-        if at <= body:
+        if at <= body or mark == "." and at < stop and (text[at].isdigit() or text[at].islower()):
             continue
         closed = at
         while closed < stop:
@@ -170,9 +176,9 @@ def _places_of(text: str, start: int, end: int) -> Iterator[tuple]:
         strong = any(ch in STRONG for ch in mark)
         dots = not strong and ("…" in mark or len(mark) > 1)
         spaced = text[closed].isspace()
-        inside = any(a < m.start() and b >= closed for a, b in spans)
-        before, after = _last(text, start, m.start()), _first(text, closed + len(text[closed:stop]) - len(text[closed:stop].lstrip()))
-        nxt = text[closed:stop].lstrip()[:2]
+        inside = bool(spans) and any(a < m.start() and b >= closed for a, b in spans)
+        nx = _gap.match(text, closed, stop).end()
+        before, after, nxt = _last(text, start, m.start()), _first(text, nx), text[nx : nx + 2]
         if closed > at:
             kind = "closed"
         elif strong:
@@ -202,19 +208,21 @@ def contexts(texts: Iterator[str]) -> Counter:
     A text counts once for each, so that no long or monotonous text outweighs the others.
     """
     total: Counter = Counter()
+    spoken: Counter = Counter()
     for text in texts:
-        seen = set()
-        for end, kind, before, after, inside in places(text):
-            if inside:
-                continue
-            if before and kind in ("break", "weak", "joined"):
-                seen.add(("mark", before))
-                if kind == "break":
-                    seen.add(("end", before))
-            # Sure starts too: after a strong mark, and after a full stop that ends a whole lower-case word.
-            if kind == "strong" or kind in ("weak", "joined") and _whole_word.search(text, max(0, end - 20), end - 1):
-                seen.add(("start", after))
-        for start, stop in _paragraphs(text):
+        seen, words, numbers = set(), set(), set()
+        paragraphs = list(_paragraphs(text))
+        for start, stop in paragraphs:
+            for end, kind, before, after, inside in _places_of(text, start, stop):
+                if inside:
+                    continue
+                if before and kind in ("break", "weak", "joined"):
+                    seen.add(("mark", before))
+                    if kind == "break":
+                        seen.add(("end", before))
+                # Sure starts too: after a strong mark, and after a full stop that ends a whole lower-case word.
+                if kind == "strong" or kind in ("weak", "joined") and _whole_word.search(text, max(0, end - 20), end - 1):
+                    seen.add(("start", after))
             head = HEADING.match(text, start, stop)
             body = head.end() if head else start
             while body < stop and text[body].isspace():
@@ -223,16 +231,15 @@ def contexts(texts: Iterator[str]) -> Counter:
             for at in {body, label.end() if label else body}:
                 if at < stop:
                     seen.add(("start", _first(text, at)))
-            for m in _word.finditer(text, body, stop):
-                word = m[0]
-                if word[0].isdigit():
-                    seen.add(("word", _first(text, m.start())))
-                elif n := _spaceless(word[0]):
-                    # A run without marks: each place in it could be a beginning.
-                    seen.update(("word", word[i : i + n]) for i in range(len(word)))
-                else:
-                    seen.add(("word", word))
+            words.update(_letters.findall(text, body, stop))
+            numbers.update(_first(text, m.start()) for m in _number.finditer(text, body, stop))
+        if _any_spaceless.search(text):
+            # A run without marks: each place in it could be a beginning.
+            runs = {w for w in words if _spaceless(w[0])}
+            words = (words - runs) | {w[i : i + n] for w in runs for n in [_spaceless(w[0])] for i in range(len(w))}
         total.update(seen)
+        spoken.update(words | numbers)
+    total.update({("word", w): n for w, n in spoken.items()})
     return total
 
 
