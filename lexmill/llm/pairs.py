@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -99,18 +101,23 @@ def copies(question: str, answer: str) -> bool:
     return len(asked & said) >= COPY_WORDS * max(len(asked), len(said))
 
 
+@lru_cache(maxsize=100_000)
+def _word_language(word: str) -> tuple[str, int]:
+    """(language, weight) of a word in lower case; "" if neither script nor dictionary tells."""
+    name = "HIRAGANA" if any("぀" <= ch <= "ヿ" for ch in word) else unicodedata.name(word[0], "").split(" ")[0]
+    if name in _scripts:
+        return _scripts[name], len(word)
+    if any(ch in "ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ" for ch in word):
+        return "vi", len(word)
+    of = [k for k in ("en", "fr", "de", "vi") if word in _words[k]]
+    return (of[0], 2 * len(word)) if len(of) == 1 else ("", 0)
+
+
 def language(text: str) -> str:
     """Language that most of a text's letters are in, by script and dictionaries; "" if undecided."""
     found: dict[str, float] = {}
     for word in re.findall(r"[^\W\d_]+", unicodedata.normalize("NFC", text.lower())):
-        name = "HIRAGANA" if any("぀" <= ch <= "ヿ" for ch in word) else unicodedata.name(word[0], "").split(" ")[0]
-        if name in _scripts:
-            of, weight = _scripts[name], len(word)
-        elif any(ch in "ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ" for ch in word):
-            of, weight = "vi", len(word)
-        else:
-            of = next((k for k in ("en", "fr", "de", "vi") if word in _words[k] and not any(word in _words[o] for o in _words if o != k)), "")
-            weight = 2 * len(word)
+        of, weight = _word_language(word) if len(word) <= 40 else _word_language.__wrapped__(word)
         if of:
             found[of] = found.get(of, 0) + weight
     if "ja" in found:
@@ -214,7 +221,8 @@ def defective_pairs(chats: DataFrame) -> DataFrame:
 
     asked = chats.select("chat_id", "status", "question", "final_answer", "sources").where("chat_id is not null and not (status <=> 'need_clarify')")
     once = asked.groupBy("chat_id", F.xxhash64("question", "final_answer", "sources").alias("h")).agg(*[F.first(c).alias(c) for c in ("question", "final_answer", "sources")])
-    judged = once.withColumn("j", judge("question", "final_answer", "sources")).select("chat_id", "j.*")
+    # Read twice, for what is sure and for what is not, but judged once.
+    judged = once.withColumn("j", judge("question", "final_answer", "sources")).select("chat_id", "j.*").persist(StorageLevel.MEMORY_AND_DISK)
     sure = judged.where("sure and type is not null").select("chat_id", "type")
     unsure = judged.where("not sure")
     # Terminal contexts of all responses: how often two words are followed by the end of a sentence.
