@@ -66,9 +66,13 @@ def informative_tokens(col: Column | str, stop_words: list[str]) -> Column:
 
 
 def distinct_parts(parts: list[Column]) -> Column:
-    """Array of the collapsed non-empty parts without outer dots, the first of those equal but for letter case."""
-    plain = F.filter(F.array(*[F.regexp_replace(collapse(p), r"^[ .]+|[ .]+\z", "") for p in parts]), lambda x: x != "")
-    return F.filter(plain, lambda x, i: ~F.exists(F.slice(plain, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    """Array of the collapsed non-empty parts without outer dots, the first of those equal but for letter case.
+
+    One fold over the parts with their folded forms, so that each text is cleaned and lowered once.
+    """
+    plain = F.transform(F.array(*[F.regexp_replace(collapse(p), r"^[ .]+|[ .]+\z", "") for p in parts]), lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    return F.aggregate(plain, none, lambda seen, x: F.when((x["v"] == "") | F.exists(seen, lambda y: y["k"] == x["k"]), seen).otherwise(F.array_append(seen, x)), lambda seen: F.transform(seen, lambda y: y["v"]))
 
 
 def retrieval_text(*fields: str) -> Column:
