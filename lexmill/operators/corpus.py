@@ -63,10 +63,10 @@ def manifest(articles: DataFrame, chunks: DataFrame, file: str = "file_id") -> D
     return digests.join(chunks.groupBy(file).agg(F.count(F.lit(1)).alias("chunk_count")), file, "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 
 
-def corpus_stats(rows: DataFrame, content: str, fields: list[str]) -> DataFrame:
-    """One row of counts: rows, empty texts, mean and largest length, missing values of each field."""
+def corpus_stats(rows: DataFrame, content: str, fields: list[str], by: list[str] | None = None) -> DataFrame:
+    """Counts of all rows, or of each group: rows, empty texts, mean and largest length, missing values of each field."""
     n = F.length(F.trim(text(content)))
-    return rows.agg(
+    return rows.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(n == 0).alias("n_empty"),
         F.round(F.avg(n.cast("double")), 2).alias("avg_length"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.extract import article_no, citations, effective_date, law_id, query_features, query_filters, source_note, title_of_law, title_parts
@@ -277,14 +277,7 @@ select count(*)::bigint as n_rows, count_if(length(trim(coalesce(raw_content,'')
 from parsed_article group by snapshot_no""")
 def snapshot_stats(spark, folder):
     """Counts, lengths and missing fields of each snapshot."""
-    rows = table(spark, folder, "parsed_article")
-    one = corpus_stats(rows, "raw_content", ["issuer", "law_id", "effective_date"])
-    del one
-    n = F.length(F.trim(text("raw_content")))
-    return rows.groupBy("snapshot_no").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(n == 0).alias("n_empty"), F.round(F.avg(n.cast("double")), 2).alias("avg_length"), F.max(n).cast("long").alias("max_length"),
-        *[F.count_if(present(f).isNull()).alias(f"missing_{f}") for f in ("issuer", "law_id", "effective_date")],
-    )
+    return corpus_stats(table(spark, folder, "parsed_article"), "raw_content", ["issuer", "law_id", "effective_date"], ["snapshot_no"])
 
 
 @query("""select coalesce(nullif(trim(coalesce(issuer,'')),''),'(missing)') as value, count(*)::bigint as n from parsed_article group by 1""")
@@ -410,5 +403,3 @@ def html_articles_round_trip(spark, folder):
     found = html_articles(html_nodes(keyed, "page", "html"), "page")
     return found.select(F.substring_index("page", "|", 1).alias("file_id"), "mapc", "article_code", F.when(F.col("chapter_code") == "Chương 0", "").otherwise(F.col("chapter_code")).alias("chapter_code"))
 
-
-_ = Window, collapse

@@ -5,20 +5,19 @@ Searches take every row whose id is divisible by 50 as a query, against all rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.extract import query_filters
 from lexmill.functions.session import shared_folder
-from lexmill.functions.text import TOKEN, collapse, folded, text
+from lexmill.functions.text import iso_date, text
 from lexmill.operators.corpus import latest_rows
 from lexmill.operators.evaluation import accuracy, claim_support, claims, displayed_sources, first_relevant_rank, folded_events, grounding, label_scores, latencies, messages, retrieval_quality, step_times
 from lexmill.operators.search import bm25_topk, context_block, date_passes, dedup_key, evidence_status, exact_bonus, exact_match, hybrid_merge, vector_topk, with_fallback
-from lexmill.functions.text import iso_date
 from lexmill.models import embedded
 from lexmill.operators.rerank import overlap_model, reranked, variants
 from lexmill.plans.corpus_queries import _COLLAPSE, _TOKENS, _of, articles
-from lexmill.sources.tables import blank, table
+from lexmill.sources.tables import table
 from lexmill.streaming.threads import latest_states, thread_states, thread_states_batch
 
 TOP = 8
@@ -345,5 +344,3 @@ def retrieval_keys(spark, folder):
     """Rows per key under which hits are the same."""
     return table(spark, folder, "parsed_article").groupBy(dedup_key(content="raw_content").alias("key")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("snapshot_no").alias("first_snapshot"))
 
-
-_ = TOKEN, Window, blank, collapse, folded
