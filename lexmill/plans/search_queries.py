@@ -121,11 +121,11 @@ def vector_label_boost(spark, folder):
     return vector_topk(rows, rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), TOP, label=("label", "label"), bonus=0.35)
 
 
-def _hybrid(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Hybrid hits of documents that have a vector, and the documents."""
+def _hybrid(spark, folder, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Hybrid hits, and the documents: of those that have a vector, or of every one, those without a vector by BM25 alone."""
     docs = table(spark, folder, "documents").select("doc_id", text("text").alias("content"), "law_id")
     vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    both = docs.join(vectors, "doc_id")
+    both = docs.join(vectors, "doc_id", "left" if every else "inner")
     asked = both.where("doc_id % 50 = 0").select(F.col("doc_id").alias("request_id"), F.regexp_extract("content", r"^[^\r\n]*", 0).alias("question"), "embedding")
     lexical = bm25_topk(both, asked, 12, query="request_id").select("request_id", F.lit("bm25").alias("channel"), "doc_id", "score")
     near = vector_topk(both, asked, 12, row="doc_id", query="request_id").select("request_id", F.lit("vector").alias("channel"), "doc_id", "score")
@@ -171,6 +171,32 @@ def evidence(spark, folder):
     return evidence_status(_hybrid(spark, folder)[0].where("rank <= 4"), "request_id")
 
 
+# Every document is indexed and asks; the vector channel has those that have a vector.
+_HYBRID_ALL = _HYBRID.replace("from documents d join embeddings e", "from documents d left join embeddings e").replace("from asked cross join b)", "from asked cross join b where asked.v is not null and b.v is not null)")
+
+
+@query(f"with {_HYBRID_ALL} select request_id, key, bm25, vector, n_queries, n_channels, bonus, combined, rank from k where rank <= 12")
+def hybrid_search_all(spark, folder):
+    """The flagship over all documents and requests, with or without a vector."""
+    return _hybrid(spark, folder, every=True)[0].where("rank <= 12")
+
+
+@query(f"""with {_HYBRID_ALL} select request_id, md5(string_agg('[' || rank || '] ' || trim(substr(trim(content), 1, 1400)), chr(10)||chr(10) order by rank)) as context_md5 from k join b on b.doc_id = k.key where rank <= 4 group by 1""")
+def context_blocks_all(spark, folder):
+    """Context of the best four of all documents."""
+    hits, docs = _hybrid(spark, folder, every=True)
+    shown = hits.where("rank <= 4").join(docs.withColumnRenamed("doc_id", "key"), "key")
+    return context_block(shown, "request_id", "content").select("request_id", F.md5("context").alias("context_md5"))
+
+
+@query(f"""with {_HYBRID_ALL}, g as (select request_id, count(*)::bigint as n_hits, count(distinct key)::bigint as n_sources, max(combined) as top_score from k where rank <= 4 group by 1)
+select request_id, coalesce(n_hits, 0)::bigint as n_hits, coalesce(n_sources, 0)::bigint as n_sources, top_score, case when n_hits is null then 'no_results' when top_score < 0.15 then 'weak_evidence' else 'ok' end as status from asked left join g using (request_id)""")
+def evidence_all(spark, folder):
+    """Whether the hits of each request suffice, requests without a hit included."""
+    hits, docs = _hybrid(spark, folder, every=True)
+    return evidence_status(hits.where("rank <= 4"), "request_id", requests=docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("request_id")))
+
+
 @query(f"""with {_BM25}, hits as (select chat_id, point_id, rank from (select *, row_number() over (partition by chat_id order by score desc, point_id) as rank from s where score > 0) where rank <= 10),
 truth as (select distinct c.chat_id, d.point_id from (select chat_id, unnest(sources) as src from chat_log where chat_id % 50 = 0) c join docs d on regexp_extract(c.src, 'Điều [0-9A-ZĐ.]+[0-9A-ZĐ]', 0) <> '' and regexp_extract(c.src, 'Điều [0-9A-ZĐ.]+[0-9A-ZĐ]', 0) = regexp_extract(coalesce(d.content,''), 'Điều [0-9A-ZĐ.]+[0-9A-ZĐ]', 0)),
 r as (select w.chat_id, min(rank) as f from (select distinct chat_id from truth) w left join (select hits.chat_id, rank from hits join truth using (chat_id, point_id)) x using (chat_id) group by 1)
