@@ -43,7 +43,7 @@ def backfilled(articles: DataFrame, scope: list[str], position: str, fields: lis
     return joined.select(*[F.coalesce(present(c), F.col(f"_{c}"), F.lit("")).alias(c) if c in [*fields, issuer] else F.col(c) for c in articles.columns])
 
 
-def source_laws(articles: DataFrame, file: str = "file_id") -> DataFrame:
+def source_laws(articles: DataFrame, file: str | list[str] = "file_id") -> DataFrame:
     """``file, law_id, title, issuer, effective_date``: the distinct laws of each file, by law_id else title."""
     named = articles.withColumn("_key", F.coalesce(present("law_id"), present("title"))).where("_key is not null")
 
@@ -51,10 +51,10 @@ def source_laws(articles: DataFrame, file: str = "file_id") -> DataFrame:
         return F.coalesce(F.max_by(text(c), F.struct(F.length(text(c)), text(c))), F.lit("")).alias(c)
 
     clean = F.when(present("issuer").isNotNull(), F.struct(clean_issuer(F.col("issuer")), F.col("issuer").alias("i")))
-    return named.groupBy(file, "_key").agg(longest("law_id"), longest("title"), F.coalesce(F.max(clean)["i"], F.lit("")).alias("issuer"), longest("effective_date")).drop("_key")
+    return named.groupBy(*([file] if isinstance(file, str) else file), "_key").agg(longest("law_id"), longest("title"), F.coalesce(F.max(clean)["i"], F.lit("")).alias("issuer"), longest("effective_date")).drop("_key")
 
 
-def manifest(articles: DataFrame, chunks: DataFrame, file: str = "file_id") -> DataFrame:
+def manifest(articles: DataFrame, chunks: DataFrame, file: str | list[str] = "file_id") -> DataFrame:
     """``file, article_count, chunk_count, law_count, content_sha``: one row per file with its counts and content digest.
 
     The digest is of the file's ordered article digests, so no file's texts are put together.
@@ -80,7 +80,7 @@ def histogram(rows: DataFrame, field: str) -> DataFrame:
     return rows.groupBy(F.coalesce(present(field), F.lit(MISSING)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def replaced(existing: DataFrame, updated: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+def replaced(existing: DataFrame, updated: DataFrame, changed: DataFrame, key: str | list[str]) -> DataFrame:
     """Existing rows whose key is not among the changed ones, and the updated rows."""
     return existing.join(changed.select(key).distinct(), key, "left_anti").unionByName(updated)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.extract import article_no, citations, effective_date, law_id, query_features, query_filters, source_note, title_of_law, title_parts
@@ -52,6 +52,11 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "parsed_article").where(~blank("mapc"))
 
 
+def latest_snapshot(rows: DataFrame) -> DataFrame:
+    """Rows of the latest snapshot."""
+    return rows.join(F.broadcast(rows.agg(F.max("snapshot_no").alias("snapshot_no"))), "snapshot_no", "left_semi")
+
+
 @query("""
 select r_name, n_name, count(*)::bigint as n_customers, round(sum(c_acctbal), 2) as balance
 from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey group by 1, 2""")
@@ -197,36 +202,50 @@ with a as (select distinct mapc, article_name, {_of(_COLLAPSE, 'raw_content')} a
 select mapc, md5(case when trim(coalesce(article_name,''))<>'' and lower(left(trim(x), length(trim(article_name)))) = lower(trim(article_name))
  then regexp_replace(substr(trim(x), length(trim(article_name))+1), '^[\s.:\-]+', '') else trim(x) end) as body_md5 from a""")
 def bodies_without_prefix(spark, folder):
-    """Bodies without their article's name at the start."""
-    return articles(spark, folder).where("snapshot_no = 5").select("mapc", F.md5(without_prefixes(collapse("raw_content"), F.col("article_name"))).alias("body_md5")).distinct()
+    """Bodies of the latest snapshot without their article's name at the start."""
+    return _bodies(latest_snapshot(articles(spark, folder))).drop("snapshot_no")
+
+
+@query(rf"""
+with a as (select distinct snapshot_no, mapc, article_name, {_of(_COLLAPSE, 'raw_content')} as x from {_ARTICLES})
+select distinct snapshot_no, mapc, md5(case when trim(coalesce(article_name,''))<>'' and lower(left(trim(x), length(trim(article_name)))) = lower(trim(article_name))
+ then regexp_replace(substr(trim(x), length(trim(article_name))+1), '^[\s.:\-]+', '') else trim(x) end) as body_md5 from a""")
+def bodies_without_prefix_all(spark, folder):
+    """The same of every snapshot."""
+    return _bodies(articles(spark, folder))
+
 
+def _bodies(rows: DataFrame) -> DataFrame:
+    return rows.select("snapshot_no", "mapc", F.md5(without_prefixes(collapse("raw_content"), F.col("article_name"))).alias("body_md5")).distinct()
 
-def _current(spark, folder):
-    """Articles of snapshot 5, one row each."""
-    return latest_rows(articles(spark, folder).where("snapshot_no = 5").select("mapc", "file_id", "law_id", "article_code", "article", "article_name", "title", "issuer", "effective_date", "raw_content", "related_articles", "de_muc", "chapter_code", "chapter_title", "source_note", "loaded_at"), ["mapc"], "loaded_at")
+
+def _current(spark, folder, every: bool = False):
+    """Articles of the latest or of every snapshot, one row each."""
+    rows = articles(spark, folder)
+    return latest_rows((rows if every else latest_snapshot(rows)).select("snapshot_no", "mapc", "file_id", "law_id", "article_code", "article", "article_name", "title", "issuer", "effective_date", "raw_content", "related_articles", "de_muc", "chapter_code", "chapter_title", "source_note", "loaded_at"), ["snapshot_no", "mapc"], "loaded_at")
 
 
 @query()
 def article_clauses(spark, folder):
-    """Lines, clauses and points of each current article."""
-    lines = numbered_lines(_current(spark, folder), ["mapc"], "raw_content")
-    return lines.groupBy("mapc").agg(F.count(F.lit(1)).alias("n_lines"), F.max("clause_no").cast("long").alias("n_clauses"), F.count_distinct(F.when(F.col("point_no") > 0, F.struct("clause_no", "point_no"))).alias("n_points"))
+    """Lines, clauses and points of each article of every snapshot."""
+    lines = numbered_lines(_current(spark, folder, every=True), ["snapshot_no", "mapc"], "raw_content")
+    return lines.groupBy("snapshot_no", "mapc").agg(F.count(F.lit(1)).alias("n_lines"), F.max("clause_no").cast("long").alias("n_clauses"), F.count_distinct(F.when(F.col("point_no") > 0, F.struct("clause_no", "point_no"))).alias("n_points"))
 
 
 @query()
 def sections(spark, folder):
-    """Sections of the current articles along clauses and points, with their headings."""
-    current = _current(spark, folder)
-    cut = article_sections(current, ["mapc"], "raw_content").join(current.select("mapc", "article_code", "article_name"), "mapc")
-    return with_heading(cut, ["article_code", "article_name"]).select("mapc", "section_no", "content")
+    """Sections of the articles of every snapshot along clauses and points, with their headings."""
+    current = _current(spark, folder, every=True)
+    cut = article_sections(current, ["snapshot_no", "mapc"], "raw_content").join(current.select("snapshot_no", "mapc", "article_code", "article_name"), ["snapshot_no", "mapc"])
+    return with_heading(cut, ["article_code", "article_name"]).select("snapshot_no", "mapc", "section_no", "content")
 
 
 @query()
 def section_chunks(spark, folder):
-    """Chunks of at most 800 characters of the sections, each below its heading."""
-    current = _current(spark, folder)
-    cut = article_sections(current, ["mapc"], "raw_content").join(current.select("mapc", F.concat_ws(" ", present("article_code"), present("article_name")).alias("heading")), "mapc")
-    return chunks(cut, ["mapc", "section_no"], "section", "heading")
+    """Chunks of at most 800 characters of the sections of every snapshot, each below its heading."""
+    current = _current(spark, folder, every=True)
+    cut = article_sections(current, ["snapshot_no", "mapc"], "raw_content").join(current.select("snapshot_no", "mapc", F.concat_ws(" ", present("article_code"), present("article_name")).alias("heading")), ["snapshot_no", "mapc"])
+    return chunks(cut, ["snapshot_no", "mapc", "section_no"], "section", "heading")
 
 
 _BLANK = "nullif(trim(coalesce({0},'')),'')"
@@ -254,8 +273,14 @@ select file_id, max_by(coalesce(law_id,''), struct_pack(n := length(coalesce(law
  max_by(coalesce(effective_date,''), struct_pack(n := length(coalesce(effective_date,'')), v := coalesce(effective_date,''))) as effective_date
 from a where k is not null group by file_id, k""")
 def laws_of_files(spark, folder):
-    """Distinct laws of each file of snapshot 5."""
-    return source_laws(table(spark, folder, "parsed_article").where("snapshot_no = 5"))
+    """Distinct laws of each file of the latest snapshot."""
+    return source_laws(latest_snapshot(table(spark, folder, "parsed_article")))
+
+
+@query(SQL["laws_of_files"].replace(" where snapshot_no = 5", "").replace("select file_id,", "select snapshot_no, file_id,").replace("group by file_id,", "group by snapshot_no, file_id,"))
+def laws_of_files_all(spark, folder):
+    """Distinct laws of each file of every snapshot."""
+    return source_laws(table(spark, folder, "parsed_article"), ["snapshot_no", "file_id"])
 
 
 @query("""
@@ -265,10 +290,25 @@ f as (select file_id, count(*)::bigint as article_count, count(distinct nullif(t
  sha256(coalesce(string_agg(sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,'')), '' order by sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,''))),'')) as content_sha from a group by 1)
 select f.file_id, article_count, law_count, content_sha, coalesce(chunk_count,0)::bigint as chunk_count from f left join c using (file_id)""")
 def file_manifest(spark, folder):
-    """Manifest of snapshot 5's files: articles, laws, indexed sections and the digest of the contents."""
-    current = _current(spark, folder)
-    points = table(spark, folder, "index_document").where("snapshot_no = 5").select("point_id", F.trim("mapc").alias("mapc")).distinct()
-    return manifest(current, points.join(current.select("mapc", "file_id"), "mapc"))
+    """Manifest of the latest snapshot's files: articles, laws, indexed sections and the digest of the contents."""
+    return _manifest(spark, folder, False).drop("snapshot_no")
+
+
+@query("""
+with a as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, file_id, law_id, raw_content from parsed_article where trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
+c as (select a.snapshot_no, a.file_id, count(distinct i.point_id)::bigint as chunk_count from index_document i join a on trim(i.mapc)=a.mapc and i.snapshot_no=a.snapshot_no group by 1, 2),
+f as (select snapshot_no, file_id, count(*)::bigint as article_count, count(distinct nullif(trim(coalesce(law_id,'')),''))::bigint as law_count,
+ sha256(coalesce(string_agg(sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,'')), '' order by sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,''))),'')) as content_sha from a group by 1, 2)
+select f.snapshot_no, f.file_id, article_count, law_count, content_sha, coalesce(chunk_count,0)::bigint as chunk_count from f left join c using (snapshot_no, file_id)""")
+def file_manifest_all(spark, folder):
+    """Manifest of every snapshot's files."""
+    return _manifest(spark, folder, True)
+
+
+def _manifest(spark, folder, every: bool) -> DataFrame:
+    rows = _current(spark, folder, every)
+    points = table(spark, folder, "index_document").select("snapshot_no", "point_id", F.trim("mapc").alias("mapc")).distinct()
+    return manifest(rows, points.join(rows.select("snapshot_no", "mapc", "file_id"), ["snapshot_no", "mapc"]), ["snapshot_no", "file_id"])
 
 
 @query("""
@@ -306,13 +346,33 @@ ch as (select distinct coalesce(x.file_id, y.file_id) as file_id from (select *
 select * from (select file_id, mapc, md5(coalesce(raw_content,'')) as body_md5, snapshot_no from a where snapshot_no=4 and file_id not in (select file_id from ch)
 union all select file_id, mapc, md5(coalesce(raw_content,'')), snapshot_no from a where snapshot_no=5 and file_id in (select file_id from ch))""")
 def incremental_merge(spark, folder):
-    """Corpus of snapshot 4 with the articles of changed files replaced by those of snapshot 5."""
-    rows = articles(spark, folder).where("snapshot_no in (4, 5)").select("snapshot_no", "mapc", "file_id", "raw_content", "loaded_at")
-    both = latest_rows(rows, ["snapshot_no", "mapc"], "loaded_at").select("file_id", "mapc", F.md5(text("raw_content")).alias("body_md5"), "snapshot_no")
-    sides = both.groupBy("file_id", "mapc").agg(F.max(F.when(F.col("snapshot_no") == 4, F.col("body_md5"))).alias("a"), F.max(F.when(F.col("snapshot_no") == 5, F.col("body_md5"))).alias("b"))
-    changed = sides.where(~F.col("a").eqNullSafe(F.col("b"))).select("file_id").distinct()
-    updated = both.where("snapshot_no = 5").join(changed, "file_id", "left_semi")
-    return replaced(both.where("snapshot_no = 4"), updated, changed, "file_id")
+    """Corpus of the snapshot before the latest with the articles of changed files replaced by the latest ones."""
+    return _merges(spark, folder, False).drop("merged_no")
+
+
+@query("""
+with a as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, file_id, raw_content from parsed_article where trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
+s as (select * from (select n as merged_no, lag(n) over (order by n) as base_no from (select distinct snapshot_no as n from a)) where base_no is not null),
+o as (select s.merged_no, a.* from a join s on a.snapshot_no = s.base_no), w as (select s.merged_no, a.* from a join s on a.snapshot_no = s.merged_no),
+ch as (select distinct coalesce(x.merged_no, y.merged_no) as merged_no, coalesce(x.file_id, y.file_id) as file_id from o x full join w y on x.merged_no=y.merged_no and x.mapc=y.mapc and x.file_id=y.file_id where x.mapc is null or y.mapc is null or coalesce(x.raw_content,'')<>coalesce(y.raw_content,''))
+select merged_no, file_id, mapc, md5(coalesce(raw_content,'')) as body_md5, snapshot_no from o anti join ch using (merged_no, file_id)
+union all select merged_no, file_id, mapc, md5(coalesce(raw_content,'')), snapshot_no from w semi join ch using (merged_no, file_id)""")
+def incremental_merge_all(spark, folder):
+    """The merge of every snapshot into the one before it."""
+    return _merges(spark, folder, True)
+
+
+def _merges(spark, folder, every: bool) -> DataFrame:
+    rows = latest_rows(articles(spark, folder).select("snapshot_no", "mapc", "file_id", "raw_content", "loaded_at"), ["snapshot_no", "mapc"], "loaded_at").select("file_id", "mapc", F.md5(text("raw_content")).alias("body_md5"), "snapshot_no")
+    # A row per snapshot: few.
+    steps = articles(spark, folder).select(F.col("snapshot_no").alias("merged_no")).distinct().withColumn("base_no", F.lag("merged_no").over(Window.orderBy("merged_no"))).where("base_no is not null")
+    if not every:
+        steps = steps.orderBy(F.desc("merged_no")).limit(1)
+    both = rows.join(F.broadcast(steps), (F.col("snapshot_no") == F.col("merged_no")) | (F.col("snapshot_no") == F.col("base_no"))).withColumn("is_base", F.col("snapshot_no") == F.col("base_no")).drop("base_no")
+    sides = both.groupBy("merged_no", "file_id", "mapc").agg(F.max(F.when(F.col("is_base"), F.col("body_md5"))).alias("a"), F.max(F.when(~F.col("is_base"), F.col("body_md5"))).alias("b"))
+    key = ["merged_no", "file_id"]
+    changed = sides.where(~F.col("a").eqNullSafe(F.col("b"))).select(*key).distinct()
+    return replaced(both.where("is_base"), both.where("not is_base").join(changed, key, "left_semi"), changed, key).drop("is_base")
 
 
 @query("""
@@ -379,8 +439,23 @@ with a as (select distinct file_id, article_code, law_id, mapc from parsed_artic
 select mapc, (row_number() over (order by coalesce(file_id,''), coalesce(article_code,''), coalesce(law_id,''), mapc) - 1)::bigint as position from a""")
 def corpus_order(spark, folder):
     """Place of each current article in the corpus's total order."""
-    rows = articles(spark, folder).where("snapshot_no = 5").select("file_id", "article_code", "law_id", "mapc").distinct()
-    return total_order(rows, [text("file_id"), text("article_code"), text("law_id"), F.col("mapc")]).select("mapc", F.col("position").cast("long").alias("position"))
+    return _ordered(latest_snapshot(articles(spark, folder))).drop("snapshot_no")
+
+
+@query("""
+with a as (select distinct snapshot_no, file_id, article_code, law_id, mapc from parsed_article where trim(coalesce(mapc,''))<>'')
+select snapshot_no, mapc, (row_number() over (partition by snapshot_no order by coalesce(file_id,''), coalesce(article_code,''), coalesce(law_id,''), mapc) - 1)::bigint as position from a""")
+def corpus_order_all(spark, folder):
+    """Place of each article in the total order of its snapshot."""
+    return _ordered(articles(spark, folder))
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    placed = total_order(rows.select("snapshot_no", "file_id", "article_code", "law_id", "mapc").distinct(), [F.col("snapshot_no"), text("file_id"), text("article_code"), text("law_id"), F.col("mapc")])
+    # Places from the snapshots' sizes: those before it are taken off.
+    sizes = rows.select("snapshot_no", "file_id", "article_code", "law_id", "mapc").distinct().groupBy("snapshot_no").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("snapshot_no", F.coalesce(F.sum("n").over(Window.orderBy("snapshot_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), "snapshot_no").select("snapshot_no", "mapc", (F.col("position") - F.col("before")).cast("long").alias("position"))
 
 
 @query("""
@@ -388,6 +463,18 @@ select file_id, mapc, trim(article_code) || '.' as article_code, coalesce(nullif
 from (select distinct on (mapc) * from parsed_article where snapshot_no=5 and trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc)""")
 def html_articles_round_trip(spark, folder):
     """Articles rendered as HTML pages of their files by Spark and parsed again: codes and chapters come back."""
+    return _round_trip(_current(spark, folder)).drop("snapshot_no")
+
+
+@query("""
+select snapshot_no, file_id, mapc, trim(article_code) || '.' as article_code, coalesce(nullif(trim(coalesce(chapter_code,'')),''),'') as chapter_code
+from (select distinct on (snapshot_no, mapc) * from parsed_article where trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc)""")
+def html_articles_round_trip_all(spark, folder):
+    """The same of every snapshot."""
+    return _round_trip(_current(spark, folder, every=True))
+
+
+def _round_trip(rows: DataFrame) -> DataFrame:
     escape = lambda c: F.replace(F.replace(F.replace(text(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     paragraph = lambda kind, x: F.concat(F.lit(f'<p class="{kind}">'), x, F.lit("</p>\n"))
     links = F.array_join(F.transform(F.coalesce("related_articles", F.array().cast("array<string>")), lambda x: F.concat(F.lit("<a href='#'>"), F.replace(F.coalesce(x, F.lit("")), F.lit("<"), F.lit("&lt;")), F.lit("</a>"))), "; ")
@@ -398,8 +485,8 @@ def html_articles_round_trip(spark, folder):
         paragraph("pGhiChu", escape("source_note")), paragraph("pNoiDung", F.concat(F.lit("<p>"), body, F.lit("</p>"))), paragraph("pChiDan", links),
     )
     # A page per file and law: a law's articles in a file are few, a whole file's need not be.
-    pages = _current(spark, folder).withColumn("h", rendered).groupBy("file_id", F.substring("mapc", 1, 13).alias("part")).agg(F.concat(F.lit('<html><body><h3>x</h3><div class="_content">'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mapc", "h"))), lambda x: x["h"]), ""), F.lit("</div></body></html>")).alias("html"))
-    keyed = pages.withColumn("page", F.concat_ws("|", "file_id", "part"))
+    pages = rows.withColumn("h", rendered).groupBy("snapshot_no", "file_id", F.substring("mapc", 1, 13).alias("part")).agg(F.concat(F.lit('<html><body><h3>x</h3><div class="_content">'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mapc", "h"))), lambda x: x["h"]), ""), F.lit("</div></body></html>")).alias("html"))
+    keyed = pages.withColumn("page", F.concat_ws("|", F.col("snapshot_no").cast("string"), "part", "file_id"))
     found = html_articles(html_nodes(keyed, "page", "html"), "page")
-    return found.select(F.substring_index("page", "|", 1).alias("file_id"), "mapc", "article_code", F.when(F.col("chapter_code") == "Chương 0", "").otherwise(F.col("chapter_code")).alias("chapter_code"))
+    return found.select(F.substring_index("page", "|", 1).cast("int").alias("snapshot_no"), F.regexp_extract("page", r"(?s)^[^|]*\|[^|]*\|(.*)", 1).alias("file_id"), "mapc", "article_code", F.when(F.col("chapter_code") == "Chương 0", "").otherwise(F.col("chapter_code")).alias("chapter_code"))
 

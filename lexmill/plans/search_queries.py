@@ -16,7 +16,7 @@ from lexmill.operators.evaluation import accuracy, claim_support, claims, displa
 from lexmill.operators.search import bm25_topk, context_block, date_passes, dedup_key, evidence_status, exact_bonus, exact_match, hybrid_merge, vector_topk, with_fallback
 from lexmill.models import embedded
 from lexmill.operators.rerank import overlap_model, reranked, variants
-from lexmill.plans.corpus_queries import _COLLAPSE, _TOKENS, _of, articles
+from lexmill.plans.corpus_queries import _COLLAPSE, _TOKENS, _of, articles, latest_snapshot
 from lexmill.sources.tables import table
 from lexmill.streaming.threads import latest_states, thread_states, thread_states_batch
 
@@ -253,7 +253,7 @@ def _supported(spark, folder) -> DataFrame:
     rows = latest_rows(table(spark, folder, "chat_log").select("chat_id", "final_answer", "sources", "asked_at"), ["chat_id"], "asked_at")
     code = F.regexp_extract("s", "Điều [0-9A-ZĐ.]+[0-9A-ZĐ]", 0)
     cited = rows.select("chat_id", F.explode("sources").alias("s")).select("chat_id", code.alias("code")).distinct()
-    current = latest_rows(articles(spark, folder).where("snapshot_no = 5").select("mapc", "article_code", "raw_content", "loaded_at"), ["mapc"], "loaded_at")
+    current = latest_rows(latest_snapshot(articles(spark, folder)).select("mapc", "article_code", "raw_content", "loaded_at"), ["mapc"], "loaded_at")
     found = cited.join(current.select(F.trim("article_code").alias("code"), F.col("raw_content").alias("evidence")), "code")
     return claim_support(claims(rows, "chat_id", "final_answer"), found, "chat_id")
 

@@ -1,5 +1,9 @@
 """Tables that show whether the queries do the whole job: rows that the generated tables have few or none of."""
 
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from lexmill.plans import catalogue
 
 
@@ -16,3 +20,16 @@ def test_documents_without_vector_are_searched(spark, tmp_path):
     assert found == {(50, 50): (True, 2), (50, 51): (True, 1), (50, 52): (False, 1), (100, 100): (True, 1), (100, 52): (True, 1)}
     assert {r.request_id for r in catalogue.QUERIES["context_blocks_all"](spark, folder).collect()} == {50, 100}
     assert {r.request_id: r.status for r in catalogue.QUERIES["evidence_all"](spark, folder).collect()} == {50: "ok", 100: "ok", 150: "no_results"}
+
+
+def test_every_snapshot_and_a_sixth(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    for name in ("parsed_article", "index_document"):
+        spark.read.parquet(f"{source}/{name}.parquet").withColumn("snapshot_no", F.expr("snapshot_no + 1")).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{source}/chat_log.parquet").write.parquet(f"{tmp_path}/chat_log.parquet")
+    rows = lambda name, folder: Counter(map(repr, catalogue.QUERIES[name](spark, str(folder)).collect()))
+    for name in ("file_manifest", "corpus_order", "claims_supported"):
+        assert rows(name, tmp_path) == rows(name, source), name
+    for name in ("sections", "section_chunks", "incremental_merge_all"):
+        column = "merged_no" if name == "incremental_merge_all" else "snapshot_no"
+        assert {r[0] for r in catalogue.QUERIES[name](spark, str(tmp_path)).select(column).distinct().collect()} >= {3, 4, 5, 6}, name
