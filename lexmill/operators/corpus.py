@@ -93,15 +93,17 @@ def group_key(file: str = "file_id") -> Column:
 def article_documents(chunks: DataFrame, position: str, key: Column, most_text: int = 12_000, most_payload: int = 50_000) -> DataFrame:
     """One index document per group of chunks: first metadata, distinct contents in order, clipped texts with flags.
 
-    An article's chunks are few; the group of a key is bounded by the article's own text.
+    Repeated contents of a key are folded before the shuffle; only its distinct contents, which the document has, are put together.
     """
     meta = ["law_id", "article_code", "article_name", "title", "issuer", "effective_date", "mapc"]
-    grouped = chunks.withColumn("_key", key).groupBy("_key").agg(
-        F.min_by(F.struct(*[text(c).alias(c) for c in meta]), position).alias("m"),
-        F.count(F.lit(1)).alias("chunk_count"),
-        F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.trim(text("content")).alias("c")))).alias("parts"),
+    first = F.min(F.struct(F.col(position).alias("p"), F.struct(*[text(c).alias(c) for c in meta]).alias("m"))).alias("first")
+    distinct = chunks.withColumn("_key", key).withColumn("_c", F.trim(text("content"))).groupBy("_key", "_c").agg(first, F.count(F.lit(1)).alias("n"))
+    grouped = distinct.groupBy("_key").agg(
+        F.min("first")["m"].alias("m"),
+        F.sum("n").alias("chunk_count"),
+        F.array_sort(F.collect_list(F.when(F.col("_c") != "", F.struct(F.col("first.p").alias("p"), F.col("_c").alias("c"))))).alias("parts"),
     )
-    content = F.array_join(F.array_distinct(F.filter(F.transform("parts", lambda x: x["c"]), lambda x: x != "")), "\n\n")
+    content = F.array_join(F.transform("parts", lambda x: x["c"]), "\n\n")
     docs = grouped.select(point_id("article", F.col("_key")).alias("point_id"), "m.*", "chunk_count", content.alias("content"))
     full = retrieval_text("title", "law_id", "article_code", "article_name", "content")
     shown, cut = clipped("content", most_payload)

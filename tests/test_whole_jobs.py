@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lexmill.operators.corpus import article_documents
 from lexmill.plans import catalogue
 
 
@@ -33,3 +34,14 @@ def test_every_snapshot_and_a_sixth(spark, tmp_path):
     for name in ("sections", "section_chunks", "incremental_merge_all"):
         column = "merged_no" if name == "incremental_merge_all" else "snapshot_no"
         assert {r[0] for r in catalogue.QUERIES[name](spark, str(tmp_path)).select(column).distinct().collect()} >= {3, 4, 5, 6}, name
+
+
+def test_copies_are_folded_before_they_are_collected(spark):
+    meta = [F.lit("x").alias(c) for c in ("law_id", "article_code", "article_name", "title", "issuer", "effective_date", "mapc")]
+    rows = spark.range(10_000).select(*meta, F.col("id").alias("pos"), F.when(F.col("id") == 7, "other").when(F.col("id") == 8, " ").otherwise(F.lit("copy")).alias("content"))
+    docs = article_documents(rows, "pos", F.lit("k"))
+    doc = docs.first()
+    assert (doc.chunk_count, doc.content) == (10_000, "copy\n\nother")
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    collects = next(line for line in plan.splitlines() if "collect_list" in line)
+    assert "_c#" in collects and "count(1)" not in collects and "count(1)" in plan
