@@ -484,7 +484,7 @@ def _round_trip(rows: DataFrame) -> DataFrame:
         paragraph("pDieu", F.concat(F.lit('<a name="'), F.col("mapc"), F.lit('"></a>'), F.trim("article_code"), F.lit(". "), escape("article_name"))),
         paragraph("pGhiChu", escape("source_note")), paragraph("pNoiDung", F.concat(F.lit("<p>"), body, F.lit("</p>"))), paragraph("pChiDan", links),
     )
-    # A page per file and law: a law's articles in a file are few, a whole file's need not be.
+    # A page per file and the first 13 digits of mapc, each article below its own chapter: the carry-forward of chapters over a whole file's page is not run.
     pages = rows.withColumn("h", rendered).groupBy("snapshot_no", "file_id", F.substring("mapc", 1, 13).alias("part")).agg(F.concat(F.lit('<html><body><h3>x</h3><div class="_content">'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mapc", "h"))), lambda x: x["h"]), ""), F.lit("</div></body></html>")).alias("html"))
     keyed = pages.withColumn("page", F.concat_ws("|", F.col("snapshot_no").cast("string"), "part", "file_id"))
     found = html_articles(html_nodes(keyed, "page", "html"), "page")
