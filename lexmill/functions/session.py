@@ -5,7 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+
+_kept: list[DataFrame] = []
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows that a plan reads more than once, kept on the executors until ``release``; lost blocks are computed again."""
+    _kept.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+    return _kept[-1]
+
+
+def release() -> int:
+    """Let go of all that operators have kept, once their results are written; how many tables that were."""
+    n = len(_kept)
+    while _kept:
+        _kept.pop().unpersist()
+    return n
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -14,7 +14,8 @@ from lexmill.operators.splitter import chunks
 from lexmill.sources.html import articles as html_articles
 from lexmill.sources.html import html_nodes
 from lexmill.sources.index_store import preview, retained, upserted
-from lexmill.sources.tables import blank, table
+from lexmill.plans.oracle import expanded
+from lexmill.sources.tables import blank, table, trimmed
 
 # Words that carry no information in questions.
 STOP_WORDS = ["cho", "của", "các", "này", "theo", "thì", "được", "không", "trong", "phải", "với", "những"]
@@ -33,7 +34,7 @@ _TIDY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_rep
 _COLLAPSE = "trim(regexp_replace(coalesce({0},''), '" + _WS + "+', ' ', 'g'))"
 _TOKENS = "regexp_extract_all(lower(coalesce({0},'')), '[0-9A-Za-zÀ-ỹ]+')"
 _LAW = "(?:Bộ luật|Luật|Pháp lệnh|Nghị quyết liên tịch|Nghị quyết|Nghị định|Thông tư liên tịch|Thông tư|Quyết định|Chỉ thị|Lệnh) số\\s+[^\\s,()]+"
-_ARTICLES = "(select * from parsed_article where trim(coalesce(mapc,''))<>'')"
+_ARTICLES = "(select * from parsed_article where @trim(coalesce(mapc,''))<>'')"
 
 
 def query(sql: str | None = None):
@@ -42,7 +43,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = expanded(sql)
         return f
 
     return add
@@ -137,7 +138,7 @@ select distinct snapshot_no, mapc,
  concat_ws(' - ', nullif(trim(coalesce(article_code,'')),''), nullif(trim(coalesce(article_name,'')),''), coalesce(nullif(trim(coalesce(law_id,'')),''), nullif(trim(coalesce(title,'')),'')),
   nullif(concat_ws(', ', nullif(trim(coalesce(issuer,'')),''), nullif(trim(coalesce(effective_date,'')),'')), '')) as source,
  concat_ws(' ', nullif(trim(coalesce(article,'')),''), 'của ' || nullif(trim(coalesce(title,'')),''), '(' || nullif(trim(coalesce(law_id,'')),'') || ')') as reference
-from parsed_article where trim(coalesce(mapc,''))<>''""")
+from parsed_article where @trim(coalesce(mapc,''))<>''""")
 def source_lines(spark, folder):
     """Citation line and legal reference of each article."""
     return articles(spark, folder).select("snapshot_no", "mapc", format_source().alias("source"), legal_reference().alias("reference")).distinct()
@@ -146,7 +147,7 @@ def source_lines(spark, folder):
 @query(r"""
 select distinct mapc, case when regexp_matches(t, '^(?i)(Điều\s+[0-9A-Za-zÀ-ỹ.\-]+\.)') then regexp_extract(t, '^(?i)(Điều\s+[0-9A-Za-zÀ-ỹ.\-]+\.)\s*(.*)$', 1) else t end as code,
  regexp_extract(t, '^(?i)(Điều\s+[0-9A-Za-zÀ-ỹ.\-]+\.)\s*(.*)$', 2) as name
-from (select mapc, """ + _of(_TIDY, "coalesce(article_code,'') || '. ' || coalesce(article_name,'')") + """ as t from parsed_article where trim(coalesce(mapc,''))<>'')""")
+from (select mapc, """ + _of(_TIDY, "coalesce(article_code,'') || '. ' || coalesce(article_name,'')") + """ as t from parsed_article where @trim(coalesce(mapc,''))<>'')""")
 def article_titles(spark, folder):
     """Headings split into code and name."""
     code, name = title_parts(F.concat(text("article_code"), F.lit(". "), text("article_name")))
@@ -252,7 +253,7 @@ _BLANK = "nullif(trim(coalesce({0},'')),'')"
 
 
 @query("""
-with a as (select *, cast(substr(mapc,1,15) as bigint) as pos from parsed_article where trim(coalesce(mapc,''))<>''),
+with a as (select *, cast(substr(mapc,1,15) as bigint) as pos from parsed_article where @trim(coalesce(mapc,''))<>''),
 b as (select snapshot_no, file_id, law_id,
  max_by(title, struct_pack(n := length(title), p := -pos)) filter (where trim(coalesce(title,''))<>'') as t,
  max_by(effective_date, struct_pack(n := length(effective_date), p := -pos)) filter (where trim(coalesce(effective_date,''))<>'') as d,
@@ -284,8 +285,8 @@ def laws_of_files_all(spark, folder):
 
 
 @query("""
-with a as (select distinct on (mapc) mapc, file_id, law_id, raw_content from parsed_article where snapshot_no=5 and trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc),
-c as (select a.file_id, count(distinct i.point_id)::bigint as chunk_count from index_document i join a on trim(i.mapc)=a.mapc where i.snapshot_no=5 group by 1),
+with a as (select distinct on (mapc) mapc, file_id, law_id, raw_content from parsed_article where snapshot_no=5 and @trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc),
+c as (select a.file_id, count(distinct i.point_id)::bigint as chunk_count from index_document i join a on @trim(i.mapc)=a.mapc where i.snapshot_no=5 group by 1),
 f as (select file_id, count(*)::bigint as article_count, count(distinct nullif(trim(coalesce(law_id,'')),''))::bigint as law_count,
  sha256(coalesce(string_agg(sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,'')), '' order by sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,''))),'')) as content_sha from a group by 1)
 select f.file_id, article_count, law_count, content_sha, coalesce(chunk_count,0)::bigint as chunk_count from f left join c using (file_id)""")
@@ -295,8 +296,8 @@ def file_manifest(spark, folder):
 
 
 @query("""
-with a as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, file_id, law_id, raw_content from parsed_article where trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
-c as (select a.snapshot_no, a.file_id, count(distinct i.point_id)::bigint as chunk_count from index_document i join a on trim(i.mapc)=a.mapc and i.snapshot_no=a.snapshot_no group by 1, 2),
+with a as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, file_id, law_id, raw_content from parsed_article where @trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
+c as (select a.snapshot_no, a.file_id, count(distinct i.point_id)::bigint as chunk_count from index_document i join a on @trim(i.mapc)=a.mapc and i.snapshot_no=a.snapshot_no group by 1, 2),
 f as (select snapshot_no, file_id, count(*)::bigint as article_count, count(distinct nullif(trim(coalesce(law_id,'')),''))::bigint as law_count,
  sha256(coalesce(string_agg(sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,'')), '' order by sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,''))),'')) as content_sha from a group by 1, 2)
 select f.snapshot_no, f.file_id, article_count, law_count, content_sha, coalesce(chunk_count,0)::bigint as chunk_count from f left join c using (snapshot_no, file_id)""")
@@ -307,7 +308,7 @@ def file_manifest_all(spark, folder):
 
 def _manifest(spark, folder, every: bool) -> DataFrame:
     rows = _current(spark, folder, every)
-    points = table(spark, folder, "index_document").select("snapshot_no", "point_id", F.trim("mapc").alias("mapc")).distinct()
+    points = table(spark, folder, "index_document").select("snapshot_no", "point_id", trimmed("mapc").alias("mapc")).distinct()
     return manifest(rows, points.join(rows.select("snapshot_no", "mapc", "file_id"), ["snapshot_no", "mapc"]), ["snapshot_no", "file_id"])
 
 
@@ -336,12 +337,12 @@ union all
 select a.n, a.p, 'removed' from (select m.*, n from m join s on m.snapshot_no = s.prev) a left join m b on b.snapshot_no = a.n and b.p = a.p where b.p is null""")
 def changed_files(spark, folder):
     """Files added, removed or changed between consecutive snapshots."""
-    found = snapshot_changes(table(spark, folder, "manifest_entry").where(~blank("source_path")), snapshot=F.col("snapshot_no"), key=F.lower(F.trim("source_path")), content=F.lower(F.trim(F.coalesce("content_sha256", F.lit("")))), loaded=F.col("synced_at"))
+    found = snapshot_changes(table(spark, folder, "manifest_entry").where(~blank("source_path")), snapshot=F.col("snapshot_no"), key=F.lower(trimmed("source_path")), content=F.lower(F.trim(F.coalesce("content_sha256", F.lit("")))), loaded=F.col("synced_at"))
     return found.select("snapshot_no", F.col("record_key").alias("source_path"), "change_type")
 
 
 @query("""
-with a as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, file_id, raw_content from parsed_article where snapshot_no in (4,5) and trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
+with a as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, file_id, raw_content from parsed_article where snapshot_no in (4,5) and @trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
 ch as (select distinct coalesce(x.file_id, y.file_id) as file_id from (select * from a where snapshot_no=4) x full join (select * from a where snapshot_no=5) y on x.mapc=y.mapc and x.file_id=y.file_id where x.mapc is null or y.mapc is null or coalesce(x.raw_content,'')<>coalesce(y.raw_content,''))
 select * from (select file_id, mapc, md5(coalesce(raw_content,'')) as body_md5, snapshot_no from a where snapshot_no=4 and file_id not in (select file_id from ch)
 union all select file_id, mapc, md5(coalesce(raw_content,'')), snapshot_no from a where snapshot_no=5 and file_id in (select file_id from ch))""")
@@ -351,7 +352,7 @@ def incremental_merge(spark, folder):
 
 
 @query("""
-with a as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, file_id, raw_content from parsed_article where trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
+with a as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, file_id, raw_content from parsed_article where @trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
 s as (select * from (select n as merged_no, lag(n) over (order by n) as base_no from (select distinct snapshot_no as n from a)) where base_no is not null),
 o as (select s.merged_no, a.* from a join s on a.snapshot_no = s.base_no), w as (select s.merged_no, a.* from a join s on a.snapshot_no = s.merged_no),
 ch as (select distinct coalesce(x.merged_no, y.merged_no) as merged_no, coalesce(x.file_id, y.file_id) as file_id from o x full join w y on x.merged_no=y.merged_no and x.mapc=y.mapc and x.file_id=y.file_id where x.mapc is null or y.mapc is null or coalesce(x.raw_content,'')<>coalesce(y.raw_content,''))
@@ -376,7 +377,7 @@ def _merges(spark, folder, every: bool) -> DataFrame:
 
 
 @query("""
-with c as (select coalesce(file_id,'')||'|'||coalesce(law_id,'')||'|'||coalesce(nullif(trim(coalesce(article_code,'')),''),coalesce(article,''))||'|'||coalesce(article_name,'') as k, snapshot_no, trim(coalesce(raw_content,'')) as content from parsed_article where trim(coalesce(mapc,''))<>''),
+with c as (select coalesce(file_id,'')||'|'||coalesce(law_id,'')||'|'||coalesce(nullif(trim(coalesce(article_code,'')),''),coalesce(article,''))||'|'||coalesce(article_name,'') as k, snapshot_no, trim(coalesce(raw_content,'')) as content from parsed_article where @trim(coalesce(mapc,''))<>''),
 o as (select k, content, min(snapshot_no) as p from c where content<>'' group by 1,2),
 g as (select k, count(*)::bigint as chunk_count from c group by 1)
 select g.k as group_key, g.chunk_count, md5(coalesce(string_agg(o.content, chr(10)||chr(10) order by o.p, o.content),'')) as content_md5 from g left join o on g.k=o.k group by 1,2""")
@@ -405,7 +406,7 @@ def clipped_points(spark, folder):
 
 @query("""
 select distinct snapshot_no, mapc, length(trim(coalesce(raw_content,'')))::bigint as content_length, substr(replace(trim(coalesce(raw_content,'')), chr(10), ' '), 1, 240) as content_preview, coalesce(len(related_articles),0)::bigint as n_related
-from parsed_article where trim(coalesce(mapc,''))<>''""")
+from parsed_article where @trim(coalesce(mapc,''))<>''""")
 def article_preview(spark, folder):
     """Preview rows of the articles."""
     shown = preview(articles(spark, folder), "raw_content", ["snapshot_no", "mapc"], "related_articles")
@@ -435,7 +436,7 @@ def upserted_points(spark, folder):
 
 
 @query("""
-with a as (select distinct file_id, article_code, law_id, mapc from parsed_article where snapshot_no=5 and trim(coalesce(mapc,''))<>'')
+with a as (select distinct file_id, article_code, law_id, mapc from parsed_article where snapshot_no=5 and @trim(coalesce(mapc,''))<>'')
 select mapc, (row_number() over (order by coalesce(file_id,''), coalesce(article_code,''), coalesce(law_id,''), mapc) - 1)::bigint as position from a""")
 def corpus_order(spark, folder):
     """Place of each current article in the corpus's total order."""
@@ -443,7 +444,7 @@ def corpus_order(spark, folder):
 
 
 @query("""
-with a as (select distinct snapshot_no, file_id, article_code, law_id, mapc from parsed_article where trim(coalesce(mapc,''))<>'')
+with a as (select distinct snapshot_no, file_id, article_code, law_id, mapc from parsed_article where @trim(coalesce(mapc,''))<>'')
 select snapshot_no, mapc, (row_number() over (partition by snapshot_no order by coalesce(file_id,''), coalesce(article_code,''), coalesce(law_id,''), mapc) - 1)::bigint as position from a""")
 def corpus_order_all(spark, folder):
     """Place of each article in the total order of its snapshot."""
@@ -460,7 +461,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 @query("""
 select file_id, mapc, trim(article_code) || '.' as article_code, coalesce(nullif(trim(coalesce(chapter_code,'')),''),'') as chapter_code
-from (select distinct on (mapc) * from parsed_article where snapshot_no=5 and trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc)""")
+from (select distinct on (mapc) * from parsed_article where snapshot_no=5 and @trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc)""")
 def html_articles_round_trip(spark, folder):
     """Articles rendered as HTML pages of their files by Spark and parsed again: codes and chapters come back."""
     return _round_trip(_current(spark, folder)).drop("snapshot_no")
@@ -468,7 +469,7 @@ def html_articles_round_trip(spark, folder):
 
 @query("""
 select snapshot_no, file_id, mapc, trim(article_code) || '.' as article_code, coalesce(nullif(trim(coalesce(chapter_code,'')),''),'') as chapter_code
-from (select distinct on (snapshot_no, mapc) * from parsed_article where trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc)""")
+from (select distinct on (snapshot_no, mapc) * from parsed_article where @trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc)""")
 def html_articles_round_trip_all(spark, folder):
     """The same of every snapshot."""
     return _round_trip(_current(spark, folder, every=True))

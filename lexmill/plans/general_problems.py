@@ -10,7 +10,8 @@ from lexmill.functions.reading import as_read
 from lexmill.functions.visual_udf import consistent_udf
 from lexmill.operators.orphans import orphan_references, orphan_report
 from lexmill.operators.snapshot_diff import snapshot_changes
-from lexmill.sources.tables import blank, table
+from lexmill.plans.oracle import expanded
+from lexmill.sources.tables import blank, table, trimmed
 
 ARTICLE_CODE = r"([0-9]+\.[0-9]+\.[A-ZĐ]+\.[0-9]+\.[0-9]+)"
 
@@ -20,15 +21,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     articles = snapshot_changes(
         table(spark, folder, "parsed_article").where(~blank("mapc")),
         snapshot=F.col("snapshot_no"),
-        key=F.trim("mapc"),
+        key=trimmed("mapc"),
         content=as_read("raw_content"),
         loaded=F.col("loaded_at"),
     )
     files = snapshot_changes(
         table(spark, folder, "manifest_entry").where(~blank("source_path")),
         snapshot=F.col("snapshot_no"),
-        key=F.lower(F.trim("source_path")),
-        content=F.lower(F.trim(F.coalesce("content_sha256", F.lit("")))),
+        key=F.lower(trimmed("source_path")),
+        content=F.lower(trimmed(F.coalesce("content_sha256", F.lit("")))),
         loaded=F.col("synced_at"),
     )
     named = [x.select("snapshot_no", F.lit(name).alias("record_table"), "record_key", "change_type") for x, name in ((articles, "parsed_article"), (files, "manifest_entry"))]
@@ -48,10 +49,10 @@ def article_code(label: F.Column) -> F.Column:
 
 
 def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    articles = table(spark, folder, "parsed_article").select(F.col("snapshot_no").alias("period"), F.trim("mapc").alias("mapc"), "article_code", "related_articles")
+    articles = table(spark, folder, "parsed_article").select(F.col("snapshot_no").alias("period"), trimmed("mapc").alias("mapc"), "article_code", "related_articles")
     labels = articles.where(~blank("mapc")).select("period", F.col("mapc").alias("row_key"), F.explode("related_articles").alias("label")).where(~blank("label"))
     by_code = labels.select(F.lit("parsed_article").alias("ref_table"), "period", "row_key", article_code(F.col("label")).alias("ref_key"))
-    points = table(spark, folder, "index_document").select(F.lit("index_document").alias("ref_table"), F.col("snapshot_no").alias("period"), F.col("point_id").alias("row_key"), F.trim("mapc").alias("ref_key"))
+    points = table(spark, folder, "index_document").select(F.lit("index_document").alias("ref_table"), F.col("snapshot_no").alias("period"), F.col("point_id").alias("row_key"), trimmed("mapc").alias("ref_key"))
     codes = articles.select(F.lit("parsed_article").alias("ref_table"), "period", article_code(F.col("article_code")).alias("ref_key"))
     keys = articles.select(F.lit("index_document").alias("ref_table"), "period", F.col("mapc").alias("ref_key"))
     return by_code.unionByName(points), codes.unionByName(keys)
@@ -73,15 +74,15 @@ QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "
 # The labels' look-alikes that occur in codes, and invisible characters and odd spaces, are few enough for SQL.
 _CODE = r"regexp_extract(upper(regexp_replace(regexp_replace(translate({0}, 'ÐðƉɖ', 'ĐđĐđ'), '[\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}]', '', 'g'), '\s*\.\s*', '.', 'g')), '([0-9]+\.[0-9]+\.[A-ZĐ]+\.[0-9]+\.[0-9]+)', 1)"
 _P2 = f"""
-with a as (select snapshot_no, trim(mapc) as mapc, article_code, related_articles from parsed_article),
+with a as (select snapshot_no, @trim(mapc) as mapc, article_code, related_articles from parsed_article),
 l as (select snapshot_no, mapc, unnest(related_articles) as label from a where coalesce(mapc,'')<>''),
-r as (select distinct 'parsed_article' as ref_table, snapshot_no, mapc as row_key, {_CODE.replace('{0}', 'label')} as ref_key from l where trim(coalesce(label,''))<>''
- union select distinct 'index_document', snapshot_no, point_id, trim(mapc) from index_document where snapshot_no is not null),
+r as (select distinct 'parsed_article' as ref_table, snapshot_no, mapc as row_key, {_CODE.replace('{0}', 'label')} as ref_key from l where @trim(coalesce(label,''))<>''
+ union select distinct 'index_document', snapshot_no, point_id, @trim(mapc) from index_document where snapshot_no is not null),
 t as (select distinct 'parsed_article' as ref_table, snapshot_no, {_CODE.replace('{0}', 'article_code')} as ref_key from a union select distinct 'index_document', snapshot_no, mapc from a where coalesce(mapc,'')<>''),
 k as (select ref_table, ref_key, list(distinct snapshot_no) as held from t where coalesce(ref_key,'')<>'' group by 1, 2),
 f as (select r.*, case when list_contains(coalesce(held,[]), r.snapshot_no) then null when len(list_filter(coalesce(held,[]), lambda x: x < r.snapshot_no)) > 0 then 'deleted' when len(list_filter(coalesce(held,[]), lambda x: x > r.snapshot_no)) > 0 then 'late' else 'missing' end as reason
  from r left join k using (ref_table, ref_key) where coalesce(r.ref_key,'')<>'')"""
-SQL = {
+SQL = {name: expanded(sql) for name, sql in {
     "p2_found": f"{_P2} select ref_table, snapshot_no, row_key, ref_key, reason from f where reason is not null",
     "p2_report": f"{_P2} select ref_table, snapshot_no, reason, count(*)::bigint as n_references, count(distinct ref_key)::bigint as n_keys from f where reason is not null group by all",
-}
+}.items()}

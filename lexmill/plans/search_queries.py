@@ -17,7 +17,8 @@ from lexmill.operators.search import bm25_topk, context_block, date_passes, dedu
 from lexmill.models import embedded
 from lexmill.operators.rerank import overlap_model, reranked, variants
 from lexmill.plans.corpus_queries import _COLLAPSE, _TOKENS, _of, articles, latest_snapshot
-from lexmill.sources.tables import table
+from lexmill.plans.oracle import expanded
+from lexmill.sources.tables import table, trimmed
 from lexmill.streaming.threads import latest_states, thread_states, thread_states_batch
 
 TOP = 8
@@ -39,7 +40,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = expanded(sql)
         return f
 
     return add
@@ -47,7 +48,7 @@ def query(sql: str | None = None):
 
 def _sections(spark, folder) -> DataFrame:
     """Indexed sections, one row per point."""
-    points = table(spark, folder, "index_document").groupBy("point_id").agg(F.max("content").alias("content"), F.max(F.trim("mapc")).alias("mapc"))
+    points = table(spark, folder, "index_document").groupBy("point_id").agg(F.max("content").alias("content"), F.max(trimmed("mapc")).alias("mapc"))
     return points.withColumn("kind", _kind(F.col("content")))
 
 
@@ -242,7 +243,7 @@ c as (select distinct on (chat_id) chat_id, coalesce(final_answer,'') as a, sour
 p as (select chat_id, list_filter(list_transform(string_split(regexp_replace(a, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: """ + _of(_COLLAPSE, "x") + """), lambda x: length(x) >= 18) as l from c),
 cl as (select chat_id, generate_subscripts(l, 1) - 1 as claim_no, unnest(l) as claim from p),
 src as (select distinct chat_id, regexp_extract(s, 'Điều [0-9A-ZĐ.]+[0-9A-ZĐ]', 0) as code from (select chat_id, unnest(sources) as s from c)),
-art as (select distinct on (mapc) mapc, article_code, raw_content from parsed_article where snapshot_no = 5 and trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc),
+art as (select distinct on (mapc) mapc, article_code, raw_content from parsed_article where snapshot_no = 5 and @trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc),
 ev as (select chat_id, list_distinct(list_filter(regexp_extract_all(lower(coalesce(raw_content,'')), '[0-9A-Za-zÀ-ỹ]+'), lambda x: length(x) >= 2)) as e from src join art on code = trim(article_code)),
 ct as (select chat_id, claim_no, list_distinct(list_filter(regexp_extract_all(lower(claim), '[0-9A-Za-zÀ-ỹ]+'), lambda x: length(x) >= 2)) as t from cl),
 o as (select ct.chat_id, claim_no, len(t)::bigint as n_tokens, round(max(case when len(t) > 0 then coalesce(len(list_intersect(t, e)),0)::double / len(t) else 1.0 end),6) as best_overlap from ct left join ev using (chat_id) group by all),

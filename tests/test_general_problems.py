@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.lookalike import consistent
 from lexmill.functions.reading import as_read
-from lexmill.operators.orphans import orphan_references, orphan_report
+from lexmill.operators.orphans import KEY, orphan_keys, orphan_references, orphan_report
 from lexmill.operators.snapshot_diff import snapshot_changes
 from lexmill.plans.general_problems import article_code
+from lexmill.sources.tables import blank, trimmed
 
 DAY = datetime.datetime(2024, 1, 1)
 ROWS = "snap int, key string, body string, at timestamp, record_key string, h long"
@@ -68,6 +69,24 @@ def test_heavy_orphan_keys_are_told_by_broadcast(spark):
     assert orphan_references(refs.limit(0), targets).count() == 0
 
 
+def test_padding_of_any_white_space_is_not_part_of_a_key(spark):
+    refs = spark.createDataFrame([("t", 1, "r1", "\tk1\t"), ("t", 1, "r2", "\u00a0k2\u3000"), ("t", 1, "r3", " \t\u2003"), ("t", 1, "r4", "k3\r\n")], "ref_table string, period int, row_key string, ref_key string")
+    targets = spark.createDataFrame([("t", 1, "k1"), ("t", 1, " k3\t")], "ref_table string, period int, ref_key string")
+    assert [tuple(r) for r in orphan_references(refs, targets).collect()] == [("t", 1, "r2", "k2", "missing")]
+    padded = spark.createDataFrame([("\t\u2009",), ("\u00a0x\t",), (None,)], "x string")
+    assert [tuple(r) for r in padded.select(blank("x"), trimmed("x")).collect()] == [(True, ""), (False, "x"), (True, None)]
+
+
+def test_heavy_keys_leave_before_the_shuffle(spark):
+    refs = spark.range(9_000).select(F.lit("t").alias("ref_table"), F.lit(1).alias("period"), F.col("id").cast("string").alias("row_key"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("ref_key"))
+    targets = spark.createDataFrame([("t", 2, "hot")], "ref_table string, period int, ref_key string")
+    heavy, light = orphan_keys(refs.select(*KEY), targets)
+    assert [tuple(r) for r in heavy.collect()] == [("t", 1, "hot", 3_000, "late")] and light.where("ref_key = 'hot'").count() == 0
+    plan = orphan_references(refs, targets)._jdf.queryExecution().optimizedPlan().toString()
+    # The references that are shuffled have met the few heavy keys in an anti join before.
+    assert "LeftAnti" in plan and plan.index("Join Inner", plan.index("Union") + 200) < plan.index("LeftAnti")
+
+
 def test_labels_name_codes_however_written(spark):
     labels = ["Điều 3.12.NĐ.7.5. Tên", " điều  3.12.nđ.7.5", "Ðiều 3.12.NÐ.7.5.​ Tên", "Điều 3.12.NĐ.7.5 Tên 4.1", "Tên", ""]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, x string")
