@@ -1,14 +1,23 @@
 """Sentence boundaries across languages and scripts.
 
-Every character is tagged as the end of a unit or inside one. Only characters after which a unit
-can end at all (terminal marks with their closing quotes and brackets, line breaks, spaces in Thai)
-have a choice; a linear chain over them scores each tag by the context before and after it and the
-tags next to each other, and Viterbi decoding takes the best sequence of a text.
-
-The scores are trained without labels on the whole corpus. Ends of lines are sure ends of units, so
-a word that often stands before a mark but never before a sure end is an abbreviation, and one that
-is frequent but never begins a line does not begin a sentence. For scripts without marks or spaces
-the beginnings are counted on the text stripped of its punctuation, by leading characters.
+Every character is tagged as the end of a unit or inside one. In punctuated text only the
+characters after which a unit can end (terminal marks with their closing quotes and brackets, line
+breaks, spaces in Thai) have a choice; in text of a script without spaces that carries no marks,
+every character has one. A linear chain scores the tags by the context before and after each place
+and by the tag before, and Viterbi decoding takes the best sequence of a text.
+
+Nothing is labelled, so the chain learns from what is sure:
+
+1. Ends of lines are ends of units. Over all texts it is counted how often a word stands before a
+   mark, and how often at a sure end; how often a word occurs, and how often at a sure start. The two
+   rates that tell sentence words from others are fitted to these counts by expectation maximisation.
+2. Viterbi training: the first tags come from these ratios alone; emissions of the places (kind, case,
+   context) and transitions (tag before, distance) are then counted from the tags of the whole corpus.
+3. For scripts without spaces the marks are stripped from punctuated text and their places are the
+   labels: what characters end and begin sentences, and how long sentences are. Text without marks is
+   decoded with these counts by a chain whose transitions depend on the length so far.
+
+Texts are read by Python once; contexts are counted, looked up and put together by the JVM.
 """
 
 from __future__ import annotations
@@ -16,20 +25,27 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType
 
-#: Contexts kept of the model, the most frequent of each kind; contexts seen less than LEAST times are left out.
-MODEL_SIZE = 100_000
-LEAST = 3
-#: Share of a sentence's last words, and of its first words, that stand at a line's end and start; and the same for others.
-END_RATE, START_RATE, CHANCE = 0.15, 0.12, 0.002
+from lexmill.functions.session import kept
+
+#: Scores of contexts are clipped to this, in half steps.
 LIMIT = 6.0
+#: Contexts with at least one such part of all counts, so at most that many, are looked up by a broadcast, all others by a shuffle.
+HEAVY_SHARE = 50_000
+#: Pseudo-counts that keep a learnt score finite, and length up to which sentences of unmarked text are told apart.
+SMOOTH, LONGEST = 0.5, 160
+#: Counts that the parts of a cell weigh beside the counts of the cell itself.
+LEAN = 4.0
+#: Distances to the place before that have transitions of their own, in characters.
+NEAR = (3, 12, 40)
 #: A line break is a wrap if the next word would not have fitted; texts of longer lines are not wrapped.
 WRAP_WIDTH = (40, 110)
 
@@ -45,13 +61,10 @@ HEADING = re.compile(
 _mark = re.compile(rf"[{re.escape(STRONG + WEAK)}]+")
 _breaks = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _word = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
-_any_spaceless = re.compile("[฀-໿ក-៿぀-ヿ㐀-䶿一-鿿]")
+_space = re.compile(r"\s")
 _gap = re.compile(r"\s*")
 _digit = re.compile(r"\d")
 _beside_number = re.compile(r"[^\d.,:/%]")
-_letters = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_number = re.compile(r"\d+(?:[.,]\d+)*")
-_token = re.compile(r"\S+\Z")
 _bracket = re.compile("[" + re.escape("".join({*PAIRS, *PAIRS.values(), '"'})) + "]")
 _label = re.compile(r"[^\W\d_]+(?: [^\W\d_]+){0,3}[:：]\s+")
 _whole_word = re.compile(r"(?<![^\W_])[a-zà-öø-ÿăđĩũơưạ-ỹа-я]{3,}\Z")
@@ -79,20 +92,22 @@ def _first(text: str, at: int) -> str:
     if not m:
         return text[at]
     if m[0][0].isdigit():
-        after = re.compile(r"[  ]+([^\W\d_]+)(?:[  ]+([^\W\d_]+))?").match(text, m.end())
+        after = _two_words.match(text, m.end())
         return f"# {after[1]} {after[2] or ''}" if after else "#"
     return m[0]
 
 
 def _last(text: str, start: int, at: int) -> str:
     """Key of the word before a mark, with the marks inside it; numbers are one class, codes another."""
-    m = _token.search(text, max(start, at - 24), at)
-    word = m[0].lstrip("“«(\"'[„").lower() if m else ""
-    if not word:
+    near = text[max(start, at - 64) : at]
+    if start < at - 64 and not _space.search(near):
+        near = text[start:at]
+    if not near or near[-1].isspace():
         return ""
+    word = near.rsplit(None, 1)[-1].lstrip("“«(\"'[„").lower()
     if _digit.search(word):
         return "#a" if _beside_number.search(word) else "#"
-    return word[-12:]
+    return word
 
 
 def _lines(text: str) -> list[tuple[int, int, bool]]:
@@ -139,18 +154,13 @@ def _quoted(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return spans
 
 
-def places(text: str) -> Iterator[tuple]:
-    """Each place where a unit may end: (end, kind, before, after, inside).
+def _places_of(text: str, start: int, end: int) -> Iterator[tuple]:
+    """Each place of a paragraph where a unit may end: (end, kind, before, after, inside).
 
     ``end``: characters up to and with the mark and its closers; kind: ``break`` (sure), ``strong``, ``weak``,
     ``dots``, ``closed`` (closers after the mark), ``joined`` (no space after a weak mark), ``space`` (Thai);
     before, after: keys of the words around it; inside: within quotes or brackets that close later.
     """
-    for start, end in _paragraphs(text):
-        yield from _places_of(text, start, end)
-
-
-def _places_of(text: str, start: int, end: int) -> Iterator[tuple]:
     stop = start + len(text[start:end].rstrip())
     if not text[start:stop].strip():
         return
@@ -202,47 +212,6 @@ def _places_of(text: str, start: int, end: int) -> Iterator[tuple]:
     yield stop, "break", _last(text, start, stop - 1) if text[stop - 1] in WEAK else "", "", False
 
 
-def contexts(texts: Iterator[str]) -> Counter:
-    """Texts with each (kind, key): words before a mark, in all and at sure ends; words in all and at sure starts.
-
-    A text counts once for each, so that no long or monotonous text outweighs the others.
-    """
-    total: Counter = Counter()
-    spoken: Counter = Counter()
-    for text in texts:
-        seen, words, numbers = set(), set(), set()
-        paragraphs = list(_paragraphs(text))
-        for start, stop in paragraphs:
-            for end, kind, before, after, inside in _places_of(text, start, stop):
-                if inside:
-                    continue
-                if before and kind in ("break", "weak", "joined"):
-                    seen.add(("mark", before))
-                    if kind == "break":
-                        seen.add(("end", before))
-                # Sure starts too: after a strong mark, and after a full stop that ends a whole lower-case word.
-                if kind == "strong" or kind in ("weak", "joined") and _whole_word.search(text, max(0, end - 20), end - 1):
-                    seen.add(("start", after))
-            head = HEADING.match(text, start, stop)
-            body = head.end() if head else start
-            while body < stop and text[body].isspace():
-                body += 1
-            label = _label.match(text, body, stop)
-            for at in {body, label.end() if label else body}:
-                if at < stop:
-                    seen.add(("start", _first(text, at)))
-            words.update(_letters.findall(text, body, stop))
-            numbers.update(_first(text, m.start()) for m in _number.finditer(text, body, stop))
-        if _any_spaceless.search(text):
-            # A run without marks: each place in it could be a beginning.
-            runs = {w for w in words if _spaceless(w[0])}
-            words = (words - runs) | {w[i : i + n] for w in runs for n in [_spaceless(w[0])] for i in range(len(w))}
-        total.update(seen)
-        spoken.update(words | numbers)
-    total.update({("word", w): n for w, n in spoken.items()})
-    return total
-
-
 def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each run of lines that are wrapped into one."""
     lines, first = _lines(text), 0
@@ -254,103 +223,392 @@ def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
         first = last + 1
 
 
-def _ratio(k: int, n: int, rate: float) -> float:
-    """Log likelihood ratio that a context with ``k`` sure cases of ``n`` has that rate, not only chance."""
-    return k * math.log(rate / CHANCE) + max(n - k, 0) * math.log((1 - rate) / (1 - CHANCE))
+#: Letters of scripts without spaces, in Java and Python; a gap between two of them has their neighbours as context.
+RUN = "぀-ヿ㐀-䶿一-鿿฀-๎ກ-ໟក-៓"
+_GRAM = {"wide": ("぀-ヿ㐀-䶿一-鿿", 2), "southeast": ("฀-๎ກ-ໟក-៓", 3)}
+_run = re.compile(f"[{RUN}]{{2,}}")
+_any_mark = re.compile(rf"[{re.escape(STRONG + WEAK)}]")
 
 
-class Chain:
-    """The trained chain: scores of the contexts and Viterbi decoding."""
-
-    def __init__(self, counts: dict[tuple[str, str], int]):
-        # A number says little: it ends sentences, dates and ordinals alike.
-        self.before = {w: min(2.0 if w == "#" else LIMIT, _clip(_ratio(counts.get(("end", w), 0), n, END_RATE))) for (kind, w), n in counts.items() if kind == "mark"}
-        self.after = {w: _clip(_ratio(counts.get(("start", w), 0), n, START_RATE)) for (kind, w), n in counts.items() if kind == "word"}
-        self.after |= {w: LIMIT for (kind, w), n in counts.items() if kind == "start" and w not in self.after}
-
-    def score(self, place: tuple) -> float:
-        """Score of the tag boundary against inside at one place."""
-        _, kind, before, after, inside = place
-        if kind == "break":
-            return 100.0
-        if inside:
-            return -20.0
-        if kind == "space":
-            return 3.0 + 0.3 * self.after.get(after, 0.0)
-        if after and not after[0].isalnum() and after[0] not in "-–—#$€§" and unicodedata.category(after[0])[0] == "P":
-            return -10.0
-        follows = self.after.get(after, 0.0)
-        if after == "#":
-            follows = -LIMIT
-        case = -6.0 if after[:1].islower() else 1.0 if after[:1].isupper() else 0.0
-        if kind == "strong":
-            return 6.0 + case + 0.3 * follows if case >= 0 else case + 2.0
-        if kind == "closed":
-            return follows + case - 0.5
-        if kind == "dots":
-            return follows + case - 1.0
-        lead = 1.5 * self.before.get(before, 0.0)
-        return lead + follows + case - (1.0 if kind == "joined" else 0.0)
-
-    def ends(self, text: str | None) -> list[int]:
-        """Ends of the units of a text, by Viterbi decoding over its places."""
-        if not text or not text.strip():
-            return []
-        steps = list(places(text))
-        # best[tag]: score and back pointers of the best path whose last tag it is; 1 = boundary.
-        best, paths, previous = [0.0, -math.inf], [], 0
-        for place in steps:
-            gain = self.score(place)
-            near = -4.0 if place[0] - previous <= 3 and place[1] != "break" else 0.0
-            to_inside = (best[0], 0) if best[0] >= best[1] else (best[1], 1)
-            to_end = (best[0], 0) if best[0] >= best[1] + near else (best[1] + near, 1)
-            best = [to_inside[0], to_end[0] + gain]
-            paths.append((to_inside[1], to_end[1]))
-            previous = place[0]
-        tag, out = int(best[1] >= best[0]), []
-        for place, back in zip(reversed(steps), reversed(paths)):
-            if tag:
-                out.append(place[0])
-            tag = back[tag]
-        return out[::-1]
+def _bare_gaps(text: str) -> Iterator[tuple]:
+    """(end, before, after) of each gap within runs of text that carries no marks at all and is mostly of scripts without spaces."""
+    if _any_mark.search(text) or not _run.search(text) or _thai.search(text):
+        return
+    for start, stop in _paragraphs(text):
+        runs = list(_run.finditer(text, start, stop))
+        if 2 * sum(m.end() - m.start() for m in runs) < sum(map(str.isalpha, text[start:stop])):
+            continue
+        for m in runs:
+            g = 2 if _spaceless(m[0][0]) == 2 else 3
+            for at in range(m.start() + 1, m.end()):
+                yield at, "\x02" + text[max(m.start(), at - g) : at], "\x02" + text[at : min(m.end(), at + g)]
 
 
-def _clip(x: float) -> float:
-    return max(-LIMIT, min(LIMIT, x))
+def _case(after: str) -> str:
+    """Class of what follows a place."""
+    if not after:
+        return "-"
+    first = after[0]
+    if first == "#":
+        return "#" if after == "#" else "n"
+    if not first.isalnum() and first not in "-–—$€§" and unicodedata.category(first)[0] == "P":
+        return "p"
+    return "l" if first.islower() else "u" if first.isupper() else "o"
 
 
-def train(docs: DataFrame, text: str = "text") -> dict[tuple[str, str], int]:
-    """Texts with each context, over all texts: each task folds its own, one shuffle sums them, the most frequent ``MODEL_SIZE`` come to the driver."""
+_COLUMNS = ("at", "kind", "before", "after", "seen")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _rows(text: str) -> Iterator[tuple]:
+    """Places of a text as (end, kind and case, before, after, seen), and its distinct sure starts as (None, "start", "", key, 0).
+
+    seen: 1 the first time that a text has the word before a mark, 2 the first time at a sure end, 3 both; a text counts once
+    for each context, so that no long or monotonous text outweighs the others.
+    """
+    marks, ends, starts = set(), set(), set()
+    for start, stop in _paragraphs(text):
+        for end, kind, before, after, inside in _places_of(text, start, stop):
+            seen = 0
+            if inside:
+                yield end, "inside", "", "", 0
+                continue
+            if before and kind in ("break", "weak", "joined"):
+                if before not in marks:
+                    marks.add(before)
+                    seen = 1
+                if kind == "break" and before not in ends:
+                    ends.add(before)
+                    seen += 2
+            # Sure starts too: after a strong mark, and after a full stop that ends a whole lower-case word.
+            if after and (kind == "strong" or kind in ("weak", "joined") and _whole_word.search(text, max(0, end - 20), end - 1)):
+                starts.add(after)
+            yield end, kind if kind == "break" else f"{kind} {_case(after)}", before if kind in ("break", "weak", "joined") else "", after, seen
+        head = HEADING.match(text, start, stop)
+        body = head.end() if head else start
+        while body < stop and text[body].isspace():
+            body += 1
+        label = _label.match(text, body, stop)
+        starts.update(_first(text, at) for at in {body, label.end() if label else body} if at < stop)
+    for key in starts:
+        if key:
+            yield None, "start", "", key, 0
+    for end, before, after in _bare_gaps(text):
+        yield end, "bare", before, after, 0
+
+
+def _placed(texts: DataFrame) -> DataFrame:
+    """``k, h1, h2`` and the columns of ``_rows`` of texts ``k, h1, h2, t``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = contexts(x for x in batch["t"] if isinstance(x, str) and x.strip())
-            yield pd.DataFrame([(kind, key, n) for (kind, key), n in seen.items() if n], columns=["kind", "key", "n"])
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                origin, found = [], []
+                for i, text in enumerate(part.column("t").to_pylist()):
+                    rows = list(_rows(text))
+                    found += rows
+                    origin += [i] * len(rows)
+                columns = list(zip(*found)) or [()] * len(_COLUMNS)
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
+                at = pa.array(origin, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(c).take(at) for c in ("k", "h1", "h2")] + [pa.array(c, kind) for c, kind in zip(columns, kinds)], ["k", "h1", "h2", *_COLUMNS])
 
-    counts = docs.select(F.col(text).alias("t")).where("t is not null").mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    kept = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "kind", "key").limit(MODEL_SIZE).collect()
-    return {(r.kind, r.key): r.n for r in kept}
+    kind = texts.schema["k"].dataType.simpleString()
+    return texts.mapInArrow(read, f"k {kind}, h1 long, h2 long, at int, kind string, before string, after string, seen int")
 
 
-def sentence_ends(docs: DataFrame, key: str, text: str = "text", model: dict | None = None) -> DataFrame:
-    """``key, ends``: array of the ends of each text's units, in code points; empty for null, empty and blank texts.
+_LETTERS = r"[\p{L}\p{Nl}\p{No}]"
+_WORD = rf"{_LETTERS}+(?:['’\-]{_LETTERS}+)*"
 
-    - One row per row of ``docs``; repeated keys stay. Other columns are ignored.
-    - ``model``: counts of ``train``; by default it is trained on ``docs`` itself. An empty table trains an empty model.
-    - The model (at most ``MODEL_SIZE`` contexts) is broadcast; texts are decoded where they lie.
-    """
-    counts = docs.sparkSession.sparkContext.broadcast(train(docs, text) if model is None else model)
-    chains: list[Chain] = []
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ends(texts: pd.Series) -> pd.Series:
-        if not chains:
-            chains.append(Chain(counts.value))
-        return texts.map(lambda x: chains[0].ends(x) if isinstance(x, str) else [])
+def _spoken(texts: DataFrame) -> DataFrame:
+    """``key, n``: in how many texts a word, a number with the two words after it, or leading characters of a run occur."""
+    numbers = F.regexp_extract_all("t", F.lit(rf"\p{{Nd}}+(?:[.,]\p{{Nd}}+)*(?:[  ]+{_LETTERS}+){{0,2}}"), F.lit(0))
+    after = lambda x, i: F.regexp_extract(x, rf"^\P{{L}}*?[  ]+({_LETTERS}+)(?:[  ]+({_LETTERS}+))?", i)
+    numbered = F.transform(numbers, lambda x: F.when(x.rlike(_LETTERS + r"\z"), F.concat(F.lit("# "), after(x, 1), F.lit(" "), after(x, 2))).otherwise("#"))
+    grams = F.concat(*[F.regexp_extract_all("t", F.lit(f"(?=([{letters}]{{{n}}}))"), F.lit(1)) for letters, n in (("぀-鿿㐀-䶿", 2), ("฀-໿ក-៿", 5))])
+    words = F.concat(F.regexp_extract_all("t", F.lit(_WORD), F.lit(0)), numbered, F.when(F.col("t").rlike(f"[{RUN}]"), grams).otherwise(F.array().cast("array<string>")))
+    return texts.select(F.explode(F.array_distinct(words)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
-    return docs.select(F.col(key), ends(F.col(text)).alias("ends"))
 
+def _fitted(contexts: DataFrame) -> tuple[float, float]:
+    """Rates of sure cases in contexts ``key, n, k`` that have them as a matter of course, and in those that have them by chance.
+
+    A mixture of two binomials fitted by expectation maximisation. Contexts come to the driver as a
+    histogram over quarter octaves of n and k: some thousand rows at most, however many contexts there are.
+    """
+    octave = lambda c: F.floor(4 * F.log2(F.col(c) + 1))
+    bins = contexts.groupBy(octave("n").alias("bn"), octave("k").alias("bk")).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.sum("k").alias("k")).collect()
+    high, low, share = 0.15, 0.002, 0.5
+    if not bins:
+        return high, low
+    m, n, k = (np.array([float(r[c]) for r in bins]) for c in ("m", "n", "k"))
+    n = np.maximum(n, k)
+    for _ in range(20):
+        ratio = (k * math.log(high / low) + (n - k) * math.log((1 - high) / (1 - low))) / m
+        own = 1 / (1 + np.exp(-np.clip(ratio + math.log(share / (1 - share)), -50, 50)))
+        high = min(max(float((own * k).sum() + 0.15) / float((own * n).sum() + 1), 0.01), 0.9)
+        low = min(max(float(((1 - own) * k).sum() + 0.002) / float(((1 - own) * n).sum() + 1), 1e-4), high / 5)
+        share = min(max(float((own * m).sum() / m.sum()), 0.01), 0.99)
+    return high, low
+
+
+def _ratios(contexts: DataFrame) -> DataFrame:
+    """``key, n, score`` of contexts ``key, n, k``: log likelihood ratio of the two fitted rates, clipped, in half steps."""
+    high, low = _fitted(contexts)
+    k, n = F.col("k"), F.greatest("n", "k")
+    ratio = k * math.log(high / low) + (n - k) * math.log((1 - high) / (1 - low))
+    return contexts.select("key", "n", (F.round(2 * F.greatest(F.least(ratio, F.lit(LIMIT)), F.lit(-LIMIT))) / 2).cast("float").alias("score"))
+
+
+def _stripped(texts: DataFrame) -> DataFrame:
+    """``s``: punctuated texts of scripts without spaces, stripped of all signs, U+0001 where a sentence ends."""
+    ends = rf"(?:[{re.escape('!?。！？｡។៕')}]+[\"'”’»›)）】」』〕》]*\s*|(?<=[฀-๿])[  ]+(?=[฀-๿])|[\r\n]+)"
+    marked = texts.where(F.col("t").rlike(f"[{RUN}]") & (F.col("t").rlike(r"[。！？｡។៕]") | F.col("t").rlike(r"[฀-๿][  ]+[฀-๿]")))
+    return marked.select(F.regexp_replace(F.regexp_replace("t", ends, "\x01"), r"[^\p{L}\p{M}\p{N}\x01]+", "").alias("s"))
+
+
+def _gram_scores(stripped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, n, score`` of the characters before, and after, a gap in text without marks, counted on stripped texts."""
+
+    def counted(pattern: str, n: int, letters: str, group: int) -> DataFrame:
+        found = F.regexp_extract_all("s", F.lit(pattern.format(letters=letters, n=n)), F.lit(group))
+        return stripped.select(F.explode(found).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+
+    out = []
+    for group in (1, 2):
+        sides = []
+        for letters, n in _GRAM.values():
+            at_ends = counted("(?<=([{letters}]{{{n}}}))\x01+(?=([{letters}]{{{n}}}))", n, letters, group).withColumnRenamed("c", "k")
+            inside = counted("(?=([{letters}]{{{n}}}))", n, letters, 1)
+            both = inside.join(at_ends, "g", "left").fillna(0, ["k"])
+            whole = F.broadcast(both.agg(F.sum("c").alias("all_c"), F.sum("k").alias("all_k"), F.count(F.lit(1)).alias("v")))
+            rate = F.log((F.col("k") + 0.1) / (F.col("all_k") + 0.1 * F.col("v"))) - F.log((F.col("c") + 0.1) / (F.col("all_c") + 0.1 * F.col("v")))
+            sides.append(both.join(whole).select(F.concat(F.lit("\x02"), "g").alias("key"), F.col("c").alias("n"), F.greatest(F.least(rate, F.lit(LIMIT)), F.lit(-LIMIT)).cast("float").alias("score")))
+        out.append(sides[0].unionByName(sides[1]))
+    return out[0], out[1]
+
+
+def _lengths(stripped: DataFrame) -> np.ndarray:
+    """Log probability of a sentence's length in characters, from 0 to ``LONGEST`` (that and more)."""
+    parts = F.filter(F.split("s", "\x01+"), lambda x: F.length(x) > 0)
+    seen = stripped.select(F.explode(F.transform(parts, lambda x: F.least(F.length(x), F.lit(LONGEST)))).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()
+    counts = np.zeros(LONGEST + 1)
+    for r in seen:
+        counts[r.n] = r.c
+    # Neighbouring lengths lend each other their counts.
+    smooth = np.convolve(counts, np.ones(5) / 5, "same") + SMOOTH
+    return np.log(smooth / smooth.sum())
+
+
+def _looked_up(rows: DataFrame, column: str, scores: DataFrame) -> DataFrame:
+    """Rows with ``<column>_score`` of their context; null where there is none.
+
+    Contexts with a ``HEAVY_SHARE``-th of all counts or more meet their rows by a broadcast, the others by a shuffle.
+    """
+    total = scores.agg(F.sum("n")).first()[0] or 0
+    named = scores.select(F.col("key").alias(column), F.col("score").alias(f"{column}_score"), (F.col("n") * HEAVY_SHARE >= total).alias("heavy"))
+    heavy = F.broadcast(named.where("heavy").drop("heavy"))
+    none = F.lit(None).cast("float").alias(f"{column}_score")
+    known, empty = rows.where(F.col(column) != ""), rows.where(F.col(column) == "").select("*", none)
+    rest = known.join(heavy.select(column), column, "left_anti").join(named.where("not heavy").drop("heavy"), column, "left")
+    return empty.unionByName(known.join(heavy, column)).unionByName(rest)
+
+
+def _seed(kind: str, before: float, after: float) -> float:
+    """First score of the tag boundary against inside: before anything is learnt, from the context's ratios alone."""
+    name, _, case = kind.partition(" ")
+    if name == "inside" or case == "p":
+        return -20.0
+    if name == "space":
+        return 3.0
+    follows = -LIMIT if case == "#" else after
+    if name == "strong":
+        return -4.0 if case == "l" else 6.0 + 0.3 * follows
+    lead = 1.5 * before if name in ("weak", "joined") else 0.0
+    return lead + follows + {"l": -6.0, "u": 1.0}.get(case, 0.0) - 0.5
 
-def sentence_units(docs: DataFrame, key: str, text: str = "text", model: dict | None = None) -> DataFrame:
-    """``key, sent_no, sent_end``: one row per unit; texts without visible characters have none."""
-    return sentence_ends(docs, key, text, model).select(key, F.posexplode("ends").alias("n", "sent_end")).select(key, (F.col("n") + 1).alias("sent_no"), "sent_end")
+
+class Chain:
+    """Scores of the cells (kind with case, before, after) and of transitions; Viterbi decoding."""
+
+    def __init__(self, gains: list[float], lengths: np.ndarray, near: list[list[float]] | None = None):
+        self.gains, self.lengths = gains, lengths
+        # near[distance class][tag before]: what a boundary at that distance gains.
+        self.near = near or [[0.0, -4.0]] + [[0.0, 0.0]] * len(NEAR)
+
+    def tags(self, ends, cells, bare) -> list[bool]:
+        """Tag of each place of a text; cell -1 is a sure boundary, -2 a gap of unmarked text with its own score."""
+        return self._unmarked(ends, cells, bare) if -2 in cells else self._marked(ends, cells)
+
+    def _marked(self, ends, cells) -> list[bool]:
+        out, last = [], 1
+        inside, boundary, paths, previous = -math.inf, 0.0, [], 0
+        for end, cell in zip(ends, cells):
+            gap = end - previous
+            near = self.near[0 if gap <= NEAR[0] else 1 if gap <= NEAR[1] else 2 if gap <= NEAR[2] else 3]
+            gain, (from_inside, from_boundary) = (100.0, (0.0, 0.0)) if cell == -1 else (self.gains[cell], near)
+            x, y = inside + from_inside, boundary + from_boundary
+            paths.append((inside < boundary, x < y))
+            inside, boundary = (boundary if inside < boundary else inside), (y if x < y else x) + gain
+            previous = end
+        tag = boundary >= inside
+        for back in reversed(paths):
+            out.append(tag)
+            tag = back[tag]
+        return out[::-1]
+
+    def _unmarked(self, ends, cells, bare) -> list[bool]:
+        """Sure boundaries, and between them the best cut of each stretch: scores of its gaps and of the sentences' lengths."""
+        tags, first, start = [c == -1 for c in cells], 0, 0
+        for i, (end, cell) in enumerate(zip(ends, cells)):
+            if cell == -1:
+                for j in self._cut([start, *ends[first:i], end], bare[first:i]):
+                    tags[first + j] = True
+                first, start = i + 1, end
+        return tags
+
+    def _cut(self, places: list[int], scores) -> list[int]:
+        at, n = np.array(places), len(places)
+        gain = np.concatenate([[0.0], np.asarray(scores, dtype=float), [0.0]])
+        best, back, slope = np.zeros(n), np.zeros(n, dtype=int), 0.1
+        older, which = -math.inf, 0
+        for j in range(1, n):
+            low = max(0, j - LONGEST)
+            if low:
+                # Whatever lies further back than the longest length falls off by a constant slope.
+                value = best[low - 1] + slope * at[low - 1]
+                older, which = (value, low - 1) if value > older else (older, which)
+            span = at[j] - at[low:j]
+            value = best[low:j] + self.lengths[np.minimum(span, LONGEST)] - slope * np.maximum(span - LONGEST, 0)
+            k = int(value.argmax())
+            best[j], back[j] = value[k], low + k
+            if older + self.lengths[LONGEST] - slope * (at[j] - LONGEST) > best[j]:
+                best[j], back[j] = older + self.lengths[LONGEST] - slope * (at[j] - LONGEST), which
+            best[j] += gain[j]
+        out, j = [], back[n - 1]
+        while j > 0:
+            out.append(j - 1)
+            j = back[j]
+        return out
+
+
+def _decoded(texts: DataFrame, chain: Chain) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(chain)
+
+    @F.pandas_udf(ArrayType(BooleanType()))
+    def tags(ends: pd.Series, cells: pd.Series, bare: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.tags(e.tolist(), c.tolist(), b) for e, c, b in zip(ends, cells, bare)])
+
+    part = lambda c: F.transform("places", lambda x: x[c])
+    return texts.withColumn("tags", tags(part("at"), part("cell"), part("bare")))
+
+
+def _log_ratio(a: float, b: float, of_a: float, of_b: float) -> float:
+    return math.log((a + SMOOTH) / (of_a + 2 * SMOOTH)) - math.log((b + SMOOTH) / (of_b + 2 * SMOOTH))
+
+
+def _learnt(decoded: DataFrame, cells: list, lengths: np.ndarray) -> Chain:
+    """Chain whose emissions and transitions are counted from tagged texts: the cells' and the distances' counts, a bounded table, come to the driver."""
+    zipped = F.transform(F.arrays_zip("places", "tags"), lambda x: F.struct(x["places"]["at"].alias("at"), x["places"]["cell"].alias("cell"), x["tags"].alias("tag")))
+    all_tags = decoded.where(F.size("places") > 0).select(zipped.alias("z"))
+
+    def before(i: Column, field: str, none) -> Column:
+        return F.when(i > 0, F.try_element_at("z", i)[field]).otherwise(none)
+
+    steps = F.transform("z", lambda x, i: F.struct(x["cell"].alias("cell"), x["tag"].alias("tag"), before(i, "tag", F.lit(True)).alias("last"), (x["at"] - before(i, "at", F.lit(0))).alias("gap")))
+    gap = F.when(F.col("s.gap") <= NEAR[0], 0).when(F.col("s.gap") <= NEAR[1], 1).when(F.col("s.gap") <= NEAR[2], 2).otherwise(3)
+    counts = all_tags.select(F.explode(F.filter(steps, lambda x: x["cell"] >= 0)).alias("s")).groupBy("s.cell", "s.tag", "s.last", gap.alias("gap")).agg(F.count(F.lit(1)).alias("n")).collect()
+    kinds: dict = {}
+    values: dict = {}
+    joint: dict = {}
+    gaps = np.zeros((len(NEAR) + 1, 2, 2))
+    totals = [0.0, 0.0]
+    for r in counts:
+        kind, b, a = cells[r["cell"]]
+        tag, n = int(r["tag"]), r["n"]
+        totals[tag] += n
+        gaps[r["gap"], int(r["last"]), tag] += n
+        kinds.setdefault(kind, [0.0, 0.0])[tag] += n
+        joint.setdefault((kind, b, a), [0.0, 0.0])[tag] += n
+        name = kind.partition(" ")[0]
+        for side, x in (("before", b), ("after", a)):
+            values.setdefault((name, side, x), [0.0, 0.0])[tag] += n
+            values.setdefault((name, side), [0.0, 0.0])[tag] += n
+
+    def gain(kind: str, b: float, a: float) -> float:
+        score = math.log((kinds[kind][1] + SMOOTH) / (kinds[kind][0] + SMOOTH)) if kind in kinds else 0.0
+        name = kind.partition(" ")[0]
+        for side, x in (("before", b), ("after", a)):
+            no, yes = values.get((name, side, x), (0.0, 0.0))
+            all_no, all_yes = values.get((name, side), (0.0, 0.0))
+            score += _log_ratio(yes, no, all_yes, all_no)
+        # A cell seen often enough speaks for itself; one seen rarely leans on what its parts tell.
+        share = 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
+        no, yes = joint.get((kind, b, a), (0.0, 0.0))
+        return math.log((yes + LEAN * share + 1e-9) / (no + LEAN * (1 - share) + 1e-9))
+
+    prior = math.log((totals[1] + SMOOTH) / (totals[0] + SMOOTH))
+    near = [[math.log((g[1] + 5 * (totals[1] + SMOOTH) / (sum(totals) + 1)) / (g[0] + 5 * (totals[0] + SMOOTH) / (sum(totals) + 1))) - prior for g in of] for of in gaps]
+    return Chain([gain(*c) for c in cells], lengths, near)
+
+
+def sentence_ends(docs: DataFrame, key: str, text: str = "text", training: DataFrame | None = None) -> DataFrame:
+    """``key, ends``: array of the ends of each text's units, in code points; texts without visible characters have no row.
+
+    - Rows of equal key and text come out once; null keys and equal keys with different texts stay rows of their own.
+    - ``training``: texts (column ``text``) that the chain learns from; by default ``docs`` itself. Other columns are ignored.
+    - Null, empty and blank texts have no units; an empty table gives no rows.
+    - Counts cover all texts and contexts; none is dropped. What comes to the driver has a bound that does not
+      depend on the data: a histogram, the cells' and distances' counts, the lengths up to ``LONGEST``.
+    """
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"\S")).withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")}).select("k", "h1", "h2", "t")
+    placed = kept(_placed(texts))
+    if training is None:
+        learnt_texts, learnt_places = texts, placed
+    else:
+        learnt_texts = training.select(F.monotonically_increasing_id().alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"\S")).withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")}).select("k", "h1", "h2", "t")
+        learnt_places = kept(_placed(learnt_texts))
+    before, after, lengths = _evidence(learnt_texts, learnt_places)
+    cells, trained = _grouped(learnt_places, before, after)
+    first = Chain([_seed(*c) for c in cells], lengths)
+    chain = _learnt(_decoded(trained, first), cells, lengths)
+    if training is not None:
+        new_cells, trained = _grouped(placed, before, after)
+        known = dict(zip(cells, chain.gains))
+        chain = Chain([known.get(c, _seed(*c)) for c in new_cells], lengths, chain.near)
+    found = F.filter(F.transform(F.arrays_zip("places", "tags"), lambda x: F.when(x["tags"], x["places"]["at"])), lambda x: x.isNotNull())
+    return _decoded(trained, chain).select(F.col("k").alias(key), found.alias("ends"))
+
+
+def _evidence(texts: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Scores ``key, n, score`` of the contexts before and after a place, and the lengths of sentences, from all texts."""
+    marks = placed.where("seen > 0").groupBy(F.col("before").alias("key")).agg(F.sum(F.col("seen") % 2).alias("n"), F.sum(F.floor(F.col("seen") / 2)).alias("k"))
+    # A number says little: it ends sentences, dates and ordinals alike.
+    before = _ratios(kept(marks)).withColumn("score", F.when(F.col("key") == "#", F.least("score", F.lit(2.0).cast("float"))).otherwise(F.col("score")))
+    starts = placed.where("kind = 'start'").groupBy(F.col("after").alias("key")).agg(F.count(F.lit(1)).alias("k"))
+    words = _spoken(texts).select("key", "n", F.lit(0).cast("long").alias("k")).unionByName(starts.select("key", F.lit(0).cast("long").alias("n"), "k"))
+    after = _ratios(kept(words.groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))))
+    stripped = kept(_stripped(texts))
+    before_gap, after_gap = _gram_scores(stripped)
+    return kept(before.unionByName(before_gap)), kept(after.unionByName(after_gap)), _lengths(stripped)
+
+
+def _grouped(placed: DataFrame, before: DataFrame, after: DataFrame) -> tuple[list, DataFrame]:
+    """Cells (kind, before, after) that occur, and ``k, h1, h2, places`` of each text: its places in order with the numbers of their cells."""
+    rows = placed.where("kind <> 'start'")
+    sure = F.col("kind") == "break"
+    none = F.lit(None).cast("float")
+    open_places = _looked_up(_looked_up(rows.where(~sure), "before", before), "after", after)
+    x = open_places.select("k", "h1", "h2", "at", "kind", F.coalesce("before_score", F.lit(0.0)).cast("float").alias("b"), F.coalesce("after_score", F.when(F.col("after") != "", F.lit(LIMIT)).otherwise(F.lit(0.0))).cast("float").alias("a"))
+    both = kept(x.unionByName(rows.where(sure).select("k", "h1", "h2", "at", "kind", F.lit(0.0).cast("float").alias("b"), F.lit(0.0).cast("float").alias("a"))))
+    cells = [tuple(r) for r in both.where("kind not in ('break', 'bare')").select("kind", "b", "a").distinct().orderBy("kind", "b", "a").collect()]
+    numbered = placed.sparkSession.createDataFrame([(*c, i) for i, c in enumerate(cells)], "kind string, b float, a float, cell int")
+    told = both.join(F.broadcast(numbered), ["kind", "b", "a"], "left").withColumn("cell", F.coalesce("cell", F.when(sure, -1).otherwise(-2)))
+    place = F.struct("at", "cell", F.when(F.col("cell") == -2, F.col("a") + F.col("b")).otherwise(none).alias("bare"))
+    return cells, told.groupBy("k", "h1", "h2").agg(F.array_sort(F.collect_set(place)).alias("places"))
+
+
+def sentence_units(docs: DataFrame, key: str, text: str = "text", training: DataFrame | None = None) -> DataFrame:
+    """``key, sent_no, sent_end``: one row per unit of each distinct (key, text); texts without visible characters have none."""
+    return sentence_ends(docs, key, text, training).select(key, F.posexplode("ends").alias("n", "sent_end")).select(key, (F.col("n") + 1).alias("sent_no"), "sent_end")
