@@ -48,9 +48,43 @@ def script(ch: str) -> str:
     return ""
 
 
+#: Formats that are seen (number signs and the like), and fillers and selectors outside the format category that are not.
+SEEN_FORMATS = re.compile("[\u0600-\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd\U00013430-\U0001343f]")
+UNSEEN = re.compile("[\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\ufe00-\ufe0f\uffa0\ufff0-\ufff8\U000e0000-\U000e0fff\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]")
+_shaping = re.compile("[\u0600-\u074f\u0750-\u077f\u0840-\u08ff\u0900-\u0dff\u0f00-\u109f\u1780-\u17ff\u1a20-\u1aaf\ua8e0-\ua8ff\U00011000-\U000116cf]")
+
+
 def is_invisible(ch: str) -> bool:
-    """Format characters, fillers and joiners; an emoji's presentation selector is not one."""
-    return unicodedata.category(ch) == "Cf" or ch in "͏ᅟᅠㅤﾠ឴឵"
+    """Format characters, fillers, joiners, variation selectors, tags and control characters of any plane."""
+    return bool(UNSEEN.match(ch)) or unicodedata.category(ch) == "Cf" and not SEEN_FORMATS.match(ch)
+
+
+@lru_cache(maxsize=70_000)
+def around(ch: str) -> str:
+    """Class of a character as the neighbour of an invisible one: S symbol, J letter that joins its neighbours, M Mongolian, V selector, T tag or black flag."""
+    if not ch:
+        return ""
+    if "\ufe00" <= ch <= "\ufe0f":
+        return "V"
+    if ch == "\U0001f3f4" or "\U000e0020" <= ch <= "\U000e007e":
+        return "T"
+    kind = unicodedata.category(ch)
+    if kind[0] == "S":
+        return "S"
+    if "\u1820" <= ch <= "\u18aa":
+        return "M"
+    return "J" if kind[0] in "LM" and _shaping.match(ch) else ""
+
+
+def stays(ch: str, before: str, after: str) -> bool:
+    """Whether an invisible character changes how its neighbours look: an emoji's selector, a joiner in Arabic or Indic words, a flag's tag."""
+    if "\ufe00" <= ch <= "\ufe0f":
+        return around(before) == "S" or after == "\u20e3"
+    if ch in "\u200c\u200d":
+        return around(before) == around(after) == "J" or ch == "\u200d" and around(before) in ("S", "V", "T") and around(after) in ("S", "T")
+    if "\u180b" <= ch <= "\u180f":
+        return around(before) == "M"
+    return "\U000e0020" <= ch <= "\U000e007f" and around(before) == "T"
 
 
 def is_wide_mark(ch: str) -> bool:
@@ -100,9 +134,11 @@ def settle(word: str, of: str) -> str:
 
 
 #: White space that separates chunks, the unit that is brought to the consistent form.
-CHUNK = r"[ \t\r\n]+"
 _chunk = re.compile(r"([ \t\r\n]+)")
 _twin = re.compile(f"[{''.join(FOREIGN)}]")
+_han = re.compile("[、-〿ぁ-ゟァ-ヿ㐀-䶿一-鿿豈-\ufaff]")
+#: Characters of a chunk at most: text without white space is cut further, so that nothing unbounded is one piece.
+PIECE = 256
 
 
 def near_scripts(chunk: str) -> str:
@@ -110,8 +146,54 @@ def near_scripts(chunk: str) -> str:
     return "".join(of for of in "CGA" if any(sure(ch, of) for ch in chunk))
 
 
+def _in_word(ch: str) -> bool:
+    return unicodedata.category(ch)[0] == "M" or script(ch) in ("L", "C", "G", "A")
+
+
+def _starts(ch: str) -> bool:
+    """Whether nothing before a character composes with it."""
+    return unicodedata.category(ch)[0] != "M" and not is_invisible(ch) and not "\u1100" <= ch <= "\u11ff"
+
+
+def cut_chunk(chunk: str) -> list[str]:
+    """A chunk in pieces of at most ``PIECE`` characters: cut between words or characters of a script without them, else before a character that starts anew."""
+    out = []
+    while len(chunk) > PIECE:
+        span = range(PIECE, PIECE // 2, -1)
+        loose = (i for i in span if _starts(chunk[i]) and not is_invisible(chunk[i - 1]) and not (_in_word(chunk[i]) and _in_word(chunk[i - 1])))
+        cut = next(loose, None) or next((i for i in span if _starts(chunk[i])), PIECE)
+        out.append(chunk[:cut])
+        chunk = chunk[cut:]
+    return [*out, chunk]
+
+
+def pieces(text: str) -> list[tuple[str, str, bool]]:
+    """(piece, near, suspect) of a text in order, with the white space between them.
+
+    near: scripts of the pieces beside it, where twins could need them; H if a piece of a cut chunk belongs to text with Han.
+    """
+    parts = _chunk.split(text)
+    if any(len(x) > PIECE for x in parts[::2]):
+        flat = []
+        for i, part in enumerate(parts):
+            whole = i % 2 or len(part) <= PIECE
+            flat += [(part, "")] if whole else [(x, "H" if _han.search(part) else "") for x in cut_chunk(part)]
+    else:
+        flat = [(x, "") for x in parts]
+    solid = [i for i, (x, _) in enumerate(flat) if x and not x[0] in " \t\r\n"]
+    place = {i: n for n, i in enumerate(solid)}
+    out = []
+    for i, (x, han) in enumerate(flat):
+        if not x:
+            continue
+        odd = i in place and bool(_suspect.search(x))
+        beside = [flat[solid[n]][0] for n in (place[i] - 1, place[i] + 1) if 0 <= n < len(solid)] if odd and _twin.search(x) else []
+        out.append((x, ("".join(map(near_scripts, beside)) + han) if odd else "", odd))
+    return out
+
+
 def consistent_chunk(chunk: str, near: str = "") -> str:
-    """Consistent form of text without plain white space; ``near``: scripts of the chunks beside it."""
+    """Consistent form of text without plain white space; ``near``: scripts of the pieces beside it."""
     return _short_chunk(chunk, near) if len(chunk) <= 48 else _any_chunk(chunk, near)
 
 
@@ -121,9 +203,10 @@ def _short_chunk(chunk: str, near: str) -> str:
 
 
 def _any_chunk(chunk: str, near: str) -> str:
-    chunk = "".join(ch for ch in chunk if not is_invisible(ch))
-    han = any(script(ch) == "H" for ch in chunk)
-    plain = unicodedata.normalize("NFD", "".join(ch if han and is_wide_mark(ch) else expand(ch) for ch in chunk))
+    beside = zip(chunk, ["", *chunk], [*chunk[1:], ""])
+    seen = [(ch, is_invisible(ch)) for ch, before, after in beside if not is_invisible(ch) or stays(ch, before, after)]
+    han = "H" in near or bool(_han.search(chunk))
+    plain = unicodedata.normalize("NFD", "".join(ch if kept or han and is_wide_mark(ch) else expand(ch) for ch, kept in seen))
     near += near_scripts(plain)
     out, word = [], ""
     for ch in plain + " ":
@@ -143,9 +226,4 @@ def consistent(text: str | None) -> str | None:
     """The consistent form of one value: NFC, half width, plain spaces, nothing invisible, each letter from its word's script."""
     if text is None or not _suspect.search(text):
         return text
-    parts = _chunk.split(text)
-    for k in range(0, len(parts), 2):
-        if _suspect.search(parts[k]):
-            near = "".join(near_scripts(parts[j]) for j in (k - 2, k + 2) if 0 <= j < len(parts)) if _twin.search(parts[k]) else ""
-            parts[k] = consistent_chunk(parts[k], near)
-    return "".join(parts)
+    return "".join(consistent_chunk(x, near) if odd else x for x, near, odd in pieces(text))

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _kept: list[DataFrame] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def kept(rows: DataFrame) -> DataFrame:
@@ -17,11 +18,23 @@ def kept(rows: DataFrame) -> DataFrame:
     return _kept[-1]
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to a new folder below the shared one and read again: their lineage ends there, whatever executor is lost later."""
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def release() -> int:
-    """Let go of all that operators have kept, once their results are written; how many tables that were."""
-    n = len(_kept)
+    """Let go of all that operators have kept or written, once their results are written; how many tables that were."""
+    n = len(_kept) + len(_written)
     while _kept:
         _kept.pop().unpersist()
+    while _written:
+        spark, path = _written.pop()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return n
 
 
