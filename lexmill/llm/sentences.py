@@ -17,7 +17,7 @@ Nothing is labelled, so the chain learns from what is sure:
    labels: what characters end and begin sentences, and how long sentences are. Text without marks is
    decoded with these counts by a chain whose transitions depend on the length so far.
 
-Texts are read by Python once; contexts are counted, looked up and put together by the JVM.
+Texts are read by Python once, where contexts are folded per batch; they are summed, looked up and put together by the JVM.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
-from lexmill.functions.session import kept
+from lexmill.functions.session import written
 
 #: Scores of contexts are clipped to this, in half steps.
 LIMIT = 6.0
@@ -61,6 +63,8 @@ HEADING = re.compile(
 _mark = re.compile(rf"[{re.escape(STRONG + WEAK)}]+")
 _breaks = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _word = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
+_letters = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_numbers = re.compile(r"\d+(?:[.,]\d+)*(?:[  ]+([^\W\d_]+)(?:[  ]+([^\W\d_]+))?)?")
 _space = re.compile(r"\s")
 _gap = re.compile(r"\s*")
 _digit = re.compile(r"\d")
@@ -256,79 +260,83 @@ def _case(after: str) -> str:
     return "l" if first.islower() else "u" if first.isupper() else "o"
 
 
-_COLUMNS = ("at", "kind", "before", "after", "seen")
+_COLUMNS = ("at", "kind", "before", "after", "n")
+_CONTEXTS = ("mark", "end", "word", "start")
 
 
-def _rows(text: str) -> Iterator[tuple]:
-    """Places of a text as (end, kind and case, before, after, seen), and its distinct sure starts as (None, "start", "", key, 0).
+@lru_cache(maxsize=200_000)
+def _short_words(token: str) -> tuple[str, ...]:
+    return tuple(_letters.findall(token))
 
-    seen: 1 the first time that a text has the word before a mark, 2 the first time at a sure end, 3 both; a text counts once
-    for each context, so that no long or monotonous text outweighs the others.
+
+def _token_words(token: str) -> tuple[str, ...]:
+    """Words of a run without white space; those of short runs are remembered."""
+    return _short_words(token) if len(token) <= 40 else tuple(_letters.findall(token))
+
+
+def _rows(text: str, seen: dict[str, Counter]) -> Iterator[tuple]:
+    """Places of a text as (end, kind and case, before, after, None).
+
+    ``seen`` counts the text's contexts by kind: words before a mark, in all (``mark``) and at sure ends (``end``); words in
+    all (``word``) and at sure starts (``start``). A text counts once for each, so that no long or monotonous text outweighs the others.
     """
     marks, ends, starts = set(), set(), set()
     for start, stop in _paragraphs(text):
         for end, kind, before, after, inside in _places_of(text, start, stop):
-            seen = 0
             if inside:
-                yield end, "inside", "", "", 0
+                yield end, "inside", "", "", None
                 continue
-            if before and kind in ("break", "weak", "joined"):
-                if before not in marks:
+            if kind == "break":
+                if before:
                     marks.add(before)
-                    seen = 1
-                if kind == "break" and before not in ends:
                     ends.add(before)
-                    seen += 2
+                yield end, kind, "", "", None
+                continue
+            weak = kind in ("weak", "joined")
+            if before and weak:
+                marks.add(before)
             # Sure starts too: after a strong mark, and after a full stop that ends a whole lower-case word.
-            if after and (kind == "strong" or kind in ("weak", "joined") and _whole_word.search(text, max(0, end - 20), end - 1)):
+            if after and (kind == "strong" or weak and _whole_word.search(text, max(0, end - 20), end - 1)):
                 starts.add(after)
-            yield end, kind if kind == "break" else f"{kind} {_case(after)}", before if kind in ("break", "weak", "joined") else "", after, seen
+            yield end, f"{kind} {_case(after)}", before if weak else "", after, None
         head = HEADING.match(text, start, stop)
         body = head.end() if head else start
         while body < stop and text[body].isspace():
             body += 1
         label = _label.match(text, body, stop)
         starts.update(_first(text, at) for at in {body, label.end() if label else body} if at < stop)
-    for key in starts:
-        if key:
-            yield None, "start", "", key, 0
     for end, before, after in _bare_gaps(text):
-        yield end, "bare", before, after, 0
+        yield end, "bare", before, after, None
+    words = set().union(*map(_token_words, set(text.split())))
+    words.update(f"# {a} {b}" if a else "#" for a, b in set(_numbers.findall(text)))
+    if _run.search(text):
+        # A run without marks: each place in it could be a beginning.
+        runs = {w for w in words if _spaceless(w[0])}
+        words = (words - runs) | {w[i : i + n] for w in runs for n in [_spaceless(w[0])] for i in range(len(w))}
+    for kind, keys in (("mark", marks), ("end", ends), ("start", starts), ("word", words)):
+        seen[kind].update(keys)
 
 
 def _placed(texts: DataFrame) -> DataFrame:
-    """``k, h1, h2`` and the columns of ``_rows`` of texts ``k, h1, h2, t``."""
+    """``k, h1, h2`` and the columns of ``_rows`` of texts ``k, h1, h2, t``; contexts as ``kind, after, n``, folded per batch of texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                origin, found = [], []
-                for i, text in enumerate(part.column("t").to_pylist()):
-                    rows = list(_rows(text))
-                    found += rows
-                    origin += [i] * len(rows)
-                columns = list(zip(*found)) or [()] * len(_COLUMNS)
-                kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
-                at = pa.array(origin, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(c).take(at) for c in ("k", "h1", "h2")] + [pa.array(c, kind) for c, kind in zip(columns, kinds)], ["k", "h1", "h2", *_COLUMNS])
+            seen, origin, found = {kind: Counter() for kind in _CONTEXTS}, [], []
+            for i, text in enumerate(batch.column("t").to_pylist()):
+                rows = list(_rows(text, seen))
+                found += rows
+                origin += [i] * len(rows)
+            contexts = [(None, kind, "", key, n) for kind, of in seen.items() for key, n in of.items() if key]
+            found += contexts
+            origin += [None] * len(contexts)
+            columns = list(zip(*found)) or [()] * len(_COLUMNS)
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64())
+            at = pa.array(origin, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("k", "h1", "h2")] + [pa.array(c, kind) for c, kind in zip(columns, kinds)], ["k", "h1", "h2", *_COLUMNS])
 
     kind = texts.schema["k"].dataType.simpleString()
-    return texts.mapInArrow(read, f"k {kind}, h1 long, h2 long, at int, kind string, before string, after string, seen int")
-
-
-_LETTERS = r"[\p{L}\p{Nl}\p{No}]"
-_WORD = rf"{_LETTERS}+(?:['’\-]{_LETTERS}+)*"
-
-
-def _spoken(texts: DataFrame) -> DataFrame:
-    """``key, n``: in how many texts a word, a number with the two words after it, or leading characters of a run occur."""
-    numbers = F.regexp_extract_all("t", F.lit(rf"\p{{Nd}}+(?:[.,]\p{{Nd}}+)*(?:[  ]+{_LETTERS}+){{0,2}}"), F.lit(0))
-    after = lambda x, i: F.regexp_extract(x, rf"^\P{{L}}*?[  ]+({_LETTERS}+)(?:[  ]+({_LETTERS}+))?", i)
-    numbered = F.transform(numbers, lambda x: F.when(x.rlike(_LETTERS + r"\z"), F.concat(F.lit("# "), after(x, 1), F.lit(" "), after(x, 2))).otherwise("#"))
-    grams = F.concat(*[F.regexp_extract_all("t", F.lit(f"(?=([{letters}]{{{n}}}))"), F.lit(1)) for letters, n in (("぀-鿿㐀-䶿", 2), ("฀-໿ក-៿", 5))])
-    words = F.concat(F.regexp_extract_all("t", F.lit(_WORD), F.lit(0)), numbered, F.when(F.col("t").rlike(f"[{RUN}]"), grams).otherwise(F.array().cast("array<string>")))
-    return texts.select(F.explode(F.array_distinct(words)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return texts.mapInArrow(read, f"k {kind}, h1 long, h2 long, at int, kind string, before string, after string, n long")
 
 
 def _fitted(contexts: DataFrame) -> tuple[float, float]:
@@ -371,22 +379,24 @@ def _stripped(texts: DataFrame) -> DataFrame:
 def _gram_scores(stripped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``key, n, score`` of the characters before, and after, a gap in text without marks, counted on stripped texts."""
 
-    def counted(pattern: str, n: int, letters: str, group: int) -> DataFrame:
-        found = F.regexp_extract_all("s", F.lit(pattern.format(letters=letters, n=n)), F.lit(group))
-        return stripped.select(F.explode(found).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    def events(name: str, letters: str, n: int) -> list[Column]:
+        found = lambda pattern, i: F.regexp_extract_all("s", F.lit(pattern.replace("@", f"[{letters}]{{{n}}}")), F.lit(i))
+        told = lambda grams, k: F.transform(grams, lambda g: F.struct(F.lit(name).alias("script"), g.alias("g"), *[F.lit(int(i == k)).alias(c) for i, c in enumerate("cba")]))
+        ends = "(?<=(@))\x01+(?=(@))"
+        return [told(found("(?=(@))", 1), 0), told(found(ends, 1), 1), told(found(ends, 2), 2)]
+
+    every = F.concat(*[x for name, (letters, n) in _GRAM.items() for x in events(name, letters, n)])
+    grams = written(stripped.select(F.explode(every).alias("e")).groupBy("e.script", "e.g").agg(*[F.sum(F.col("e")[c]).alias(c) for c in "cba"]), "grams")
+    totals = {r.script: r for r in grams.groupBy("script").agg(*[F.sum(c).alias(c) for c in "cba"], F.count(F.lit(1)).alias("v")).collect()}
+
+    def scored(side: str) -> DataFrame:
+        rate = F.lit(None).cast("double")
+        for name, t in totals.items():
+            near = F.log((F.col(side) + 0.1) / (t[side] + 0.1 * t.v)) - F.log((F.col("c") + 0.1) / (t.c + 0.1 * t.v))
+            rate = F.when(F.col("script") == name, near).otherwise(rate)
+        return grams.select(F.concat(F.lit("\x02"), "g").alias("key"), F.col("c").alias("n"), F.greatest(F.least(rate, F.lit(LIMIT)), F.lit(-LIMIT)).cast("float").alias("score"))
 
-    out = []
-    for group in (1, 2):
-        sides = []
-        for letters, n in _GRAM.values():
-            at_ends = counted("(?<=([{letters}]{{{n}}}))\x01+(?=([{letters}]{{{n}}}))", n, letters, group).withColumnRenamed("c", "k")
-            inside = counted("(?=([{letters}]{{{n}}}))", n, letters, 1)
-            both = inside.join(at_ends, "g", "left").fillna(0, ["k"])
-            whole = F.broadcast(both.agg(F.sum("c").alias("all_c"), F.sum("k").alias("all_k"), F.count(F.lit(1)).alias("v")))
-            rate = F.log((F.col("k") + 0.1) / (F.col("all_k") + 0.1 * F.col("v"))) - F.log((F.col("c") + 0.1) / (F.col("all_c") + 0.1 * F.col("v")))
-            sides.append(both.join(whole).select(F.concat(F.lit("\x02"), "g").alias("key"), F.col("c").alias("n"), F.greatest(F.least(rate, F.lit(LIMIT)), F.lit(-LIMIT)).cast("float").alias("score")))
-        out.append(sides[0].unionByName(sides[1]))
-    return out[0], out[1]
+    return scored("b"), scored("a")
 
 
 def _lengths(stripped: DataFrame) -> np.ndarray:
@@ -563,12 +573,12 @@ def sentence_ends(docs: DataFrame, key: str, text: str = "text", training: DataF
       depend on the data: a histogram, the cells' and distances' counts, the lengths up to ``LONGEST``.
     """
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"\S")).withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")}).select("k", "h1", "h2", "t")
-    placed = kept(_placed(texts))
+    placed = written(_placed(texts), "places")
     if training is None:
         learnt_texts, learnt_places = texts, placed
     else:
         learnt_texts = training.select(F.monotonically_increasing_id().alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"\S")).withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")}).select("k", "h1", "h2", "t")
-        learnt_places = kept(_placed(learnt_texts))
+        learnt_places = written(_placed(learnt_texts), "places")
     before, after, lengths = _evidence(learnt_texts, learnt_places)
     cells, trained = _grouped(learnt_places, before, after)
     first = Chain([_seed(*c) for c in cells], lengths)
@@ -583,25 +593,24 @@ def sentence_ends(docs: DataFrame, key: str, text: str = "text", training: DataF
 
 def _evidence(texts: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Scores ``key, n, score`` of the contexts before and after a place, and the lengths of sentences, from all texts."""
-    marks = placed.where("seen > 0").groupBy(F.col("before").alias("key")).agg(F.sum(F.col("seen") % 2).alias("n"), F.sum(F.floor(F.col("seen") / 2)).alias("k"))
+    contexts = placed.where("at is null").groupBy(F.col("after").alias("key")).pivot("kind", list(_CONTEXTS)).agg(F.sum("n")).fillna(0)
+    contexts = written(contexts, "contexts")
     # A number says little: it ends sentences, dates and ordinals alike.
-    before = _ratios(kept(marks)).withColumn("score", F.when(F.col("key") == "#", F.least("score", F.lit(2.0).cast("float"))).otherwise(F.col("score")))
-    starts = placed.where("kind = 'start'").groupBy(F.col("after").alias("key")).agg(F.count(F.lit(1)).alias("k"))
-    words = _spoken(texts).select("key", "n", F.lit(0).cast("long").alias("k")).unionByName(starts.select("key", F.lit(0).cast("long").alias("n"), "k"))
-    after = _ratios(kept(words.groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))))
-    stripped = kept(_stripped(texts))
+    before = _ratios(contexts.where("mark > 0").select("key", F.col("mark").alias("n"), F.col("end").alias("k"))).withColumn("score", F.when(F.col("key") == "#", F.least("score", F.lit(2.0).cast("float"))).otherwise(F.col("score")))
+    after = _ratios(contexts.where("word + start > 0").select("key", F.col("word").alias("n"), F.col("start").alias("k")))
+    stripped = written(_stripped(texts), "stripped")
     before_gap, after_gap = _gram_scores(stripped)
-    return kept(before.unionByName(before_gap)), kept(after.unionByName(after_gap)), _lengths(stripped)
+    return before.unionByName(before_gap), after.unionByName(after_gap), _lengths(stripped)
 
 
 def _grouped(placed: DataFrame, before: DataFrame, after: DataFrame) -> tuple[list, DataFrame]:
     """Cells (kind, before, after) that occur, and ``k, h1, h2, places`` of each text: its places in order with the numbers of their cells."""
-    rows = placed.where("kind <> 'start'")
+    rows = placed.where("at is not null")
     sure = F.col("kind") == "break"
     none = F.lit(None).cast("float")
     open_places = _looked_up(_looked_up(rows.where(~sure), "before", before), "after", after)
     x = open_places.select("k", "h1", "h2", "at", "kind", F.coalesce("before_score", F.lit(0.0)).cast("float").alias("b"), F.coalesce("after_score", F.when(F.col("after") != "", F.lit(LIMIT)).otherwise(F.lit(0.0))).cast("float").alias("a"))
-    both = kept(x.unionByName(rows.where(sure).select("k", "h1", "h2", "at", "kind", F.lit(0.0).cast("float").alias("b"), F.lit(0.0).cast("float").alias("a"))))
+    both = written(x.unionByName(rows.where(sure).select("k", "h1", "h2", "at", "kind", F.lit(0.0).cast("float").alias("b"), F.lit(0.0).cast("float").alias("a"))), "cells")
     cells = [tuple(r) for r in both.where("kind not in ('break', 'bare')").select("kind", "b", "a").distinct().orderBy("kind", "b", "a").collect()]
     numbered = placed.sparkSession.createDataFrame([(*c, i) for i, c in enumerate(cells)], "kind string, b float, a float, cell int")
     told = both.join(F.broadcast(numbered), ["kind", "b", "a"], "left").withColumn("cell", F.coalesce("cell", F.when(sure, -1).otherwise(-2)))

@@ -10,19 +10,21 @@ cost of the explosion.
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from lexmill.functions.lookalike import FOREIGN, STROKES, SUSPECT, TO_CYRILLIC, expand, is_invisible, is_wide_mark, near_scripts, script, sure
+from lexmill.functions.lookalike import FOREIGN, STROKES, SUSPECT, TO_CYRILLIC, around, expand, is_invisible, is_wide_mark, pieces, script, sure
+from lexmill.functions.session import kept
 
 ID = ["h1", "h2", "near"]
 _PART = "ch string, ccc int, letter boolean, sure string, script string, latin string, cyrillic string"
+#: Code points that are simply themselves by the thousand: Hangul syllables, surrogates, private use, plain ideographs.
+_PLAIN = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xD800, 0xF8FF), (0x20000, 0x2F7FF), (0x2FA20, 0xDFFFF), (0xE1000, 0x10FFFF)]
 
 
 def _part(ch: str) -> tuple:
@@ -30,67 +32,49 @@ def _part(ch: str) -> tuple:
     return ch, unicodedata.combining(ch), of in ("L", "C", "G", "A"), of if of and sure(ch, of) else None, of or None, FOREIGN.get(ch, ch), TO_CYRILLIC.get(ch, ch)
 
 
-def character_table(spark: SparkSession) -> DataFrame:
-    """``at, wide, han, parts``: full decomposition and look-alikes of each character that is not simply itself.
-
-    Built by rule over all code points; some 6,000 rows however large the input, so it may be broadcast.
-    Han, kana and Hangul of the basic blocks, which are many and simply themselves, are left out.
-    """
-    rows = []
-    for n in range(0x20, 0x1F000):
-        if 0xAC00 <= n <= 0xD7A3 or 0xD800 <= n <= 0xF8FF or n > 0xFFFF and not unicodedata.combining(chr(n)):
+@lru_cache(maxsize=1)
+def _characters() -> list[tuple]:
+    rows, n = [], 0
+    while n <= 0x10FFFF:
+        skip = next((b for a, b in _PLAIN if a <= n <= b), None)
+        if skip:
+            n = skip + 1
             continue
         ch = chr(n)
         to = unicodedata.normalize("NFD", expand(ch))
-        if to != ch or unicodedata.combining(ch) or script(ch) in ("L", "C", "G", "A") or is_invisible(ch):
-            rows.append((ch, is_wide_mark(ch), [_part(x) for x in to]))
-    return spark.createDataFrame(rows, f"at string, wide boolean, parts array<struct<{_PART.replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean')}>>")
-
-
-@F.pandas_udf(StringType())
-def _recompose(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+        if to != ch or unicodedata.combining(ch) or script(ch) in ("L", "C", "G", "A") or is_invisible(ch) or around(ch):
+            rows.append((ch, is_wide_mark(ch), is_invisible(ch), around(ch), [_part(x) for x in to]))
+        n += 1
+    return rows
 
 
-_PIECES = ArrayType(StructType([StructField("token", StringType()), StructField("near", StringType())]))
-_chunks = re.compile(r"[^ \t\r\n]+|[ \t\r\n]+")
-_suspect = re.compile(SUSPECT)
-_twin = re.compile(f"[{''.join(FOREIGN)}]")
+def character_table(spark: SparkSession) -> DataFrame:
+    """``at, wide, unseen, around, parts``: full decomposition and look-alikes of each character that is not simply itself.
 
+    Built by rule over all code points of all planes; as many rows however large the input, so it may be broadcast.
+    """
+    part = _PART.replace(" string", ":string").replace(" int", ":int").replace(" boolean", ":boolean")
+    return spark.createDataFrame(_characters(), f"at string, wide boolean, unseen boolean, around string, parts array<struct<{part}>>")
 
-def _pieces(text: str, every: bool) -> list[tuple[str, str]]:
-    """Chunks of a text, with the other scripts of the chunks beside them where twins could need them.
 
-    ``every``: all of them and the white space between, in order; else the distinct suspect ones.
-    """
-    if not every:
-        found = {m[0] for m in _suspect_chunk.finditer(text)}
-        if not any(map(_twin.search, found)):
-            return [(x, "") for x in found]
-    parts = _chunks.findall(text)
-    out = []
-    for i, x in enumerate(parts):
-        if _suspect.search(x):
-            near = "".join(near_scripts(parts[j]) for j in (i - 2, i + 2) if 0 <= j < len(parts)) if _twin.search(x) else ""
-            out.append((x, near))
-        elif every:
-            out.append((x, ""))
-    return out if every else list(dict.fromkeys(out))
+@F.pandas_udf(StringType())
+def _recompose(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-_suspect_chunk = re.compile(f"(?<![^ \t\r\n])[^ \t\r\n]*?{SUSPECT}[^ \t\r\n]*")
+_PIECES = ArrayType(StructType([StructField("token", StringType()), StructField("near", StringType()), StructField("odd", BooleanType())]))
 
 
 @F.pandas_udf(_PIECES)
 def suspect_pieces(texts: pd.Series) -> pd.Series:
-    """The distinct chunks of each text that hold a character outside the safe class."""
-    return texts.map(lambda x: _pieces(x, False), na_action="ignore")
+    """The distinct pieces of each text that hold a character outside the safe class."""
+    return texts.map(lambda x: list(dict.fromkeys(p for p in pieces(x) if p[2])), na_action="ignore")
 
 
 @F.pandas_udf(_PIECES)
 def pieces_of(texts: pd.Series) -> pd.Series:
-    """A text's chunks and the white space between them, in order."""
-    return texts.map(lambda x: _pieces(x, True), na_action="ignore")
+    """A text's pieces and the white space between them, in order."""
+    return texts.map(pieces, na_action="ignore")
 
 
 def identified(rows: DataFrame) -> DataFrame:
@@ -102,12 +86,24 @@ def chunk_forms(pieces: DataFrame) -> DataFrame:
     """``h1, h2, near, n, token, form`` of each distinct chunk of ``pieces (token, near, h1, h2)``."""
     table = F.broadcast(character_table(pieces.sparkSession))
     distinct = pieces.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.first("token").alias("token"))
-    han = F.col("token").rlike(r"[、-〿ぁ-ゟァ-ヿ㐀-䶿一-鿿豈-﫿]")
+    han = F.col("token").rlike(r"[、-〿ぁ-ゟァ-ヿ㐀-䶿一-鿿豈-\x{faff}]") | F.col("near").contains("H")
     points = distinct.select(*ID, "n", han.alias("han"), F.posexplode(F.regexp_extract_all("token", F.lit("(?s)."), F.lit(0))).alias("pos", "at"))
     same = F.array(F.struct(F.col("at").alias("ch"), F.lit(0).alias("ccc"), F.lit(False).alias("letter"), F.lit(None).cast("string").alias("sure"), F.lit(None).cast("string").alias("script"), F.col("at").alias("latin"), F.col("at").alias("cyrillic")))
-    parts = F.when(F.col("wide") & F.col("han"), same).otherwise(F.coalesce("parts", same))
+    beside = Window.partitionBy(*ID).orderBy("pos")
+    met = points.join(table, "at", "left").withColumns({
+        "kind": F.coalesce("around", F.lit("")), "before": F.coalesce(F.lag("around").over(beside), F.lit("")), "after": F.coalesce(F.lead("around").over(beside), F.lit("")), "next": F.lead("at").over(beside),
+    })
+    # Invisible characters that change how their neighbours look stay.
+    joined = (F.col("before") == "J") & (F.col("after") == "J") | (F.col("at") == "\u200d") & F.col("before").isin("S", "V", "T") & F.col("after").isin("S", "T")
+    stays = F.col("unseen") & (
+        F.col("at").between("\ufe00", "\ufe0f") & ((F.col("before") == "S") | F.coalesce(F.col("next") == "\u20e3", F.lit(False)))
+        | F.col("at").isin("\u200c", "\u200d") & joined
+        | F.col("at").between("\u180b", "\u180f") & (F.col("before") == "M")
+        | F.col("at").between("\U000e0020", "\U000e007f") & (F.col("before") == "T")
+    )
+    parts = F.when(F.col("wide") & F.col("han") | stays, same).otherwise(F.coalesce("parts", same))
     # An invisible character has no parts but keeps its row, so that the chunk as delivered can be told.
-    split = points.join(table, "at", "left").select(*ID, "n", "pos", "at", F.posexplode_outer(parts).alias("sub", "p")).select(*ID, "n", "pos", "at", F.coalesce("sub", F.lit(0)).alias("sub"), "p.*").withColumns({"ch": F.coalesce("ch", F.lit("")), "ccc": F.coalesce("ccc", F.lit(-1)), "letter": F.coalesce("letter", F.lit(False))})
+    split = met.select(*ID, "n", "pos", "at", F.posexplode_outer(parts).alias("sub", "p")).select(*ID, "n", "pos", "at", F.coalesce("sub", F.lit(0)).alias("sub"), "p.*").withColumns({"ch": F.coalesce("ch", F.lit("")), "ccc": F.coalesce("ccc", F.lit(-1)), "letter": F.coalesce("letter", F.lit(False))})
 
     order = Window.partitionBy(*ID).orderBy("pos", "sub")
     whole = Window.partitionBy(*ID)
@@ -147,23 +143,25 @@ def inconsistent_fields(rows: DataFrame, key: list[str], fields: list[str], hot_
     """Distinct ``*key, field`` of the values that are not in the consistent form.
 
     - Null and empty values are consistent. Keys may be null or repeated; equal (key, field) pairs come out once.
+    - Text without white space is worked on in pieces of at most 256 characters, so no text is one group.
     - Chunks that hold at least one ``hot_share``-th of all suspect pieces (so at most that many chunks)
       are joined by broadcast, all others by a shuffle on the chunk's id.
     - Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     values = long_form(rows, key, fields).where(F.col("value").rlike(SUSPECT))
     # Read twice, for the distinct chunks and for the fields they occur in, but taken from the texts once.
-    pieces = identified(values.select(*key, "field", F.explode(suspect_pieces("value")).alias("c")).select(*key, "field", "c.token", "c.near")).persist(StorageLevel.MEMORY_AND_DISK)
-    forms = chunk_forms(pieces).select(*ID, "n", (F.col("form") != F.col("token")).alias("changed")).persist(StorageLevel.MEMORY_AND_DISK)
+    found = kept(identified(values.select(*key, "field", F.explode(suspect_pieces("value")).alias("c")).select(*key, "field", "c.token", "c.near")))
+    forms = kept(chunk_forms(found).select(*ID, "n", (F.col("form") != F.col("token")).alias("changed")))
     total = forms.agg(F.sum("n")).first()[0] or 0
-    least = max(total // hot_share, 1_000)
-    changed = forms.where("changed")
-    hot = F.broadcast(changed.where(F.col("n") >= least).select(*ID))
-    rare = changed.where(F.col("n") < least).select(*ID)
-    slim = pieces.drop("token")
+    is_hot = F.col("n") * hot_share >= total
+    hot = F.broadcast(forms.where(F.col("changed") & is_hot).select(*ID))
+    # Hot chunks, changed or not, leave before the others are shuffled.
+    any_hot = F.broadcast(forms.where(is_hot).select(*ID))
+    rare = forms.where(F.col("changed") & ~is_hot).select(*ID)
+    slim = found.drop("token")
     # A field that a hot chunk already shows needs no second proof; the rest go by shuffle.
-    found = slim.join(hot, ID, "left_semi").unionByName(slim.join(rare, ID, "left_semi"))
-    return found.select(*key, "field").distinct()
+    shown = slim.join(hot, ID, "left_semi").unionByName(slim.join(any_hot, ID, "left_anti").join(rare, ID, "left_semi"))
+    return shown.select(*key, "field").distinct()
 
 
 def consistent_texts(rows: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
@@ -178,10 +176,11 @@ def consistent_texts(rows: DataFrame, key: list[str], fields: list[str]) -> Data
     clean = values.where("not odd").select(*key, "field", "value", F.col("value").alias("consistent"))
     odd = values.where("odd").withColumns({"v1": F.xxhash64("value"), "v2": F.xxhash64(F.lit(3), "value")})
     once = odd.groupBy("v1", "v2").agg(F.first("value").alias("value"))
-    placed = identified(once.select("v1", "v2", F.posexplode(pieces_of("value")).alias("pos", "c")).select("v1", "v2", "pos", "c.token", "c.near"))
-    forms = chunk_forms(placed.where(F.col("token").rlike(SUSPECT))).select(*ID, "form")
-    plain = placed.where(~F.col("token").rlike(SUSPECT)).select("v1", "v2", "pos", F.col("token").alias("out"))
-    mended = placed.where(F.col("token").rlike(SUSPECT)).join(forms, ID).select("v1", "v2", "pos", F.col("form").alias("out"))
+    # Read three times, but taken from the texts once; neighbouring clean pieces could be joined, their number is that of the words.
+    placed = kept(identified(once.select("v1", "v2", F.posexplode(pieces_of("value")).alias("pos", "c")).select("v1", "v2", "pos", "c.token", "c.near", "c.odd")))
+    forms = chunk_forms(placed.where("odd")).select(*ID, "form")
+    plain = placed.where("not odd").select("v1", "v2", "pos", F.col("token").alias("out"))
+    mended = placed.where("odd").join(forms, ID).select("v1", "v2", "pos", F.col("form").alias("out"))
     pieces = F.array_sort(F.collect_list(F.struct("pos", "out")))
     whole = plain.unionByName(mended).groupBy("v1", "v2").agg(F.array_join(F.transform(pieces, lambda x: x["out"]), "").alias("consistent"))
     return clean.unionByName(odd.join(whole, ["v1", "v2"]).select(*key, "field", "value", "consistent"))

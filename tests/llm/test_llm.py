@@ -3,7 +3,9 @@
 import json
 import os
 import random
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from lexmill.functions.lookalike import consistent
 from lexmill.llm.mixing import mixture
 from lexmill.llm.pairs import copies, defective_pairs, ending, is_refusal, language
-from lexmill.llm.sentences import Chain, contexts, sentence_ends, sentence_units
+from lexmill.llm import sentences
+from lexmill.llm.sentences import LONGEST, Chain, _last, _rows, _seed, sentence_ends, sentence_units
 from lexmill.llm.splitting import oversized_pieces, piece_spans
 from lexmill.llm.tokenizer import PATTERN, VOCABULARY, Encoder, encoded, read_ranks
 from lexmill.llm.truncation import hidden_limits, field_texts, truncated, truncation_rates
@@ -189,32 +192,40 @@ def test_mixture_reaches_its_shares(spark):
 # --- 9: sentences ---------------------------------------------------------------------------
 
 TRAINING = ["Hội đồng đến TP. Hà Lũng. Theo ThS. H. thì đúng. Chủ kho nộp phí.", "Chủ kho nộp phí.\nHội đồng họp.\nTheo luật.\nBên thuê trả.", "Bên thuê đến TP. Tân Khê. Hội đồng họp.", "Hội đồng đến TP. Hà Lũng.\nChủ kho đến TP. Tân Khê."] * 40
+WRAPPED = "Hội đồng họp về việc nộp phí của các bên thuê bến và các\nchủ kho trong mùa mưa lũ năm nay tại trụ sở của ủy ban. Chủ\nkho nộp phí."
+CASES = {
+    "Hội đồng đến TP. Hà Lũng. Chủ kho nộp 5.000.000 đồng. Theo ThS. H. thì đúng.": ["Hội đồng đến TP. Hà Lũng.", "Chủ kho nộp 5.000.000 đồng.", "Theo ThS. H. thì đúng."],
+    "Điều 7. Tên điều\n1. Hội đồng họp; chủ kho nộp.\na) Bên thuê trả:\n\n- Lưu: VT.": ["Điều 7. Tên điều", "1. Hội đồng họp; chủ kho nộp.", "a) Bên thuê trả:", "- Lưu: VT."],
+    "Hỏi: “Ai nộp? Khi nào?” và được trả lời. Bên thuê trả.Chủ kho nộp.": ["Hỏi: “Ai nộp? Khi nào?” và được trả lời.", "Bên thuê trả.", "Chủ kho nộp."],
+    "严禁擅自开闸！检查员问：“谁？何时？”。完。": ["严禁擅自开闸！", "检查员问：“谁？何时？”。", "完。"],
+    "ห้ามเปิด ตามมาตรา 5 แห่ง พ.ศ. 2561 ให้ส่ง ถามว่า “ใคร เมื่อใด” แล้วจด": ["ห้ามเปิด", "ตามมาตรา 5 แห่ง พ.ศ. 2561 ให้ส่ง", "ถามว่า “ใคร เมื่อใด” แล้วจด"],
+    WRAPPED: [WRAPPED[: WRAPPED.index("ban.") + 4], "Chủ\nkho nộp phí."],
+    " \n\t": [], "": [],
+}
 
 
-def units(text, chain=None):
-    chain = chain or Chain(contexts(TRAINING))
-    out, at = [], 0
-    for end in chain.ends(text):
-        out.append(text[at:end].strip())
-        at = end
-    return out
+def units_of(spark, texts, training):
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = {r.i: r.ends for r in sentence_ends(docs, "i", training=spark.createDataFrame([(x,) for x in training], "text string")).collect()}
+    return [[x[a:b].strip() for a, b in zip([0, *found.get(i, [])], found.get(i, []))] for i, x in enumerate(texts)]
 
 
-def test_sentence_cases():
-    assert units("Hội đồng đến TP. Hà Lũng. Chủ kho nộp 5.000.000 đồng. Theo ThS. H. thì đúng.") == ["Hội đồng đến TP. Hà Lũng.", "Chủ kho nộp 5.000.000 đồng.", "Theo ThS. H. thì đúng."]
-    assert units("Điều 7. Tên điều\n1. Hội đồng họp; chủ kho nộp.\na) Bên thuê trả:\n\n- Lưu: VT.") == ["Điều 7. Tên điều", "1. Hội đồng họp; chủ kho nộp.", "a) Bên thuê trả:", "- Lưu: VT."]
-    assert units("Hỏi: “Ai nộp? Khi nào?” và được trả lời. Bên thuê trả.Chủ kho nộp.") == ["Hỏi: “Ai nộp? Khi nào?” và được trả lời.", "Bên thuê trả.", "Chủ kho nộp."]
-    assert units("严禁擅自开闸！检查员问：“谁？何时？”。完。") == ["严禁擅自开闸！", "检查员问：“谁？何时？”。", "完。"]
-    assert units("ห้ามเปิด ตามมาตรา 5 แห่ง พ.ศ. 2561 ให้ส่ง ถามว่า “ใคร เมื่อใด” แล้วจด") == ["ห้ามเปิด", "ตามมาตรา 5 แห่ง พ.ศ. 2561 ให้ส่ง", "ถามว่า “ใคร เมื่อใด” แล้วจด"]
-    wrapped = "Hội đồng họp về việc nộp phí của các bên thuê bến và các\nchủ kho trong mùa mưa lũ năm nay tại trụ sở của ủy ban. Chủ\nkho nộp phí."
-    assert units(wrapped) == [wrapped[: wrapped.index("ban.") + 4], "Chủ\nkho nộp phí."]
-    assert units(None) == units("") == units(" \n\t") == []
+def test_sentence_cases(spark):
+    assert dict(zip(CASES, units_of(spark, list(CASES), TRAINING))) == CASES
+
+
+def local_ends(text):
+    """Ends by the chain's first scores, without counts."""
+    rows = sorted({(at, kind) for at, kind, *_ in _rows(text, defaultdict(Counter))})
+    gains = [_seed(kind, 0.0, 0.0) for _, kind in rows]
+    cells = [{"break": -1, "bare": -2}.get(kind, i) for i, (_, kind) in enumerate(rows)]
+    return [at for (at, _), tag in zip(rows, Chain(gains, np.zeros(LONGEST + 1)).tags([at for at, _ in rows], cells, [-1.0] * len(rows))) if tag]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="aB .!?…\n“”()。中ก1:", max_size=60))
+@given(st.text(alphabet="aB .!?…\n“”()。中文ก1:", max_size=60))
 def test_units_cover_all_visible_text(text):
-    ends = Chain({}).ends(text)
+    ends = local_ends(text)
     assert ends == sorted(set(ends))
     assert bool(ends) == bool(text.strip())
     if ends:
@@ -226,23 +237,66 @@ def test_units_cover_all_visible_text(text):
 
 
 def test_sentence_rows(spark):
-    docs = spark.createDataFrame([(1, TRAINING[0], 1), (1, TRAINING[0], 1), (2, None, 1), (3, "", 1), (4, "Chủ kho nộp phí. " * 20_000, 1)], "doc_id long, text string, ends int")
+    docs = spark.createDataFrame([(1, TRAINING[0], 1), (1, TRAINING[0], 1), (2, None, 1), (3, "", 1), (4, "Chủ kho nộp phí. " * 20_000, 1), (None, "Chủ kho nộp phí.", 1)], "doc_id long, text string, ends int")
     found = {(r.doc_id, r.n) for r in sentence_units(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
-    assert {x[0] for x in found} == {1, 4} and (4, 20_000) in found
-    assert sentence_ends(docs, "doc_id").count() == 5
+    assert {x[0] for x in found} == {1, 4, None} and (4, 20_000) in found
+    assert sentence_ends(docs, "doc_id").count() == 3
     assert sentence_units(docs.limit(0), "doc_id").count() == 0
 
 
-def test_model_held_out_accuracy():
+def test_rare_contexts_count_as_much_as_frequent_ones(spark, monkeypatch):
+    """Looked up by a shuffle instead of a broadcast, contexts say the same."""
+    docs = spark.createDataFrame(list(enumerate([*TRAINING, *CASES])), "doc_id int, text string")
+    one = set(map(tuple, sentence_units(docs, "doc_id").collect()))
+    monkeypatch.setattr(sentences, "HEAVY_SHARE", 4)
+    assert set(map(tuple, sentence_units(docs, "doc_id").collect())) == one
+
+
+def test_long_words_have_keys_of_their_own():
+    word = "x" * 40
+    assert _last(f"một {word}a.", 0, 45) == word + "a" != _last(f"một {word}b.", 0, 45)
+    assert _last("y" * 500 + ".", 0, 500) == "y" * 500
+
+
+def accuracy(found, wanted):
+    right = sum(len(f & w) for f, w in zip(found, wanted))
+    return 2 * right / (sum(map(len, found)) + sum(map(len, wanted)))
+
+
+def test_model_held_out_accuracy(spark):
     """Trained on one half of made sentences, the other half's boundaries come out."""
     rnd = random.Random(5)
     names = ["Hà Lũng", "Tân Khê", "Vĩnh Hạ"]
     make = lambda: rnd.choice(["Chủ kho đến TP. {} nộp phí", "Hội đồng gửi văn bản cho ThS. H. của viện", "Bên thuê trả 5.000 đồng, v.v. và ra về", "Kiểm định viên làm việc tại Q. {} từ 8h.30"]).format(rnd.choice(names)) + "."
     train = [rnd.choice([" ", "\n"]).join(make() for _ in range(4)) for _ in range(300)]
-    chain, right, wrong = Chain(contexts(train)), 0, 0
-    for _ in range(200):
-        parts = [make() for _ in range(5)]
-        wanted = {len(" ".join(parts[: i + 1])) for i in range(5)}
-        got = set(chain.ends(" ".join(parts)))
-        right, wrong = right + len(wanted & got), wrong + len(wanted ^ got)
-    assert right / (right + wrong) > 0.98
+    held = [[make() for _ in range(5)] for _ in range(200)]
+    got = units_of(spark, [" ".join(parts) for parts in held], train)
+    assert sum(a == b for a, b in zip(got, held)) > 0.98 * len(held)
+
+
+SCRIPTS = {
+    "zh": (["渡船船主", "盐场", "仓储经营者", "发证机关", "泵站"], ["应当", "必须", "可以", "不得"], ["公布服务价格", "填写库存台账", "移交检验档案", "提交称重报告"], "。"),
+    "ja": (["船主は", "製塩所は", "倉庫業者は", "許可機関は"], ["価格を", "台帳を", "書類を"], ["公表しなければならない", "提出することができる", "記入するものとする"], "。"),
+    "km": (["ម្ចាស់សាឡាង", "អាជ្ញាធរ", "ម្ចាស់ឃ្លាំង"], ["ត្រូវ", "អាច", "មិនត្រូវ"], ["ប្រកាសតម្លៃសេវា", "បំពេញបញ្ជី", "ដាក់របាយការណ៍ថ្លឹង"], "។"),
+    "th": (["เจ้าของเรือ", "โรงเกลือ", "ผู้ประกอบการ"], ["ต้อง", "อาจ", "ห้าม"], ["ประกาศราคา", "กรอกบัญชี", "ส่งรายงาน"], " "),
+}
+
+
+def test_unmarked_scripts_held_out_accuracy(spark):
+    """Trained on punctuated text, text of the same script without a single mark is cut; the figures are in the README."""
+    rnd = random.Random(7)
+    train, held, wanted = [], [], []
+    for subjects, verbs, objects, mark in SCRIPTS.values():
+        make = lambda: "".join(map(rnd.choice, (subjects, verbs, objects)))  # noqa: B023, E731
+        train += [mark.join(make() for _ in range(6)) + mark.strip() for _ in range(150)]
+        for _ in range(25):
+            parts = [make() for _ in range(4)]
+            held.append("".join(parts))
+            wanted.append({len("".join(parts[: i + 1])) for i in range(4)})
+    docs = spark.createDataFrame(list(enumerate(held)), "i int, text string")
+    found = {r.i: set(r.ends) for r in sentence_ends(docs, "i", training=spark.createDataFrame([(x,) for x in train], "text string")).collect()}
+    for n, name in enumerate(SCRIPTS):
+        of = range(25 * n, 25 * n + 25)
+        score = accuracy([found[i] for i in of], [wanted[i] for i in of])
+        print(name, round(score, 4))
+        assert score > 0.95, name
