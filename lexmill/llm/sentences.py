@@ -298,7 +298,8 @@ def _rows(text: str, seen: dict[str, Counter]) -> Iterator[tuple]:
             # Sure starts too: after a strong mark, and after a full stop that ends a whole lower-case word.
             if after and (kind == "strong" or weak and _whole_word.search(text, max(0, end - 20), end - 1)):
                 starts.add(after)
-            yield end, f"{kind} {_case(after)}", before if weak else "", after, None
+            case = _case(after)
+            yield end, f"{kind} {case}", before if weak else "", "" if case in "p#" else after, None
         head = HEADING.match(text, start, stop)
         body = head.end() if head else start
         while body < stop and text[body].isspace():
@@ -411,18 +412,24 @@ def _lengths(stripped: DataFrame) -> np.ndarray:
     return np.log(smooth / smooth.sum())
 
 
-def _looked_up(rows: DataFrame, column: str, scores: DataFrame) -> DataFrame:
-    """Rows with ``<column>_score`` of their context; null where there is none.
+def _looked_up(rows: DataFrame, scores: dict[str, DataFrame]) -> DataFrame:
+    """Rows with ``<column>_score`` of the context in each column; null where there is none.
 
-    Contexts with a ``HEAVY_SHARE``-th of all counts or more meet their rows by a broadcast, the others by a shuffle.
+    Contexts with a ``HEAVY_SHARE``-th of all counts or more meet their rows by a broadcast where these lie;
+    only rows that have another context left are shuffled, once per column.
     """
-    total = scores.agg(F.sum("n")).first()[0] or 0
-    named = scores.select(F.col("key").alias(column), F.col("score").alias(f"{column}_score"), (F.col("n") * HEAVY_SHARE >= total).alias("heavy"))
-    heavy = F.broadcast(named.where("heavy").drop("heavy"))
-    none = F.lit(None).cast("float").alias(f"{column}_score")
-    known, empty = rows.where(F.col(column) != ""), rows.where(F.col(column) == "").select("*", none)
-    rest = known.join(heavy.select(column), column, "left_anti").join(named.where("not heavy").drop("heavy"), column, "left")
-    return empty.unionByName(known.join(heavy, column)).unionByName(rest)
+    rare, missing = {}, F.lit(False)
+    for column, table in scores.items():
+        total = table.agg(F.sum("n")).first()[0] or 0
+        named = table.select(F.col("key").alias(column), F.col("score").alias(f"{column}_score"), (F.col("n") * HEAVY_SHARE >= total).alias("heavy"))
+        rows = rows.join(F.broadcast(named.where("heavy").drop("heavy")), column, "left")
+        rare[column] = named.where("not heavy").select(column, F.col(f"{column}_score").alias("_score"))
+        missing = missing | (F.col(column) != "") & F.col(f"{column}_score").isNull()
+    rows = written(rows.withColumn("rare", missing), "scored")
+    rest = rows.where("rare")
+    for column, table in rare.items():
+        rest = rest.join(table, column, "left").withColumn(f"{column}_score", F.coalesce(f"{column}_score", "_score")).drop("_score")
+    return rows.where("not rare").unionByName(rest).drop("rare")
 
 
 def _seed(kind: str, before: float, after: float) -> float:
@@ -431,7 +438,7 @@ def _seed(kind: str, before: float, after: float) -> float:
     if name == "inside" or case == "p":
         return -20.0
     if name == "space":
-        return 3.0
+        return 8.0
     follows = -LIMIT if case == "#" else after
     if name == "strong":
         return -4.0 if case == "l" else 6.0 + 0.3 * follows
@@ -608,8 +615,8 @@ def _grouped(placed: DataFrame, before: DataFrame, after: DataFrame) -> tuple[li
     rows = placed.where("at is not null")
     sure = F.col("kind") == "break"
     none = F.lit(None).cast("float")
-    open_places = _looked_up(_looked_up(rows.where(~sure), "before", before), "after", after)
-    x = open_places.select("k", "h1", "h2", "at", "kind", F.coalesce("before_score", F.lit(0.0)).cast("float").alias("b"), F.coalesce("after_score", F.when(F.col("after") != "", F.lit(LIMIT)).otherwise(F.lit(0.0))).cast("float").alias("a"))
+    open_places = _looked_up(rows.where(~sure), {"before": before, "after": after})
+    x = open_places.select("k", "h1", "h2", "at", "kind", F.coalesce("before_score", F.lit(0.0)).cast("float").alias("b"), F.coalesce("after_score", F.lit(0.0)).cast("float").alias("a"))
     both = written(x.unionByName(rows.where(sure).select("k", "h1", "h2", "at", "kind", F.lit(0.0).cast("float").alias("b"), F.lit(0.0).cast("float").alias("a"))), "cells")
     cells = [tuple(r) for r in both.where("kind not in ('break', 'bare')").select("kind", "b", "a").distinct().orderBy("kind", "b", "a").collect()]
     numbered = placed.sparkSession.createDataFrame([(*c, i) for i, c in enumerate(cells)], "kind string, b float, a float, cell int")
