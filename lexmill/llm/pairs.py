@@ -9,24 +9,26 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from lexmill.functions.lookalike import consistent
+from lexmill.functions.session import kept
 
 #: Bytes that a copy's frame may need beyond that of the prompt itself: a label or quotes around it.
 COPY_BYTES = 18
 #: Least share of words that a copy and its question have in common.
 COPY_WORDS = 0.8
-#: Least share of the contexts that end a sentence for an unmarked short answer, or an ellipsis, to be complete.
-TERMINAL_SHARE = 0.2
-SHORT = 60
+#: Least share of a context's occurrences that end a sentence for an answer without a mark, or with an ellipsis, to be complete.
+TERMINAL_SHARE = 0.5
+#: Contexts with at least one such part of the unsure answers, so at most that many, are broadcast.
+HOT_SHARE = 2_000
 # One type per pair: the first that holds.
 TYPES = ["empty", "copied_question", "refusal", "truncated", "other_language"]
 
@@ -57,6 +59,10 @@ WORDS = {
     "fr": "le les de du des est il et un une que dans pour doit pas au aux sur ce cette qui ne par sont vanne ou son sa dit".split(),
     "de": "der die das und ist muss nicht soll den dem ein eine auf zu für mit von im wird darf oder ohne bzw beträgt fragte".split(),
     "vi": "khong cua trong theo duoc phai nguoi quy dinh dieu khoan ngay va cho quan so bo truoc sau khi nop tien phat hanh vi doi voi thi gi nhung tai thu tuc ai tham quyen bao nhieu lau gom buoc nao neu toi muon biet phi hoi ho thoi han muc ve viec duoc giu thang nam".split(),
+    "es": "el los las de del y en que por para con una un es son no se su sus como más pero este esta estos debe deben puede ser está han hay cuando quien cuál cómo plazo días ley artículo según sobre entre desde hasta muy también ya si al lo le".split(),
+    "it": "il lo gli di del della dei delle che è e per con una uno un non si sono come più ma questo questa deve devono può essere ha hanno quando chi quale entro giorni legge articolo secondo sulla nel nella dal dalla alla anche già se al".split(),
+    "pt": "os as do da dos das e em que por para com uma um é são não se seu sua como mais mas este esta deve devem pode ser está foi há quando quem qual prazo dias lei artigo segundo sobre entre desde até muito também já se ao pela pelo no na".split(),
+    "id": "yang dan di ke dari untuk dengan pada adalah tidak ini itu atau oleh dalam akan harus dapat telah sudah juga karena sebagai bahwa siapa berapa kapan bagaimana hari undang pasal menurut tentang antara sampai sangat jika para wajib orang".split(),
 }
 OPEN_ABBREVIATIONS = r"(?:^|[\s(“])(?:TP|Q|P|ThS|TS|PGS|GS|KS|BS|Dr|Mr|Mrs|Ms|Art|No|Vol|pp|sec|cf|App|Fig|tr|e\.g|i\.e|approx|para|St|Ltd|Đ|số|v/v|Hinh|Hình)\.$"
 
@@ -69,7 +75,7 @@ _limits = re.compile(GIVES_LIMITS)
 _translation = re.compile(TRANSLATION)
 _question_label = re.compile(rf"^\W*(?:{QUESTION_LABELS})\s*[:：]\s*")
 _sentence_end = re.compile(r"[.!?…。！？؟।។]['\"”’»“›)\]）】」』*_]*$|[)\]）】」』”»]$|[”\"*]$")
-_number_cut = re.compile(r"(?:từ|đến|là|phí|mức|tu|den|la|muc|phi|i\.e\.) \d{1,3}(?:[.,]\d{3})*[.,]$")
+_number_cut = re.compile(r"(?:từ|đến|là|phí|mức|tu|den|la|muc|phi|i\.e\.) \d[\d.,]*$")
 _code_cut = re.compile(r"(?:Điều|Dieu|điều) \d+\.\d+(?:\.[A-ZĐ]+(?:\.\d+)?)?\.$")
 _abbreviation = re.compile(OPEN_ABBREVIATIONS)
 _ellipsis = re.compile(r"\s*(?:…|\.{3,}|\[…\])$")
@@ -78,10 +84,27 @@ _source_tail = re.compile(r" - .* - .*(?:, ?\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4})$")
 _short_fact = re.compile(r"^(?:[\d.,]+ (?:đồng|ngày|giờ|tháng|năm|dong|%)\b.{0,20}|(?:điểm \w+ )?(?:khoản \d+ )?điều [\w.]+|art\. ?\d+.*|\d+(?:[./-]\d+)*|có|không|yes|no|đúng|sai)$", re.I)
 
 
+#: White space of any script.
+_SPACES = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+#: Built by rule: format characters, which may stand behind any text.
+_FORMATS = "".join(ch for ch in map(chr, range(0x110000)) if unicodedata.category(ch) == "Cf")
+
+
+# The few texts of a pair are asked for several times.
+_consistent = lru_cache(maxsize=8)(consistent)
+
+
+def _bare_token(token: str) -> str:
+    plain = "".join(ch for ch in unicodedata.normalize("NFD", token.replace("đ", "d")) if not unicodedata.combining(ch))
+    return " ".join(re.sub(r"[^\w\s]|_", " ", plain).split())
+
+
+_short_token = lru_cache(maxsize=200_000)(_bare_token)
+
+
 def _plain(text: str) -> str:
     """Lower case without diacritics, punctuation and repeated space."""
-    text = unicodedata.normalize("NFD", (consistent(text) or "").lower().replace("đ", "d"))
-    return " ".join(re.sub(r"[^\w\s]|_", " ", "".join(ch for ch in text if not unicodedata.combining(ch))).split())
+    return " ".join(x for x in [_short_token(t) if len(t) <= 40 else _bare_token(t) for t in (_consistent(text) or "").lower().split()] if x)
 
 
 def _frame(data: bytes, prompt: zstandard.ZstdCompressionDict) -> int:
@@ -90,35 +113,41 @@ def _frame(data: bytes, prompt: zstandard.ZstdCompressionDict) -> int:
 
 def copies(question: str, answer: str) -> bool:
     """Whether the answer says no more than the question: what its frame takes beyond the question's own."""
-    q, a = _plain(question).encode(), _plain(_question_label.sub("", answer.strip().lower())).encode()
-    if len(q) < 8 or len(a) < 0.6 * len(q):
-        return False
-    prompt = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    if _frame(a, prompt) - _frame(q, prompt) > COPY_BYTES:
+    q, a = _plain(question), _plain(_question_label.sub("", answer.strip().lower()))
+    if not q or not a:
         return False
-    # The exact check after the compressor's: the words of either are those of the other.
+    # Exact and needed besides the compressor's verdict: the words of either are those of the other.
     asked, said = set(q.split()), set(a.split())
-    return len(asked & said) >= COPY_WORDS * max(len(asked), len(said))
+    if len(asked & said) < COPY_WORDS * max(len(asked), len(said)):
+        return False
+    q, a = q.encode(), a.encode()
+    prompt = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return _frame(a, prompt) - _frame(q, prompt) <= COPY_BYTES
 
 
-@lru_cache(maxsize=100_000)
-def _word_language(word: str) -> tuple[str, int]:
-    """(language, weight) of a word in lower case; "" if neither script nor dictionary tells."""
+def _word_languages(word: str) -> list[tuple[str, float]]:
+    """(language, weight) pairs of a word in lower case: by its script, by its letters, or by the dictionaries that have it, each by its share."""
     name = "HIRAGANA" if any("぀" <= ch <= "ヿ" for ch in word) else unicodedata.name(word[0], "").split(" ")[0]
     if name in _scripts:
-        return _scripts[name], len(word)
+        return [(_scripts[name], float(len(word)))]
     if any(ch in "ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ" for ch in word):
-        return "vi", len(word)
-    of = [k for k in ("en", "fr", "de", "vi") if word in _words[k]]
-    return (of[0], 2 * len(word)) if len(of) == 1 else ("", 0)
+        return [("vi", float(len(word)))]
+    of = [k for k, words in _words.items() if word in words]
+    return [(k, 2 * len(word) / len(of)) for k in of]
+
+
+def _token_languages(token: str) -> tuple[tuple[str, float], ...]:
+    return tuple(x for word in re.findall(r"[^\W\d_]+", unicodedata.normalize("NFC", token)) for x in _word_languages(word))
+
+
+_short_languages = lru_cache(maxsize=200_000)(_token_languages)
 
 
 def language(text: str) -> str:
     """Language that most of a text's letters are in, by script and dictionaries; "" if undecided."""
     found: dict[str, float] = {}
-    for word in re.findall(r"[^\W\d_]+", unicodedata.normalize("NFC", text.lower())):
-        of, weight = _word_language(word) if len(word) <= 40 else _word_language.__wrapped__(word)
-        if of:
+    for token in text.lower().split():
+        for of, weight in _short_languages(token) if len(token) <= 40 else _token_languages(token):
             found[of] = found.get(of, 0) + weight
     if "ja" in found:
         found["ja"] += found.pop("zh", 0)
@@ -128,29 +157,44 @@ def language(text: str) -> str:
 _words = {k: set(v) for k, v in WORDS.items()}
 
 
-def _sentences(text: str) -> list[str]:
-    return [s for s in re.split(r"(?<=[.!?…。！？])\s+|\n+", text.strip()) if s.strip()]
+_sentence_gap = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
+
+
+def _sentences(text: str) -> Iterator[str]:
+    """Sentences of a text, found as they are asked for."""
+    at, text = 0, text.strip()
+    for m in _sentence_gap.finditer(text):
+        if text[at : m.start()].strip():
+            yield text[at : m.start()]
+        at = m.end()
+    if text[at:].strip():
+        yield text[at:]
 
 
 def is_empty(answer: str) -> bool:
     """No content: blank, a placeholder, or labels and headings only."""
-    text = re.sub(r"<[^<>]{0,40}>|&nbsp;", " ", "".join(ch for ch in answer if unicodedata.category(ch) != "Cf")).lower()
-    return all(_labels.match(x) or _placeholder.match(x) for x in text.splitlines()) if text.strip() else True
+    for line in answer.splitlines():
+        text = re.sub(r"<[^<>]{0,40}>|&nbsp;", " ", "".join(ch for ch in line if unicodedata.category(ch) != "Cf")).lower() if len(line) <= 100 else line.lower()
+        if not (_labels.match(text) or _placeholder.match(text)):
+            return False
+    return True
 
 
 def is_refusal(answer: str) -> bool:
     """Every sentence declines or is a courtesy, and at least one declines."""
-    text = (consistent(answer) or "").lower()
-    if len(text) > 600 or _limits.search(text):
-        return False
-    parts = _sentences(text)
-    declines = [any(p.search(s) for p in _refusals) for s in parts]
-    return any(declines) and all(d or _courtesy.search(s.strip()) for d, s in zip(declines, parts))
+    text = (_consistent(answer) or "").lower()
+    declined = False
+    for part in _sentences(text):
+        if any(p.search(part) for p in _refusals):
+            declined = True
+        elif not _courtesy.search(part.strip()):
+            return False
+    return declined and not _limits.search(text)
 
 
 def ending(answer: str, sources: list[str]) -> str:
-    """``cut``, ``whole``, or ``list``/``bare`` where the terminal context has to tell: an ellipsis, a short answer without a mark."""
-    text = "".join(ch for ch in answer if unicodedata.category(ch) != "Cf").rstrip()
+    """``cut``, ``whole``, or ``list``/``bare`` where the terminal context has to tell: an ellipsis after a list, no mark at all."""
+    text = answer.rstrip(_FORMATS + _SPACES)
     last = text.rsplit("\n", 1)[-1].strip()
     if text.endswith("�"):
         return "cut"
@@ -167,7 +211,7 @@ def ending(answer: str, sources: list[str]) -> str:
     if _heading.match(last):
         return "whole"
     if _ellipsis.search(text):
-        final = _sentences(text)[-1]
+        final = list(_sentences(text))[-1]
         return "list" if final.count(",") >= 2 else "cut"
     if _number_cut.search(last) or _code_cut.search(last) or _abbreviation.search(last):
         return "cut"
@@ -177,7 +221,8 @@ def ending(answer: str, sources: list[str]) -> str:
         return "whole"
     if _short_fact.match(text):
         return "whole"
-    return "bare" if len(text) <= SHORT and "\n" not in text else "cut"
+    # A comma ends nothing; any other text without a mark is told by its last words.
+    return "cut" if text.endswith((",", ";", "、", "，")) else "bare"
 
 
 def last_words(text: str) -> str:
@@ -197,7 +242,7 @@ def _judge(question, answer, sources) -> tuple[str | None, bool, str | None]:
     if end == "cut":
         return "truncated", True, None
     asked, given = language(question), language(answer)
-    other = "other_language" if asked and given and asked != given and not _translation.search((consistent(question) or "").lower()) else None
+    other = "other_language" if asked and given and asked != given and not _translation.search((_consistent(question) or "").lower()) else None
     return other, end == "whole", None if end == "whole" else last_words(answer)
 
 
@@ -220,20 +265,25 @@ def defective_pairs(chats: DataFrame) -> DataFrame:
         return pd.DataFrame([_judge(*x) for x in zip(questions, answers, sources)], columns=["type", "sure", "context"])
 
     asked = chats.select("chat_id", "status", "question", "final_answer", "sources").where("chat_id is not null and not (status <=> 'need_clarify')")
-    once = asked.groupBy("chat_id", F.xxhash64("question", "final_answer", "sources").alias("h")).agg(*[F.first(c).alias(c) for c in ("question", "final_answer", "sources")])
-    # Read twice, for what is sure and for what is not, but judged once.
-    judged = once.withColumn("j", judge("question", "final_answer", "sources")).select("chat_id", "j.*").persist(StorageLevel.MEMORY_AND_DISK)
+    # Judged where they lie, repeated rows too: no text is shuffled. Read several times, but judged once.
+    judged = kept(asked.select("chat_id", judge("question", "final_answer", "sources").alias("j")).select("chat_id", "j.*"))
     sure = judged.where("sure and type is not null").select("chat_id", "type")
-    unsure = judged.where("not sure")
-    # Terminal contexts of all responses: how often two words are followed by the end of a sentence.
+    unsure = judged.where("not sure").groupBy("chat_id", "context", "type").agg(F.count(F.lit(1)).alias("n"))
+    # Terminal contexts: how often, in all answers, the last two words of the unsure ones are followed by the end of a sentence.
     # The words with the signs after them are a column of their own, so that they are found once per response.
-    spoken = once.select(F.regexp_extract_all(F.lower("final_answer"), F.lit(r"(?U)\w+[^\w]*"), F.lit(0)).alias("words")).where(F.size("words") > 1)
+    spoken = asked.select(F.regexp_extract_all(F.lower("final_answer"), F.lit(r"(?U)\w+[^\w]*"), F.lit(0)).alias("words")).where(F.size("words") > 1)
     bare = lambda x: F.regexp_replace(x, r"(?U)[^\w]+", "")
     pairs = F.transform(F.slice("words", F.lit(2), F.size("words") - 1), lambda x, i: F.struct(bare(F.col("words")[i]).alias("a"), bare(x).alias("b"), x.rlike(r"(?U)\w[.!?。]").alias("end")))
     seen = spoken.select(F.explode(pairs).alias("p")).select(F.concat_ws(" ", "p.a", "p.b").alias("context"), "p.end")
-    model = seen.groupBy("context").agg(F.avg(F.col("end").cast("double")).alias("share"))
-    met = unsure.join(model, "context", "left")
-    whole = F.coalesce(F.col("share"), F.lit(0.0)) >= TERMINAL_SHARE
-    told = met.select("chat_id", F.when(~whole, "truncated").otherwise(F.col("type")).alias("type")).where("type is not null")
+    # Both sides of the join have each context once, whatever its frequency.
+    met = unsure.groupBy("context").agg(F.sum("n").alias("n"))
+    model = met.join(seen.groupBy("context").agg(F.avg(F.col("end").cast("double")).alias("share")), "context", "left")
+    model = kept(model.select("context", "n", (F.coalesce("share", F.lit(0.0)) >= TERMINAL_SHARE).alias("whole")))
+    # Contexts of many answers go back to them by a broadcast, at most HOT_SHARE of them, the others by a shuffle.
+    total = model.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_SHARE >= total
+    hot, rare = F.broadcast(model.where(is_hot).drop("n")), model.where(~is_hot).drop("n")
+    told = unsure.drop("n").join(hot, "context").unionByName(unsure.drop("n").join(hot.select("context"), "context", "left_anti").join(rare, "context"))
+    found = told.select("chat_id", F.when(~F.col("whole"), "truncated").otherwise(F.col("type")).alias("type")).where("type is not null")
     rank = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
-    return sure.unionByName(told).groupBy("chat_id").agg(F.min(F.struct(rank.alias("rank"), "type"))["type"].alias("defect_type"))
+    return sure.unionByName(found).groupBy("chat_id").agg(F.min(F.struct(rank.alias("rank"), "type"))["type"].alias("defect_type"))

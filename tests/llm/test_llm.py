@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexmill.functions.lookalike import consistent
+from lexmill.functions.lookalike import consistent, pieces
 from lexmill.llm.mixing import mixture
 from lexmill.llm.pairs import copies, defective_pairs, ending, is_refusal, language
 from lexmill.llm import sentences
@@ -47,6 +47,24 @@ def test_consistent_is_idempotent(text):
     assert consistent(consistent(text)) == consistent(text)
 
 
+def test_both_forms_agree_on_all_planes(spark):
+    """Random code points of all planes, joined to letters, symbols and marks: the operator and the per-value form give the same."""
+    rnd = random.Random(11)
+    planes = [(0x20, 0x24F), (0x300, 0x36F), (0x370, 0x5FF), (0x600, 0xDFF), (0x1780, 0x18AF), (0x1E00, 0x206F), (0x2100, 0x33FF), (0xF900, 0xFFFD), (0x10000, 0x1FAFF), (0x2F800, 0x2FA1D), (0xE0000, 0xE01EF)]
+    some = lambda: chr(rnd.randint(*rnd.choice(planes)))
+    known = list("aeđдоΡο中，क❤👨\u200d\u200c\ufe0f\u20e31\U0001f3f4\U000e0067 ")
+    texts = ["".join(some() if rnd.random() < 0.5 else rnd.choice(known) for _ in range(rnd.randint(1, 12))) for _ in range(1500)]
+    texts += ["x\U000e0061y", "u\U0001d173b", "a\ufe0fb", "❤\ufe0f", "1\ufe0f\u20e3", "न\u200dम", "a\u200db", "\U0001f468\u200d\U0001f469", "\x07a"]
+    texts += ["中" * 700 + "，о" + "文" * 500 + "ａ", "a" * 3_000 + "о", "AbC+/0" * 400 + "\u200b", "ก" * 900 + "\u00a0" + "о" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = {r.k: r.consistent for r in consistent_texts(rows, ["k"], ["t"]).collect()}
+    assert {k: v for k, v in found.items() if v != consistent(texts[k])} == {}
+    odd = {i for i, x in enumerate(texts) if consistent(x) != x}
+    assert {r.k for r in inconsistent_fields(rows, ["k"], ["t"]).collect()} == odd
+    assert [consistent(x) for x in ("x\U000e0061y", "u\U0001d173b", "a\ufe0fb", "❤\ufe0f")] == ["xy", "ub", "ab", "❤\ufe0f"]
+    assert max(len(p) for x in texts for p, _, _ in pieces(x)) <= 256
+
+
 # --- 3: truncation --------------------------------------------------------------------------
 
 
@@ -103,7 +121,24 @@ def test_pair_helpers():
     assert copies("What is the fine for mooring?", "Question: what is the fine for mooring") and not copies("What is the fine?", "It is 5 dong.")
     assert is_refusal("I would rather not comment on that point.") and not is_refusal("Tôi không thể khẳng định cho mọi trường hợp, nhưng theo khoản 1.")
     assert [language(x) for x in ("Who may renew the permit?", "Muc phat doi voi hanh vi", "Кто подписывает?", "谁签字？", "誰がする", "Der Prüfer und die Gebühr ist", "Le tarif est de la vanne", "12")] == ["en", "vi", "ru", "zh", "ja", "de", "fr", ""]
-    assert [ending(x, []) for x in ("Xong.", "Điều 59.", "Điều 41.8.", "dở dang ở giữa chừng của một câu rất dài mà không ai viết cho hết", "A, B, C…")] == ["whole", "whole", "cut", "cut", "list"]
+    assert [ending(x, []) for x in ("Xong.", "Điều 59.", "Điều 41.8.", "dở dang ở giữa chừng của một câu rất dài mà không ai viết cho hết", "A, B, C…")] == ["whole", "whole", "cut", "bare", "list"]
+
+
+def test_pairs_know_no_length_limits():
+    """Short questions, long refusals and long unmarked answers are judged as any other; several Latin languages are told apart."""
+    assert copies("Phí?", "Phí?") and not copies("Phí?", "Có.") and not copies("?", "?")
+    assert is_refusal("Rất tiếc, tôi không thể giải đáp câu hỏi này. " * 40) and not is_refusal("Rất tiếc, tôi không thể giải đáp câu hỏi này. " * 40 + "Phí là 5 đồng.")
+    texts = ["El plazo es de cinco días según la ley", "Il termine è di cinque giorni secondo la legge", "O prazo é de cinco dias segundo a lei", "Siapa yang harus membayar biaya ini", "Le délai est de cinq jours selon la loi", "Chủ kho phải nộp phí trong 5 ngày"]
+    assert [language(x) for x in texts] == ["es", "it", "pt", "id", "fr", "vi"]
+
+
+def test_unmarked_answers_are_told_by_the_context_model(spark):
+    """The same unmarked ending is complete where the corpus ends sentences so, and cut where it goes on, at any length."""
+    long = "Theo khoản 1 Điều 3, chủ kho vận phải gia hạn giấy phép và nộp phí trong vòng năm ngày kể từ khi có kết quả, "
+    rows = [(1, "ok", "Ai nộp?", long + "do cấp tỉnh"), (2, "ok", "Ai nộp?", long + "do chủ kho"), (3, "ok", "Ai nộp?", long + "do cấp tỉ"), (4, "ok", "Ai nộp?", "Do cấp tỉnh")]
+    rows += [(100 + i, "ok", "Ai nộp?", f"Việc thứ {i} do cấp tỉnh. Phí do chủ kho vận trả.") for i in range(20)]
+    df = spark.createDataFrame(rows, "chat_id long, status string, question string, final_answer string").withColumn("sources", F.array().cast("array<string>"))
+    assert {tuple(r) for r in defective_pairs(df).collect()} == {(2, "truncated"), (3, "truncated")}
 
 
 # --- 6: splitting ---------------------------------------------------------------------------
