@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,10 +61,15 @@ def token_set(col: Column | str, least: int = 2) -> Column:
     return F.array_distinct(F.filter(tokens(col), lambda x: F.length(x) >= least))
 
 
+def compared(col: Column | str) -> Column:
+    """Lower case, every sign that is neither letter, digit nor underscore a space, runs of space collapsed: the form in which texts are compared."""
+    return collapse(F.regexp_replace(F.lower(collapse(col)), r"[^\p{L}\p{N}_ ]", " "))
+
+
 def informative_tokens(col: Column | str, stop_words: list[str]) -> Column:
-    """Distinct tokens longer than two characters that are neither stop words nor numbers."""
-    kept = F.filter(tokens(col), lambda x: (F.length(x) > 2) & ~x.rlike(r"^[0-9]+\z"))
-    return F.array_except(F.array_distinct(kept), F.array(*[F.lit(x) for x in stop_words])) if stop_words else F.array_distinct(kept)
+    """Distinct words of the compared form longer than two characters that are neither stop words nor numbers."""
+    kept = F.filter(F.array_distinct(F.split(compared(col), " ")), lambda x: (F.length(x) > 2) & ~x.rlike(r"^\p{Nd}+\z"))
+    return F.array_except(kept, F.array(*[F.lit(x) for x in stop_words])) if stop_words else kept
 
 
 def distinct_parts(parts: list[Column]) -> Column:
@@ -130,9 +137,29 @@ def without_prefixes(content: Column, *prefixes: Column) -> Column:
     return x
 
 
+def _first_object(text: str) -> str:
+    bare, decoder = re.sub(r"^\s*```\w*\s*|\s*```\s*\Z", "", text), json.JSONDecoder()
+    at = bare.find("{")
+    while at >= 0:
+        try:
+            return bare[at : decoder.raw_decode(bare, at)[1]]
+        except ValueError:
+            at = bare.find("{", at + 1)
+    return bare[bare.find("{") : bare.rfind("}") + 1] if "{" in bare else ""
+
+
+@F.pandas_udf(StringType())
+def _objects(texts: pd.Series) -> pd.Series:
+    return texts.map(_first_object, na_action="ignore")
+
+
 def first_json_object(col: Column | str) -> Column:
-    """Text from the first brace to the last one, "" if there is none."""
-    return F.regexp_extract(text(col), r"(?s)\{.*\}", 0)
+    """The first whole JSON object of a text, without a code fence around it; else from the first brace to the last; "" if there is none.
+
+    Only texts with a brace go to Python, whose parser tells where an object ends: braces in strings don't mislead.
+    """
+    x = text(col)
+    return F.coalesce(_objects(F.when(F.contains(x, F.lit("{")), x)), F.lit(""))
 
 
 def as_flag(col: Column | str) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.session import kept
 from lexmill.functions.text import clipped, iso_date, point_id, present, retrieval_text, text
 
+from lexmill.operators.skew import split_join
+
 MISSING = "(missing)"
 
 
@@ -26,7 +29,7 @@ def backfilled(articles: DataFrame, scope: list[str], position: str, fields: lis
     """Articles with missing fields filled from others of the same scope (file and law).
 
     The longest value fills in, the first by ``position`` on a tie; for the issuer the first clean one,
-    else the first. One aggregation and one join on the scope; nothing is collected per scope.
+    else the first. One aggregation and one join on the scope, heavy scopes split off; nothing is collected per scope.
     Rows with a blank scope value keep what they have.
     """
 
@@ -39,7 +42,8 @@ def backfilled(articles: DataFrame, scope: list[str], position: str, fields: lis
     for c in scope:
         usable = usable.where(present(c).isNotNull())
     best = usable.groupBy(*scope).agg(*longest, first)
-    joined = articles.join(best, scope, "left")
+    # One law may hold much of all rows: heavy scopes are filled in by a broadcast.
+    joined = split_join(articles, best, scope)
     return joined.select(*[F.coalesce(present(c), F.col(f"_{c}"), F.lit("")).alias(c) if c in [*fields, issuer] else F.col(c) for c in articles.columns])
 
 
@@ -57,10 +61,17 @@ def source_laws(articles: DataFrame, file: str | list[str] = "file_id") -> DataF
 def manifest(articles: DataFrame, chunks: DataFrame, file: str | list[str] = "file_id") -> DataFrame:
     """``file, article_count, chunk_count, law_count, content_sha``: one row per file with its counts and content digest.
 
-    The digest is of the file's ordered article digests, so no file's texts are put together.
+    The digest is made of digests of digests: the articles' ordered ones of each of 4,096 classes, then the classes'.
+    So neither texts nor digests of a file that holds much of all articles come together in one task.
     """
-    digests = articles.groupBy(file).agg(F.count(F.lit(1)).alias("article_count"), F.count_distinct(present("law_id")).alias("law_count"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list(F.sha2(F.concat_ws("|", text("mapc"), text("raw_content")), 256)))), 256).alias("content_sha"))
-    return digests.join(chunks.groupBy(file).agg(F.count(F.lit(1)).alias("chunk_count")), file, "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+    file = [file] if isinstance(file, str) else file
+    told = articles.select(*file, present("law_id").alias("_law"), F.sha2(F.concat_ws("|", text("mapc"), text("raw_content")), 256).alias("_d"))
+    ordered = lambda c: F.sha2(F.concat_ws("", F.array_sort(F.collect_list(c))), 256)
+    classes = told.groupBy(*file, F.left("_d", F.lit(3)).alias("_c")).agg(F.count(F.lit(1)).alias("_n"), ordered("_d").alias("_s"))
+    counts = classes.groupBy(*file).agg(F.sum("_n").alias("article_count"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_c", "_s"))), lambda x: x["_s"])), 256).alias("content_sha"))
+    laws = told.groupBy(*file).agg(F.count_distinct("_law").alias("law_count"))
+    sections = chunks.groupBy(*file).agg(F.count(F.lit(1)).alias("chunk_count"))
+    return counts.join(laws, file).join(sections, file, "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 
 
 def corpus_stats(rows: DataFrame, content: str, fields: list[str], by: list[str] | None = None) -> DataFrame:
@@ -114,10 +125,10 @@ def article_documents(chunks: DataFrame, position: str, key: Column, most_text:
 def total_order(rows: DataFrame, by: list[Column]) -> DataFrame:
     """Rows with their place in a total order: a range-partitioned sort, then ordinals from the partitions' sizes.
 
-    The only thing on the driver is one count per partition.
+    The sorted rows are kept, so that sizes and rows come from one evaluation and the same partitions. The
+    only thing on the driver is one count per partition.
     """
-    ordered = rows.orderBy(*by)
-    with_id = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    with_id = kept(rows.orderBy(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     counts = with_id.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
     before = counts.select("_p", "_first", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
     return with_id.join(F.broadcast(before), "_p").withColumn("position", F.col("_before") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_first", "_before")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.extract import article_no, citations, effective_date, law_id, query_features, query_filters, source_note, title_of_law, title_parts
+from lexmill.functions.extract import BEHIND, CITED_ARTICLE, CITED_CLAUSE, CITED_LAW, CITED_POINT, ISSUER_NAMES, ISSUERS, LAW_STARTS, NOTE_DATE, NOTE_STARTS, article_no, citations, effective_date, issuer_of_note, law_id, query_features, query_filters, title_of_law, title_parts
 from lexmill.functions.text import WS, clipped, collapse, folded, format_source, informative_tokens, iso_date, legal_reference, point_id, present, retrieval_text, text, tidy, token_set, tokens, without_prefixes
 from lexmill.operators.chunking import article_sections, numbered_lines, with_heading
+from lexmill.operators.evaluation import STOP_WORDS
 from lexmill.operators.corpus import article_documents, backfilled, corpus_stats, group_key, histogram, latest_rows, manifest, replaced, source_laws, total_order
 from lexmill.operators.snapshot_diff import snapshot_changes
 from lexmill.operators.splitter import chunks
@@ -17,9 +18,6 @@ from lexmill.sources.index_store import preview, retained, upserted
 from lexmill.plans.oracle import expanded
 from lexmill.sources.tables import blank, table, trimmed
 
-# Words that carry no information in questions.
-STOP_WORDS = ["cho", "của", "các", "này", "theo", "thì", "được", "không", "trong", "phải", "với", "những"]
-
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -33,7 +31,16 @@ _WS = WS
 _TIDY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce({0},''), chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t\f\x0b]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10)||chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g')"
 _COLLAPSE = "trim(regexp_replace(coalesce({0},''), '" + _WS + "+', ' ', 'g'))"
 _TOKENS = "regexp_extract_all(lower(coalesce({0},'')), '[0-9A-Za-zÀ-ỹ]+')"
+_COMPARED = "trim(regexp_replace(regexp_replace(lower(" + _COLLAPSE + "), '[^\\p{L}\\p{N}_ ]', ' ', 'g'), ' +', ' ', 'g'))"
+_WORDS = "list_filter(list_distinct(string_split(" + _COMPARED + f", ' ')), lambda x: length(x) > 2 and not regexp_full_match(x, '\\p{{Nd}}+') and not list_contains({STOP_WORDS}, x))"
 _LAW = "(?:Bộ luật|Luật|Pháp lệnh|Nghị quyết liên tịch|Nghị quyết|Nghị định|Thông tư liên tịch|Thông tư|Quyết định|Chỉ thị|Lệnh) số\\s+[^\\s,()]+"
+# Citations of the texts x of a table: each article with what the 80 characters behind it name, then laws, each once in order.
+_CITED, _CITED_LAW = "(?i)" + CITED_ARTICLE, "(?i)" + CITED_LAW
+CITES = f"""
+cm as (select *, regexp_extract_all(x, '{_CITED}') as m, regexp_split_to_array(x, '{_CITED}') as p from @from),
+ct as (select *, list_transform(generate_series(1, len(m)), lambda i: substr(p[i+1] || coalesce(array_to_string(list_transform(generate_series(i+1, len(m)), lambda j: m[j] || p[j+1]), ''), ''), 1, {BEHIND})) as t from cm),
+cl as (select *, list_concat(list_transform(generate_series(1, len(m)), lambda i: concat_ws(', ', m[i], nullif(regexp_extract(t[i], '(?i){CITED_CLAUSE}'), ''), nullif(regexp_extract(t[i], '(?i){CITED_POINT}'), ''), nullif(regexp_extract(t[i], '{_CITED_LAW}'), ''))), regexp_extract_all(x, '{_CITED_LAW}')) as l from ct),
+cites as (select * exclude (m, p, t, l), list_filter(l, lambda e, i: list_position(l, e) = i) as citations from cl)"""
 _ARTICLES = "(select * from parsed_article where @trim(coalesce(mapc,''))<>'')"
 
 
@@ -82,10 +89,8 @@ def folded_questions(spark, folder):
 
 
 @query(f"""
-with t as (select doc_id, {_of(_TOKENS, 'text')} as t from documents)
-select doc_id, len(t)::bigint as n_tokens, len(list_distinct(list_filter(t, lambda x: length(x) >= 2)))::bigint as n_distinct,
- len(list_filter(list_distinct(list_filter(t, lambda x: length(x) > 2 and not regexp_matches(x, '^[0-9]+$'))), lambda x: not list_contains({STOP_WORDS}, x)))::bigint as n_informative
-from t""")
+with t as (select doc_id, {_of(_TOKENS, 'text')} as t, {_of(_WORDS, 'text')} as w from documents)
+select doc_id, len(t)::bigint as n_tokens, len(list_distinct(list_filter(t, lambda x: length(x) >= 2)))::bigint as n_distinct, len(w)::bigint as n_informative from t""")
 def document_tokens(spark, folder):
     """Tokens of each document: all, distinct, informative."""
     return table(spark, folder, "documents").select("doc_id", F.size(tokens("text")).cast("long").alias("n_tokens"), F.size(token_set("text")).cast("long").alias("n_distinct"), F.size(informative_tokens("text", STOP_WORDS)).cast("long").alias("n_informative"))
@@ -169,11 +174,28 @@ def source_note_fields(spark, folder):
     return articles(spark, folder).select("mapc", law_id(note).alias("law_id"), article_no(note).alias("article"), title_of_law(note).alias("title"), effective_date(note).alias("effective_date")).distinct()
 
 
-@query()
+def _issuer_sql() -> str:
+    names = "case " + " ".join(f"when contains(note, '{x}') then '{x}'" for x in ISSUER_NAMES) + " end"
+    codes = "case when starts_with(p, 'UBTVQH') then '" + ISSUERS["UBTVQH"] + "' when regexp_full_match(p, 'QH[0-9]*') then '" + ISSUERS["QH"] + "' " + " ".join(f"when p = '{k}' then '{v}'" for k, v in ISSUERS.items()) + " end"
+    coded = lambda x: f"list_filter(list_transform(regexp_split_to_array(upper({_of(_COLLAPSE, x)}), '[^0-9A-ZÀ-ỸĐ]+'), lambda p: {codes}), lambda v: v is not null)"
+    once = lambda c: f"nullif(array_to_string(list_filter({c}, lambda e, i: list_position({c}, e) = i), '; '), '')"
+    starts = lambda x, whole, table: "case " + " ".join(f"when starts_with({x}, '{a}') and contains({whole}, '{b}') then '{n}'" for a, b, n in table) + " end"
+    return rf"""
+with n as (select distinct mapc, {_NOTE} as note from {_ARTICLES}),
+l as (select *, regexp_extract(note, '(?i){_LAW}', 0) as law,
+ regexp_replace(regexp_replace(regexp_extract(note, '(?i){_LAW}(.*)', 1), '(?i)({NOTE_DATE}|,\s*(có|hết) hiệu lực).*', ''), '^[ ,;:\-]+|[ ,;:\-]+$', '', 'g') as title,
+ trim(regexp_extract(regexp_replace(note, '(?is),\s*(?:có hiệu lực|hết hiệu lực).*', ''), '(?is)^.*{NOTE_DATE}(.*)$', 1)) as tail from n),
+i as (select mapc, coalesce(case when starts_with(lower(tail), 'của ') then nullif({_of(_TIDY, "substr(tail, 5)")}, '') end, {names}, {once(coded('law'))}, {once(coded('title'))},
+ {starts("trim(regexp_replace(lower(note), '^điều[[:space:]]+[0-9a-zà-ỹ.-]+[[:space:]]+', ''))", "lower(note)", NOTE_STARTS)}, {starts(f"upper({_of(_COLLAPSE, 'law')})", f"upper({_of(_COLLAPSE, 'law')})", LAW_STARTS)}, '') as issuer from l)
+select issuer, count(distinct mapc)::bigint as n_articles from i group by 1"""
+
+
+@query(_issuer_sql())
 def source_note_issuers(spark, folder):
-    """Issuers that the notes state or their laws' codes imply, counted; codes of the registry's issuers as parameters."""
-    note = source_note("source_note")
-    return articles(spark, folder).select(note["issuer"].alias("issuer"), "mapc").distinct().groupBy("issuer").agg(F.count(F.lit(1)).alias("n_articles"))
+    """Issuers that the notes state, name or imply, with the number of articles of each."""
+    note = F.regexp_replace(tidy("source_note"), r"^[() ]+|[() ]+$", "")
+    issuer = issuer_of_note(note, law_id(note), title_of_law(note))
+    return articles(spark, folder).select(issuer.alias("issuer"), "mapc").distinct().groupBy("issuer").agg(F.count(F.lit(1)).alias("n_articles"))
 
 
 @query(rf"""
@@ -189,8 +211,8 @@ def question_filters(spark, folder):
 
 
 @query(rf"""
-with a as (select distinct chat_id, {_of(_COLLAPSE, 'final_answer')} as x from chat_log),
-c as (select chat_id, unnest(list_distinct(list_concat(regexp_extract_all(x, '(?i)(?:điểm [a-zđ] )?(?:khoản \d+ )?Điều \d+(?:\.\d+\.[A-ZĐ]+\.\d+\.\d+)?'), regexp_extract_all(x, '(?i){_LAW}')))) as citation from a)
+with a as (select distinct chat_id, {_of(_COLLAPSE, 'final_answer')} as x from chat_log), {CITES.replace('@from', 'a')},
+c as (select chat_id, unnest(citations) as citation from cites)
 select citation, count(*)::bigint as n_answers from c group by 1""")
 def answer_citations(spark, folder):
     """Citations of the answers and how many answers have each."""
@@ -287,9 +309,11 @@ def laws_of_files_all(spark, folder):
 @query("""
 with a as (select distinct on (mapc) mapc, file_id, law_id, raw_content from parsed_article where snapshot_no=5 and @trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc),
 c as (select a.file_id, count(distinct i.point_id)::bigint as chunk_count from index_document i join a on @trim(i.mapc)=a.mapc where i.snapshot_no=5 group by 1),
-f as (select file_id, count(*)::bigint as article_count, count(distinct nullif(trim(coalesce(law_id,'')),''))::bigint as law_count,
- sha256(coalesce(string_agg(sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,'')), '' order by sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,''))),'')) as content_sha from a group by 1)
-select f.file_id, article_count, law_count, content_sha, coalesce(chunk_count,0)::bigint as chunk_count from f left join c using (file_id)""")
+f as (select file_id, count(*)::bigint as article_count, count(distinct nullif(trim(coalesce(law_id,'')),''))::bigint as law_count from a group by 1),
+d as (select file_id, sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,'')) as d from a),
+k as (select file_id, left(d, 3) as c, sha256(string_agg(d, '' order by d)) as s from d group by all),
+g as (select file_id, sha256(string_agg(s, '' order by c)) as content_sha from k group by all)
+select f.file_id, article_count, law_count, content_sha, coalesce(chunk_count,0)::bigint as chunk_count from f join g on f.file_id is not distinct from g.file_id left join c on f.file_id = c.file_id""")
 def file_manifest(spark, folder):
     """Manifest of the latest snapshot's files: articles, laws, indexed sections and the digest of the contents."""
     return _manifest(spark, folder, False).drop("snapshot_no")
@@ -298,9 +322,11 @@ def file_manifest(spark, folder):
 @query("""
 with a as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, file_id, law_id, raw_content from parsed_article where @trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
 c as (select a.snapshot_no, a.file_id, count(distinct i.point_id)::bigint as chunk_count from index_document i join a on @trim(i.mapc)=a.mapc and i.snapshot_no=a.snapshot_no group by 1, 2),
-f as (select snapshot_no, file_id, count(*)::bigint as article_count, count(distinct nullif(trim(coalesce(law_id,'')),''))::bigint as law_count,
- sha256(coalesce(string_agg(sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,'')), '' order by sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,''))),'')) as content_sha from a group by 1, 2)
-select f.snapshot_no, f.file_id, article_count, law_count, content_sha, coalesce(chunk_count,0)::bigint as chunk_count from f left join c using (snapshot_no, file_id)""")
+f as (select snapshot_no, file_id, count(*)::bigint as article_count, count(distinct nullif(trim(coalesce(law_id,'')),''))::bigint as law_count from a group by 1, 2),
+d as (select snapshot_no, file_id, sha256(coalesce(mapc,'')||'|'||coalesce(raw_content,'')) as d from a),
+k as (select snapshot_no, file_id, left(d, 3) as c, sha256(string_agg(d, '' order by d)) as s from d group by all),
+g as (select snapshot_no, file_id, sha256(string_agg(s, '' order by c)) as content_sha from k group by all)
+select f.snapshot_no, f.file_id, article_count, law_count, content_sha, coalesce(chunk_count,0)::bigint as chunk_count from f join g using (snapshot_no, file_id) left join c using (snapshot_no, file_id)""")
 def file_manifest_all(spark, folder):
     """Manifest of every snapshot's files."""
     return _manifest(spark, folder, True)
@@ -312,6 +338,25 @@ def _manifest(spark, folder, every: bool) -> DataFrame:
     return manifest(rows, points.join(rows.select("snapshot_no", "mapc", "file_id"), ["snapshot_no", "mapc"]), ["snapshot_no", "file_id"])
 
 
+@query("""
+with a as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, file_id, law_id from parsed_article where @trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
+c as (select a.snapshot_no, a.file_id, count(distinct i.point_id)::bigint as chunk_count from index_document i join a on @trim(i.mapc)=a.mapc and i.snapshot_no=a.snapshot_no group by 1, 2),
+f as (select snapshot_no, file_id, count(*)::bigint as article_count, string_agg(distinct nullif(trim(coalesce(law_id,'')),''), ';' order by nullif(trim(coalesce(law_id,'')),'')) as law_ids from a group by 1, 2),
+m as (select snapshot_no, file_id, max_by(struct_pack(p := lower(coalesce(relative_path,'')), h := lower(coalesce(content_sha256,'')), s := file_size, t := mtime_ns, v := snapshot_version), synced_at) as m from manifest_entry where file_id is not null group by 1, 2)
+select snapshot_no, file_id, article_count, coalesce(chunk_count,0)::bigint as chunk_count, coalesce(law_ids,'') as law_ids, m.p as relative_path, m.h as content_sha256, m.s as file_size, m.t as mtime_ns, m.v as snapshot_version
+from f left join c using (snapshot_no, file_id) left join m using (snapshot_no, file_id)""")
+def manifest_entries(spark, folder):
+    """Manifest entries: what each file of a snapshot holds, with the signature it was delivered with."""
+    rows = _current(spark, folder, True)
+    points = table(spark, folder, "index_document").select("snapshot_no", "point_id", trimmed("mapc").alias("mapc")).distinct()
+    held = manifest(rows, points.join(rows.select("snapshot_no", "mapc", "file_id"), ["snapshot_no", "mapc"]), ["snapshot_no", "file_id"])
+    laws = source_laws(rows, ["snapshot_no", "file_id"]).where(present("law_id").isNotNull()).groupBy("snapshot_no", "file_id").agg(F.array_join(F.array_sort(F.collect_set(F.trim("law_id"))), ";").alias("law_ids"))
+    signed = F.struct(F.lower(text("relative_path")).alias("relative_path"), F.lower(text("content_sha256")).alias("content_sha256"), "file_size", "mtime_ns", "snapshot_version")
+    signature = table(spark, folder, "manifest_entry").where("file_id is not null").groupBy("snapshot_no", "file_id").agg(F.max_by(signed, "synced_at").alias("s")).select("snapshot_no", "file_id", "s.*")
+    key = ["snapshot_no", "file_id"]
+    return held.drop("law_count", "content_sha").join(laws, key, "left").join(signature, key, "left").withColumn("law_ids", F.coalesce("law_ids", F.lit("")))
+
+
 @query("""
 select count(*)::bigint as n_rows, count_if(length(trim(coalesce(raw_content,'')))=0)::bigint as n_empty, round(avg(length(trim(coalesce(raw_content,'')))::double),2) as avg_length,
  max(length(trim(coalesce(raw_content,''))))::bigint as max_length, count_if(trim(coalesce(issuer,''))='')::bigint as missing_issuer, count_if(trim(coalesce(law_id,''))='')::bigint as missing_law_id, count_if(trim(coalesce(effective_date,''))='')::bigint as missing_effective_date, snapshot_no

@@ -8,15 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.extract import query_filters
+from lexmill.functions.extract import CITED_ARTICLE, CITED_LAW, GENERIC, query_filters
 from lexmill.functions.session import shared_folder
-from lexmill.functions.text import iso_date, text
+from lexmill.functions.text import collapse, iso_date, present, text
 from lexmill.operators.corpus import latest_rows
-from lexmill.operators.evaluation import accuracy, claim_support, claims, displayed_sources, first_relevant_rank, folded_events, grounding, label_scores, latencies, messages, retrieval_quality, step_times
-from lexmill.operators.search import bm25_topk, context_block, date_passes, dedup_key, evidence_status, exact_bonus, exact_match, hybrid_merge, vector_topk, with_fallback
+from lexmill.operators.evaluation import (
+    CONTAINED, DISCLAIMER, SHARED, SHARED_PART, accuracy, citation_report, claim_support, claims, displayed_sources, filter_hit_rates, folded_events, grounding, label_scores, latencies,
+    messages, relevant_ranks, retrieval_quality, step_times, truth_matches,
+)
+from lexmill.operators.search import FILTER_FIELDS, bm25_topk, context_block, date_passes, dedup_key, evidence_status, exact_bonus, exact_match, has_filters, hybrid_merge, passes_filters, vector_topk, with_fallback
 from lexmill.models import embedded
 from lexmill.operators.rerank import overlap_model, reranked, variants
-from lexmill.plans.corpus_queries import _COLLAPSE, _TOKENS, _of, articles, latest_snapshot
+from lexmill.plans.corpus_queries import _COLLAPSE, _COMPARED, _LAW, _TOKENS, _WORDS, CITES, _of, articles, latest_snapshot
 from lexmill.plans.oracle import expanded
 from lexmill.sources.tables import table, trimmed
 from lexmill.streaming.threads import latest_states, thread_states, thread_states_batch
@@ -47,9 +50,16 @@ def query(sql: str | None = None):
 
 
 def _sections(spark, folder) -> DataFrame:
-    """Indexed sections, one row per point."""
-    points = table(spark, folder, "index_document").groupBy("point_id").agg(F.max("content").alias("content"), F.max(trimmed("mapc")).alias("mapc"))
-    return points.withColumn("kind", _kind(F.col("content")))
+    """Indexed sections, one row per point: the one indexed last."""
+    one = F.max_by(F.struct(text("content").alias("content"), text(trimmed("mapc")).alias("mapc")), F.struct("indexed_at", text("content"), text("mapc"))).alias("r")
+    return table(spark, folder, "index_document").groupBy("point_id").agg(one).select("point_id", "r.*").withColumn("kind", _kind(F.col("content")))
+
+
+def _described(spark, folder) -> DataFrame:
+    """Indexed sections with the metadata of their article in the latest snapshot."""
+    fields = ["mapc", *FILTER_FIELDS, "source_note"]
+    current = latest_rows(latest_snapshot(articles(spark, folder)).select(*fields, "loaded_at"), ["mapc"], "loaded_at").drop("loaded_at")
+    return _sections(spark, folder).join(current, "mapc", "left")
 
 
 def _kind(x):
@@ -62,7 +72,10 @@ def _questions(spark, folder) -> DataFrame:
 
 
 _BM25 = """
-docs as (select point_id, max(content) as content, lower(regexp_extract(coalesce(max(content),''), 'Điều \\d+\\.\\d+\\.([A-ZĐ]+)\\.', 1)) as kind from index_document group by 1),
+d0 as (select point_id, max_by(struct_pack(content := coalesce(content,''), mapc := coalesce(@trim(mapc),'')), struct_pack(at := indexed_at, c := coalesce(content,''), m := coalesce(mapc,''))) as r from index_document group by 1),
+docs as (select point_id, r.content as content, r.mapc as mapc, lower(regexp_extract(r.content, 'Điều \\d+\\.\\d+\\.([A-ZĐ]+)\\.', 1)) as kind from d0),
+art as (select distinct on (mapc) mapc, article_code, article_name, article, law_id, title, issuer, effective_date, topic_id, de_muc, source_note, raw_content from parsed_article where snapshot_no = (select max(snapshot_no) from parsed_article) and @trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc),
+meta as (select docs.*, art.* exclude (mapc) from docs left join art using (mapc)),
 asked as (select chat_id, max(question) as question, lower(regexp_extract(coalesce(max(question),''), 'Điều \\d+\\.\\d+\\.([A-ZĐ]+)\\.', 1)) as kind from chat_log where chat_id % 50 = 0 group by 1),
 t as (select point_id, unnest(""" + _of(_TOKENS, "content") + """) as term from docs),
 l as (select point_id, len(""" + _of(_TOKENS, "content") + """) as n from docs), a as (select avg(n) as avgdl, count(*) as n from l),
@@ -122,14 +135,13 @@ def vector_label_boost(spark, folder):
     return vector_topk(rows, rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), TOP, label=("label", "label"), bonus=0.35)
 
 
-def _hybrid(spark, folder, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Hybrid hits, and the documents: of those that have a vector, or of every one, those without a vector by BM25 alone."""
+def _hybrid(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Hybrid hits, and the documents: all are searched and ask by BM25, those that have a vector by their vector too."""
     docs = table(spark, folder, "documents").select("doc_id", text("text").alias("content"), "law_id")
-    vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    both = docs.join(vectors, "doc_id", "left" if every else "inner")
-    asked = both.where("doc_id % 50 = 0").select(F.col("doc_id").alias("request_id"), F.regexp_extract("content", r"^[^\r\n]*", 0).alias("question"), "embedding")
-    lexical = bm25_topk(both, asked, 12, query="request_id").select("request_id", F.lit("bm25").alias("channel"), "doc_id", "score")
-    near = vector_topk(both, asked, 12, row="doc_id", query="request_id").select("request_id", F.lit("vector").alias("channel"), "doc_id", "score")
+    vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("request_id"), F.regexp_extract("content", r"^[^\r\n]*", 0).alias("question"))
+    lexical = bm25_topk(docs, asked, 12, query="request_id").select("request_id", F.lit("bm25").alias("channel"), "doc_id", "score")
+    near = vector_topk(vectors, vectors.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "request_id"), 12, row="doc_id", query="request_id").select("request_id", F.lit("vector").alias("channel"), "doc_id", "score")
     law = docs.select(F.col("doc_id").alias("request_id"), F.col("law_id").alias("asked_law"))
     hits = lexical.unionByName(near).join(docs.select("doc_id", "law_id"), "doc_id").join(law, "request_id")
     bonus, _ = exact_bonus({"law_id": (F.col("law_id"), F.col("asked_law"))})
@@ -137,13 +149,13 @@ def _hybrid(spark, folder, every: bool = False) -> tuple[DataFrame, DataFrame]:
 
 
 _HYBRID = """
-b as (select d.doc_id, coalesce(d.text,'') as content, d.law_id, list_transform(e.embedding, lambda x: x::double / nullif(sqrt(list_aggregate(list_transform(e.embedding, lambda y: y::double * y::double), 'sum')), 0)) as v from documents d join embeddings e on d.doc_id = e.vec_id),
+b as (select d.doc_id, coalesce(d.text,'') as content, d.law_id, list_transform(e.embedding, lambda x: x::double / nullif(sqrt(list_aggregate(list_transform(e.embedding, lambda y: y::double * y::double), 'sum')), 0)) as v from documents d left join embeddings e on d.doc_id = e.vec_id),
 asked as (select doc_id as request_id, regexp_extract(content, '^[^\\r\\n]*', 0) as question, v, law_id from b where doc_id % 50 = 0),
 t as (select doc_id, unnest(""" + _of(_TOKENS, "content") + """) as term from b), l as (select doc_id, len(""" + _of(_TOKENS, "content") + """) as n from b), a as (select avg(n) as avgdl, count(*) as n from l),
 tf as (select doc_id, term, count(*) as tf from t group by all), df as (select term, count(*) as df from tf group by 1),
 qt as (select request_id, term, count(*) as qtf from (select request_id, unnest(""" + _of(_TOKENS, "question") + """) as term from asked) group by all),
 s as (select request_id, tf.doc_id, round(sum(qtf * ln(1 + (a.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l.n / avgdl))), 6) as score from qt join tf using (term) join df using (term) join l using (doc_id) cross join a group by all),
-c as (select request_id, b.doc_id, round(list_aggregate(list_transform(list_zip(asked.v, b.v), lambda z: z[1] * z[2]), 'sum'), 6) as score from asked cross join b),
+c as (select request_id, b.doc_id, round(list_aggregate(list_transform(list_zip(asked.v, b.v), lambda z: z[1] * z[2]), 'sum'), 6) as score from asked cross join b where asked.v is not null and b.v is not null),
 h as (select request_id, doc_id, 'bm25' as channel, score from (select *, row_number() over (partition by request_id order by score desc, doc_id) as r from s where score > 0) where r <= 12
  union all select request_id, doc_id, 'vector', score from (select *, row_number() over (partition by request_id order by score desc, doc_id) as r from c) where r <= 12),
 m as (select h.request_id, h.doc_id as key, greatest(coalesce(max(score) filter (where channel='bm25'),0),0) as bm25, greatest(coalesce(max(score) filter (where channel='vector'),0),0) as vector, count(distinct channel)::bigint as n_channels, 1::bigint as n_queries,
@@ -166,51 +178,122 @@ def context_blocks(spark, folder):
     return context_block(shown, "request_id", "content").select("request_id", F.md5("context").alias("context_md5"))
 
 
-@query(f"""with {_HYBRID} select request_id, count(*)::bigint as n_hits, count(distinct key)::bigint as n_sources, max(combined) as top_score, case when max(combined) < 0.15 then 'weak_evidence' else 'ok' end as status from k where rank <= 4 group by 1""")
+_EVIDENCE = f"""with {_HYBRID}, g as (select request_id, count(*)::bigint as n_hits, count(distinct key)::bigint as n_sources, count_if(trim(coalesce(b.law_id,''))<>'')::bigint as n_structured, max(combined) as top_score from k join b on b.doc_id = k.key where rank <= 4 group by 1)
+select request_id, coalesce(n_hits, 0)::bigint as n_hits, coalesce(n_sources, 0)::bigint as n_sources, coalesce(n_structured, 0)::bigint as n_structured, top_score,
+ case when n_hits is null then 'no_results' when n_hits < 2 then 'insufficient_results' when n_sources < 1 then 'low_source_diversity' when top_score < 0.15 then 'weak_evidence' else 'ok' end as status from asked left join g using (request_id)"""
+
+
+@query(_EVIDENCE)
 def evidence(spark, folder):
-    """Whether the hits of each request suffice."""
-    return evidence_status(_hybrid(spark, folder)[0].where("rank <= 4"), "request_id")
+    """Whether the hits of each request suffice, requests without a hit included."""
+    hits, docs = _hybrid(spark, folder)
+    best = hits.where("rank <= 4").join(docs.select(F.col("doc_id").alias("key"), "law_id"), "key")
+    return evidence_status(best, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("request_id")), "request_id", least_hits=2)
 
 
-# Every document is indexed and asks; the vector channel has those that have a vector.
-_HYBRID_ALL = _HYBRID.replace("from documents d join embeddings e", "from documents d left join embeddings e").replace("from asked cross join b)", "from asked cross join b where asked.v is not null and b.v is not null)")
+# The same queries under the names they had when the others searched documents with a vector only.
+for _name, _of_all in (("hybrid_search_all", hybrid_search), ("context_blocks_all", context_blocks), ("evidence_all", evidence)):
+    QUERIES[_name], SQL[_name] = _of_all, SQL[_of_all.__name__]
 
 
-@query(f"with {_HYBRID_ALL} select request_id, key, bm25, vector, n_queries, n_channels, bonus, combined, rank from k where rank <= 12")
-def hybrid_search_all(spark, folder):
-    """The flagship over all documents and requests, with or without a vector."""
-    return _hybrid(spark, folder, every=True)[0].where("rank <= 12")
+_CODE = "Điều [0-9A-ZĐ.]+[0-9A-ZĐ]"
+# What a logged answer states as truth: the articles and laws of its sources, and its own text as reference context.
+_TRUTH = f"""
+logged as (select distinct on (chat_id) chat_id, coalesce(sources, []) as sources, coalesce(final_answer, '') as answer from chat_log where chat_id % 50 = 0 order by chat_id, asked_at desc),
+cases as (select chat_id, list_filter(list_transform(sources, lambda x: regexp_extract(coalesce(x,''), '{_CODE}', 0)), lambda x: x <> '') as codes, list_filter(list_transform(sources, lambda x: trim(split_part(coalesce(x,''), ' - ', 3))), lambda x: x <> '') as laws, answer,
+ {_of(_COMPARED, 'answer')} as ct, {_of(_WORDS, 'answer')} as cw from logged),
+hits as (select chat_id, point_id, score, rank::int as rank from (select *, row_number() over (partition by chat_id order by score desc, point_id) as rank from s where score > 0) where rank <= 10),
+ht as (select hits.chat_id, hits.point_id, rank, meta.article_code, meta.law_id, concat_ws(' ', nullif(trim(content),''), nullif(trim(coalesce(article_name,'')),''), nullif(trim(coalesce(title,'')),''), nullif(trim(coalesce(law_id,'')),''), nullif(trim(coalesce(source_note,'')),'')) as t from hits join meta using (point_id)),
+hw as (select *, {_of(_COMPARED, 't')} as tt, {_of(_WORDS, 't')} as tw from ht),
+mt as (select hw.chat_id, point_id, rank, coalesce(trim(coalesce(article_code,''))<>'' and list_contains(codes, article_code), false) as by_code, coalesce(trim(coalesce(law_id,''))<>'' and list_contains(laws, law_id), false) as by_law,
+ tt <> '' and ct <> '' and ((least(length(tt), length(ct)) >= {CONTAINED} and (case when length(ct) < length(tt) then contains(tt, ct) else contains(ct, tt) end)) or (least(len(tw), len(cw)) > 0 and (len(list_intersect(tw, cw)) >= {SHARED} or len(list_intersect(tw, cw)) / least(len(tw), len(cw)) >= {SHARED_PART}))) as by_context from hw join cases using (chat_id)),
+fr as (select w.chat_id, min(rank) as f from (select chat_id from cases where len(codes) > 0 or len(laws) > 0 or trim(answer) <> '') w left join (select * from mt where by_code or by_law or by_context) using (chat_id) group by 1)"""
 
 
-@query(f"""with {_HYBRID_ALL} select request_id, md5(string_agg('[' || rank || '] ' || trim(substr(trim(content), 1, 1400)), chr(10)||chr(10) order by rank)) as context_md5 from k join b on b.doc_id = k.key where rank <= 4 group by 1""")
-def context_blocks_all(spark, folder):
-    """Context of the best four of all documents."""
-    hits, docs = _hybrid(spark, folder, every=True)
-    shown = hits.where("rank <= 4").join(docs.withColumnRenamed("doc_id", "key"), "key")
-    return context_block(shown, "request_id", "content").select("request_id", F.md5("context").alias("context_md5"))
+def _cases(spark, folder) -> DataFrame:
+    rows = latest_rows(table(spark, folder, "chat_log").where("chat_id % 50 = 0").select("chat_id", "sources", "final_answer", "asked_at"), ["chat_id"], "asked_at")
+    listed = lambda f: F.filter(F.transform(F.coalesce("sources", F.array().cast("array<string>")), f), lambda x: x != "")
+    laws = lambda x: F.trim(F.coalesce(F.try_element_at(F.split(x, " - "), F.lit(3)), F.lit("")))
+    return rows.select("chat_id", listed(lambda x: F.regexp_extract(text(x), _CODE, 0)).alias("article_codes"), listed(laws).alias("law_ids"), F.array(text("final_answer")).alias("contexts"))
 
 
-@query(f"""with {_HYBRID_ALL}, g as (select request_id, count(*)::bigint as n_hits, count(distinct key)::bigint as n_sources, max(combined) as top_score from k where rank <= 4 group by 1)
-select request_id, coalesce(n_hits, 0)::bigint as n_hits, coalesce(n_sources, 0)::bigint as n_sources, top_score, case when n_hits is null then 'no_results' when top_score < 0.15 then 'weak_evidence' else 'ok' end as status from asked left join g using (request_id)""")
-def evidence_all(spark, folder):
-    """Whether the hits of each request suffice, requests without a hit included."""
-    hits, docs = _hybrid(spark, folder, every=True)
-    return evidence_status(hits.where("rank <= 4"), "request_id", requests=docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("request_id")))
+def _matches(spark, folder, hits: DataFrame, cases: DataFrame) -> DataFrame:
+    told = hits.join(_described(spark, folder).select("point_id", "content", "article_code", "article_name", "law_id", "title", "source_note"), "point_id")
+    return truth_matches(told, cases, "chat_id", ["content", "article_name", "title", "law_id", "source_note"])
 
 
-@query(f"""with {_BM25}, hits as (select chat_id, point_id, rank from (select *, row_number() over (partition by chat_id order by score desc, point_id) as rank from s where score > 0) where rank <= 10),
-truth as (select distinct c.chat_id, d.point_id from (select chat_id, unnest(sources) as src from chat_log where chat_id % 50 = 0) c join docs d on regexp_extract(c.src, 'Điều [0-9A-ZĐ.]+[0-9A-ZĐ]', 0) <> '' and regexp_extract(c.src, 'Điều [0-9A-ZĐ.]+[0-9A-ZĐ]', 0) = regexp_extract(coalesce(d.content,''), 'Điều [0-9A-ZĐ.]+[0-9A-ZĐ]', 0)),
-r as (select w.chat_id, min(rank) as f from (select distinct chat_id from truth) w left join (select hits.chat_id, rank from hits join truth using (chat_id, point_id)) x using (chat_id) group by 1)
-select count(*)::bigint as n_queries, round(avg(case when f <= 1 then 1.0 else 0.0 end),4) as hit_1, round(avg(case when f <= 3 then 1.0 else 0.0 end),4) as hit_3, round(avg(case when f <= 5 then 1.0 else 0.0 end),4) as hit_5, round(avg(case when f <= 10 then 1.0 else 0.0 end),4) as hit_10,
- round(avg(1.0::double/f),4) as mrr_hits, round(avg(coalesce(1.0::double/f,0.0)),4) as mrr_all from r""")
+@query(f"""with {_BM25}, {_TRUTH} select chat_id, point_id, rank, array_to_string(list_filter([case when by_code then 'article_code' end, case when by_law then 'law_id' end, case when by_context then 'context' end], lambda x: x is not null), ',') as by from mt""")
+def ground_truth_matches(spark, folder):
+    """By which fields each of the best ten sections agrees with what the logged answers state as truth."""
+    hits = bm25_topk(_sections(spark, folder), _questions(spark, folder), 10, doc="point_id", query="chat_id")
+    return _matches(spark, folder, hits, _cases(spark, folder)).select("chat_id", "point_id", "rank", F.array_join("by", ",").alias("by"))
+
+
+_QUALITY = "count(*)::bigint as n_queries, " + ", ".join(f"round(avg(case when f <= {c} then 1.0 else 0.0 end),4) as hit_{c}" for c in (1, 3, 5, 10)) + ", round(avg(1.0::double/f),4) as mrr_hits, round(avg(coalesce(1.0::double/f,0.0)),4) as mrr_all"
+
+
+@query(f"with {_BM25}, {_TRUTH} select {_QUALITY} from fr")
 def retrieval_evaluation(spark, folder):
-    """Hit rates and reciprocal ranks of BM25 against the sources the answers gave."""
-    docs, asked = _sections(spark, folder), _questions(spark, folder)
-    hits = bm25_topk(docs, asked, 10, doc="point_id", query="chat_id")
-    code = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), "Điều [0-9A-ZĐ.]+[0-9A-ZĐ]", 0)
-    cited = table(spark, folder, "chat_log").where("chat_id % 50 = 0").select("chat_id", F.explode("sources").alias("s")).select("chat_id", code(F.col("s")).alias("code")).where("code <> ''").distinct()
-    truth = cited.join(docs.select("point_id", code(F.col("content")).alias("code")), "code").select("chat_id", "point_id")
-    return retrieval_quality(first_relevant_rank(hits, truth, "chat_id", "point_id"), 10)
+    """Hit rates and reciprocal ranks of BM25 against what the answers state as truth."""
+    cases = _cases(spark, folder)
+    hits = bm25_topk(_sections(spark, folder), _questions(spark, folder), 10, doc="point_id", query="chat_id")
+    return retrieval_quality(relevant_ranks(_matches(spark, folder, hits, cases), cases, "chat_id"), 10)
+
+
+def _grid_sql() -> str:
+    truth = _TRUTH.replace("from s where score > 0) where rank <= 10)", "from (select s.*, false as filtered from s union all select s.*, true from s join docs using (point_id) join asked using (chat_id) where asked.kind = '' or asked.kind = docs.kind) where score > 0) where rank <= 10)")
+    truth = truth.replace("hits as (select chat_id, point_id, score,", "hits as (select chat_id, filtered, point_id, score,").replace("row_number() over (partition by chat_id order", "row_number() over (partition by chat_id, filtered order")
+    truth = truth.replace("ht as (select hits.chat_id,", "ht as (select hits.chat_id, hits.filtered,").replace("mt as (select hw.chat_id,", "mt as (select hw.chat_id, hw.filtered,")
+    truth = truth[: truth.index("fr as (")] + """g as (select * from (select false as filtered union all select true) cross join (select 5 as k union all select 10)),
+fr as (select g.filtered, g.k, w.chat_id, min(mm.rank) as f from (select chat_id from cases where len(codes) > 0 or len(laws) > 0 or trim(answer) <> '') w cross join g left join (select * from mt where by_code or by_law or by_context) mm on mm.chat_id = w.chat_id and mm.filtered = g.filtered and mm.rank <= g.k group by 1, 2, 3)"""
+    return f"with {_BM25}, {truth} select filtered, k, {_QUALITY.replace('as hit_10', 'as h10')} from fr group by 1, 2".replace("select filtered, k, count(*)", "select * exclude (h10), case when k >= 10 then h10 end as hit_10 from (select filtered, k, count(*)") + ")"
+
+
+@query(_grid_sql())
+def scenario_grid(spark, folder):
+    """The evaluation over a grid of scenarios: with and without the filter, five and ten hits; hit rates beyond the depth are null."""
+    docs, asked, cases = _sections(spark, folder), _questions(spark, folder), _cases(spark, folder)
+    out = None
+    for filtered in (False, True):
+        matches = _matches(spark, folder, bm25_topk(docs, asked, 10, doc="point_id", query="chat_id", filters={"kind": "kind"} if filtered else None), cases)
+        for k in (5, 10):
+            row = retrieval_quality(relevant_ranks(matches.where(F.col("rank") <= k), cases, "chat_id"), k).select(F.lit(filtered).alias("filtered"), F.lit(k).alias("k"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+_ASKED_FILTERS = f"""
+qf as (select chat_id, {_of(_COLLAPSE, 'question')} as x from asked),
+wf as (select chat_id, regexp_extract(x, '(?i){_LAW}', 0) as w_law, case when regexp_extract(x, '(?i)Điều (\\d+\\.\\d+\\.[A-ZĐ]+\\.\\d+\\.\\d+)', 1) <> '' then 'Điều ' || upper(regexp_extract(x, '(?i)Điều (\\d+\\.\\d+\\.[A-ZĐ]+\\.\\d+\\.\\d+)', 1)) else '' end as w_code,
+ case when regexp_matches(lower(x), 'từ ngày \\d') then regexp_extract(lower(x), 'từ ngày (\\d{{1,2}}/\\d{{1,2}}/\\d{{4}})', 1) else '' end as w_from from qf)"""
+
+
+@query(f"""with {_BM25}, {_ASKED_FILTERS},
+hits as (select chat_id, point_id from (select *, row_number() over (partition by chat_id order by score desc, point_id) as rank from s where score > 0) where rank <= {TOP}),
+ps as (select wf.chat_id, (w_law = '' or (lower({_of(_COLLAPSE, 'meta.law_id')}) <> '' and lower({_of(_COLLAPSE, 'meta.law_id')}) = lower(w_law))) and (w_code = '' or (lower({_of(_COLLAPSE, 'meta.article_code')}) <> '' and lower({_of(_COLLAPSE, 'meta.article_code')}) = lower(w_code))) as ok from hits join wf using (chat_id) join meta using (point_id)),
+r as (select chat_id, count(*)::bigint as n_hits, avg(ok::int::double) as rate from ps group by 1)
+select chat_id, coalesce(n_hits, 0)::bigint as n_hits, case when w_law <> '' or w_code <> '' then round(coalesce(rate, 0.0), 4) end as hit_rate from wf left join r using (chat_id)""")
+def filter_hit_rate(spark, folder):
+    """Share of the unfiltered hits that pass the filters which a question states."""
+    asked = _questions(spark, folder)
+    wanted = query_filters("question")
+    asked_for = asked.select("chat_id", *[wanted[f].alias(f"w_{f}") for f in ("law_id", "article_code")])
+    filters = {f: F.col(f"w_{f}") for f in ("law_id", "article_code")}
+    hits = bm25_topk(_sections(spark, folder), asked, TOP, doc="point_id", query="chat_id").join(_described(spark, folder).select("point_id", *FILTER_FIELDS), "point_id")
+    return filter_hit_rates(hits, asked_for, "chat_id", passes_filters({f: F.col(f) for f in FILTER_FIELDS}, filters), has_filters(filters))
+
+
+@query(f"""with {_BM25},
+hits as (select chat_id, point_id, score from (select *, row_number() over (partition by chat_id order by score desc, point_id) as rank from s where score > 0) where rank <= 4),
+g as (select chat_id, count(*)::bigint as n_hits, count(distinct point_id)::bigint as n_sources, count_if(trim(coalesce(law_id,''))<>'' or trim(coalesce(article_code,''))<>'')::bigint as n_structured, count_if(trim(coalesce(law_id,''))<>'' and trim(coalesce(article_code,''))<>'') as n_citable, max(score) as top_score from hits join meta using (point_id) group by 1)
+select chat_id, coalesce(n_hits,0)::bigint as n_hits, coalesce(n_sources,0)::bigint as n_sources, coalesce(n_structured,0)::bigint as n_structured, top_score, case when n_hits is null then 'no_results' when n_hits < 2 then 'insufficient_results' when n_sources < 2 then 'low_source_diversity' when n_structured = 0 then 'missing_structured_sources'
+ when n_citable = 0 then 'missing_structured_citations' when top_score < 12 then 'weak_evidence' else 'ok' end as status from asked left join g using (chat_id)""")
+def section_evidence(spark, folder):
+    """Whether the best four sections of each question are evidence that can be cited."""
+    asked = _questions(spark, folder)
+    hits = bm25_topk(_sections(spark, folder), asked, 4, doc="point_id", query="chat_id").join(_described(spark, folder).select("point_id", "law_id", "article_code"), "point_id")
+    told = hits.select("chat_id", F.col("point_id").alias("key"), "law_id", "article_code", F.col("score").alias("combined"))
+    return evidence_status(told, asked.select("chat_id"), "chat_id", least_score=12.0, least_hits=2, least_sources=2, structured=True)
 
 
 @query("""with c as (select distinct on (chat_id) chat_id, route, status, total_elapsed_ms from chat_log order by chat_id, asked_at desc)
@@ -238,37 +321,64 @@ def intent_accuracy(spark, folder):
     return accuracy(labelled, ["intent"], F.col("label"), F.col("intent"))
 
 
+_TOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[0-9A-Za-zÀ-ỹ]+'), lambda x: length(x) >= 2))"
+_CITED_TOK = "list_concat(regexp_extract_all({0}, '(?i)" + CITED_ARTICLE + "'), regexp_extract_all({0}, '(?i)" + CITED_LAW + "'))"
 _CLAIMS = """
 c as (select distinct on (chat_id) chat_id, coalesce(final_answer,'') as a, sources from chat_log order by chat_id, asked_at desc),
-p as (select chat_id, list_filter(list_transform(string_split(regexp_replace(a, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: """ + _of(_COLLAPSE, "x") + """), lambda x: length(x) >= 18) as l from c),
-cl as (select chat_id, generate_subscripts(l, 1) - 1 as claim_no, unnest(l) as claim from p),
-src as (select distinct chat_id, regexp_extract(s, 'Điều [0-9A-ZĐ.]+[0-9A-ZĐ]', 0) as code from (select chat_id, unnest(sources) as s from c)),
-art as (select distinct on (mapc) mapc, article_code, raw_content from parsed_article where snapshot_no = 5 and @trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc),
-ev as (select chat_id, list_distinct(list_filter(regexp_extract_all(lower(coalesce(raw_content,'')), '[0-9A-Za-zÀ-ỹ]+'), lambda x: length(x) >= 2)) as e from src join art on code = trim(article_code)),
-ct as (select chat_id, claim_no, list_distinct(list_filter(regexp_extract_all(lower(claim), '[0-9A-Za-zÀ-ỹ]+'), lambda x: length(x) >= 2)) as t from cl),
-o as (select ct.chat_id, claim_no, len(t)::bigint as n_tokens, round(max(case when len(t) > 0 then coalesce(len(list_intersect(t, e)),0)::double / len(t) else 1.0 end),6) as best_overlap from ct left join ev using (chat_id) group by all),
-sup as (select *, best_overlap >= 0.42 or (best_overlap >= 0.28 and n_tokens <= 8) or n_tokens = 0 as supported from o)"""
+p as (select chat_id, list_filter(list_transform(string_split(regexp_replace(a, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(trim(""" + _of(_COLLAPSE, "x") + """, '- '))), lambda x: length(x) >= 18) as l from c),
+cl0 as (select chat_id, generate_subscripts(l, 1) - 1 as claim_no, unnest(l) as claim from p),
+src as (select distinct chat_id, regexp_extract(s, '""" + _CODE + """', 0) as code from (select chat_id, unnest(sources) as s from c)),
+art as (select distinct on (mapc) mapc, article_code, article_name, law_id, title, raw_content from parsed_article where snapshot_no = (select max(snapshot_no) from parsed_article) and @trim(coalesce(mapc,''))<>'' order by mapc, loaded_at desc),
+found as (select chat_id, coalesce(raw_content,'') as body, concat_ws(' ', nullif(trim(coalesce(article_code,'')),''), nullif(trim(coalesce(article_name,'')),''), coalesce(nullif(trim(coalesce(law_id,'')),''), nullif(trim(coalesce(title,'')),''))) as hint,
+ concat_ws(' - ', nullif(""" + _of(_COLLAPSE, "article_code") + """,''), nullif(""" + _of(_COLLAPSE, "article_name") + """,''), coalesce(nullif(""" + _of(_COLLAPSE, "law_id") + """,''), nullif(""" + _of(_COLLAPSE, "title") + """,''))) as expected from src join art on code = trim(article_code)),
+ev as (select chat_id, """ + _of(_TOK, "body || chr(10) || hint") + """ as e from found),
+ex as (select chat_id, list(distinct expected) as expected from found group by 1),
+a0 as (select chat_id, """ + _of(_COLLAPSE, "a") + """ as x, list_distinct(list_concat(list_filter(list_transform(coalesce(sources, []), lambda s: """ + _of(_COLLAPSE, "s") + """), lambda s: s <> ''), list_filter(coalesce(expected, []), lambda s: s <> ''))) as pool from c left join ex using (chat_id)),
+""" + CITES.replace("@from", "a0") + """,
+rep as (select chat_id, citations, pool, x, list_filter(citations, lambda q: len(pool) > 0 and len(list_filter(pool, lambda e: contains(lower(e), lower(q)) or contains(lower(q), lower(e)) or list_has_any(""" + _of(_CITED_TOK, "lower(q)") + ", " + _of(_CITED_TOK, "lower(e)") + """))) = 0) as weak,
+ len(citations) = 0 and (len(pool) > 0 or regexp_matches(x, '(?i)""" + GENERIC + """')) as missing from cites),
+ct0 as (select chat_id, claim_no, claim, """ + _of(_TOK, "claim") + """ as t from cl0),
+o as (select ct0.chat_id, claim_no, claim, len(t)::bigint as n_tokens, round(max(case when len(t) > 0 then coalesce(len(list_intersect(t, e)),0)::double / len(t) else 1.0 end),6) as best_overlap from ct0 left join ev using (chat_id) group by all),
+sup as (select o.chat_id, claim_no, n_tokens, best_overlap, best_overlap >= 0.42 or (best_overlap >= 0.28 and n_tokens <= 8) or n_tokens = 0 or regexp_matches(claim, '(?i)""" + DISCLAIMER + """') or len(list_filter(list_concat(pool, citations), lambda h: h <> '' and contains(lower(claim), lower(h)))) > 0 as supported from o join rep using (chat_id))"""
+
+
+def _cited(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The latest row of each answer, the articles that its sources name, and the report on its citations."""
+    rows = latest_rows(table(spark, folder, "chat_log").select("chat_id", "final_answer", "sources", "asked_at"), ["chat_id"], "asked_at")
+    codes = rows.select("chat_id", F.explode("sources").alias("s")).select("chat_id", F.regexp_extract("s", _CODE, 0).alias("code")).distinct()
+    current = latest_rows(latest_snapshot(articles(spark, folder)).select("mapc", "article_code", "article_name", "law_id", "title", "raw_content", "loaded_at"), ["mapc"], "loaded_at")
+    named = [present("article_code"), present("article_name"), F.coalesce(present("law_id"), present("title"))]
+    expected = F.concat_ws(" - ", *[F.nullif(collapse(c), F.lit("")) for c in named])
+    met = codes.join(current.withColumn("code", F.trim("article_code")), "code").select("chat_id", F.concat(text("raw_content"), F.lit("\n"), F.concat_ws(" ", *named)).alias("evidence"), expected.alias("expected"))
+    report = citation_report(rows.join(met.groupBy("chat_id").agg(F.collect_set("expected").alias("expected")), "chat_id", "left"), "chat_id", "final_answer", "sources", "expected")
+    return rows, met, report
 
 
-def _supported(spark, folder) -> DataFrame:
-    rows = latest_rows(table(spark, folder, "chat_log").select("chat_id", "final_answer", "sources", "asked_at"), ["chat_id"], "asked_at")
-    code = F.regexp_extract("s", "Điều [0-9A-ZĐ.]+[0-9A-ZĐ]", 0)
-    cited = rows.select("chat_id", F.explode("sources").alias("s")).select("chat_id", code.alias("code")).distinct()
-    current = latest_rows(latest_snapshot(articles(spark, folder)).select("mapc", "article_code", "raw_content", "loaded_at"), ["mapc"], "loaded_at")
-    found = cited.join(current.select(F.trim("article_code").alias("code"), F.col("raw_content").alias("evidence")), "code")
-    return claim_support(claims(rows, "chat_id", "final_answer"), found, "chat_id")
+def _supported(spark, folder) -> tuple[DataFrame, DataFrame]:
+    rows, met, report = _cited(spark, folder)
+    hints = report.select("chat_id", F.concat("pool", "citations").alias("hints"))
+    return claim_support(claims(rows, "chat_id", "final_answer"), met, "chat_id", hints), report
 
 
 @query(f"with {_CLAIMS} select chat_id, claim_no::int as claim_no, n_tokens, best_overlap, supported from sup")
 def claims_supported(spark, folder):
     """Claims of the answers against the articles they cite."""
-    return _supported(spark, folder)
+    return _supported(spark, folder)[0]
 
 
-@query(f"with {_CLAIMS} select chat_id, count(*)::bigint as n_claims, count_if(not supported)::bigint as n_unsupported, round(1 - count_if(not supported) / count(*), 4) as score from sup group by 1")
+@query(f"""with {_CLAIMS}, g as (select chat_id, count(*)::bigint as n_claims, count_if(not supported)::bigint as n_unsupported from sup group by 1)
+select chat_id, len(weak) = 0 and not missing as citation_ok, coalesce(n_claims,0)::bigint as n_claims, coalesce(n_unsupported,0)::bigint as n_unsupported, round(greatest(least(1 - coalesce(n_unsupported,0) / greatest(coalesce(n_claims,0), 1) - case when len(weak) = 0 and not missing then 0 else 0.15 end, 1), 0), 4) as score from rep left join g using (chat_id)""")
 def grounding_scores(spark, folder):
-    """Share of supported claims of each answer."""
-    return grounding(_supported(spark, folder), "chat_id")
+    """Share of supported claims of each answer, less the penalty of bad citations."""
+    supported, report = _supported(spark, folder)
+    return grounding(supported, "chat_id", report)
+
+
+@query(f"with {_CLAIMS} select chat_id, len(citations)::int as n_citations, len(pool)::int as n_pool, array_to_string(weak, ' | ') as weak, missing, len(weak) = 0 and not missing as citation_ok from rep")
+def citation_reports(spark, folder):
+    """Citations of each answer against what it may cite: weak ones, and whether they are missing."""
+    report = _cited(spark, folder)[2]
+    return report.select("chat_id", F.size("citations").alias("n_citations"), F.size("pool").alias("n_pool"), F.array_join("weak", " | ").alias("weak"), "missing", "citation_ok")
 
 
 @query("""
