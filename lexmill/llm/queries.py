@@ -10,15 +10,15 @@ from lexmill.llm.pairs import defective_pairs
 from lexmill.llm.sentences import sentence_units
 from lexmill.llm.splitting import oversized_pieces
 from lexmill.llm.tokenizer import encoded, with_token_count
-from lexmill.llm.truncation import field_texts, hidden_limits, truncated, truncation_rates
+from lexmill.llm.truncation import hidden_limits, text_facts, truncated, truncation_rates
 from lexmill.llm.visual import consistent_texts, inconsistent_fields
-from lexmill.sources.tables import blank, table
+from lexmill.sources.tables import blank, table, trimmed
 
 TEXT_FIELDS = ["article_name", "title", "raw_content"]
 
 
 def _articles(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "parsed_article").where(~blank("mapc")).withColumn("mapc", F.trim("mapc"))
+    return table(spark, folder, "parsed_article").where(~blank("mapc")).withColumn("mapc", trimmed("mapc"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_limits(spark: SparkSession, folder: str) -> DataFrame:
     """Hidden limits of each loader, with the measure they are counted in."""
-    return hidden_limits(field_texts(table(spark, folder, "index_document")))
+    return hidden_limits(text_facts(table(spark, folder, "index_document")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

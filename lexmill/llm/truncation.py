@@ -7,53 +7,41 @@ line ends. The endings of the values then tell which of them lost their end.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-#: Values of one source and period at the same maximal length (or up to SLACK below it, as cut values lose
+from lexmill.functions.session import kept
+from lexmill.operators.skew import split_join
+from lexmill.sources.tables import trimmed
+
+#: Values of one source and period at the same length (or up to SLACK below it, as cut values lose
 #: trailing space or a broken character) that make it a limit.
 AT_LIMIT = 3
 SLACK = 3
+#: A pile below longer values is a limit too if it has so many values, and so many times those of its surroundings.
+PILE, STANDS_OUT, SURROUNDINGS = 10, 8, 100
 #: Measures, the simplest first: it is named where several fit equally well.
 MEASURES = ["characters", "utf8_bytes", "utf16_units", "crlf_characters", "crlf_bytes", "json_characters", "json_ascii", "entity_characters"]
-#: Limits beyond this number are joined by a shuffle.
-MOST_LIMITS = 100_000
 #: Characters of the tails that are compared with the article's end.
 TAIL = 40
+#: Characters before an end that its signs can reach back to.
+REACH = 160
 
 # How sections of statutes end without a full stop.
-LINE_ENDS = r"(?mU)(?:^[-–+•*] ?[^\n]*[A-ZĐ]{2,}\.?|^Mức \d+: [\d.,]+ đồng/\w+|^(?:Phụ lục|Mẫu|Bảng|Biểu)\b[^\n]{0,20}\d+[a-z]?|^\|[^\n]*\||\bv\.v\.?)\z"
+LINE_ENDS = r"(?U)(?:^[-–+•*] ?.*[A-ZĐ]{2,}\.?|^\p{L}[^.!?]*: [\d.,]+ \p{L}+/\p{L}+|^(?:Phụ lục|Mẫu|Bảng|Biểu)\b.{0,20}\d+[a-z]?|^\|.*\||\bv\.v\.?)\z"
 SENTENCE_END = r"[.!?…。！？؟।។]['\"”’»›)\]）】」』]*\z|[)\]）】」』”’»]\z"
 #: A full stop within a number: an amount without its unit.
 NUMBER_CUT = r"(?U)\b(?:từ|đến|là|phí|mức) \d{1,3}(?:\.\d{3})*\.\z"
 MARK = r"\s*(?:…|\.{3,}|\[…\]|\[\.{3}\])\z"
 
 
-@F.pandas_udf(StructType([StructField("ok", BooleanType()), StructField("content", StringType())]))
-def _opened(payloads: pd.Series) -> pd.DataFrame:
-    def one(text):
-        try:
-            found = json.loads(text)
-        except (TypeError, ValueError):
-            return text is None, None
-        inner = found.get("content") if isinstance(found, dict) else None
-        return True, inner if isinstance(inner, str) else None
-
-    return pd.DataFrame([one(x) for x in payloads], columns=["ok", "content"])
-
-
 def _count(text: Column, *found: str) -> Column:
     """Occurrences of single characters; plain replacement is far cheaper than a pattern."""
     return sum(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in found)
 
 
 def lengths(text: Column) -> Column:
-    """Array of (measure, n): the text's length as different stores would count it."""
+    """Array of the text's length as different stores would count it, in the order of ``MEASURES``."""
     chars = F.length(text)
     breaks = _count(text, "\n") - (chars - F.length(F.replace(text, F.lit("\r\n"), F.lit("\r"))))
     escaped = _count(text, "\n", "\r", "\t", '"', "\\")
@@ -69,38 +57,87 @@ def lengths(text: Column) -> Column:
         "json_ascii": chars + escaped + 5 * other + 6 * wide,
         "entity_characters": chars + 4 * _count(text, "&") + 3 * _count(text, "<", ">") + 5 * _count(text, '"', "'"),
     }
-    return F.array(*[F.struct(F.lit(name).alias("measure"), n.cast("int").alias("n")) for name, n in ways.items()])
-
-
-def field_texts(points: DataFrame) -> DataFrame:
-    """The points' texts, whether a payload is whole JSON, and the text inside it; repeated rows stay, no text is shuffled."""
-    opened = points.select("point_id", "snapshot_no", "source", F.trim("mapc").alias("mapc"), "content", "payload").where("point_id is not null").withColumn("p", _opened("payload"))
-    return opened.select("point_id", "snapshot_no", "source", "mapc", "content", "payload", F.col("p.ok").alias("ok"), F.col("p.content").alias("inner"))
+    return F.array(*[ways[m].cast("int") for m in MEASURES])
 
 
 def _stripped(text: Column) -> Column:
     return F.rtrim(text, F.lit(" \t\r\n\x0b\x0c\u00a0\u200b\ufeff"))
 
 
-def hidden_limits(texts: DataFrame) -> DataFrame:
+def _squeezed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+", "")
+
+
+def _tail(text: Column) -> Column:
+    return F.right(_squeezed(F.right(text, F.lit(4 * TAIL))), F.lit(TAIL))
+
+
+def _facts(field: str, t: Column, twin: Column, sizes: Column) -> Column:
+    """What is known of a text by its length, its end and its twin: no text of any length is in it."""
+    end, line = F.right(t, F.lit(REACH)), F.substring_index(t, "\n", -1)
+    marked, broken = end.rlike(MARK), end.endswith("�")
+    lost = F.length(F.regexp_extract(end, MARK, 0)) + F.length(F.regexp_extract(end, "�+\\z", 0))
+    base = F.left(t, F.length(t) - lost)
+    goes_on = F.coalesce((F.length(twin) > F.length(t)) & twin.startswith(base), F.lit(False))
+    then = F.substring(twin, F.length(base) + 1, F.lit(1))
+    ends = end.rlike(SENTENCE_END)
+    inside = goes_on & (marked | broken | ~ends | then.rlike(r"(?U)\w"))
+    whole = F.coalesce((F.length(twin) == F.length(t)) & ~twin.endswith("�"), F.lit(False))
+    return F.struct(
+        F.lit(field).alias("field"), (t != "").alias("there"), sizes.alias("sizes"), (inside | (broken & ~whole)).alias("sure"), goes_on.alias("goes_on"), marked.alias("marked"),
+        (ends & ~end.rlike(NUMBER_CUT)).alias("final"), line.rlike(LINE_ENDS).alias("line"), end.rlike(r"\S{60}\z").alias("breakless"),
+        _squeezed(F.right(t, F.lit(4 * TAIL))).alias("ending"), F.right(_squeezed(F.right(line, F.lit(REACH))), F.lit(TAIL)).alias("last"),
+    )
+
+
+def text_facts(points: DataFrame) -> DataFrame:
+    """``point_id, snapshot_no, source, mapc, valid`` and the facts of each point's two texts, one row each.
+
+    Each text is read once, by the JVM, and none is shuffled: lengths under all ways of counting, signs at the
+    end, and whether the twin goes on. ``valid``: whether the payload is whole JSON. Repeated rows stay.
+    """
+    opened = F.from_json("payload", "content string, broken string", {"columnNameOfCorruptRecord": "broken", "allowSingleQuotes": "false"})
+    rows = points.select("point_id", "snapshot_no", "source", trimmed("mapc").alias("mapc"), "content", "payload").where("point_id is not null").withColumn("p", opened)
+    valid = F.col("payload").isNull() | F.col("p.broken").isNull() | F.rtrim("payload", F.lit(" \t\r\n")).endswith("}")
+    rows = rows.select("point_id", "snapshot_no", "source", "mapc", valid.alias("valid"), _stripped(F.col("content")).alias("a"), _stripped(F.when(F.col("p.broken").isNull(), F.col("p.content"))).alias("b"))
+    sized = rows.withColumn("a_sizes", lengths(F.col("a")))
+    sized = sized.withColumn("b_sizes", F.when(F.col("a") == F.col("b"), F.col("a_sizes")).otherwise(lengths(F.col("b"))))
+    both = F.array(_facts("content", F.col("a"), F.col("b"), F.col("a_sizes")), _facts("payload", F.col("b"), F.col("a"), F.col("b_sizes")))
+    return sized.select("point_id", "snapshot_no", "source", "mapc", "valid", F.explode(both).alias("x")).select("point_id", "snapshot_no", "source", "mapc", "valid", "x.*")
+
+
+def hidden_limits(facts: DataFrame) -> DataFrame:
     """``source, snapshot_no, field, measure, limit, n_at_limit``: lengths at which many of a source's values end.
 
-    For each source, period and field the measure is taken under which most values lie at the
-    maximum; it is a limit if at least ``AT_LIMIT`` values lie within ``SLACK`` of it and more than
-    in any band of that width below it.
+    Every length is tested, in each measure: the values within ``SLACK`` of it are its pile. It is a limit if the
+    pile has ``AT_LIMIT`` values, more than any other stretch of that width and no fewer than there are longer
+    values; or, wherever it lies, ``PILE`` values and ``STANDS_OUT`` times what its surroundings have. The
+    measure with the largest pile is that of the source, and all limits found in it count.
     """
-    fields = F.explode(F.array(F.struct(F.lit("content").alias("field"), F.col("content").alias("t")), F.struct(F.lit("payload").alias("field"), F.col("inner").alias("t"))))
-    long = texts.select("point_id", "source", "snapshot_no", fields.alias("x")).select("point_id", "source", "snapshot_no", "x.field", "x.t").where("t is not null")
     # A point counts once, however often its row was delivered.
-    sized = long.select("point_id", "source", "snapshot_no", "field", lengths(_stripped(F.col("t"))).alias("all")).distinct()
-    counted = sized.select("source", "snapshot_no", "field", F.explode("all").alias("l")).groupBy("source", "snapshot_no", "field", F.col("l.measure").alias("measure"), F.col("l.n").alias("n")).agg(F.count(F.lit(1)).alias("k"))
+    sized = facts.where("there").select("point_id", "source", "snapshot_no", "field", "sizes").distinct()
     group = ["source", "snapshot_no", "field", "measure"]
-    tops = counted.groupBy(*group).agg(F.max("n").alias("limit"))
-    banded = counted.join(tops, group).withColumn("band", F.floor((F.col("limit") - F.col("n")) / (SLACK + 1)))
-    bands = banded.groupBy(*group, "limit", "band").agg(F.sum("k").alias("k"))
-    sized = bands.groupBy(*group, "limit").agg(F.sum(F.when(F.col("band") == 0, F.col("k"))).alias("n_at_limit"), F.coalesce(F.max(F.when(F.col("band") > 0, F.col("k"))), F.lit(0)).alias("below"))
-    best = sized.where((F.col("n_at_limit") >= AT_LIMIT) & (F.col("n_at_limit") > F.col("below"))).groupBy("source", "snapshot_no", "field").agg(F.max(F.struct("n_at_limit", (-F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure"))).alias("simplest"), "limit", "measure")).alias("b"))
-    return best.select("source", "snapshot_no", "field", "b.measure", "b.limit", "b.n_at_limit")
+    counted = sized.select("source", "snapshot_no", "field", F.posexplode("sizes").alias("measure", "n")).groupBy(*group, "n").agg(F.count(F.lit(1)).alias("k"))
+    # Windows over the different lengths of a group, of which there are as many as the longest text allows.
+    by_length = Window.partitionBy(*group).orderBy("n")
+    piled = counted.withColumns({
+        "pile": F.sum("k").over(by_length.rangeBetween(-SLACK, 0)),
+        "longer": F.coalesce(F.sum("k").over(by_length.rangeBetween(1, Window.unboundedFollowing)), F.lit(0)),
+        "around": F.sum("k").over(by_length.rangeBetween(-SURROUNDINGS, SURROUNDINGS)),
+        "next": F.coalesce(F.max("k").over(by_length.rangeBetween(1, SLACK)), F.lit(0)),
+    })
+    # Of a pile only its highest length is the limit.
+    tops = piled.where("next = 0").withColumn("best", F.max("pile").over(Window.partitionBy(*group)))
+    by_pile = Window.partitionBy(*group).orderBy(F.desc("pile"), F.desc("n"))
+    tops = tops.withColumns({"place": F.row_number().over(by_pile), "second": F.coalesce(F.lead("pile").over(by_pile), F.lit(0))})
+    highest = (F.col("place") == 1) & (F.col("pile") >= AT_LIMIT) & (F.col("pile") > F.col("second")) & (F.col("longer") <= F.col("pile"))
+    elsewhere = (F.col("around") - F.col("pile")) * (SLACK + 1) / (2 * SURROUNDINGS - SLACK)
+    stands_out = (F.col("pile") >= PILE) & (F.col("pile") >= STANDS_OUT * (elsewhere + 1))
+    found = tops.where(highest | stands_out).select(*group, F.col("n").alias("limit"), F.col("pile").alias("n_at_limit"))
+    named = F.element_at(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure") + 1)
+    best = Window.partitionBy("source", "snapshot_no", "field")
+    ranked = found.withColumn("of_measure", F.max("n_at_limit").over(Window.partitionBy(*group))).withColumn("rank", F.dense_rank().over(best.orderBy(F.desc("of_measure"), "measure")))
+    return ranked.where("rank = 1").select("source", "snapshot_no", "field", named.alias("measure"), "limit", "n_at_limit")
 
 
 def truncated(points: DataFrame, articles: DataFrame) -> DataFrame:
@@ -116,42 +153,25 @@ def truncated(points: DataFrame, articles: DataFrame) -> DataFrame:
     - Null, empty and blank texts are no case; nor are broken characters inside a text or wrong flags in the payload.
     - Repeated rows come out once. Points without an article are judged by their endings alone.
     - Empty tables give no rows; columns other than those named are ignored.
+    - Loaders and articles that hold much of all rows meet their limits and ends by a broadcast (``split_join``).
     """
-    texts = field_texts(points)
-    limits = hidden_limits(texts).select(F.col("source").alias("_source"), F.col("snapshot_no").alias("_snapshot"), F.col("field").alias("_field"), "measure", "limit").persist(StorageLevel.MEMORY_AND_DISK)
-    # A few rows per loader and snapshot: broadcast once that is seen, so that no loader's rows meet in one task.
-    if limits.limit(MOST_LIMITS + 1).count() <= MOST_LIMITS:
-        limits = F.broadcast(limits)
-    broken_json = texts.where(~F.col("ok") & ~F.coalesce(F.rtrim("payload").rlike(r"\}\s*\z"), F.lit(False))).select("point_id", F.lit("payload").alias("field"))
-
-    pairs = F.explode(F.array(F.struct(F.lit("content").alias("field"), F.col("content").alias("t"), F.col("inner").alias("twin")), F.struct(F.lit("payload").alias("field"), F.col("inner").alias("t"), F.col("content").alias("twin"))))
-    rows = texts.select("point_id", "snapshot_no", "source", "mapc", pairs.alias("x")).select("point_id", "snapshot_no", "source", "mapc", "x.*").withColumn("t", _stripped(F.col("t"))).where("t <> ''")
-    # All patterns look at the last characters only.
-    rows = rows.withColumn("end", F.right("t", F.lit(160)))
-    lost = F.length(F.regexp_extract("end", MARK, 0)) + F.length(F.regexp_extract("end", "�+\\z", 0))
-    rows = rows.withColumns({"base": F.left("t", F.length("t") - lost), "marked": F.col("end").rlike(MARK), "broken": F.col("end").endswith("�"), "final": F.col("end").rlike(SENTENCE_END) & ~F.col("end").rlike(NUMBER_CUT)})
-    goes_on = F.coalesce((F.length("twin") > F.length("t")) & F.col("twin").startswith(F.col("base")), F.lit(False))
-    then = F.substring(F.col("twin"), F.length("base") + 1, F.lit(1))
-    rows = rows.withColumn("goes_on", goes_on).withColumn("inside", goes_on & (F.col("marked") | F.col("broken") | ~F.col("end").rlike(SENTENCE_END) | then.rlike(r"(?U)\w")))
-    whole = F.length("twin") == F.length("t")
-    sure = F.col("inside") | (F.col("broken") & ~F.coalesce(whole & ~F.col("twin").endswith("�"), F.lit(False)))
-    # Ends that speak for themselves need no look at limits or the article.
-    rows = rows.withColumn("sure", sure)
+    # Read for the limits and for the verdicts; the texts themselves are read once.
+    facts = kept(text_facts(points))
+    broken_json = facts.where("not valid").select("point_id", F.lit("payload").alias("field"))
+    rows = facts.where("there")
     proven = rows.where("sure").select("point_id", "field")
-    open_ends = rows.where(~F.col("sure") & ~F.col("goes_on") & (F.col("marked") | ~F.col("final"))).select("point_id", "snapshot_no", "source", "mapc", "field", "t", "base", "marked", F.col("end").rlike(LINE_ENDS).alias("line"), F.col("end").rlike(r"\S{60}\z").alias("breakless"))
-
-    near = open_ends.join(limits, (F.col("source") == F.col("_source")) & (F.col("snapshot_no") == F.col("_snapshot")) & (F.col("field") == F.col("_field")), "left")
-    own = F.filter(lengths(F.col("t")), lambda x: x["measure"] == F.col("measure"))
-    near = near.withColumn("at_limit", F.coalesce(F.try_element_at(own, F.lit(1))["n"] >= F.col("limit") - SLACK, F.lit(False)))
-    tail = lambda c: F.right(F.regexp_replace(F.right(c, F.lit(4 * TAIL)), r"(?U)\s+", ""), F.lit(TAIL))
+    open_ends = rows.where("not sure and not goes_on and (marked or not final)")
+    limits = hidden_limits(facts).groupBy("source", "snapshot_no", "field").agg(F.first("measure").alias("measure"), F.collect_set("limit").alias("limits"))
+    near = split_join(open_ends, limits, ["source", "snapshot_no", "field"])
+    own = F.try_element_at("sizes", F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure")).cast("int"))
+    at_limit = F.coalesce(F.exists("limits", lambda x: own.between(x - SLACK, x)), F.lit(False))
+    near = kept(near.select("point_id", "field", F.when(F.col("mapc") != "", F.col("mapc")).alias("mapc"), "marked", "line", "breakless", "ending", "last", at_limit.alias("at_limit")))
     # The article's ends in any snapshot: a point may name one that its own snapshot lacks.
-    ends = articles.select(F.trim("mapc").alias("mapc"), tail(F.col("raw_content")).alias("tail")).where("mapc <> '' and tail <> ''").groupBy("mapc").agg(F.collect_set("tail").alias("tails"))
-    met = near.join(ends, "mapc", "left")
-    squeezed = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    ends = articles.select(trimmed("mapc").alias("mapc"), _tail(F.col("raw_content")).alias("tail")).where("mapc <> '' and tail <> ''").groupBy("mapc").agg(F.collect_set("tail").alias("tails"))
+    met = split_join(near, ends, ["mapc"])
     # The text ends as the article does, or its last line, where it is shorter than the tail, is the article's.
-    ending, last = squeezed(F.right("t", F.lit(4 * TAIL))), squeezed(F.regexp_extract("t", r"([^\n]*)\z", 1))
-    short = (F.length(last) >= 4) & (F.length(last) < TAIL)
-    at_end = F.coalesce(F.exists("tails", lambda x: F.endswith(ending, x) | (short & F.endswith(x, last))), F.lit(False))
+    short = (F.length("last") >= 4) & (F.length("last") < TAIL)
+    at_end = F.coalesce(F.exists("tails", lambda x: F.endswith(F.col("ending"), x) | (short & F.endswith(x, F.col("last")))), F.lit(False))
     # A line's ending, or text without breaks, is no proof of a cut by itself.
     unproven = F.col("line") | (F.col("breakless") & F.col("tails").isNull())
     cut = F.when(F.col("marked"), F.col("at_limit") & ~at_end).otherwise(~at_end & (~unproven | F.col("at_limit")))
