@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,14 +20,14 @@ LEVELS = [
 ]
 
 
-def _cuts(text: str, start: int, end: int, level: int, most: int) -> list[int]:
-    """Ends of the parts of text[start:end], none longer than ``most``, split at the strongest level that serves."""
+def _cuts(text: str, start: int, end: int, level: int, most: int, step: int) -> list[int]:
+    """Ends of the parts of text[start:end], none longer than ``most``, split at the strongest level that serves; single runs are cut every ``step``."""
     if end - start <= most:
         return [end]
     if level == len(LEVELS):
         ends, at = [], start
-        while end - at > most:
-            cut = at + most
+        while end - at > step:
+            cut = at + step
             while cut > at + 1 and (unicodedata.combining(text[cut]) or text[cut - 1 : cut + 1] == "\r\n"):
                 cut -= 1
             ends.append(cut)
@@ -35,7 +36,7 @@ def _cuts(text: str, start: int, end: int, level: int, most: int) -> list[int]:
     bounds = [m.end() for m in LEVELS[level].finditer(text, start, end) if m.end() < end]
     out, at = [], start
     for bound in [*bounds, end]:
-        out += _cuts(text, at, bound, level + 1, most)
+        out += _cuts(text, at, bound, level + 1, most, step)
         at = bound
     return out
 
@@ -43,37 +44,46 @@ def _cuts(text: str, start: int, end: int, level: int, most: int) -> list[int]:
 def piece_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of a text's pieces in code points.
 
-    Parts from the recursive split are packed greedily up to ``size``; each further piece starts with
-    the tail of the one before it: from the first sentence start, else word start, else character within the
-    last ``overlap`` characters. The pieces cover the text; one piece if it fits, none if it is empty.
+    Parts from the recursive split, each as large as a piece may be, are packed greedily up to ``size``. Each
+    further piece starts within the last ``overlap`` characters of the one before it: at the first sentence
+    start there, else at the first word start, else at the character. Where the next part would not fit beside
+    that much, the overlap is shorter, so that no sentence that fits a piece is broken. The pieces cover the
+    text; one piece if it fits, none if it is empty. An overlap counts up to ``size - 1``.
     """
     if not text:
         return []
     if len(text) <= size:
         return [(0, len(text))]
-    overlap = max(0, min(overlap, size // 2))
-    ends = _cuts(text, 0, len(text), 0, size - overlap)
+    overlap = max(0, min(overlap, size - 1))
+    # A run without any boundary is cut so that the overlap asked for fits beside each part.
+    ends = _cuts(text, 0, len(text), 0, size, size - overlap)
+    starts = sorted({m.end() for level in LEVELS[:3] for m in level.finditer(text)})
     spans, start, k = [], 0, 0
-    while k < len(ends):
-        done = k
+    while True:
         while k < len(ends) and ends[k] - start <= size:
             k += 1
         end = ends[k - 1]
-        assert k > done
         spans.append((start, end))
-        start = _tail(text, spans[-1][0], end, overlap)
-    return spans
+        if k == len(ends):
+            return spans
+        start = _tail(text, starts, max(start + 1, end - overlap, ends[k] - size), end)
 
 
-def _tail(text: str, start: int, end: int, overlap: int) -> int:
-    """Start of the overlap before ``end``: the earliest word start within reach, else the character itself."""
-    least = max(start + 1, end - overlap)
+def _tail(text: str, starts: list[int], least: int, end: int) -> int:
+    """Start of a piece between ``least`` and the end of the piece before it."""
     if least >= end:
         return end
+    i = bisect_left(starts, least)
+    if i < len(starts) and starts[i] < end:
+        return starts[i]
     if text[least - 1].isspace() and not text[least].isspace():
         return least
     m = LEVELS[3].search(text, least, end)
-    return m.end() if m and m.end() < end else least
+    if m and m.end() < end:
+        return m.end()
+    while least < end and unicodedata.combining(text[least]):
+        least += 1
+    return least
 
 
 _SPANS = ArrayType(StructType([StructField(x, IntegerType()) for x in ("config_id", "piece_no", "start_pos", "end_pos")]))
@@ -86,7 +96,7 @@ def oversized_pieces(rows: DataFrame, key: list[str], text: str, configs: list[t
 
     - Texts that fit a config, null and empty ones have no pieces under it.
     - Equal rows (key and text) are split once. Other columns are ignored.
-    - A size below 1 is an error; an overlap over half the size counts as half of it.
+    - A size below 1 is an error; a larger overlap counts as the size less one.
     - Texts and pieces are shuffled once each, by the text's 128-bit hash; a text that a third of the rows
       share is one row of the texts' side, and its rows are split by the adaptive skew join.
     """
