@@ -226,8 +226,9 @@ def ending(answer: str, sources: list[str]) -> str:
 
 
 def last_words(text: str) -> str:
-    """The last two words, lower case: the context of the text's end."""
-    return " ".join(re.findall(r"\w+", unicodedata.normalize("NFC", text.lower()))[-2:])
+    """The last two words, lower case: the context of the text's end. A mark within a word, as in 15.7, is part of it."""
+    words = [x for x in re.split(r"[^\w\x01]+", re.sub(r"(?<=\w)[.!?。]", "\x01", unicodedata.normalize("NFC", text.lower()))) if x]
+    return " ".join(x.rstrip("\x01") for x in words[-2:])
 
 
 def _judge(question, answer, sources) -> tuple[str | None, bool, str | None]:
@@ -270,11 +271,11 @@ def defective_pairs(chats: DataFrame) -> DataFrame:
     sure = judged.where("sure and type is not null").select("chat_id", "type")
     unsure = judged.where("not sure").groupBy("chat_id", "context", "type").agg(F.count(F.lit(1)).alias("n"))
     # Terminal contexts: how often, in all answers, the last two words of the unsure ones are followed by the end of a sentence.
-    # The words with the signs after them are a column of their own, so that they are found once per response.
-    spoken = asked.select(F.regexp_extract_all(F.lower("final_answer"), F.lit(r"(?U)\w+[^\w]*"), F.lit(0)).alias("words")).where(F.size("words") > 1)
-    bare = lambda x: F.regexp_replace(x, r"(?U)[^\w]+", "")
-    pairs = F.transform(F.slice("words", F.lit(2), F.size("words") - 1), lambda x, i: F.struct(bare(F.col("words")[i]).alias("a"), bare(x).alias("b"), x.rlike(r"(?U)\w[.!?。]").alias("end")))
-    seen = spoken.select(F.explode(pairs).alias("p")).select(F.concat_ws(" ", "p.a", "p.b").alias("context"), "p.end")
+    words = F.split(F.regexp_replace(F.lower("final_answer"), r"(?U)(?<=\w)[.!?。]", "\x01"), "(?U)[^\\w\x01]+")
+    spoken = asked.select(words.alias("words")).where(F.size("words") > 1)
+    bare = lambda x: F.rtrim(x, F.lit("\x01"))
+    pairs = F.transform(F.slice("words", F.lit(2), F.size("words") - 1), lambda x, i: F.struct(F.concat(bare(F.col("words")[i]), F.lit(" "), bare(x)).alias("context"), x.endswith("\x01").alias("end")))
+    seen = spoken.select(F.explode(pairs).alias("p")).select("p.context", "p.end")
     # Both sides of the join have each context once, whatever its frequency.
     met = unsure.groupBy("context").agg(F.sum("n").alias("n"))
     model = met.join(seen.groupBy("context").agg(F.avg(F.col("end").cast("double")).alias("share")), "context", "left")
