@@ -18,7 +18,7 @@ from lexmill.llm import sentences
 from lexmill.llm.sentences import LONGEST, Chain, _last, _rows, _seed, sentence_ends, sentence_units
 from lexmill.llm.splitting import oversized_pieces, piece_spans
 from lexmill.llm.tokenizer import PATTERN, VOCABULARY, Encoder, encoded, read_ranks
-from lexmill.llm.truncation import hidden_limits, field_texts, truncated, truncation_rates
+from lexmill.llm.truncation import hidden_limits, text_facts, truncated, truncation_rates
 from lexmill.llm.visual import consistent_texts, inconsistent_fields
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
@@ -90,10 +90,19 @@ def test_truncation(spark):
     small = {x for x in found if int(x[0][1:]) < 100}
     assert small == {("p5", "content"), ("p5", "payload"), ("p6", "content"), ("p6", "payload"), ("p8", "payload"), ("p9", "content"), ("p12", "content"), ("p12", "payload"), ("p13", "payload")}
     assert {x for x in found if int(x[0][1:]) >= 100} == {(f"p{100 + i}", "content") for i in range(8)}
-    limits = {(r.source, r.field): (r.measure, r.limit) for r in hidden_limits(field_texts(points)).collect()}
+    limits = {(r.source, r.field): (r.measure, r.limit) for r in hidden_limits(text_facts(points)).collect()}
     assert limits[("b", "content")] == ("characters", 1000) and ("a", "content") not in limits
     rates = {(r.source, r.field): (r.n_texts, r.n_truncated) for r in truncation_rates(points, truncated(points, articles)).collect()}
     assert rates[("b", "content")] == (9, 8)
+    # A longer exempt value hides no limit, and a second limit below the first is found.
+    more = [point(300 + i, "c", long[:1000], long) for i in range(4)] + [point(320, "c", long)] + [point(400 + i, "d", "x" * (900 + 3 * i)) for i in range(5)]
+    more += [point(500 + i, "d", ("abc " * 900)[: 2_000 if i % 2 else 1_200] + "x") for i in range(60)]
+    more = spark.createDataFrame(more, points.schema)
+    found_limits = {(r.source, r.limit) for r in hidden_limits(text_facts(more)).where("field = 'content'").collect()}
+    assert found_limits == {("c", 1000), ("d", 1201), ("d", 2001)}
+    # A line longer than any window of characters is judged whole; JSON that only looks whole in part is not.
+    lines = [point(600, "e", "- Lưu: " + "phòng ban " * 60 + "VT"), point(601, "e", "Mức 1: 5.000 đồng/tháng"), point(602, "e", sentence, raw='{"content": "a", "x": [1, 2}'), point(603, "e", sentence, raw='{"content": "' + sentence + '", "x": 1')]
+    assert {tuple(r) for r in truncated(spark.createDataFrame(lines, points.schema), articles).collect()} == {("p603", "payload")}
     assert truncated(points.limit(0), articles.limit(0)).count() == 0
 
 
@@ -151,7 +160,7 @@ def test_pieces_cover_and_stay_under_the_limit(text, size, overlap):
     assert all(0 < b - a <= size for a, b in spans)
     assert not text or (spans[0][0] == 0 and spans[-1][1] == len(text))
     for (a, b), (c, d) in zip(spans, spans[1:]):
-        assert a < c <= b < d and b - c <= min(overlap, size // 2)
+        assert a < c <= b < d and b - c <= min(overlap, size - 1)
     assert len(spans) <= 1 if len(text) <= size else len(spans) > 1
 
 
@@ -160,6 +169,10 @@ def test_pieces_end_at_natural_boundaries(spark):
     for a, b in piece_spans(text, 100, 20)[:-1]:
         assert text[:b].endswith(". ")
         assert a == 0 or text[a - 1] == " "
+    # An overlap above half the size is honoured, sentences that fit a piece stay whole, and pieces begin with sentences.
+    assert {b - c for (_, b), (c, _) in zip(piece_spans("x" * 100, 10, 9), piece_spans("x" * 100, 10, 9)[1:])} == {9}
+    spans = piece_spans(text, 60, 45)
+    assert all(text[:b].endswith(". ") and (a == 0 or text[:a].endswith(". ")) for a, b in spans) and any(c < b for (_, b), (c, _) in zip(spans, spans[1:]))
     rows = spark.createDataFrame([("a", text, 1), ("a", text, 1), ("b", "", 1), ("c", None, 1), ("d", "x" * 250_000, 1)], "mapc string, raw string, piece_no int")
     found = oversized_pieces(rows, ["mapc"], "raw", [(1, 100, 20), (2, 300_000, 0)])
     assert {r.mapc for r in found.select("mapc").distinct().collect()} == {"a", "d"}
@@ -217,6 +230,10 @@ def test_mixture_reaches_its_shares(spark):
     assert found["none"].actual_share == 0
     most = {r.source: r.m for r in taken.groupBy("source").agg(F.max("copies").alias("m")).collect()}
     assert most["small"] <= 3 and most["big"] == most["mid"] == 1 and None not in most
+    # Longer records are likelier: drawn in proportion to their size, the certain ones all.
+    mean = {r.source: r.n for r in taken.join(docs.select("doc_id", "n"), "doc_id").groupBy("source").agg(F.avg("n").alias("n")).collect()}
+    assert mean["big"] > 55 > 50 > docs.where("source = 'big'").agg(F.avg("n")).first()[0] - 1
+    assert all(abs(r.mixed_size - r.target_share / 1.0 * sum(x.mixed_size for x in found.values())) <= 2 * 97 for r in found.values())
     again = mixture(docs.repartition(7), targets, key="doc_id", size="n")[0]
     assert again.exceptAll(taken).count() == 0
     assert mixture(docs.limit(0), targets, key="doc_id", size="n")[0].count() == 0
