@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 import os
-import re
 from collections.abc import Mapping
 from typing import Any
 
 
+# Names and defaults of the settings file.
 @dataclasses.dataclass(frozen=True)
 class Retrieval:
     """Parameters of search and ranking; a value of 0 or false in the file is kept, a missing one takes the default."""
@@ -26,9 +26,18 @@ class Retrieval:
 
 
 def substituted(text: str, environment: Mapping[str, str] | None = None) -> str:
-    """Text with its placeholders replaced; one without a value or default is empty."""
+    """Text with its ``${NAME}`` and ``${NAME:default}`` replaced; one without a value or default is empty, an unclosed one stays."""
     known = os.environ if environment is None else environment
-    return re.sub(r"\$\{(\w+)(?::([^}]*))?\}", lambda m: known.get(m[1]) or m[2] or "", text)
+    head, *rest = text.split("${")
+    out = [head]
+    for part in rest:
+        name, closed, tail = part.partition("}")
+        name, _, default = name.partition(":")
+        if closed and name.isidentifier():
+            out += [known.get(name) or default, tail]
+        else:
+            out += ["${", part]
+    return "".join(out)
 
 
 def read(text: str, environment: Mapping[str, str] | None = None) -> Retrieval:

@@ -116,30 +116,49 @@ def source_note(col: Column | str) -> dict[str, Column]:
     return {"law_id": law, "title": title, "article": article_no(note), "issuer": issuer_of_note(note, law, title), "effective_date": effective_date(note)}
 
 
+# How questions name a law by its title, what ends it, sections, and issuers.
+TITLED = "Luật|Bộ luật|Nghị định|Thông tư"
+AFTER_TITLE = "quy định|là gì|được quy định|nói gì|thế nào|ra sao"
+TITLE = rf"(?:^|[^\p{{L}}\p{{N}}_])((?:{TITLED})\s+[A-ZÀ-Ỵ][A-Za-zÀ-ỹ0-9\s\-]*?)(?:\s+(?:{AFTER_TITLE})(?:[^\p{{L}}\p{{N}}_]|$)|[,.?;:]|$)"
+SECTION = r"Đề mục\s+[0-9A-Za-z.\-]+(?:\s*-\s*[^,.;]+)?"
+ASKED_ISSUERS = [
+    "Quốc hội", "Chính phủ", "Ủy ban Thường vụ Quốc hội", "Thủ tướng Chính phủ", "Bộ Công an", "Bộ Tư pháp", "Bộ Tài chính", "Bộ Giáo dục và Đào tạo",
+    "Bộ Lao động - Thương binh và Xã hội", "Bộ Y tế", "Tòa án nhân dân tối cao", "Viện kiểm sát nhân dân tối cao",
+]
+
+
 def query_filters(col: Column | str) -> dict[str, Column]:
-    """Metadata a question names: law_id, article_code (``Điều a.b.XX.c.d``), article (``Điều n``), effective date, each "" if not."""
+    """Metadata a question names, each "" if it does not.
+
+    law_id, article_code (``Điều a.b.XX.c.d``), article (``Điều n``), effective_date where the question is about force, title of
+    a law (a question that begins with ``Luật`` and names no number is all title), de_muc, and the first known issuer.
+    """
     x = collapse(col)
+    law = law_id(x)
     code = F.upper(F.regexp_extract(x, r"(?iu)Điều (\d+\.\d+\.[A-ZĐ]+\.\d+\.\d+)", 1))
     plain = F.regexp_extract(x, r"(?iu)Điều (\d+)(?:[^.\dA-Za-z]|\.?$)", 1)
     date = F.when(F.lower(x).contains("hiệu lực"), F.regexp_extract(x, r"\d{1,2}/\d{1,2}/\d{4}", 0)).otherwise("")
+    signs = F.lit(" ,.;:")
+    titled = F.btrim(F.regexp_extract(x, f"(?iu){TITLE}", 1), signs)
+    title = F.when(titled != "", titled).when((law == "") & F.lower(x).startswith("luật "), F.btrim(x, signs)).otherwise("")
+    issuer = F.coalesce(*[F.when(F.contains(F.lower(x), F.lit(name.lower())), F.lit(name)) for name in ASKED_ISSUERS], F.lit(""))
     return {
-        "law_id": law_id(x),
+        "law_id": law,
         "article_code": F.when(code != "", F.concat(F.lit("Điều "), code)).otherwise(""),
         "article": F.when((code == "") & (plain != ""), F.concat(F.lit("Điều "), plain)).otherwise(""),
         "effective_date": date,
+        "title": title,
+        "de_muc": F.trim(F.regexp_extract(x, f"(?iu){SECTION}", 0)),
+        "issuer": issuer,
     }
 
 
 def query_features(filters: dict[str, Column], question: Column) -> dict[str, Column]:
-    """What a question refers to, as flags."""
+    """What a question refers to, as eight flags."""
     x = folded_question(question)
-    return {
-        "names_law": filters["law_id"] != "",
-        "names_article": (filters["article_code"] != "") | (filters["article"] != ""),
-        "names_date": filters["effective_date"] != "",
-        "is_short": F.size(F.split(x, " ")) < 5,
-        "is_question": x.rlike(r"\?\z"),
-    }
+    has = {f"has_{name}": filters[field] != "" for name, field in (("article_ref", "article"), ("article_code", "article_code"), ("law_title", "title"), ("law_id", "law_id"), ("de_muc", "de_muc"))}
+    structured = has["has_article_ref"] | has["has_article_code"] | has["has_law_title"] | has["has_law_id"]
+    return has | {"is_structured": structured, "mentions_quy_dinh": F.contains(x, F.lit("quy định")), "mentions_la_gi": F.contains(x, F.lit("là gì"))}
 
 
 def folded_question(question: Column) -> Column:

@@ -39,8 +39,13 @@ def release() -> int:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's checkpoint folder; only where none is set, as in tests, a temporary one is made."""
+    """A new folder below the one that all executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder is made in local mode, as in tests; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

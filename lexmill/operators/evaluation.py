@@ -157,11 +157,28 @@ def grounding(supported: DataFrame, key: str, report: DataFrame | None = None) -
     return counted.withColumn("score", F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 4))
 
 
+# A source that is only an article, or only a law.
+BARE_ARTICLE = r"^Điều\s+[0-9A-Za-z./-]+\.?$"
+BARE_LAW = r"^(?:Luật|Bộ luật|Nghị định|Thông tư|Pháp lệnh|Quyết định)\s+số(?:[^\p{L}\p{N}_]|$)"
+
+
 def displayed_sources(sources: Column, most: int) -> Column:
-    """Distinct sources, without those that are part of a longer one, at most ``most``: those first."""
+    """Sources to show, at most ``most``, those first: distinct ones without what fuller ones say already.
+
+    Where full citations are there, bare articles are left out, as are bare laws that one of them names; so are sources
+    of up to four words that are part of another. If nothing is left, the first two stay.
+    """
     known = F.array_distinct(F.filter(F.transform(F.coalesce(sources, F.array().cast("array<string>")), collapse), lambda x: x != ""))
-    kept = F.filter(known, lambda x: ~F.exists(known, lambda y: (x != y) & F.contains(F.lower(y), F.lower(x))))
-    return F.slice(kept, 1, most)
+    rich = F.filter(known, lambda x: F.contains(x, F.lit(" - ")) | (F.contains(x, F.lit(",")) & (F.length(x) > 24)))
+
+    def spare(x: Column) -> Column:
+        within = lambda of: F.exists(of, lambda y: F.contains(F.lower(y), F.lower(x)))
+        part = F.exists(known, lambda y: (F.lower(x) != F.lower(y)) & F.contains(F.lower(y), F.lower(x)))
+        return (x.rlike(f"(?iu){BARE_ARTICLE}") & (F.size(rich) > 0)) | (x.rlike(f"(?iu){BARE_LAW}") & within(rich)) | (part & (F.size(F.split(x, " ")) <= 4))
+
+    kept = F.filter(known, lambda x: ~spare(x))
+    shown = F.when((F.size(known) <= 1) | (F.size(kept) > 0), F.when(F.size(known) <= 1, known).otherwise(kept)).otherwise(F.slice(known, 1, 2))
+    return F.slice(shown, 1, most)
 
 
 def label_scores(question: Column, keywords: dict[str, list[str]]) -> Column:

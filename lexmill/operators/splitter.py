@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,20 +18,29 @@ LEAST_ROOM = 200
 def windows(text: str, size: int, overlap: int) -> list[str]:
     """Pieces of at most ``size`` characters, each starting ``overlap`` before the last one's end.
 
-    A window ends after the first separator, in order of preference, that it has in its second half.
+    A window ends after the last separator in its second half, of the most preferred kind that it has there.
+    The ends of all separators are found in one pass each and looked up by bisection.
     """
-    size, overlap = max(1, size), max(0, min(overlap, max(1, size) - 1))
-    pieces, start = [], 0
-    while start < len(text):
-        stop = start + size
-        if stop < len(text):
-            ends = (text.rfind(s, start + max(size // 2, 1), stop) + len(s) for s in SEPARATORS if text.rfind(s, start + max(size // 2, 1), stop) >= 0)
-            stop = next(ends, stop)
-        pieces.append(text[start:stop].strip())
-        if stop >= len(text):
-            break
-        start = max(stop - overlap, start + 1)
-    return [p for p in pieces if p]
+    size = max(1, size)
+    overlap = min(max(0, overlap), size - 1)
+    ends = [(len(s), [m.start() + len(s) for m in re.finditer(f"(?={re.escape(s)})", text)]) for s in SEPARATORS]
+
+    def end_of(start: int) -> int:
+        limit = start + size
+        if limit >= len(text):
+            return len(text)
+        for width, of in ends:
+            last = bisect_right(of, limit) - 1
+            if last >= 0 and of[last] - width >= start + max(size // 2, 1):
+                return of[last]
+        return limit
+
+    out, start, end = [], 0, 0
+    while end < len(text):
+        end = end_of(start)
+        out.append(text[start:end].strip())
+        start = max(start + 1, end - overlap)
+    return [piece for piece in out if piece]
 
 
 def chunks(sections: DataFrame, key: list[str], section: str, heading: str, size: int = 800, overlap: int = 150) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.extract import BEHIND, CITED_ARTICLE, CITED_CLAUSE, CITED_LAW, CITED_POINT, ISSUER_NAMES, ISSUERS, LAW_STARTS, NOTE_DATE, NOTE_STARTS, article_no, citations, effective_date, issuer_of_note, law_id, query_features, query_filters, title_of_law, title_parts
+from lexmill.functions.extract import ASKED_ISSUERS, BEHIND, CITED_ARTICLE, CITED_CLAUSE, CITED_LAW, CITED_POINT, ISSUER_NAMES, ISSUERS, LAW_STARTS, NOTE_DATE, NOTE_STARTS, SECTION, TITLE, article_no, citations, effective_date, issuer_of_note, law_id, query_features, query_filters, title_of_law, title_parts
 from lexmill.functions.text import WS, clipped, collapse, folded, format_source, informative_tokens, iso_date, legal_reference, point_id, present, retrieval_text, text, tidy, token_set, tokens, without_prefixes
 from lexmill.operators.chunking import article_sections, numbered_lines, with_heading
 from lexmill.operators.evaluation import STOP_WORDS
@@ -115,8 +115,9 @@ f as (select snapshot_no, mapc, array_to_string(list_filter(parts, lambda x, i:
 select snapshot_no, mapc, md5(t) as text_md5, length(t)::bigint as n_chars, length(t) > 12000 as clipped from f""")
 def article_retrieval_text(spark, folder):
     """Search text of each article: its distinct fields in one line, and whether it exceeds the index's limit."""
-    made = articles(spark, folder).select("snapshot_no", "mapc", retrieval_text("title", "law_id", "article", "article_code", "article_name", "de_muc", "raw_content").alias("t")).distinct()
-    return made.select("snapshot_no", "mapc", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"), clipped("t", 12_000)[1].alias("clipped"))
+    made = articles(spark, folder).select("snapshot_no", "mapc", retrieval_text("title", "law_id", "article", "article_code", "article_name", "de_muc", "raw_content").alias("t"))
+    # Digest and length first: no text is shuffled.
+    return made.select("snapshot_no", "mapc", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"), clipped("t", 12_000)[1].alias("clipped")).distinct()
 
 
 @query(r"""
@@ -198,16 +199,21 @@ def source_note_issuers(spark, folder):
     return articles(spark, folder).select(issuer.alias("issuer"), "mapc").distinct().groupBy("issuer").agg(F.count(F.lit(1)).alias("n_articles"))
 
 
+_ASKED_ISSUER = "case " + " ".join(f"when contains(lower(x), '{name.lower()}') then '{name}'" for name in ASKED_ISSUERS) + " else '' end"
+
+
 @query(rf"""
 with q as (select distinct chat_id, {_of(_COLLAPSE, 'question')} as x from chat_log),
-f as (select chat_id, x, regexp_extract(x, '(?i){_LAW}', 0) as law_id, upper(regexp_extract(x, '(?i)Điều (\d+\.\d+\.[A-ZĐ]+\.\d+\.\d+)', 1)) as code, regexp_extract(x, '(?i)Điều (\d+)(?:[^.\dA-Za-z]|\.?$)', 1) as plain from q)
-select chat_id, law_id, case when code<>'' then 'Điều ' || code else '' end as article_code, case when code='' and plain<>'' then 'Điều ' || plain else '' end as article,
- law_id<>'' as names_law, code<>'' or plain<>'' as names_article, len(string_split(lower(x),' ')) < 5 as is_short, regexp_matches(lower(x), '\?$') as is_question from f""")
+f as (select chat_id, x, regexp_extract(x, '(?i){_LAW}', 0) as law_id, upper(regexp_extract(x, '(?i)Điều (\d+\.\d+\.[A-ZĐ]+\.\d+\.\d+)', 1)) as code, regexp_extract(x, '(?i)Điều (\d+)(?:[^.\dA-Za-z]|\.?$)', 1) as plain, trim(regexp_extract(x, '(?i){TITLE}', 1), ' ,.;:') as titled, trim(regexp_extract(x, '(?i){SECTION}', 0)) as de_muc from q),
+g as (select chat_id, x, law_id, case when code<>'' then 'Điều ' || code else '' end as article_code, case when code='' and plain<>'' then 'Điều ' || plain else '' end as article,
+ case when titled<>'' then titled when law_id='' and starts_with(lower(x), 'luật ') then trim(x, ' ,.;:') else '' end as title, de_muc, {_ASKED_ISSUER} as issuer from f)
+select chat_id, law_id, article_code, article, title, de_muc, issuer, article<>'' as has_article_ref, article_code<>'' as has_article_code, title<>'' as has_law_title, law_id<>'' as has_law_id, de_muc<>'' as has_de_muc,
+ article<>'' or article_code<>'' or title<>'' or law_id<>'' as is_structured, contains(lower(x), 'quy định') as mentions_quy_dinh, contains(lower(x), 'là gì') as mentions_la_gi from g""")
 def question_filters(spark, folder):
     """Metadata that questions name, and what they refer to."""
     found = query_filters("question")
     flags = query_features(found, F.col("question"))
-    return table(spark, folder, "chat_log").select("chat_id", *[found[c].alias(c) for c in ("law_id", "article_code", "article")], *[flags[c].alias(c) for c in ("names_law", "names_article", "is_short", "is_question")]).distinct()
+    return table(spark, folder, "chat_log").select("chat_id", *[found[c].alias(c) for c in found if c != "effective_date"], *[c.alias(n) for n, c in flags.items()]).distinct()
 
 
 @query(rf"""

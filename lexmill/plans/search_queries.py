@@ -13,7 +13,7 @@ from lexmill.functions.session import shared_folder
 from lexmill.functions.text import collapse, iso_date, present, text
 from lexmill.operators.corpus import latest_rows
 from lexmill.operators.evaluation import (
-    CONTAINED, DISCLAIMER, SHARED, SHARED_PART, accuracy, citation_report, claim_support, claims, displayed_sources, filter_hit_rates, folded_events, grounding, label_scores, latencies,
+    BARE_ARTICLE, BARE_LAW, CONTAINED, DISCLAIMER, SHARED, SHARED_PART, accuracy, citation_report, claim_support, claims, displayed_sources, filter_hit_rates, folded_events, grounding, label_scores, latencies,
     messages, relevant_ranks, retrieval_quality, step_times, truth_matches,
 )
 from lexmill.operators.search import FILTER_FIELDS, bm25_topk, context_block, date_passes, dedup_key, evidence_status, exact_bonus, exact_match, has_filters, hybrid_merge, passes_filters, vector_topk, with_fallback
@@ -384,8 +384,9 @@ def citation_reports(spark, folder):
 @query("""
 with c as (select distinct chat_id, list_distinct_ordered as k from (select chat_id, list_filter(list_transform(coalesce(sources, []), lambda x: """ + _of(_COLLAPSE, "x") + """), lambda x: x <> '') as list_distinct_ordered from chat_log)),
 u as (select chat_id, list_filter(k, lambda x, i: not list_contains(k[1:i-1], x)) as k from c),
-f as (select chat_id, list_filter(k, lambda x: len(list_filter(k, lambda y: x <> y and contains(lower(y), lower(x)))) = 0) as k from u)
-select distinct chat_id, array_to_string(k[1:2], ' | ') as shown from f""")
+r as (select chat_id, k, list_filter(k, lambda x: contains(x, ' - ') or (contains(x, ',') and length(x) > 24)) as rich from u),
+f as (select chat_id, k, list_filter(k, lambda x: not ((regexp_matches(x, '(?i)""" + BARE_ARTICLE + """') and len(rich) > 0) or (regexp_matches(x, '(?i)""" + BARE_LAW + """') and len(list_filter(rich, lambda y: contains(lower(y), lower(x)))) > 0) or (len(list_filter(k, lambda y: lower(x) <> lower(y) and contains(lower(y), lower(x)))) > 0 and len(string_split(x, ' ')) <= 4))) as kept from r)
+select distinct chat_id, array_to_string((case when len(k) <= 1 then k when len(kept) > 0 then kept else k[1:2] end)[1:2], ' | ') as shown from f""")
 def shown_sources(spark, folder):
     """Sources shown with the answers: distinct, none part of another, two at most."""
     return table(spark, folder, "chat_log").select("chat_id", F.array_join(displayed_sources(F.col("sources"), 2), " | ").alias("shown")).distinct()

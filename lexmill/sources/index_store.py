@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import collapse, text
 
 
-def collection_name(prefix: str, version: str | None, day: str, explicit: str | None = None) -> str:
-    """Name of a version of a collection: an explicit one wins, else prefix and version (the day by default)."""
+def collection_name(prefix: str, version: str | None, day: str, explicit: str | None = None, level: str = "chunk") -> str:
+    """Name of a version of a collection: an explicit one wins, else prefix and version (the day by default).
+
+    One explicit name cannot stand for both levels.
+    """
+    if explicit and level == "both":
+        raise ValueError("an explicit name stands for one level only")
     return explicit or f"{prefix}_v{version or day}"
 
 
@@ -64,10 +70,22 @@ def preview(rows: DataFrame, content: str, columns: list[str], related: str, mos
     return rows.select(*columns, F.length(x).alias("content_length"), F.substring(F.replace(x, F.lit("\n"), F.lit(" ")), 1, most).alias("content_preview"), F.coalesce(F.size(related), F.lit(0)).alias("n_related"))
 
 
+def json_array(rows: DataFrame, folder: str) -> None:
+    """Rows as JSON arrays, one per part file, so that no row passes through one task; ``[]`` for a part without rows is not written."""
+
+    def arrays(batches):
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"value": ["[" + ",\n".join(batch["value"]) + "]"]})
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInPandas(arrays, "value string").write.mode("overwrite").text(folder)
+
+
 def export_corpus(chunks: DataFrame, manifest: DataFrame, stats: DataFrame, folder: str, preview_columns: list[str]) -> None:
     """Corpus as Parquet and JSON lines, manifest and statistics as JSON lines, the preview as CSV; no file is forced to be one."""
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks.parquet")
     chunks.write.mode("overwrite").json(f"{folder}/chunks.jsonl")
+    json_array(chunks, f"{folder}/chunks.json")
     preview(chunks, "content", preview_columns, "related_articles").write.mode("overwrite").csv(f"{folder}/preview.csv", header=True)
     manifest.write.mode("overwrite").json(f"{folder}/manifest.jsonl")
     stats.write.mode("overwrite").json(f"{folder}/stats.jsonl")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import text
 
+# The fields of a record, and of a saved state.
 FIELDS = ["de_muc", "file_id", "article_code", "article_name", "mapc", "law_id", "topic_id", "title", "article", "issuer", "effective_date", "source_note"]
 RECORD = "content string, metadata struct<" + ", ".join(f"{c}: string" for c in FIELDS) + ", related_articles: array<string>>"
 STATE = "checkpoint_id string, session_id string, thread_id string, updated_at string, state struct<status: string, question: string, final_answer: string>"
@@ -38,3 +39,8 @@ def saved(states: DataFrame, updates: DataFrame) -> DataFrame:
     columns = [c for c in both.columns if c not in ("session_id", "thread_id")]
     newest = F.max_by(F.struct(*columns), "updated_at").alias("s")
     return both.groupBy("session_id", "thread_id").agg(newest).select("session_id", "thread_id", *[F.col("s")[c].alias(c) for c in columns])
+
+
+def forgotten(states: DataFrame, ended: DataFrame) -> DataFrame:
+    """Saved states without those of the ended sessions and threads; threads that were never saved make no difference."""
+    return states.join(ended.select("session_id", "thread_id").distinct(), ["session_id", "thread_id"], "left_anti")

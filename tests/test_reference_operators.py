@@ -12,8 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexmill.functions.extract import citations, effective_date, issuers_by_code, law_id, query_filters, source_note, title_parts
-from lexmill.functions.text import as_flag, clean_text, clipped, collapse, first_json_object, format_source, informative_tokens, iso_date, legal_reference, point_id, retrieval_text, tokens, without_prefixes
+from lexmill.functions.extract import citations, effective_date, issuers_by_code, law_id, query_features, query_filters, source_note, title_parts
+from lexmill.functions.text import as_flag, clean_text, clipped, collapse, compared, first_json_object, format_source, informative_tokens, iso_date, legal_reference, point_id, retrieval_text, tokens, without_prefixes
 from lexmill.operators.chunking import article_sections, with_heading
 from lexmill.operators.corpus import article_documents, backfilled, corpus_stats, group_key, latest_rows, replaced, total_order
 from lexmill.operators.evaluation import claim_support, claims, displayed_sources, first_relevant_rank, grounding, label_scores, latencies, retrieval_quality
@@ -53,6 +53,9 @@ def test_scalars(spark):
     assert values(spark, ["abc  def", "ab"], *clipped("x", 5)) == [("abc", True), ("ab", False)]
     assert values(spark, ["Yes", "off", "?", None], as_flag("x")) == [True, False, None, None]
     assert values(spark, ['text {"a": {"b": 1}} end', "none"], first_json_object("x")) == ['{"a": {"b": 1}}', ""]
+    tricky = ['```json\n{"a": "}"} rest {"b": 2}\n```', '{bad} then {"a": [1, {"b": "{"}]} x', "{never closed", None]
+    assert values(spark, tricky, first_json_object("x")) == ['{"a": "}"}', '{"a": [1, {"b": "{"}]}', "", ""]
+    assert values(spark, ["A,  b! Đò_1", None], compared("x")) == ["a b đò_1", ""]
     assert values(spark, ["Phạm vi. phạm vi: Nội dung"], without_prefixes(F.col("x"), F.lit("Phạm vi"), F.lit("Phạm vi"))) == ["Nội dung"]
     row = spark.createDataFrame([("Điều 1", " ", "", "Luật đò", "Quốc hội", None, "Điều 1")], "article_code string, article_name string, law_id string, title string, issuer string, effective_date string, article string")
     assert row.select(format_source(), legal_reference()).first()[:] == ("Điều 1 - Luật đò - Quốc hội", "Điều 1 của Luật đò")
@@ -68,8 +71,13 @@ def test_extraction(spark):
     assert values(spark, ["Thông tư liên tịch số 1/2006/TTLT-BCA-BQP-BCA", "Luật số 5/2010/QH12", "UBTVQH11"], issuers_by_code("x")) == ["Bộ Công an; Bộ Quốc phòng", "Quốc hội", "Ủy ban Thường vụ Quốc hội"]
     assert values(spark, ["Điều 1.2.TT.3.4. Tên điều", "Không"], *title_parts("x")) == [("Điều 1.2.TT.3.4.", "Tên điều"), ("Không", "")]
     asked = query_filters("x")
-    assert values(spark, ["điều 1.2.tt.3.4 của Luật số 5/2010/QH12", "Điều 7 có hiệu lực 1/1/2020?", "Điều 8."], *asked.values()) == [("Luật số 5/2010/QH12", "Điều 1.2.TT.3.4", "", ""), ("", "", "Điều 7", "1/1/2020"), ("", "", "Điều 8", "")]
-    assert values(spark, ["Theo khoản 2 Điều 5 và Điều 5, điểm a khoản 1 Điều 3.6.QĐ.4.8 Luật số 1/2000/QH10"], citations("x")) == [["khoản 2 Điều 5", "Điều 5", "điểm a khoản 1 Điều 3.6.QĐ.4.8", "Luật số 1/2000/QH10"]]
+    assert values(spark, ["điều 1.2.tt.3.4 của Luật số 5/2010/QH12", "Điều 7 có hiệu lực 1/1/2020?", "Điều 8."], *asked.values()) == [("Luật số 5/2010/QH12", "Điều 1.2.TT.3.4", "", "", "", "", ""), ("", "", "Điều 7", "1/1/2020", "", "", ""), ("", "", "Điều 8", "", "", "", "")]
+    assert values(spark, ["Luật Đê điều của Quốc hội quy định gì?", "Đề mục 5.1 - Thuế, của Bộ Tài chính"], *[asked[c] for c in ("title", "de_muc", "issuer")]) == [("Luật Đê điều của Quốc hội", "", "Quốc hội"), ("", "Đề mục 5.1 - Thuế", "Bộ Tài chính")]
+    flags = query_features(asked, F.col("x"))
+    assert values(spark, ["Luật Đê điều là gì?", "Ai nộp?"], *flags.values()) == [(False, False, True, False, False, True, False, True), (False,) * 8]
+    cited = ["Điều 5, Khoản 2, Điểm a, Luật số 1/2000/QH10", "Điều 7", "Luật số 1/2000/QH10"]
+    assert values(spark, ["Theo Điều 5 Khoản 2 Điểm a của Luật số 1/2000/QH10. Xem " + "thêm " * 20 + "Điều 7 và Điều 7"], citations("x")) == [cited]
+    assert values(spark, ["Không", None], citations("x")) == [[], []]
     assert values(spark, ["LUẬT SỐ 5/2010/QH12 x"], law_id("x")) == ["LUẬT SỐ 5/2010/QH12"]
     assert values(spark, ["có hiệu lực kể từ ngày 7/8/2001"], effective_date("x")) == ["7/8/2001"]
 
@@ -177,8 +185,19 @@ def test_evaluation(spark):
     found = claim_support(claims(answers, "k", "a"), evidence, "k")
     assert [(r.claim_no, r.supported) for r in found.orderBy("claim_no").collect()] == [(0, True), (1, False), (2, False)]
     assert grounding(found, "k").first().score == 0.3333
+    hinted = claim_support(claims(answers, "k", "a"), evidence, "k", spark.createDataFrame([(1, ["trời hôm nay", ""])], "k int, hints array<string>"))
+    assert [r.supported for r in hinted.orderBy("claim_no").collect()] == [True, True, False]
+    stated = spark.createDataFrame([(1, "- Điều này chưa đủ căn cứ để kết luận. - x - Ngắn"), (2, "")], "k int, a string")
+    alone = claim_support(claims(stated, "k", "a"), evidence, "k")
+    assert [r.supported for r in alone.collect()] == [True]
+    report = spark.createDataFrame([(1, False), (2, True), (3, False)], "k int, citation_ok boolean")
+    assert {r.k: r.score for r in grounding(alone, "k", report).collect()} == {1: 0.85, 2: 1.0, 3: 0.85}
     shown = spark.createDataFrame([(["Điều 1", "Điều 1 - Luật", " Điều 1 - Luật ", None, "B"],)], "s array<string>").select(displayed_sources(F.col("s"), 2)).first()[0]
     assert shown == ["Điều 1 - Luật", "B"]
+    pruned = lambda *x: spark.createDataFrame([(list(x),)], "s array<string>").select(displayed_sources(F.col("s"), 9)).first()[0]
+    assert pruned("Điều 1", "Luật số 2/2020", "Điều 1 - Tên - Luật số 2/2020") == ["Điều 1 - Tên - Luật số 2/2020"]
+    assert pruned("một hai ba bốn năm", "một hai ba bốn năm sáu") == ["một hai ba bốn năm", "một hai ba bốn năm sáu"]
+    assert pruned("Điều 1") == ["Điều 1"] and pruned() == [] and pruned("Luật số 5 - a", "Luật số 5 - b") == ["Luật số 5 - a", "Luật số 5 - b"]
     labels = values(spark, ["Mức phạt hành vi?", "thủ tục", "gì"], label_scores(F.col("x"), {"a": ["mức phạt", "hành vi"], "b": ["thủ tục"]}))
     assert [(x.label, x.score) for x in labels] == [("a", 0.99), ("b", 0.99), (None, 0.0)]
 
