@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.session import kept
+from lexmill.functions.session import written
 from lexmill.operators.skew import split_join
 from lexmill.sources.tables import trimmed
 
@@ -155,19 +155,20 @@ def truncated(points: DataFrame, articles: DataFrame) -> DataFrame:
     - Empty tables give no rows; columns other than those named are ignored.
     - Loaders and articles that hold much of all rows meet their limits and ends by a broadcast (``split_join``).
     """
-    # Read for the limits and for the verdicts; the texts themselves are read once.
-    facts = kept(text_facts(points))
+    # Read for the limits and for the verdicts; the texts themselves are read once. Written tables keep the plans small.
+    facts = written(text_facts(points), "facts")
     broken_json = facts.where("not valid").select("point_id", F.lit("payload").alias("field"))
     rows = facts.where("there")
     proven = rows.where("sure").select("point_id", "field")
     open_ends = rows.where("not sure and not goes_on and (marked or not final)")
-    limits = hidden_limits(facts).groupBy("source", "snapshot_no", "field").agg(F.first("measure").alias("measure"), F.collect_set("limit").alias("limits"))
+    limits = written(hidden_limits(facts).groupBy("source", "snapshot_no", "field").agg(F.first("measure").alias("measure"), F.collect_set("limit").alias("limits")), "limits")
     near = split_join(open_ends, limits, ["source", "snapshot_no", "field"])
     own = F.try_element_at("sizes", F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure")).cast("int"))
     at_limit = F.coalesce(F.exists("limits", lambda x: own.between(x - SLACK, x)), F.lit(False))
-    near = kept(near.select("point_id", "field", F.when(F.col("mapc") != "", F.col("mapc")).alias("mapc"), "marked", "line", "breakless", "ending", "last", at_limit.alias("at_limit")))
+    near = written(near.select("point_id", "field", F.when(F.col("mapc") != "", F.col("mapc")).alias("mapc"), "marked", "line", "breakless", "ending", "last", at_limit.alias("at_limit")), "near")
     # The article's ends in any snapshot: a point may name one that its own snapshot lacks.
     ends = articles.select(trimmed("mapc").alias("mapc"), _tail(F.col("raw_content")).alias("tail")).where("mapc <> '' and tail <> ''").groupBy("mapc").agg(F.collect_set("tail").alias("tails"))
+    ends = written(ends, "ends")
     met = split_join(near, ends, ["mapc"])
     # The text ends as the article does, or its last line, where it is shorter than the tail, is the article's.
     short = (F.length("last") >= 4) & (F.length("last") < TAIL)
