@@ -29,6 +29,9 @@ COPY_WORDS = 0.8
 TERMINAL_SHARE = 0.5
 #: Contexts with at least one such part of the unsure answers, so at most that many, are broadcast.
 HOT_SHARE = 2_000
+#: Marks that end a sentence, and signs and white space that part words, where contexts are counted.
+MARKS = ".!?。！？…"
+SIGNS = ",;:，；：、()[]{}<>（）「」『』\"'“”‘’«»„*_#|/\\–—-\n\r\t\x0b\x0c\u00a0\u200b\u3000"
 # One type per pair: the first that holds.
 TYPES = ["empty", "copied_question", "refusal", "truncated", "other_language"]
 
@@ -66,6 +69,7 @@ WORDS = {
 }
 OPEN_ABBREVIATIONS = r"(?:^|[\s(“])(?:TP|Q|P|ThS|TS|PGS|GS|KS|BS|Dr|Mr|Mrs|Ms|Art|No|Vol|pp|sec|cf|App|Fig|tr|e\.g|i\.e|approx|para|St|Ltd|Đ|số|v/v|Hinh|Hình)\.$"
 
+_context_signs = str.maketrans(MARKS + SIGNS, "\x01" * len(MARKS) + " " * len(SIGNS))
 _scripts = {"CYRILLIC": "ru", "CJK": "zh", "HIRAGANA": "ja", "KATAKANA": "ja", "HANGUL": "ko", "THAI": "th", "KHMER": "km", "DEVANAGARI": "hi", "ARABIC": "ar"}
 _refusals = [re.compile(p) for p in REFUSALS]
 _labels = re.compile(rf"^\W*(?:\d+|[ivx]+|[a-z])?\W*(?:{LABELS})?\W*$")
@@ -227,7 +231,7 @@ def ending(answer: str, sources: list[str]) -> str:
 
 def last_words(text: str) -> str:
     """The last two words, lower case: the context of the text's end. A mark within a word, as in 15.7, is part of it."""
-    words = [x for x in re.split(r"[^\w\x01]+", re.sub(r"(?<=\w)[.!?。]", "\x01", unicodedata.normalize("NFC", text.lower()))) if x]
+    words = unicodedata.normalize("NFC", text.lower()).translate(_context_signs).split()
     return " ".join(x.rstrip("\x01") for x in words[-2:])
 
 
@@ -271,7 +275,7 @@ def defective_pairs(chats: DataFrame) -> DataFrame:
     sure = judged.where("sure and type is not null").select("chat_id", "type")
     unsure = judged.where("not sure").groupBy("chat_id", "context", "type").agg(F.count(F.lit(1)).alias("n"))
     # Terminal contexts: how often, in all answers, the last two words of the unsure ones are followed by the end of a sentence.
-    words = F.split(F.regexp_replace(F.lower("final_answer"), r"(?U)(?<=\w)[.!?。]", "\x01"), "(?U)[^\\w\x01]+")
+    words = F.filter(F.split(F.translate(F.lower("final_answer"), MARKS + SIGNS, "\x01" * len(MARKS) + " " * len(SIGNS)), " "), lambda x: x != "")
     spoken = asked.select(words.alias("words")).where(F.size("words") > 1)
     bare = lambda x: F.rtrim(x, F.lit("\x01"))
     pairs = F.transform(F.slice("words", F.lit(2), F.size("words") - 1), lambda x, i: F.struct(F.concat(bare(F.col("words")[i]), F.lit(" "), bare(x)).alias("context"), x.endswith("\x01").alias("end")))
