@@ -30,8 +30,8 @@ TERMINAL_SHARE = 0.5
 #: Contexts with at least one such part of the unsure answers, so at most that many, are broadcast.
 HOT_SHARE = 2_000
 #: Marks that end a sentence, and signs and white space that part words, where contexts are counted.
-MARKS = ".!?。！？…"
-SIGNS = ",;:，；：、()[]{}<>（）「」『』\"'“”‘’«»„*_#|/\\–—-\n\r\t\x0b\x0c\u00a0\u200b\u3000"
+MARKS = ".!?。！？"
+SIGNS = "…,;:，；：、()[]{}<>（）「」『』\"'“”‘’«»„*_#|/\\–—-\n\r\t\x0b\x0c\u00a0\u200b\u3000"
 # One type per pair: the first that holds.
 TYPES = ["empty", "copied_question", "refusal", "truncated", "other_language"]
 
@@ -278,7 +278,7 @@ def defective_pairs(chats: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.translate(F.lower("final_answer"), MARKS + SIGNS, "\x01" * len(MARKS) + " " * len(SIGNS)), " "), lambda x: x != "")
     spoken = asked.select(words.alias("words")).where(F.size("words") > 1)
     bare = lambda x: F.rtrim(x, F.lit("\x01"))
-    pairs = F.transform(F.slice("words", F.lit(2), F.size("words") - 1), lambda x, i: F.struct(F.concat(bare(F.col("words")[i]), F.lit(" "), bare(x)).alias("context"), x.endswith("\x01").alias("end")))
+    pairs = F.transform(F.slice("words", F.lit(2), F.size("words") - 1), lambda x, i: F.struct(F.concat(bare(F.col("words")[i]), F.lit(" "), bare(x)).alias("context"), (x.endswith("\x01") & ~x.endswith("\x01\x01")).alias("end")))
     seen = spoken.select(F.explode(pairs).alias("p")).select("p.context", "p.end")
     # Both sides of the join have each context once, whatever its frequency.
     met = unsure.groupBy("context").agg(F.sum("n").alias("n"))
