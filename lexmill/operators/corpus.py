@@ -102,7 +102,7 @@ def group_key(file: str = "file_id") -> Column:
 
 
 def article_documents(chunks: DataFrame, position: str, key: Column, most_text: int = 12_000, most_payload: int = 50_000) -> DataFrame:
-    """One index document per group of chunks: first metadata, distinct contents in order, clipped texts with flags.
+    """One index document per group of chunks: first metadata, distinct contents and related labels in order, clipped texts with flags.
 
     Repeated contents of a key are folded before the shuffle; only its distinct contents, which the document has, are put together.
     """
@@ -115,11 +115,15 @@ def article_documents(chunks: DataFrame, position: str, key: Column, most_text:
         F.array_sort(F.collect_list(F.when(F.col("_c") != "", F.struct(F.col("first.p").alias("p"), F.col("_c").alias("c"))))).alias("parts"),
     )
     content = F.array_join(F.transform("parts", lambda x: x["c"]), "\n\n")
-    docs = grouped.select(point_id("article", F.col("_key")).alias("point_id"), "m.*", "chunk_count", content.alias("content"))
+    # Labels are folded to one per key before they are put together in the order in which they are first seen.
+    labels = chunks.select(key.alias("_key"), F.col(position).alias("p"), F.posexplode("related_articles").alias("i", "label")).where(F.trim(text("label")) != "")
+    seen = labels.groupBy("_key", "label").agg(F.min(F.struct("p", "i")).alias("at")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("labels"))
+    grouped = grouped.join(seen, "_key", "left").withColumn("related_articles", F.coalesce(F.transform("labels", lambda x: x["label"]), F.array().cast("array<string>")))
+    docs = grouped.select(point_id("article", F.col("_key")).alias("point_id"), "m.*", "chunk_count", "related_articles", content.alias("content"))
     full = retrieval_text("title", "law_id", "article_code", "article_name", "content")
     shown, cut = clipped("content", most_payload)
     searched, cut_text = clipped(full, most_text)
-    return docs.select("point_id", *meta, iso_date("effective_date").alias("effective_date_iso"), "chunk_count", shown.alias("content"), cut.alias("content_truncated"), searched.alias("retrieval_text"), cut_text.alias("retrieval_text_truncated"))
+    return docs.select("point_id", *meta, iso_date("effective_date").alias("effective_date_iso"), "chunk_count", "related_articles", shown.alias("content"), cut.alias("content_truncated"), searched.alias("retrieval_text"), cut_text.alias("retrieval_text_truncated"))
 
 
 def total_order(rows: DataFrame, by: list[Column]) -> DataFrame:

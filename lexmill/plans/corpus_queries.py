@@ -439,11 +439,28 @@ def article_groups(spark, folder):
     return rows.groupBy("k").agg(F.count(F.lit(1)).alias("chunk_count"), F.md5(F.array_join(F.array_distinct(parts), "\n\n")).alias("content_md5")).withColumnRenamed("k", "group_key")
 
 
-@query()
+_INDEXED = "list_filter([" + ", ".join(_of(_PART, _of(_COLLAPSE, c)) for c in ("m.title", "m.law_id", "m.article_code", "m.article_name", "content")) + "], lambda x: x <> '')"
+_META = ("law_id", "article_code", "article_name", "title", "issuer", "effective_date", "mapc")
+
+
+@query(f"""
+with c as (select coalesce(file_id,'')||'|'||coalesce(law_id,'')||'|'||coalesce(nullif(trim(coalesce(article_code,'')),''),coalesce(article,''))||'|'||coalesce(article_name,'') as k, struct_pack(s := snapshot_no, l := loaded_at, d := md5(coalesce(raw_content,''))) as p,
+ struct_pack({", ".join(f"{c} := coalesce({c},'')" for c in _META)}) as m, trim(coalesce(raw_content,'')) as body, related_articles from parsed_article where @trim(coalesce(mapc,''))<>''),
+g as (select k, count(*)::bigint as chunk_count, min(struct_pack(p := p, m := m)).m as m from c group by 1),
+o as (select k, body, min(struct_pack(p := p, m := m)).p as p from c where body <> '' group by 1, 2), t as (select k, string_agg(body, chr(10)||chr(10) order by p, body) as content from o group by 1),
+lb as (select k, p, generate_subscripts(related_articles, 1) as i, unnest(related_articles) as label from c), lf as (select k, label, min(struct_pack(p := p, i := i)) as fst from lb where trim(coalesce(label,'')) <> '' group by 1, 2),
+ll as (select k, list(label order by fst, label) as related from lf group by 1),
+d as (select g.k, m, chunk_count, coalesce(related, []) as related, coalesce(content, '') as content from g left join t using (k) left join ll using (k)),
+r as (select *, {_INDEXED} as parts, trim(m.effective_date) as x, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('article:' || k)) as h from d),
+s as (select *, array_to_string(list_filter(parts, lambda v, i: not list_contains(list_transform(parts[1:i-1], lambda y: lower(y)), lower(v))), '. ') as fulltext from r)
+select substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || lpad(lower(to_hex(((('0x' || substr(h,17,2))::int) & 63) | 128)), 2, '0') || substr(h,19,2) || '-' || substr(h,21,12) as point_id, {", ".join(f"m.{c} as {c}" for c in _META)},
+ coalesce(strftime(coalesce(case when regexp_matches(x,'^\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}$') then try_strptime(x,'%d/%m/%Y') end, case when regexp_matches(x,'^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') then try_strptime(x,'%Y-%m-%d') end), '%Y-%m-%dT00:00:00Z'), '') as effective_date_iso, chunk_count, array_to_string(related, ' | ') as related_articles,
+ case when length(content) > 50000 then regexp_replace(substr(content, 1, 50000), '{_WS}+\\z', '') else content end as content, length(content) > 50000 as content_truncated,
+ case when length(fulltext) > 12000 then regexp_replace(substr(fulltext, 1, 12000), '{_WS}+\\z', '') else fulltext end as retrieval_text, length(fulltext) > 12000 as retrieval_text_truncated from s""")
 def article_index(spark, folder):
-    """Index documents of the articles: ids, clipped texts, flags, ISO dates."""
+    """Index documents of the articles: ids, clipped texts, flags, ISO dates, related labels."""
     rows = articles(spark, folder).withColumn("content", F.col("raw_content")).withColumn("pos", F.struct("snapshot_no", "loaded_at", F.md5(text("raw_content"))))
-    return article_documents(rows, "pos", group_key())
+    return article_documents(rows, "pos", group_key()).withColumn("related_articles", F.array_join("related_articles", " | "))
 
 
 @query("""

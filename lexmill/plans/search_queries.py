@@ -144,8 +144,9 @@ def _hybrid(spark, folder) -> tuple[DataFrame, DataFrame]:
     near = vector_topk(vectors, vectors.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "request_id"), 12, row="doc_id", query="request_id").select("request_id", F.lit("vector").alias("channel"), "doc_id", "score")
     law = docs.select(F.col("doc_id").alias("request_id"), F.col("law_id").alias("asked_law"))
     hits = lexical.unionByName(near).join(docs.select("doc_id", "law_id"), "doc_id").join(law, "request_id")
-    bonus, _ = exact_bonus({"law_id": (F.col("law_id"), F.col("asked_law"))})
-    return hybrid_merge(hits.select("request_id", F.lit(0).alias("query_no"), "channel", F.col("doc_id").alias("key"), "score", bonus.alias("bonus"))), docs
+    bonus, exact = exact_bonus({"law_id": (F.col("law_id"), F.col("asked_law"))})
+    merged = hybrid_merge(hits.select("request_id", F.lit(0).alias("query_no"), "channel", F.col("doc_id").alias("key"), "score", bonus.alias("bonus"), F.size(exact).alias("n_exact")))
+    return merged.select("request_id", "key", "bm25", "vector", "n_queries", "n_channels", "bonus", "combined", "rank"), docs
 
 
 _HYBRID = """
@@ -161,7 +162,7 @@ h as (select request_id, doc_id, 'bm25' as channel, score from (select *, row_nu
 m as (select h.request_id, h.doc_id as key, greatest(coalesce(max(score) filter (where channel='bm25'),0),0) as bm25, greatest(coalesce(max(score) filter (where channel='vector'),0),0) as vector, count(distinct channel)::bigint as n_channels, 1::bigint as n_queries,
  max(case when trim(coalesce(b.law_id,''))<>'' and lower(trim(b.law_id)) = lower(trim(asked.law_id)) then 0.45 else 0 end)::double as bonus from h join b on b.doc_id = h.doc_id join asked using (request_id) group by 1, 2),
 r as (select *, round(0.4 * case when max(bm25) over w > 0 then bm25 / max(bm25) over w else 0 end + 0.6 * case when max(vector) over w > 0 then vector / max(vector) over w else 0 end + 0.1 + bonus, 6) as combined from m window w as (partition by request_id)),
-k as (select *, row_number() over (partition by request_id order by combined desc, vector desc, bm25 desc, key)::int as rank from r)"""
+k as (select *, row_number() over (partition by request_id order by combined desc, bonus desc, vector desc, bm25 desc, key)::int as rank from r)"""
 
 
 @query(f"with {_HYBRID} select request_id, key, bm25, vector, n_queries, n_channels, bonus, combined, rank from k where rank <= 12")
