@@ -254,14 +254,33 @@ def _current(spark, folder, every: bool = False):
     return latest_rows((rows if every else latest_snapshot(rows)).select("snapshot_no", "mapc", "file_id", "law_id", "article_code", "article", "article_name", "title", "issuer", "effective_date", "raw_content", "related_articles", "de_muc", "chapter_code", "chapter_title", "source_note", "loaded_at"), ["snapshot_no", "mapc"], "loaded_at")
 
 
-@query()
+# The entities that occur, which is what SQL can undo, then lines with the clause and point they stand in.
+_PLAIN = "replace(replace(replace(replace(raw_content, '&#273;', 'đ'), '&ldquo;', '“'), '&rdquo;', '”'), '&ge;', '≥')"
+_LINES = f"""
+cur as (select distinct on (snapshot_no, mapc) snapshot_no, mapc, article_code, article_name, raw_content from parsed_article where @trim(coalesce(mapc,''))<>'' order by snapshot_no, mapc, loaded_at desc),
+sp as (select snapshot_no, mapc, string_split({_of(_TIDY, _PLAIN)}, chr(10)) as l from cur),
+ln as (select snapshot_no, mapc, generate_subscripts(l, 1) as line_no, unnest(l) as line from sp),
+cn as (select *, sum(regexp_matches(line, '^[0-9]+\\.\\s+')::int) over (partition by snapshot_no, mapc order by line_no) as clause_no from ln where trim(line) <> ''),
+pn as (select *, sum((regexp_matches(line, '(?i)^[a-zđ]\\)\\s+') and clause_no > 0)::int) over (partition by snapshot_no, mapc, clause_no order by line_no) as point_no from cn)"""
+
+
+@query(f"""with {_LINES} select snapshot_no, mapc, count(*)::bigint as n_lines, max(clause_no)::bigint as n_clauses, count(distinct case when point_no > 0 then clause_no || '.' || point_no end)::bigint as n_points from pn group by 1, 2""")
 def article_clauses(spark, folder):
     """Lines, clauses and points of each article of every snapshot."""
     lines = numbered_lines(_current(spark, folder, every=True), ["snapshot_no", "mapc"], "raw_content")
     return lines.groupBy("snapshot_no", "mapc").agg(F.count(F.lit(1)).alias("n_lines"), F.max("clause_no").cast("long").alias("n_clauses"), F.count_distinct(F.when(F.col("point_no") > 0, F.struct("clause_no", "point_no"))).alias("n_points"))
 
 
-@query()
+@query(f"""with {_LINES},
+pt as (select snapshot_no, mapc, clause_no, point_no, string_agg(line, chr(10) order by line_no) as part from pn group by all),
+ld as (select snapshot_no, mapc, part as lead from pt where clause_no = 0),
+hd as (select snapshot_no, mapc, clause_no, part as head from pt where clause_no > 0 and point_no = 0),
+ps as (select *, max(point_no) over (partition by snapshot_no, mapc, clause_no) as points, max(clause_no) over (partition by snapshot_no, mapc) as clauses from pt),
+sc as (select snapshot_no, mapc, clause_no, point_no, concat_ws(chr(10), lead, case when point_no > 0 then head end, part) as section from ps left join ld using (snapshot_no, mapc) left join hd using (snapshot_no, mapc, clause_no) where clause_no > 0 and (point_no > 0 or points = 0)
+ union all select snapshot_no, mapc, 0, 0, part from ps where clauses = 0),
+nm as (select snapshot_no, mapc, (row_number() over (partition by snapshot_no, mapc order by clause_no, point_no) - 1)::int as section_no, section from sc),
+fl as (select cur.snapshot_no, cur.mapc, coalesce(section_no, 0)::int as section_no, coalesce(section, '') as section, nullif(concat_ws(' ', nullif(trim(coalesce(article_code,'')),''), nullif(trim(coalesce(article_name,'')),'')), '') as head from cur left join nm using (snapshot_no, mapc))
+select snapshot_no, mapc, section_no, case when section = '' then '' else concat_ws(chr(10), head, section) end as content from fl""")
 def sections(spark, folder):
     """Sections of the articles of every snapshot along clauses and points, with their headings."""
     current = _current(spark, folder, every=True)
