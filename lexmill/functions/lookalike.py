@@ -54,6 +54,7 @@ UNSEEN = re.compile("[\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\ufe00-\u
 _shaping = re.compile("[\u0600-\u074f\u0750-\u077f\u0840-\u08ff\u0900-\u0dff\u0f00-\u109f\u1780-\u17ff\u1a20-\u1aaf\ua8e0-\ua8ff\U00011000-\U000116cf]")
 
 
+@lru_cache(maxsize=70_000)
 def is_invisible(ch: str) -> bool:
     """Format characters, fillers, joiners, variation selectors, tags and control characters of any plane."""
     return bool(UNSEEN.match(ch)) or unicodedata.category(ch) == "Cf" and not SEEN_FORMATS.match(ch)
@@ -139,6 +140,8 @@ _twin = re.compile(f"[{''.join(FOREIGN)}]")
 _han = re.compile("[、-〿ぁ-ゟァ-ヿ㐀-䶿一-鿿豈-\ufaff]")
 #: Characters of a chunk at most: text without white space is cut further, so that nothing unbounded is one piece.
 PIECE = 256
+_long = re.compile(f"[^ \\t\\r\\n]{{{PIECE + 1}}}")
+_suspect_chunk = re.compile(f"(?<![^ \\t\\r\\n])[^ \\t\\r\\n]*?{SUSPECT}[^ \\t\\r\\n]*")
 
 
 def near_scripts(chunk: str) -> str:
@@ -173,13 +176,18 @@ def pieces(text: str) -> list[tuple[str, str, bool]]:
     near: scripts of the pieces beside it, where twins could need them; H if a piece of a cut chunk belongs to text with Han.
     """
     parts = _chunk.split(text)
-    if any(len(x) > PIECE for x in parts[::2]):
-        flat = []
-        for i, part in enumerate(parts):
-            whole = i % 2 or len(part) <= PIECE
-            flat += [(part, "")] if whole else [(x, "H" if _han.search(part) else "") for x in cut_chunk(part)]
-    else:
-        flat = [(x, "") for x in parts]
+    if not _long.search(text):
+        out = []
+        for k, x in enumerate(parts):
+            odd = not k % 2 and bool(_suspect.search(x))
+            near = "".join(near_scripts(parts[j]) for j in (k - 2, k + 2) if 0 <= j < len(parts)) if odd and _twin.search(x) else ""
+            if x:
+                out.append((x, near, odd))
+        return out
+    flat = []
+    for i, part in enumerate(parts):
+        whole = i % 2 or len(part) <= PIECE
+        flat += [(part, "")] if whole else [(x, "H" if _han.search(part) else "") for x in cut_chunk(part)]
     solid = [i for i, (x, _) in enumerate(flat) if x and not x[0] in " \t\r\n"]
     place = {i: n for n, i in enumerate(solid)}
     out = []
@@ -192,6 +200,13 @@ def pieces(text: str) -> list[tuple[str, str, bool]]:
     return out
 
 
+def suspect_chunks(text: str) -> list[tuple[str, str, bool]]:
+    """The distinct suspect pieces of a text: where no twin needs its neighbours and nothing is to be cut, found by one pattern."""
+    if _twin.search(text) or _long.search(text):
+        return list(dict.fromkeys(p for p in pieces(text) if p[2]))
+    return [(x, "", True) for x in dict.fromkeys(m[0] for m in _suspect_chunk.finditer(text))]
+
+
 def consistent_chunk(chunk: str, near: str = "") -> str:
     """Consistent form of text without plain white space; ``near``: scripts of the pieces beside it."""
     return _short_chunk(chunk, near) if len(chunk) <= 48 else _any_chunk(chunk, near)
@@ -203,8 +218,11 @@ def _short_chunk(chunk: str, near: str) -> str:
 
 
 def _any_chunk(chunk: str, near: str) -> str:
-    beside = zip(chunk, ["", *chunk], [*chunk[1:], ""])
-    seen = [(ch, is_invisible(ch)) for ch, before, after in beside if not is_invisible(ch) or stays(ch, before, after)]
+    if any(map(is_invisible, chunk)):
+        beside = zip(chunk, ["", *chunk], [*chunk[1:], ""])
+        seen = [(ch, is_invisible(ch)) for ch, before, after in beside if not is_invisible(ch) or stays(ch, before, after)]
+    else:
+        seen = [(ch, False) for ch in chunk]
     han = "H" in near or bool(_han.search(chunk))
     plain = unicodedata.normalize("NFD", "".join(ch if kept or han and is_wide_mark(ch) else expand(ch) for ch, kept in seen))
     near += near_scripts(plain)
@@ -226,4 +244,6 @@ def consistent(text: str | None) -> str | None:
     """The consistent form of one value: NFC, half width, plain spaces, nothing invisible, each letter from its word's script."""
     if text is None or not _suspect.search(text):
         return text
-    return "".join(consistent_chunk(x, near) if odd else x for x, near, odd in pieces(text))
+    if _twin.search(text) or _long.search(text):
+        return "".join(consistent_chunk(x, near) if odd else x for x, near, odd in pieces(text))
+    return _suspect_chunk.sub(lambda m: consistent_chunk(m[0]), text)
