@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from lexmill.functions.lookalike import FOREIGN, STROKES, SUSPECT, TO_CYRILLIC, around, expand, is_invisible, is_wide_mark, pieces, script, sure
+from lexmill.functions.lookalike import FOREIGN, STROKES, SUSPECT, TO_CYRILLIC, around, expand, is_invisible, is_wide_mark, pieces, script, suspect_chunks, sure
 from lexmill.functions.session import kept
 
 ID = ["h1", "h2", "near"]
@@ -68,7 +68,7 @@ _PIECES = ArrayType(StructType([StructField("token", StringType()), StructField(
 @F.pandas_udf(_PIECES)
 def suspect_pieces(texts: pd.Series) -> pd.Series:
     """The distinct pieces of each text that hold a character outside the safe class."""
-    return texts.map(lambda x: list(dict.fromkeys(p for p in pieces(x) if p[2])), na_action="ignore")
+    return texts.map(suspect_chunks, na_action="ignore")
 
 
 @F.pandas_udf(_PIECES)
