@@ -126,6 +126,23 @@ def article_documents(chunks: DataFrame, position: str, key: Column, most_text:
     return docs.select("point_id", *meta, iso_date("effective_date").alias("effective_date_iso"), "chunk_count", "related_articles", shown.alias("content"), cut.alias("content_truncated"), searched.alias("retrieval_text"), cut_text.alias("retrieval_text_truncated"))
 
 
+def chunk_documents(chunks: DataFrame, most_text: int = 12_000, most_payload: int = 50_000) -> DataFrame:
+    """One index document per chunk: a stable id of its file, law, article and content, clipped texts with flags; repeated chunks come out once."""
+    meta = ["file_id", "law_id", "article_code", "article_name", "article", "title", "issuer", "effective_date", "mapc", "de_muc"]
+    key = F.concat_ws("|", text("file_id"), text("law_id"), text("article_code"), text("mapc"), F.sha1(text("content")))
+    shown, cut = clipped(F.trim(text("content")), most_payload)
+    searched, cut_text = clipped(retrieval_text("title", "law_id", "article", "article_code", "article_name", "de_muc", "content"), most_text)
+    return chunks.select(point_id("chunk", key).alias("point_id"), *[text(c).alias(c) for c in meta], iso_date("effective_date").alias("effective_date_iso"), shown.alias("content"), cut.alias("content_truncated"), searched.alias("retrieval_text"), cut_text.alias("retrieval_text_truncated")).dropDuplicates(["point_id"])
+
+
+def index_documents(level: str, chunks: DataFrame, position: str, key: Column) -> dict[str, DataFrame]:
+    """Index documents by level: those of ``chunk``, ``article``, or ``both``; any other level is an error."""
+    if level not in ("chunk", "article", "both"):
+        raise ValueError(f"unknown level: {level}")
+    made = {"chunk": lambda: chunk_documents(chunks), "article": lambda: article_documents(chunks, position, key)}
+    return {name: make() for name, make in made.items() if level in (name, "both")}
+
+
 def total_order(rows: DataFrame, by: list[Column]) -> DataFrame:
     """Rows with their place in a total order: a range-partitioned sort, then ordinals from the partitions' sizes.
 

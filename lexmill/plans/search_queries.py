@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from lexmill.functions.extract import CITED_ARTICLE, CITED_LAW, GENERIC, query_filters
 from lexmill.functions.session import shared_folder
 from lexmill.functions.text import collapse, iso_date, present, text
-from lexmill.operators.corpus import latest_rows
+from lexmill.operators.corpus import chunk_documents, latest_rows
 from lexmill.operators.evaluation import (
     BARE_ARTICLE, BARE_LAW, CONTAINED, DISCLAIMER, SHARED, SHARED_PART, accuracy, citation_report, claim_support, claims, displayed_sources, filter_hit_rates, folded_events, grounding, label_scores, latencies,
     messages, relevant_ranks, retrieval_quality, step_times, truth_matches,
 )
-from lexmill.operators.search import FILTER_FIELDS, bm25_topk, context_block, date_passes, dedup_key, evidence_status, exact_bonus, exact_match, has_filters, hybrid_merge, passes_filters, vector_topk, with_fallback
+from lexmill.operators.search import FILTER_FIELDS, bm25_topk, is_strong_hit, context_block, date_passes, dedup_key, evidence_status, exact_bonus, exact_match, has_filters, hybrid_merge, passes_filters, vector_topk, with_fallback
 from lexmill.models import embedded
 from lexmill.operators.rerank import overlap_model, reranked, variants
-from lexmill.plans.corpus_queries import _COLLAPSE, _COMPARED, _LAW, _TOKENS, _WORDS, CITES, _of, articles, latest_snapshot
+from lexmill.plans.corpus_queries import _COLLAPSE, _COMPARED, _LAW, _TOKENS, _WORDS, CITES, _PART, _WS, _of, articles, latest_snapshot
 from lexmill.plans.oracle import expanded
 from lexmill.sources.tables import table, trimmed
 from lexmill.streaming.threads import latest_states, thread_states, thread_states_batch
@@ -284,6 +284,38 @@ def filter_hit_rate(spark, folder):
     return filter_hit_rates(hits, asked_for, "chat_id", passes_filters({f: F.col(f) for f in FILTER_FIELDS}, filters), has_filters(filters))
 
 
+_SAME = lambda a, b: f"(lower({_of(_COLLAPSE, a)}) <> '' and lower({_of(_COLLAPSE, a)}) = lower({_of(_COLLAPSE, b)}))"
+
+
+@query(f"""with {_BM25}, {_ASKED_FILTERS},
+hits as (select chat_id, point_id from (select *, row_number() over (partition by chat_id order by score desc, point_id) as rank from s where score > 0) where rank <= {TOP})
+select hits.chat_id, count_if({_SAME('meta.article_code', 'w_code')})::bigint as n_strong, count(*)::bigint as n_hits from hits join wf using (chat_id) join meta using (point_id) group by 1""")
+def strong_exact_hits(spark, folder):
+    """How many of a question's hits are the very article that it names."""
+    asked = _questions(spark, folder)
+    wanted = query_filters("question")
+    asked_for = asked.select("chat_id", *[wanted[f].alias(f"w_{f}") for f in ("law_id", "article_code")])
+    hits = bm25_topk(_sections(spark, folder), asked, TOP, doc="point_id", query="chat_id").join(_described(spark, folder).select("point_id", "law_id", "article_code"), "point_id").join(asked_for, "chat_id")
+    _, names = exact_bonus({f: (F.col(f), F.col(f"w_{f}")) for f in ("law_id", "article_code")})
+    return hits.groupBy("chat_id").agg(F.count_if(is_strong_hit(names)).alias("n_strong"), F.count(F.lit(1)).alias("n_hits"))
+
+
+_CHUNK_PARTS = "list_filter([" + ", ".join(_of(_PART, _of(_COLLAPSE, c)) for c in ("title", "law_id", "article", "article_code", "article_name", "de_muc", "content")) + "], lambda x: x <> '')"
+_CHUNK_META = ("law_id", "article_code", "article_name", "article", "title", "issuer", "effective_date", "mapc", "de_muc")
+
+
+@query(f"""with {_BM25.split("asked as (")[0].rstrip().rstrip(",").replace("d0 as (", "d0 as (")},
+m as (select coalesce(law_id,'') as law_id, coalesce(article_code,'') as article_code, coalesce(article_name,'') as article_name, coalesce(article,'') as article, coalesce(title,'') as title, coalesce(issuer,'') as issuer, coalesce(effective_date,'') as effective_date, docs.mapc as mapc, coalesce(de_muc,'') as de_muc, content from docs left join art on art.mapc = docs.mapc),
+h as (select *, {_CHUNK_PARTS} as parts, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk:' || concat_ws('|', '', law_id, article_code, mapc, sha1(content)))) as h from m),
+f as (select distinct on (h) *, array_to_string(list_filter(parts, lambda v, i: not list_contains(list_transform(parts[1:i-1], lambda y: lower(y)), lower(v))), '. ') as words from h)
+select substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || lpad(lower(to_hex(((('0x' || substr(h,17,2))::int) & 63) | 128)), 2, '0') || substr(h,19,2) || '-' || substr(h,21,12) as point_id, {", ".join(_CHUNK_META)},
+ md5(trim(content)) as content_md5, md5(case when length(words) > 12000 then regexp_replace(substr(words, 1, 12000), '{_WS}+\\z', '') else words end) as retrieval_md5, length(words) > 12000 as retrieval_text_truncated from f""")
+def chunk_index(spark, folder):
+    """Index documents of the sections: stable ids, metadata of their articles, clipped search texts."""
+    made = chunk_documents(_described(spark, folder).withColumn("file_id", F.lit("")))
+    return made.select("point_id", *_CHUNK_META, F.md5("content").alias("content_md5"), F.md5("retrieval_text").alias("retrieval_md5"), "retrieval_text_truncated")
+
+
 @query(f"""with {_BM25},
 hits as (select chat_id, point_id, score from (select *, row_number() over (partition by chat_id order by score desc, point_id) as rank from s where score > 0) where rank <= 4),
 g as (select chat_id, count(*)::bigint as n_hits, count(distinct point_id)::bigint as n_sources, count_if(trim(coalesce(law_id,''))<>'' or trim(coalesce(article_code,''))<>'')::bigint as n_structured, count_if(trim(coalesce(law_id,''))<>'' and trim(coalesce(article_code,''))<>'') as n_citable, max(score) as top_score from hits join meta using (point_id) group by 1)

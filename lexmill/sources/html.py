@@ -25,7 +25,7 @@ class _Nodes(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.heading = [], ""
+        self.nodes, self.headings = [], []
         self.kind = None
         self.depth = self.root = 0
         self.inner = self.skip = 0
@@ -40,7 +40,7 @@ class _Nodes(HTMLParser):
             self.depth += 1
             if "_content" in names and not self.root:
                 self.root, self.nodes, self.kind = self.depth, [], None
-        elif tag == "h3" and not self.heading:
+        elif tag == "h3" and not self.headings:
             self.in_heading = True
         elif tag == "p":
             kind = next((CLASSES[c] for c in names if c in CLASSES), None)
@@ -82,7 +82,7 @@ class _Nodes(HTMLParser):
         if self.skip:
             return
         if self.in_heading:
-            self.heading += data
+            self.headings.append(data)
         if self.kind:
             self.nodes[-1]["text"].append(data)
             if self.in_link and self.nodes[-1]["links"]:
@@ -90,7 +90,7 @@ class _Nodes(HTMLParser):
 
 
 def html_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """``key, node_no, kind, text, anchor, links``: classified paragraphs of each page in order, and its heading as node 0.
+    """``key, node_no, kind, text, anchor, links``: classified paragraphs of each page in order, and its heading, a line per text, as node 0.
 
     Unclosed and nested paragraphs, scripts and styles are dealt with; a page without such paragraphs has its heading only.
     Null pages have no rows.
@@ -105,7 +105,7 @@ def html_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
                 found = _Nodes()
                 found.feed(page)
                 found.close()
-                rows.append((k, 0, "heading", found.heading, "", []))
+                rows.append((k, 0, "heading", "\n".join(x.strip() for x in found.headings if x.strip()), "", []))
                 rows += [(k, i, n["kind"], "".join(n["text"]), n["anchor"], n["links"]) for i, n in enumerate(found.nodes, 1)]
             yield pd.DataFrame(rows, columns=["k", "node_no", "kind", "text", "anchor", "links"])
 
@@ -145,6 +145,31 @@ def articles(nodes: DataFrame, key: str) -> DataFrame:
     return grouped.select(key, F.col("island").alias("article_no"), article_code.alias("article_code"), article_name.alias("article_name"), "mapc", *[c.alias(n) for n, c in note.items()], "source_note", "related_articles", "raw_content", "chapter_code", "chapter_title")
 
 
+def section_labels(nodes: DataFrame, key: str, lookup: DataFrame | None = None) -> DataFrame:
+    """``key, de_muc``: what a page's section is called: the first two lines of its heading, else the lookup's name of its key, else the key.
+
+    ``lookup``: value, name, a few rows; they are looked up by the page's key.
+    """
+    lines = F.filter(F.transform(F.split("text", "\n"), clean_text), lambda x: x != "")
+    label = F.nullif(F.array_join(F.slice(lines, 1, 2), " - "), F.lit(""))
+    heads = nodes.where("kind = 'heading'").select(key, label.alias("_label"))
+    if lookup is None:
+        return heads.select(key, F.coalesce("_label", F.col(key).cast("string")).alias("de_muc"))
+    names = F.broadcast(lookup.select(F.col("value").alias(key), F.col("name").alias("_name")))
+    return heads.join(names, key, "left").select(key, F.coalesce("_label", F.nullif(F.trim("_name"), F.lit("")), F.col(key).cast("string")).alias("de_muc"))
+
+
+def snapshot_root(spark: SparkSession, path: str) -> str | None:
+    """The folder of a snapshot, the one that holds ``jsonData.js``: a folder or its parent, or a file's folder or the one above; None if neither."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    first = hadoop if files.exists(hadoop) and files.getFileStatus(hadoop).isDirectory() else hadoop.getParent()
+    for folder in (first, first.getParent() if first is not None else None):
+        if folder is not None and files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "jsonData.js")):
+            return folder.toString()
+    return None
+
+
 def html_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, file_id, html, sha256, file_size, modified``: the HTML files below a folder, libraries and the index page left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(folder)

@@ -1,13 +1,18 @@
 """Ground truth, filters, evidence, citations and issuers on small fixtures."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions.extract import source_note
 from lexmill.functions.text import compared, informative_tokens
 from lexmill.operators.evaluation import STOP_WORDS, citation_report, filter_hit_rates, relevant_ranks, same_context, truth_matches
-from lexmill.operators.search import evidence_status, has_filters, passes_filters
+from lexmill.functions.session import kept, release, written
+from lexmill.operators.corpus import index_documents
+from lexmill.operators.search import evidence_status, has_filters, is_strong_hit, passes_filters
 from lexmill.operators.skew import split_join
+from lexmill.sources.html import html_nodes, section_labels, snapshot_root
 from lexmill.sources.index_store import collection_name
 from lexmill.sources.records import forgotten
 
@@ -99,3 +104,37 @@ def test_stores(spark):
         collection_name("a", None, "d", "x", "both")
     states = spark.createDataFrame([("s", "t", 1), ("s", "u", 2)], "session_id string, thread_id string, n int")
     assert [r.n for r in forgotten(states, states.where("thread_id in ('t', 'zz')").select("session_id", "thread_id")).collect()] == [2]
+
+
+def test_strong_hits(spark):
+    names = spark.createDataFrame([(["article_code"],), (["article", "title"],), (["article"],), (["law_id", "title"],), ([],)], "n array<string>")
+    assert [r[0] for r in names.select(is_strong_hit(F.col("n"))).collect()] == [True, True, False, False, False]
+
+
+def test_levels_of_index_documents(spark):
+    row = {"file_id": "f", "law_id": "L", "article_code": "c", "article_name": "n", "article": "", "title": "t", "issuer": None, "effective_date": "1/2/2020", "mapc": "m", "de_muc": "", "content": " Nội dung ", "related_articles": ["b", "a", "b"], "p": 1}
+    rows = spark.createDataFrame([row, row, row | {"content": "khác", "p": 2, "related_articles": None}], "file_id string, law_id string, article_code string, article_name string, article string, title string, issuer string, effective_date string, mapc string, de_muc string, content string, related_articles array<string>, p int")
+    made = index_documents("both", rows, "p", F.lit("k"))
+    assert made["chunk"].count() == 2 and set(index_documents("chunk", rows, "p", F.lit("k"))) == {"chunk"}
+    article = made["article"].first()
+    assert article.content == "Nội dung\n\nkhác" and article.related_articles == ["b", "a"] and article.chunk_count == 3
+    with pytest.raises(ValueError):
+        index_documents("page", rows, "p", F.lit("k"))
+
+
+def test_section_labels_and_snapshot_root(spark, tmp_path):
+    pages = spark.createDataFrame([("a", "<h3>5.1<br>Thuế<br>x</h3>"), ("b", "<h3> Kho </h3>"), ("c", "<p class='pDieu'>x</p>"), ("d", "")], "k string, h string")
+    lookup = spark.createDataFrame([("c", "Tên của c")], "value string, name string")
+    assert {r.k: r.de_muc for r in section_labels(html_nodes(pages, "k", "h"), "k", lookup).collect()} == {"a": "5.1 - Thuế", "b": "Kho", "c": "Tên của c", "d": "d"}
+    (tmp_path / "demuc").mkdir()
+    (tmp_path / "jsonData.js").write_text("x")
+    (tmp_path / "demuc" / "a.html").write_text("x")
+    found = [snapshot_root(spark, f"file://{p}") for p in (tmp_path, tmp_path / "demuc", tmp_path / "demuc" / "a.html", tmp_path.parent)]
+    assert [bool(x) for x in found] == [True, True, True, False] and found[0].rstrip("/").endswith(tmp_path.name)
+
+
+def test_written_tables_are_released(spark):
+    rows = written(spark.range(5), "x")
+    path = rows.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+    assert rows.count() == 5 and kept(rows.where("id > 2")).count() == 2 and os.path.isdir(path)
+    assert release() >= 2 and not os.path.exists(path) and release() == 0
