@@ -135,6 +135,13 @@ def vector_label_boost(spark, folder):
     return vector_topk(rows, rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), TOP, label=("label", "label"), bonus=0.35)
 
 
+@query(f"""with {_COS} select query_id, vec_id, semantic, semantic as score, rank::int as rank from (select *, row_number() over (partition by query_id order by semantic desc, vec_id) as rank from c where ql is null or ql = dl) where rank <= {TOP}""")
+def vector_filtered(spark, folder):
+    """Nearest vectors among those of the query's own label, filtered before the search."""
+    rows = table(spark, folder, "embeddings")
+    return vector_topk(rows, rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), TOP, filters={"label": "label"})
+
+
 def _hybrid(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Hybrid hits, and the documents: all are searched and ask by BM25, those that have a vector by their vector too."""
     docs = table(spark, folder, "documents").select("doc_id", text("text").alias("content"), "law_id")
