@@ -27,7 +27,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -172,12 +171,13 @@ def _places_of(text: str, start: int, end: int) -> Iterator[tuple]:
     head = HEADING.match(text, start, stop)
     body = head.end() if head else start
     found = []
+    guillemets = text.find("»", start, stop) >= 0 or text.find("›", start, stop) >= 0
     for m in _mark.finditer(text, start, stop):
         at, mark = m.end(), m[0]
         if at <= body or mark == "." and at < stop and (text[at].isdigit() or text[at].islower()):
             continue
         closed = at
-        while closed < stop:
+        while closed < stop and (guillemets or text[closed] in CLOSERS):
             after = closed
             while after < stop and text[after] in "   ":
                 after += 1
@@ -264,14 +264,17 @@ _COLUMNS = ("at", "kind", "before", "after", "n")
 _CONTEXTS = ("mark", "end", "word", "start")
 
 
-@lru_cache(maxsize=200_000)
-def _short_words(token: str) -> tuple[str, ...]:
-    return tuple(_letters.findall(token))
+class _Words(dict):
+    """Words of runs without white space; those of short runs are remembered, up to a number that no memory minds."""
 
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        found = tuple(_letters.findall(token))
+        if len(token) <= 40 and len(self) < 200_000:
+            self[token] = found
+        return found
 
-def _token_words(token: str) -> tuple[str, ...]:
-    """Words of a run without white space; those of short runs are remembered."""
-    return _short_words(token) if len(token) <= 40 else tuple(_letters.findall(token))
+
+_words_of = _Words()
 
 
 def _rows(text: str, seen: dict[str, Counter]) -> Iterator[tuple]:
@@ -308,7 +311,7 @@ def _rows(text: str, seen: dict[str, Counter]) -> Iterator[tuple]:
         starts.update(_first(text, at) for at in {body, label.end() if label else body} if at < stop)
     for end, before, after in _bare_gaps(text):
         yield end, "bare", before, after, None
-    words = set().union(*map(_token_words, set(text.split())))
+    words = set().union(*map(_words_of.__getitem__, set(text.split())))
     words.update(f"# {a} {b}" if a else "#" for a, b in set(_numbers.findall(text)))
     if _run.search(text):
         # A run without marks: each place in it could be a beginning.
@@ -617,12 +620,13 @@ def _grouped(placed: DataFrame, before: DataFrame, after: DataFrame) -> tuple[li
     none = F.lit(None).cast("float")
     open_places = _looked_up(rows.where(~sure), {"before": before, "after": after})
     x = open_places.select("k", "h1", "h2", "at", "kind", F.coalesce("before_score", F.lit(0.0)).cast("float").alias("b"), F.coalesce("after_score", F.lit(0.0)).cast("float").alias("a"))
-    both = written(x.unionByName(rows.where(sure).select("k", "h1", "h2", "at", "kind", F.lit(0.0).cast("float").alias("b"), F.lit(0.0).cast("float").alias("a"))), "cells")
-    cells = [tuple(r) for r in both.where("kind not in ('break', 'bare')").select("kind", "b", "a").distinct().orderBy("kind", "b", "a").collect()]
+    both = x.unionByName(rows.where(sure).select("k", "h1", "h2", "at", "kind", F.lit(0.0).cast("float").alias("b"), F.lit(0.0).cast("float").alias("a")))
+    cells = [tuple(r) for r in x.where("kind <> 'bare'").select("kind", "b", "a").distinct().orderBy("kind", "b", "a").collect()]
     numbered = placed.sparkSession.createDataFrame([(*c, i) for i, c in enumerate(cells)], "kind string, b float, a float, cell int")
     told = both.join(F.broadcast(numbered), ["kind", "b", "a"], "left").withColumn("cell", F.coalesce("cell", F.when(sure, -1).otherwise(-2)))
     place = F.struct("at", "cell", F.when(F.col("cell") == -2, F.col("a") + F.col("b")).otherwise(none).alias("bare"))
-    return cells, told.groupBy("k", "h1", "h2").agg(F.array_sort(F.collect_set(place)).alias("places"))
+    # Decoded twice, to learn and to tag, but put together once.
+    return cells, written(told.groupBy("k", "h1", "h2").agg(F.array_sort(F.collect_set(place)).alias("places")), "chains")
 
 
 def sentence_units(docs: DataFrame, key: str, text: str = "text", training: DataFrame | None = None) -> DataFrame:
