@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 import zstandard
@@ -98,17 +99,30 @@ _FORMATS = "".join(ch for ch in map(chr, range(0x110000)) if unicodedata.categor
 _consistent = lru_cache(maxsize=8)(consistent)
 
 
-def _bare_token(token: str) -> str:
+class _Remembered(dict):
+    """What is found out about a token; that of short ones is remembered, up to a number that no memory minds."""
+
+    def __init__(self, find: Callable[[str], tuple]):
+        self.find = find
+
+    def __missing__(self, token: str) -> tuple:
+        found = self.find(token)
+        if len(token) <= 40 and len(self) < 200_000:
+            self[token] = found
+        return found
+
+
+def _bare_words(token: str) -> tuple[str, ...]:
     plain = "".join(ch for ch in unicodedata.normalize("NFD", token.replace("đ", "d")) if not unicodedata.combining(ch))
-    return " ".join(re.sub(r"[^\w\s]|_", " ", plain).split())
+    return tuple(re.sub(r"[^\w\s]|_", " ", plain).split())
 
 
-_short_token = lru_cache(maxsize=200_000)(_bare_token)
+_words_of = _Remembered(_bare_words)
 
 
-def _plain(text: str) -> str:
-    """Lower case without diacritics, punctuation and repeated space."""
-    return " ".join(x for x in [_short_token(t) if len(t) <= 40 else _bare_token(t) for t in (_consistent(text) or "").lower().split()] if x)
+def _plain(text: str) -> list[str]:
+    """Words of a text, lower case without diacritics and punctuation."""
+    return list(chain.from_iterable(map(_words_of.__getitem__, (_consistent(text) or "").lower().split())))
 
 
 def _frame(data: bytes, prompt: zstandard.ZstdCompressionDict) -> int:
@@ -121,10 +135,10 @@ def copies(question: str, answer: str) -> bool:
     if not q or not a:
         return False
     # Exact and needed besides the compressor's verdict: the words of either are those of the other.
-    asked, said = set(q.split()), set(a.split())
+    asked, said = set(q), set(a)
     if len(asked & said) < COPY_WORDS * max(len(asked), len(said)):
         return False
-    q, a = q.encode(), a.encode()
+    q, a = " ".join(q).encode(), " ".join(a).encode()
     prompt = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return _frame(a, prompt) - _frame(q, prompt) <= COPY_BYTES
 
@@ -144,15 +158,14 @@ def _token_languages(token: str) -> tuple[tuple[str, float], ...]:
     return tuple(x for word in re.findall(r"[^\W\d_]+", unicodedata.normalize("NFC", token)) for x in _word_languages(word))
 
 
-_short_languages = lru_cache(maxsize=200_000)(_token_languages)
+_languages_of = _Remembered(_token_languages)
 
 
 def language(text: str) -> str:
     """Language that most of a text's letters are in, by script and dictionaries; "" if undecided."""
     found: dict[str, float] = {}
-    for token in text.lower().split():
-        for of, weight in _short_languages(token) if len(token) <= 40 else _token_languages(token):
-            found[of] = found.get(of, 0) + weight
+    for of, weight in chain.from_iterable(map(_languages_of.__getitem__, text.lower().split())):
+        found[of] = found.get(of, 0) + weight
     if "ja" in found:
         found["ja"] += found.pop("zh", 0)
     return max(found, key=lambda k: found[k], default="")
