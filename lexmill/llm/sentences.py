@@ -234,6 +234,12 @@ _run = re.compile(f"[{RUN}]{{2,}}")
 _any_mark = re.compile(rf"[{re.escape(STRONG + WEAK)}]")
 
 
+#: Where a sentence of such a script ends for certain, and what is stripped from it besides: all that is no letter, mark or digit.
+_unit_end = re.compile(rf"[{re.escape('!?。！？｡؟।॥។៕')}]+[\"'”’»›)）】」』〕》]*\s*|(?<=[฀-๿])[  ]+(?=[฀-๿])|[\r\n]+")
+_marked_run = re.compile("[。！？｡។៕]|[฀-๿][  ]+[฀-๿]")
+_sign = re.compile(rf"[^\w\x01{RUN}]+|_")
+
+
 def _bare_gaps(text: str) -> Iterator[tuple]:
     """(end, before, after) of each gap within runs of text that carries no marks at all and is mostly of scripts without spaces."""
     if _any_mark.search(text) or not _run.search(text) or _thai.search(text):
@@ -278,7 +284,7 @@ _words_of = _Words()
 
 
 def _rows(text: str, seen: dict[str, Counter]) -> Iterator[tuple]:
-    """Places of a text as (end, kind and case, before, after, None).
+    """Places of a text as (end, kind and case, before, after, None); punctuated text of a script without spaces also stripped, U+0001 where a sentence ends.
 
     ``seen`` counts the text's contexts by kind: words before a mark, in all (``mark``) and at sure ends (``end``); words in
     all (``word``) and at sure starts (``start``). A text counts once for each, so that no long or monotonous text outweighs the others.
@@ -314,6 +320,8 @@ def _rows(text: str, seen: dict[str, Counter]) -> Iterator[tuple]:
     words = set().union(*map(_words_of.__getitem__, set(text.split())))
     words.update(f"# {a} {b}" if a else "#" for a, b in set(_numbers.findall(text)))
     if _run.search(text):
+        if _marked_run.search(text):
+            yield None, "stripped", "", _sign.sub("", _unit_end.sub("\x01", text)), None
         # A run without marks: each place in it could be a beginning.
         runs = {w for w in words if _spaceless(w[0])}
         words = (words - runs) | {w[i : i + n] for w in runs for n in [_spaceless(w[0])] for i in range(len(w))}
@@ -373,13 +381,6 @@ def _ratios(contexts: DataFrame) -> DataFrame:
     return contexts.select("key", "n", (F.round(2 * F.greatest(F.least(ratio, F.lit(LIMIT)), F.lit(-LIMIT))) / 2).cast("float").alias("score"))
 
 
-def _stripped(texts: DataFrame) -> DataFrame:
-    """``s``: punctuated texts of scripts without spaces, stripped of all signs, U+0001 where a sentence ends."""
-    ends = rf"(?:[{re.escape('!?。！？｡។៕')}]+[\"'”’»›)）】」』〕》]*\s*|(?<=[฀-๿])[  ]+(?=[฀-๿])|[\r\n]+)"
-    marked = texts.where(F.col("t").rlike(f"[{RUN}]") & (F.col("t").rlike(r"[。！？｡។៕]") | F.col("t").rlike(r"[฀-๿][  ]+[฀-๿]")))
-    return marked.select(F.regexp_replace(F.regexp_replace("t", ends, "\x01"), r"[^\p{L}\p{M}\p{N}\x01]+", "").alias("s"))
-
-
 def _gram_scores(stripped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``key, n, score`` of the characters before, and after, a gap in text without marks, counted on stripped texts."""
 
@@ -585,11 +586,11 @@ def sentence_ends(docs: DataFrame, key: str, text: str = "text", training: DataF
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"\S")).withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")}).select("k", "h1", "h2", "t")
     placed = written(_placed(texts), "places")
     if training is None:
-        learnt_texts, learnt_places = texts, placed
+        learnt_places = placed
     else:
         learnt_texts = training.select(F.monotonically_increasing_id().alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"\S")).withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")}).select("k", "h1", "h2", "t")
         learnt_places = written(_placed(learnt_texts), "places")
-    before, after, lengths = _evidence(learnt_texts, learnt_places)
+    before, after, lengths = _evidence(learnt_places)
     cells, trained = _grouped(learnt_places, before, after)
     first = Chain([_seed(*c) for c in cells], lengths)
     chain = _learnt(_decoded(trained, first), cells, lengths)
@@ -601,14 +602,14 @@ def sentence_ends(docs: DataFrame, key: str, text: str = "text", training: DataF
     return _decoded(trained, chain).select(F.col("k").alias(key), found.alias("ends"))
 
 
-def _evidence(texts: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def _evidence(placed: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Scores ``key, n, score`` of the contexts before and after a place, and the lengths of sentences, from all texts."""
-    contexts = placed.where("at is null").groupBy(F.col("after").alias("key")).pivot("kind", list(_CONTEXTS)).agg(F.sum("n")).fillna(0)
+    contexts = placed.where("at is null and kind <> 'stripped'").groupBy(F.col("after").alias("key")).pivot("kind", list(_CONTEXTS)).agg(F.sum("n")).fillna(0)
     contexts = written(contexts, "contexts")
     # A number says little: it ends sentences, dates and ordinals alike.
     before = _ratios(contexts.where("mark > 0").select("key", F.col("mark").alias("n"), F.col("end").alias("k"))).withColumn("score", F.when(F.col("key") == "#", F.least("score", F.lit(2.0).cast("float"))).otherwise(F.col("score")))
     after = _ratios(contexts.where("word + start > 0").select("key", F.col("word").alias("n"), F.col("start").alias("k")))
-    stripped = written(_stripped(texts), "stripped")
+    stripped = placed.where("kind = 'stripped'").select(F.col("after").alias("s"))
     before_gap, after_gap = _gram_scores(stripped)
     return before.unionByName(before_gap), after.unionByName(after_gap), _lengths(stripped)
 

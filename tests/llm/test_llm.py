@@ -268,7 +268,7 @@ def test_sentence_cases(spark):
 
 def local_ends(text):
     """Ends by the chain's first scores, without counts."""
-    rows = sorted({(at, kind) for at, kind, *_ in _rows(text, defaultdict(Counter))})
+    rows = sorted({(at, kind) for at, kind, *_ in _rows(text, defaultdict(Counter)) if at is not None})
     gains = [_seed(kind, 0.0, 0.0) for _, kind in rows]
     cells = [{"break": -1, "bare": -2}.get(kind, i) for i, (_, kind) in enumerate(rows)]
     return [at for (at, _), tag in zip(rows, Chain(gains, np.zeros(LONGEST + 1)).tags([at for at, _ in rows], cells, [-1.0] * len(rows))) if tag]
