@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -17,7 +18,6 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from lexmill.functions.lookalike import consistent
 from lexmill.functions.session import kept
@@ -264,7 +264,31 @@ def _judge(question, answer, sources) -> tuple[str | None, bool, str | None]:
     return other, end == "whole", None if end == "whole" else last_words(answer)
 
 
-_JUDGED = StructType([StructField("type", StringType()), StructField("sure", BooleanType()), StructField("context", StringType())])
+def _contexts(answers: Iterable[str]) -> dict[str, list[int]]:
+    """Of each two words that follow each other in the answers: how often they do, and how often a sentence ends after them."""
+    raw: Counter = Counter()
+    for answer in answers:
+        words = unicodedata.normalize("NFC", answer.lower()).translate(_context_signs).split()
+        raw.update(zip(words, words[1:]))
+    folded: dict[str, list[int]] = {}
+    for (a, b), n in raw.items():
+        word = b.rstrip("\x01")
+        counts = folded.setdefault(f"{a.rstrip('\x01')} {word}", [0, 0])
+        counts[0] += n
+        # One mark ends a sentence; a row of them is an ellipsis.
+        counts[1] += n if len(b) == len(word) + 1 else 0
+    return folded
+
+
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs' verdicts, and the contexts of each batch, folded, as rows without a chat_id."""
+    for batch in batches:
+        verdicts = [_judge(*x) for x in zip(batch["question"], batch["final_answer"], batch["sources"])]
+        told = pd.DataFrame(verdicts, columns=["type", "sure", "context"])
+        told.insert(0, "chat_id", batch["chat_id"].to_numpy())
+        yield told.assign(n=None, ends=None)
+        rows = [(None, None, None, c, n, ends) for c, (n, ends) in _contexts(x for x in batch["final_answer"] if x).items()]
+        yield pd.DataFrame(rows, columns=["chat_id", "type", "sure", "context", "n", "ends"])
 
 
 def defective_pairs(chats: DataFrame) -> DataFrame:
@@ -278,24 +302,18 @@ def defective_pairs(chats: DataFrame) -> DataFrame:
     - An empty table gives no rows; other columns are ignored.
     """
 
-    @F.pandas_udf(_JUDGED)
-    def judge(questions: pd.Series, answers: pd.Series, sources: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_judge(*x) for x in zip(questions, answers, sources)], columns=["type", "sure", "context"])
-
     asked = chats.select("chat_id", "status", "question", "final_answer", "sources").where("chat_id is not null and not (status <=> 'need_clarify')")
     # Judged where they lie, repeated rows too: no text is shuffled. Read several times, but judged once.
-    judged = kept(asked.select("chat_id", judge("question", "final_answer", "sources").alias("j")).select("chat_id", "j.*"))
+    kind = chats.schema["chat_id"].dataType.simpleString()
+    every = kept(asked.select("chat_id", "question", "final_answer", "sources").mapInPandas(_judged, f"chat_id {kind}, type string, sure boolean, context string, n long, ends long"))
+    judged = every.where("n is null")
     sure = judged.where("sure and type is not null").select("chat_id", "type")
     unsure = judged.where("not sure").groupBy("chat_id", "context", "type").agg(F.count(F.lit(1)).alias("n"))
     # Terminal contexts: how often, in all answers, the last two words of the unsure ones are followed by the end of a sentence.
-    words = F.filter(F.split(F.translate(F.lower("final_answer"), MARKS + SIGNS, "\x01" * len(MARKS) + " " * len(SIGNS)), " "), lambda x: x != "")
-    spoken = asked.select(words.alias("words")).where(F.size("words") > 1)
-    bare = lambda x: F.rtrim(x, F.lit("\x01"))
-    pairs = F.transform(F.slice("words", F.lit(2), F.size("words") - 1), lambda x, i: F.struct(F.concat(bare(F.col("words")[i]), F.lit(" "), bare(x)).alias("context"), (x.endswith("\x01") & ~x.endswith("\x01\x01")).alias("end")))
-    seen = spoken.select(F.explode(pairs).alias("p")).select("p.context", "p.end")
+    seen = every.where("n is not null").groupBy("context").agg((F.sum("ends") / F.sum("n")).alias("share"))
     # Both sides of the join have each context once, whatever its frequency.
     met = unsure.groupBy("context").agg(F.sum("n").alias("n"))
-    model = met.join(seen.groupBy("context").agg(F.avg(F.col("end").cast("double")).alias("share")), "context", "left")
+    model = met.join(seen, "context", "left")
     model = kept(model.select("context", "n", (F.coalesce("share", F.lit(0.0)) >= TERMINAL_SHARE).alias("whole")))
     # Contexts of many answers go back to them by a broadcast, at most HOT_SHARE of them, the others by a shuffle.
     total = model.agg(F.sum("n")).first()[0] or 0
