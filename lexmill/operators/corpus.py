@@ -116,7 +116,8 @@ def article_documents(chunks: DataFrame, position: str, key: Column, most_text:
     )
     content = F.array_join(F.transform("parts", lambda x: x["c"]), "\n\n")
     # Labels are folded to one per key before they are put together in the order in which they are first seen.
-    labels = chunks.select(key.alias("_key"), F.col(position).alias("p"), F.posexplode("related_articles").alias("i", "label")).where(F.trim(text("label")) != "")
+    related = F.col("related_articles") if "related_articles" in chunks.columns else F.array().cast("array<string>")
+    labels = chunks.select(key.alias("_key"), F.col(position).alias("p"), F.posexplode(related).alias("i", "label")).where(F.trim(text("label")) != "")
     seen = labels.groupBy("_key", "label").agg(F.min(F.struct("p", "i")).alias("at")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("labels"))
     grouped = grouped.join(seen, "_key", "left").withColumn("related_articles", F.coalesce(F.transform("labels", lambda x: x["label"]), F.array().cast("array<string>")))
     docs = grouped.select(point_id("article", F.col("_key")).alias("point_id"), "m.*", "chunk_count", "related_articles", content.alias("content"))
