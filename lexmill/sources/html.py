@@ -150,7 +150,7 @@ def section_labels(nodes: DataFrame, key: str, lookup: DataFrame | None = None)
 
     ``lookup``: value, name, a few rows; they are looked up by the page's key.
     """
-    lines = F.filter(F.transform(F.split("text", "\n"), clean_text), lambda x: x != "")
+    lines = F.filter(F.split(clean_text("text"), "\n"), lambda x: x != "")
     label = F.nullif(F.array_join(F.slice(lines, 1, 2), " - "), F.lit(""))
     heads = nodes.where("kind = 'heading'").select(key, label.alias("_label"))
     if lookup is None:
