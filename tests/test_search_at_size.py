@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+
 from lexmill.operators import search
 from lexmill.plans import catalogue
 
@@ -65,3 +66,14 @@ def test_lexical_search_makes_no_row_per_pair(spark):
 def test_queries_join_no_terms(spark, name):
     joins = [x for x in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")).splitlines() if "Join" in x]
     assert not [x for x in joins if "term#" in x]
+
+
+def test_forms_of_a_reference_are_made_once_per_case(spark):
+    from lexmill.operators.evaluation import truth_matches
+
+    hits = spark.createDataFrame([(1, 1, "một hai ba bốn")], "q int, rank int, content string")
+    cases = spark.createDataFrame([(1, ["Một, hai ba bốn", "x"])], "q int, contexts array<string>")
+    found = truth_matches(hits, cases, "q", ["content"])
+    assert found.first().by == ["context"]
+    above = plan(found).split("Join")[0]
+    assert "lower" not in above.split("AS by")[0].rpartition("exists(")[2]
