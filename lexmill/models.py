@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,17 @@ def hashed_words(size: int = 128) -> Embedder:
     """Offline embedder: signed feature hashing of words and neighbouring pairs, to length 1."""
 
     def embed(texts: Sequence[Sequence[str]]) -> np.ndarray:
-        out = np.zeros((len(texts), size), dtype=np.float32)
-        for row, words in enumerate(texts):
-            for w in [*words, *(" ".join(p) for p in zip(words, words[1:]))]:
-                h = xxhash.xxh64_intdigest(w)
-                out[row, h % size] += 1.0 if h >> 63 else -1.0
+        # Each distinct word and pair is hashed once; signs add up to whole numbers, in any order the same.
+        lengths = np.array([len(words) for words in texts], dtype=int)
+        rows = np.repeat(np.arange(len(texts)), lengths)
+        codes, known = pd.factorize(np.array(list(chain.from_iterable(texts)), dtype=object))
+        near = np.flatnonzero(rows[1:] == rows[:-1])
+        pairs, at = np.unique(codes[near] * max(len(known), 1) + codes[near + 1], return_inverse=True)
+        firsts, seconds = (known[x] for x in np.divmod(pairs, max(len(known), 1)))
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in chain(known, map(" ".join, zip(firsts, seconds)))], dtype=np.uint64)
+        of = hashes[np.concatenate([codes, at + len(known)])]
+        signs = np.where(of >> np.uint64(63), 1.0, -1.0)
+        out = np.bincount(np.concatenate([rows, rows[near]]) * size + (of % np.uint64(size)).astype(int), signs, len(texts) * size).reshape(len(texts), size).astype(np.float32)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1)
 
@@ -38,6 +45,6 @@ def embedded(col: Column | str, embedder: Embedder | None = None) -> Column:
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(words: pd.Series) -> pd.Series:
-        return pd.Series([v.tolist() for v in model([list(w) for w in words])])
+        return pd.Series(list(model([w.tolist() for w in words])), dtype=object)
 
     return embed(tokens(col))

@@ -77,3 +77,10 @@ def test_forms_of_a_reference_are_made_once_per_case(spark):
     assert found.first().by == ["context"]
     above = plan(found).split("Join")[0]
     assert "lower" not in above.split("AS by")[0].rpartition("exists(")[2]
+
+
+def test_vectors_are_normalized_once_per_row(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [4.0, -3.0]), (4, [6.0, 8.0])], "vec_id long, embedding array<float>")
+    found = search.vector_topk(rows, rows.where("vec_id in (1, 4)").withColumnRenamed("vec_id", "query_id"), 3)
+    assert [tuple(r) for r in found.select("query_id", "vec_id", "score").orderBy("query_id", "rank").collect()] == [(q, v, s) for q in (1, 4) for v, s in ((1, 1.0), (4, 1.0), (2, 0.0))]
+    assert "transform(" not in plan(found) and "aggregate(" not in plan(found)
