@@ -68,6 +68,23 @@ def test_queries_join_no_terms(spark, name):
     assert not [x for x in joins if "term#" in x]
 
 
+def test_grid_compares_each_hit_once(spark):
+    from lexmill.functions import session
+
+    session.release()
+    catalogue.QUERIES["scenario_grid"](spark, "/root/testdata/sf0.001")
+    told = [x for x in session._kept if "matched" in x.columns]
+    assert len(told) == 1 and told[0].columns == ["chat_id", "filtered", "rank", "matched"]
+
+
+def test_fallback_reads_the_corpus_once(spark):
+    from lexmill.functions import session
+
+    session.release()
+    catalogue.QUERIES["filter_fallback"](spark, "/root/testdata/sf0.001")
+    assert len([x for x in session._kept if "terms" in x.columns]) == 1
+
+
 def test_forms_of_a_reference_are_made_once_per_case(spark):
     from lexmill.operators.evaluation import truth_matches
 
@@ -84,12 +101,3 @@ def test_vectors_are_normalized_once_per_row(spark):
     found = search.vector_topk(rows, rows.where("vec_id in (1, 4)").withColumnRenamed("vec_id", "query_id"), 3)
     assert [tuple(r) for r in found.select("query_id", "vec_id", "score").orderBy("query_id", "rank").collect()] == [(q, v, s) for q in (1, 4) for v, s in ((1, 1.0), (4, 1.0), (2, 0.0))]
     assert "transform(" not in plan(found) and "aggregate(" not in plan(found)
-
-
-def test_grid_compares_each_hit_once(spark):
-    from lexmill.functions import session
-
-    session.release()
-    catalogue.QUERIES["scenario_grid"](spark, "/root/testdata/sf0.001")
-    told = [x for x in session._kept if "matched" in x.columns]
-    assert len(told) == 1 and told[0].columns == ["chat_id", "filtered", "rank", "matched"]
