@@ -62,7 +62,7 @@ def test_lexical_search_makes_no_row_per_pair(spark):
     assert "Join" not in plan(search.bm25_topk(d, q, 3))
 
 
-@pytest.mark.parametrize("name", ["bm25_sections", "bm25_filtered", "context_blocks_all", "evidence", "filter_hit_rate", "section_evidence", "evidence_all", "ground_truth_matches", "hybrid_search", "context_blocks", "hybrid_search_all"])
+@pytest.mark.parametrize("name", ["bm25_sections", "bm25_filtered", "context_blocks_all", "evidence", "filter_hit_rate", "section_evidence", "evidence_all", "ground_truth_matches", "hybrid_search", "context_blocks", "hybrid_search_all", "strong_exact_hits"])
 def test_queries_join_no_terms(spark, name):
     joins = [x for x in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")).splitlines() if "Join" in x]
     assert not [x for x in joins if "term#" in x]
