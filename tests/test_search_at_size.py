@@ -101,3 +101,43 @@ def test_vectors_are_normalized_once_per_row(spark):
     found = search.vector_topk(rows, rows.where("vec_id in (1, 4)").withColumnRenamed("vec_id", "query_id"), 3)
     assert [tuple(r) for r in found.select("query_id", "vec_id", "score").orderBy("query_id", "rank").collect()] == [(q, v, s) for q in (1, 4) for v, s in ((1, 1.0), (4, 1.0), (2, 0.0))]
     assert "transform(" not in plan(found) and "aggregate(" not in plan(found)
+
+
+def test_bytes_are_split_as_the_engine_splits(spark):
+    import pyarrow as pa
+
+    from lexmill.functions.text import split_tokens, tokens
+
+    rng = random.Random(3)
+    odd = ["Σ", "σ", "Α", "a", "İ", "ỹ", "Ỻ", "’", ".", "-", "́", "Đ", "1", "𐐀", "\n", "ẞ", "K", "Ⱥ", "²", "῿", "中", "Ɤ", "Ƛ", "é"]
+    texts = ["", *("".join(rng.choices(odd, k=rng.randint(0, 12))) for _ in range(2_000)), "", *(f"a{chr(c)}b {chr(c)}" for c in range(1, 0x2100)), "x", ""]
+    want = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", tokens("s").alias("t")).orderBy("i").collect()]
+    said, lengths = split_tokens(pa.array(["of no text", *texts], pa.string()).slice(1))
+    ends = [0, *lengths.cumsum().tolist()]
+    assert len(said) == ends[-1]
+    said = said.to_pylist()
+    assert [said[a:b] for a, b in zip(ends, ends[1:])] == want
+    assert not len(split_tokens(pa.array([], pa.string()))[1]) and split_tokens(pa.array(["", "-"]))[1].tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("hot, most, size", [(-1.0, 1_000, 40_000), (2.0, 1_000, 40_000), (0.004, 3, 7), (0.02, 1_000, 200)])
+def test_frequent_and_rare_terms_add_up_to_one_score(spark, monkeypatch, hot, most, size):
+    for name, value in (("HOT", hot), ("MOST_HOT", most), ("SLICE", size), ("PRODUCT", 5), ("SOME", 3)):
+        monkeypatch.setattr(search, name, value)
+    docs, asked = corpus(900)
+    d, q = spark.createDataFrame(docs, "doc_id string, content string, kind string"), spark.createDataFrame(asked, "query_id int, question string, kind string")
+    found = defaultdict(list)
+    for r in search.bm25_topk(d.repartition(3), q, 6, filters={"kind": "kind"}).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.doc_id, r.score))
+    want = {i: brute(docs, text, kind.lower(), 6) for i, text, kind in asked}
+    assert dict(found) == {i: x for i, x in want.items() if x}
+
+
+@pytest.mark.parametrize("name", ["bm25_filtered"])
+def test_corpus_is_split_and_counted_outside_the_plan(spark, name):
+    from lexmill.functions import session
+
+    session.release()
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    counts = [x for x in session._kept if "terms" in x.columns]
+    assert len(counts) == 1 and "regexp_extract_all" not in plan(counts[0]) and dict(counts[0].dtypes)["terms"] == "binary"
