@@ -133,7 +133,7 @@ def test_frequent_and_rare_terms_add_up_to_one_score(spark, monkeypatch, hot, mo
     assert dict(found) == {i: x for i, x in want.items() if x}
 
 
-@pytest.mark.parametrize("name", ["bm25_filtered", "context_blocks_all", "evidence", "filter_hit_rate", "section_evidence", "evidence_all", "ground_truth_matches", "hybrid_search", "context_blocks", "hybrid_search_all"])
+@pytest.mark.parametrize("name", ["bm25_filtered", "context_blocks_all", "evidence", "filter_hit_rate", "section_evidence", "evidence_all", "ground_truth_matches", "hybrid_search", "context_blocks", "hybrid_search_all", "strong_exact_hits"])
 def test_corpus_is_split_and_counted_outside_the_plan(spark, name):
     from lexmill.functions import session
 
