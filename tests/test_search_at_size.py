@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lexmill.operators import search
@@ -141,3 +142,44 @@ def test_corpus_is_split_and_counted_outside_the_plan(spark, name):
     catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     counts = [x for x in session._kept if "terms" in x.columns]
     assert len(counts) == 1 and "regexp_extract_all" not in plan(counts[0]) and dict(counts[0].dtypes)["terms"] == "binary"
+
+
+def test_a_product_has_like_questions():
+    rng = np.random.default_rng(5)
+    # Questions of two patterns in turns, each with a word of its own.
+    asked = [np.array([[*range(50 * (i % 2), 50 * (i % 2) + 12), int(rng.integers(100, 200))], [1] * 13]) for i in range(search.PRODUCT * 2)]
+    share = np.bincount(np.concatenate([t for t, _ in asked]))
+    products = list(search._alike(asked, share))
+    assert sorted(np.concatenate(products).tolist()) == list(range(len(asked))) and all(len(x) <= search.PRODUCT for x in products)
+    assert [len({int(q) % 2 for q in x}) for x in products] == [1, 1]
+
+
+def test_only_odd_letters_are_lowered_in_python():
+    import pyarrow as pa
+
+    from lexmill.functions.text import _lower
+
+    texts = ["ĐIỀU 1", "ΟΔΟΣ Σ", "", "İ", *(chr(c) for c in range(1, 0x3000))]
+    assert _lower(pa.array(["of no text", *texts]).slice(1)).to_pylist() == [x.replace("Ᲊ", "ᲊ").lower() for x in texts]
+
+
+def test_forms_are_made_once_per_section(spark):
+    from lexmill.operators.evaluation import truth_matches, with_forms
+
+    hits = spark.createDataFrame([(q, r, "s1") for q in (1, 2) for r in (1, 2)], "q int, rank int, p string")
+    formed = with_forms(spark.createDataFrame([("s1", "một hai ba bốn", None)], "p string, content string, title string"), ["content", "title"])
+    cases = spark.createDataFrame([(1, ["Một, hai ba bốn"]), (2, ["khác"])], "q int, contexts array<string>")
+    found = truth_matches(hits.join(formed.select("p", "_t", "_tw"), "p"), cases, "q", ["content", "title"])
+    assert found.columns == ["p", "q", "rank", "by", "matched"] and {(r.q, *r.by) for r in found.collect()} == {(1, "context"), (2,)}
+
+
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_questions_are_read_once_and_scored_with_their_like(spark, monkeypatch, name):
+    from lexmill.functions import session
+
+    of, scored = search._alike, []
+    monkeypatch.setattr(search, "_alike", lambda asked, share: scored.append(len(asked)) or of(asked, share))
+    session.release()
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(scored) == 1 and scored[0] > 0
+    assert len([x for x in session._kept if "question" in x.columns]) == 1
