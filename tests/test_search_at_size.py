@@ -173,7 +173,7 @@ def test_forms_are_made_once_per_section(spark):
     assert found.columns == ["p", "q", "rank", "by", "matched"] and {(r.q, *r.by) for r in found.collect()} == {(1, "context"), (2,)}
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "context_blocks_all", "evidence", "filter_hit_rate", "section_evidence", "evidence_all", "ground_truth_matches", "context_blocks", "hybrid_search_all"])
+@pytest.mark.parametrize("name", ["hybrid_search", "context_blocks_all", "evidence", "filter_hit_rate", "section_evidence", "evidence_all", "ground_truth_matches", "context_blocks", "hybrid_search_all", "strong_exact_hits"])
 def test_questions_are_read_once_and_scored_with_their_like(spark, monkeypatch, name):
     from lexmill.functions import session
 
