@@ -183,3 +183,30 @@ def test_questions_are_read_once_and_scored_with_their_like(spark, monkeypatch,
     catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(scored) == 1 and scored[0] > 0
     assert len([x for x in session._kept if "question" in x.columns]) == 1
+
+
+@pytest.mark.parametrize("exact", [1, 7, 10_000])
+def test_a_product_is_looked_through_at_once(spark, monkeypatch, exact):
+    monkeypatch.setattr(search, "EXACT", exact)
+    # Many equal documents: all of them can be among the best, and the smaller ids are.
+    docs = [(f"d{i:04}", "từ1 từ2" if i % 3 else f"từ1 số{i % 5}") for i in range(700)]
+    d, q = spark.createDataFrame(docs, "doc_id string, content string"), spark.createDataFrame([(1, "từ1 từ2"), (2, "số3 số3"), (3, "từ2")], "query_id int, question string")
+    found = defaultdict(list)
+    for r in search.bm25_topk(d, q, 4).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.doc_id, r.score))
+    assert dict(found) == {i: brute([(d, t, "") for d, t in docs], x, "", 4) for i, x in ((1, "từ1 từ2"), (2, "số3 số3"), (3, "từ2"))}
+
+
+def test_rows_of_several_queries_are_told_at_once():
+    rng = np.random.default_rng(4)
+    best, one, asked, margins = search._Best(9, 3, 0.0), search._Best(9, 3, 0.0), np.array([4, 1, 7]), np.array([0.0, 0.5, 0.1])
+    for size in (40, 320):
+        scores = rng.integers(-2, 30, (3, size)).astype(np.float32)
+        of, rows = best.possible_all(asked, scores, scores.reshape(3, search.SOME, -1).max(axis=1) if size > 40 else scores, margins)
+        assert [rows[of == i].tolist() == sorted(rows[of == i].tolist()) for i in range(3)] == [True] * 3
+        for x in (best, one):
+            x.slice(["d"] * size)
+        best.add_all(asked, of, rows, scores[of, rows].astype(float))
+        for i, q in enumerate(asked):
+            one.add(q, np.arange(size), scores[i].astype(float))
+    assert (best.scores == one.scores).all() and (best.rows == one.rows).all()
