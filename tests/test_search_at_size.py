@@ -210,3 +210,25 @@ def test_rows_of_several_queries_are_told_at_once():
         for i, q in enumerate(asked):
             one.add(q, np.arange(size), scores[i].astype(float))
     assert (best.scores == one.scores).all() and (best.rows == one.rows).all()
+
+
+@pytest.mark.parametrize("name", ["filter_hit_rate", "section_evidence", "strong_exact_hits"])
+def test_the_index_is_read_once(spark, name):
+    # Keys of the sections found come from their counts; the cache of the counts has the only scan of the index, and its texts.
+    found = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not re.search(r"(?<!Memory)Relation \[.*indexed_at", plan(found)) and "InMemoryRelation" in plan(found)
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "context_blocks_all", "evidence", "evidence_all", "context_blocks", "hybrid_search_all"])
+def test_hits_are_not_multiplied_by_the_merge(spark, name):
+    assert "Expand" not in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_no_text_is_looked_through_for_odd_letters_that_none_has(monkeypatch):
+    import pyarrow as pa
+
+    from lexmill.functions import text
+
+    monkeypatch.setattr(text.pc, "match_substring", None)
+    said, lengths = text.split_tokens(pa.array(["", "Một hai-BA", "ba", "", "- é-"]))
+    assert said.to_pylist() == ["một", "hai", "ba", "ba", "é"] and lengths.tolist() == [0, 3, 1, 0, 1]
