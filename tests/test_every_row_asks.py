@@ -1,5 +1,8 @@
 """Queries that ask with every row of their table that has an id, not with a part of them."""
 
+from hashlib import md5
+
+from lexmill.operators.search import clipped
 from lexmill.plans import catalogue
 
 DOCUMENTS = [(1, "alpha beta\nmore", "L1"), (2, "alpha beta gamma", " l1"), (3, "delta", None), (50, "delta\nepsilon", "L2"), (51, "alpha beta\nelse", "L2"), (52, "", "L2"), (53, None, None), (None, "alpha", "L1")]
@@ -25,3 +28,15 @@ def test_every_document_asks_in_hybrid_search(spark, tmp_path):
         51: {1: (True, False, 0.0), 2: (True, False, 0.0), 51: (True, False, 0.45)},
         52: {1: (False, True, 0.0), 3: (False, True, 0.0), 52: (False, True, 0.45)},
     }
+
+
+def test_every_document_has_a_context(spark, tmp_path):
+    found = {r.request_id: r.context_md5 for r in catalogue.QUERIES["context_blocks"](spark, documents(spark, tmp_path)).collect()}
+    shown = lambda *texts: md5("\n\n".join(f"[{i}] {t}" for i, t in enumerate(texts, 1)).encode()).hexdigest()
+    assert set(found) == {1, 2, 3, 50, 51, 52}
+    assert found[50] == shown("delta\nepsilon", "delta")
+
+
+def test_a_clipped_text_ends_in_no_space_of_any_script(spark):
+    texts = spark.createDataFrame([("\xa0" + "a" * 1_399 + "\xa0b",), ("　",), ("\ta\n",)], "t string")
+    assert [r.t for r in texts.select(clipped("t").alias("t")).collect()] == ["a" * 1_399, "", "\ta\n"]
