@@ -40,3 +40,8 @@ def test_every_document_has_a_context(spark, tmp_path):
 def test_a_clipped_text_ends_in_no_space_of_any_script(spark):
     texts = spark.createDataFrame([("\xa0" + "a" * 1_399 + "\xa0b",), ("　",), ("\ta\n",)], "t string")
     assert [r.t for r in texts.select(clipped("t").alias("t")).collect()] == ["a" * 1_399, "", "\ta\n"]
+
+
+def test_every_document_has_its_evidence_told(spark, tmp_path):
+    found = {r.request_id: (r.n_hits, r.n_structured, r.status) for r in catalogue.QUERIES["evidence"](spark, documents(spark, tmp_path)).collect()}
+    assert found == {1: (4, 4, "ok"), 2: (3, 3, "ok"), 3: (4, 3, "ok"), 50: (2, 1, "ok"), 51: (3, 3, "ok"), 52: (3, 2, "ok"), 53: (0, 0, "no_results")}
