@@ -45,3 +45,15 @@ def test_a_clipped_text_ends_in_no_space_of_any_script(spark):
 def test_every_document_has_its_evidence_told(spark, tmp_path):
     found = {r.request_id: (r.n_hits, r.n_structured, r.status) for r in catalogue.QUERIES["evidence"](spark, documents(spark, tmp_path)).collect()}
     assert found == {1: (4, 4, "ok"), 2: (3, 3, "ok"), 3: (4, 3, "ok"), 50: (2, 1, "ok"), 51: (3, 3, "ok"), 52: (3, 2, "ok"), 53: (0, 0, "no_results")}
+
+
+def test_every_chat_has_its_strong_hits_told(spark, tmp_path):
+    code = "Điều 1.1.LQ.1.1"
+    chats = [(1, f"{code} quy định gì?"), (2, f"{code} quy định gì?"), (3, "mức phạt"), (50, "quy định"), (51, "không có"), (52, None), (None, "quy định")]
+    spark.createDataFrame(chats, "chat_id long, question string").write.parquet(f"{tmp_path}/chat_log.parquet")
+    spark.createDataFrame([("p1", "m1", f"{code}. quy định"), ("p2", "m2", "mức phạt quy định")], "point_id string, mapc string, content string").selectExpr("*", "timestamp'2024-01-01' as indexed_at").write.parquet(f"{tmp_path}/index_document.parquet")
+    fields = "article_code string, article_name string, article string, law_id string, title string, issuer string, effective_date string, topic_id string, de_muc string, source_note string, raw_content string"
+    rows = [(m, c, *[None] * 10) for m, c in (("m1", code), ("m2", "Điều 2.2.LQ.2.2"))]
+    spark.createDataFrame(rows, f"mapc string, {fields}").selectExpr("*", "1 as snapshot_no", "timestamp'2024-01-01' as loaded_at").write.parquet(f"{tmp_path}/parsed_article.parquet")
+    found = {r.chat_id: (r.n_strong, r.n_hits) for r in catalogue.QUERIES["strong_exact_hits"](spark, str(tmp_path)).collect()}
+    assert found == {1: (1, 2), 2: (1, 2), 3: (0, 1), 50: (0, 2)}
