@@ -57,3 +57,14 @@ def test_every_chat_has_its_strong_hits_told(spark, tmp_path):
     spark.createDataFrame(rows, f"mapc string, {fields}").selectExpr("*", "1 as snapshot_no", "timestamp'2024-01-01' as loaded_at").write.parquet(f"{tmp_path}/parsed_article.parquet")
     found = {r.chat_id: (r.n_strong, r.n_hits) for r in catalogue.QUERIES["strong_exact_hits"](spark, str(tmp_path)).collect()}
     assert found == {1: (1, 2), 2: (1, 2), 3: (0, 1), 50: (0, 2)}
+
+
+def test_every_chat_searches_the_sections(spark, tmp_path):
+    chats = [(1, "mức phạt là gì"), (2, "mức phạt là gì"), (50, "đê"), (51, "đê sông"), (52, None), (53, ""), (None, "đê")]
+    spark.createDataFrame(chats, "chat_id long, question string").write.parquet(f"{tmp_path}/chat_log.parquet")
+    sections = [("p1", "m1", "mức phạt với đê"), ("p2", "m2", "thủ tục sông")]
+    spark.createDataFrame(sections, "point_id string, mapc string, content string").selectExpr("*", "timestamp'2024-01-01' as indexed_at").write.parquet(f"{tmp_path}/index_document.parquet")
+    found = {}
+    for r in catalogue.QUERIES["section_search"](spark, str(tmp_path)).orderBy("request_id", "rerank").collect():
+        found.setdefault(r.request_id, []).append((r.key, r.rerank_score))
+    assert found == {1: [("p1", 0.5), ("p2", 0.0)], 2: [("p1", 0.5), ("p2", 0.0)], 50: [("p1", 1.0), ("p2", 0.0)]} | {51: found[51]} and sorted(found[51]) == [("p1", 0.5), ("p2", 0.5)]
